@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, url_filter, warc
+from . import media, packing, secrets, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secrets": secrets.op3_secrets,
         "op4_telephony": media.op4_telephony,
+        "op6_packing": packing.op6_packing,
         "op7_url_filter": url_filter.op7_url_filter,
         "op9_warc": warc.op9_warc,
     }
