@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, secrets, url_filter, warc
+from . import media, packing, quality, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_secrets": secrets.op3_secrets,
         "op4_telephony": media.op4_telephony,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_packing": packing.op6_packing,
         "op7_url_filter": url_filter.op7_url_filter,
         "op9_warc": warc.op9_warc,
+        "op10_quality": quality.op10_quality,
     }
 
 

@@ -27,6 +27,8 @@ MIN_REVISIT = 100
 BROADCAST_ROWS = 1_000_000
 #: Read ranges: the largest hole read over, the largest read.
 HOLE, READ = 64 << 10, 8 << 20
+#: Archive bytes for one reading task.
+PART = 16 << 20
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, li
 def read(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """Read the records that an index selects: (page_id, payload_bytes, payload_digest, record_type, refers_to), with their payloads if asked.
 
-    The index is dealt by 32 MB of a file and sorted by offset, so each task reads few long ranges. Digests
+    The index is dealt by PART bytes of a file and sorted by offset, so each task reads few long ranges. Digests
     of responses are computed from the payload that was read; those of revisits stand in their headers.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
@@ -143,8 +145,10 @@ def read(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
         out = pd.DataFrame(held, columns=names)
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    part = F.floor(F.col("offset") / (32 << 20))
-    dealt = index.withColumn("part", part).repartition("file", "part").sortWithinPartitions("file", "offset")
+    # the index is small where the archives are large, so its tasks are counted by archive bytes
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // PART))
+    part = F.floor(F.col("offset") / PART)
+    dealt = index.withColumn("part", part).repartition(tasks, "file", "part").sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInPandas(run, schema)
 
 
