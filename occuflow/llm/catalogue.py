@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, quality, secrets, toxicity, url_filter, warc
+from . import decontamination, media, packing, quality, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_packing": packing.op6_packing,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_warc": warc.op9_warc,
         "op10_quality": quality.op10_quality,
     }
