@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, media, packing, quality, secrets, toxicity, url_filter, warc
+from . import decontamination, jaccard_join, lm_scoring, media, packing, quality, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op2_jaccard_join": jaccard_join.op2_jaccard_join,
         "op3_secrets": secrets.op3_secrets,
         "op4_telephony": media.op4_telephony,

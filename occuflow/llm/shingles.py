@@ -24,10 +24,11 @@ def word_memo() -> Memo:
     return Memo(xxhash.xxh64_intdigest)
 
 
-def word_hashes(texts: Iterable[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, end to end, and each text's number of words."""
+def word_hashes(texts: Iterable[str | None], memo: Memo, end: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, each closed by ``end`` if given, and each text's number of them."""
     # bytes.lower() changes A-Z alone, bytes.split() splits at 0x20 and 0x09-0x0D alone
-    split = [(t or "").encode().lower().split() for t in texts]
+    last = [] if end is None else [end]
+    split = [(t or "").encode().lower().split() + last for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     flat = np.fromiter((memo[w] for ws in split for w in ws), np.uint64, int(sizes.sum()))
     return flat, sizes
