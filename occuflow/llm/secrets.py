@@ -24,6 +24,8 @@ RUN = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[a-zA-Z+/_=-]*[0-9])(?=[0
 #: A value of more owners, or of more repositories, is an example.
 MAX_OWNERS, MAX_REPOSITORIES = 2, 50
 SALTS = 8
+#: Spans of up to this many texts are broadcast to mask them; more are joined by a shuffle.
+MASK_BROADCAST_ROWS = 500_000
 
 SPAN = "struct<s:bigint,k:int,e:bigint,h:bigint>"
 
@@ -106,6 +108,31 @@ def scan(df: DataFrame, folder: str, text: str = "text", owner: str = "source",
     )
 
 
+def masked(docs: DataFrame, folder: str, text: str = "text", owner: str = "source", repository: str = "doc_id", size: str = "n_chars") -> DataFrame:
+    """Every row with its spans replaced by ``[kind]`` and its size column, if it has one, set to the new length.
+
+    Overlapping spans are masked as one, by the first one's kind. Rows are joined by id: of rows that repeat an
+    id with different texts, each is masked by its own text's spans; null texts stay null.
+    """
+    key = F.xxhash64("doc_id", text)
+    spans_ = scan(docs.withColumn("doc_id", key), folder, text, owner, repository).where(F.col("spans") != "").select(F.col("doc_id").alias("key_"), "spans").distinct()
+    few = staged(spans_, folder, "spans")
+    side = F.broadcast(few) if few.count() <= MASK_BROADCAST_ROWS else few
+    parts = F.transform(F.split("spans", ","), lambda x: F.struct(F.split(x, ":")[0].alias("k"), F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    t = F.col(text)
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["k"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    out = docs.withColumn("key_", key).join(side, "key_", "left").withColumn(text, F.when(F.col("spans").isNull(), t).otherwise(clean))
+    if size in docs.columns:
+        out = out.withColumn(size, F.when(F.col("spans").isNull(), F.col(size)).otherwise(F.length(text)).cast(docs.schema[size].dataType))
+    return out.select(*docs.columns)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; the source is its owner."""
     return scan(table(spark, sf_dir, "documents"), shared_folder(spark))

@@ -48,3 +48,12 @@ def test_empty_table_and_clashing_columns(make_docs, folder):
     docs = make_docs(TEXTS).withColumn("row", F.lit(1)).withColumn("base", F.lit("x")).withColumn("h", F.lit(2)).withColumn("spans", F.lit(0))
     assert secrets.scan(docs.limit(0), folder + "/a").count() == 0
     assert secrets.scan(docs, folder + "/b").count() == len(TEXTS)
+
+
+def test_masking_keeps_rows_and_hides_spans(make_docs, folder):
+    got = {r["doc_id"]: r for r in secrets.masked(make_docs(TEXTS), folder).collect()}
+    assert len(got) == len(TEXTS)
+    assert got[0]["text"] is None and got[1]["text"] == ""
+    assert got[3]["text"] == '[assign]" and more'
+    assert HEX40 not in "".join(r["text"] or "" for r in got.values())
+    assert got[8]["text"].startswith("😀é😀 [assign]") and got[8]["n_chars"] == len(got[8]["text"])
