@@ -73,7 +73,7 @@ def windows(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
-    """The items that texts contain: (doc_id, item_id, start_word, n_words, hamming, similarity), the best window of each.
+    """The items that texts contain: (doc_id, item_id, start_word, n_words, hamming, similarity), the best aligned window of each.
 
     Similarity is the weight of shared shingles over that of all; one that the item lacks weighs like a
     shingle of a single item. Null texts have no shingles; repeated rows, equal items and items that
