@@ -1,19 +1,14 @@
-"""Registry of the occupancy queries and their SQL twins."""
+"""All occupancy queries and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import domain, evaluation, grids, joins, model, quality, statistics, stream, tables  # noqa: F401
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "persistence_error"
 
-FLAGSHIP = "s5_feed_diagnosis"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
