@@ -31,7 +31,7 @@ from .shingles import pack, pack_sorted, pieces, shingle_hashes, unpack, unpack_
 
 WIDTH, PERCENT = 4, 85
 #: Shingles of one packed block of texts, and of one counting shard.
-BLOCK, SHARD = 1_500_000, 5_000_000
+BLOCK, SHARD = 600_000, 2_500_000
 #: Ids up to this many are broadcast to filter texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Members and shingles of a region that one task joins; pivots and rounds of the split of larger ones.
@@ -67,23 +67,24 @@ def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH) -> DataF
                 flat, of = flat[order], np.repeat(np.arange(len(sets)), n)[order]
                 shard = (flat * np.uint64(shards)) >> np.uint64(bits)
                 edges = np.searchsorted(shard, np.arange(shards + 1))
-                first = {"ids": ids.astype("<i8").tobytes(), "n": pack(n)}
+                first = {"ids": pack_sorted(ids.astype("<i8").view("<u8")), "n": pack(n)}
                 yield pd.DataFrame([
                     {"shard": k, "ids": first["ids"], "n": first["n"] if k == 0 else b"", "h": pack_sorted(flat[a:b]), "of": pack(of[a:b])}
                     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a or k == 0
                 ])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        hs, ofs = [unpack_sorted(x) for x in pdf["h"]], [unpack(x).astype(np.int64) for x in pdf["of"]]
-        h = np.concatenate(hs)
+        h = np.concatenate([unpack_sorted(x) for x in pdf["h"]])
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
-        twice = np.zeros(len(h), bool)
+        twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
+        del order, same, h
         out, at = [], 0
-        for ids, n, of in zip(pdf["ids"], pdf["n"], ofs, strict=True):
-            i = np.frombuffer(ids, "<i8")
+        for ids, n, packed_of in zip(pdf["ids"], pdf["n"], pdf["of"], strict=True):
+            of = unpack(packed_of).astype(np.int64)
+            i = unpack_sorted(ids).view(np.int64)
             shared = np.bincount(of[twice[at : at + len(of)]], minlength=len(i))
             at += len(of)
             total = unpack(n).astype(np.int64) if n else np.zeros(len(i), np.int64)
