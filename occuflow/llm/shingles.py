@@ -21,7 +21,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_memo() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
+    return Memo(xxhash.xxh64_intdigest, 150_000)
 
 
 def word_hashes(texts: Iterable[str | None], memo: Memo, end: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
