@@ -1 +1,208 @@
-"""Queries."""
+"""Access rules, tariffs, benefits, ranking and recommendation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import features as ft
+from ..operators import intervals as iv
+from ..operators import ranking, spatial, tariff
+from ..operators.timegrid import micros
+from ..registry import query
+from ..sources.tables import LOTS, lots, observations, read
+
+r6 = lambda c: F.round(c, 6)
+WINDOWS = {0: "closed", 1: "09:00-12:00|11:30-18:00|18:00-20:00", 2: "00:00-24:00", 3: "06:00-10:00|13:00-15:00", 4: "09:00-08:00", 5: "9:00-10:00"}
+RULES_SQL = "rules AS (SELECT * FROM (VALUES {}) t(k, w))".format(", ".join(f"({k}, '{w}')" for k, w in WINDOWS.items()))
+#: Parsed windows of the rules as rows; wrong ones are absent and listed in ``bad``.
+PARTS = RULES_SQL + """,
+parts AS (SELECT k, unnest(string_split(w, '|')) AS p FROM rules WHERE w <> 'closed'),
+mins AS (SELECT k, p, regexp_matches(p, '^[0-9]{2}:[0-9]{2}-[0-9]{2}:[0-9]{2}$') AS form, TRY_CAST(substr(p, 1, 2) AS INTEGER) * 60 + TRY_CAST(substr(p, 4, 2) AS INTEGER) AS s, TRY_CAST(substr(p, 7, 2) AS INTEGER) * 60 + TRY_CAST(substr(p, 10, 2) AS INTEGER) AS e FROM parts),
+bad AS (SELECT DISTINCT k FROM mins WHERE NOT form OR s >= e OR s >= 1440 OR e > 1440),
+wins AS (SELECT k, s, e FROM mins WHERE k NOT IN (SELECT k FROM bad)),
+starts AS (SELECT k, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM wins),
+isles AS (SELECT k, s, e, sum(f) OVER (PARTITION BY k ORDER BY s, e) AS g FROM starts),
+merged AS (SELECT k, min(s) AS s, max(e) AS e FROM isles GROUP BY k, g)"""
+
+
+def rules(spark):
+    return spark.createDataFrame(list(WINDOWS.items()), "k int, w string").select("k", "w", iv.parse(F.col("w")).alias("xs"))
+
+
+@query(f"""WITH {PARTS} SELECT r.k, r.k NOT IN (SELECT k FROM bad) AS valid, CASE WHEN r.k NOT IN (SELECT k FROM bad) THEN coalesce((SELECT string_agg(printf('%02d:%02d-%02d:%02d', s // 60, s % 60, e // 60, e % 60), '|' ORDER BY s) FROM merged m WHERE m.k = r.k), '') END AS merged FROM rules r""")
+def interval_merge(spark, d):
+    return rules(spark).select("k", F.col("xs").isNotNull().alias("valid"), iv.text(iv.merged(F.col("xs"))).alias("merged"))
+
+
+@query(f"""WITH {PARTS} SELECT e.event_id, CASE WHEN e.user_id % 6 IN (SELECT k FROM bad) THEN NULL ELSE EXISTS (SELECT 1 FROM wins w WHERE w.k = e.user_id % 6 AND hour(e.ts) * 60 + minute(e.ts) >= w.s AND hour(e.ts) * 60 + minute(e.ts) < w.e) END AS inside FROM events e""")
+def window_containment(spark, d):
+    e = observations(spark, d).withColumn("k", F.pmod("lot", F.lit(6)).cast("int"))
+    return e.join(F.broadcast(rules(spark)), "k", "left").select("event_id", iv.contains(F.col("xs"), ft.minute_of_day()).alias("inside"))
+
+
+STAY = "stay AS (SELECT event_id, user_id % 6 AS k, user_id, ts, hour(ts) * 60 + minute(ts) AS a, hour(ts) * 60 + minute(ts) + event_id % 600 + 1 AS z FROM events)"
+
+
+def stays(spark, d):
+    a = ft.minute_of_day()
+    return observations(spark, d).select("event_id", "lot", "ts", F.pmod("lot", F.lit(6)).cast("int").alias("k"), a.alias("a"), (a + F.pmod("event_id", F.lit(600)).cast("int") + 1).alias("z"))
+
+
+@query(f"""WITH {PARTS}, {STAY}, c AS (SELECT event_id, s.k, a, z, m.e FROM stay s LEFT JOIN merged m ON m.k = s.k AND a >= m.s AND a < m.e)
+SELECT event_id, CASE WHEN k IN (SELECT k FROM bad) THEN NULL WHEN e IS NULL THEN a WHEN e < z THEN e END AS gap FROM c""")
+def first_gap(spark, d):
+    """The first minute of a stay that no window has."""
+    s = stays(spark, d).join(F.broadcast(rules(spark)), "k", "left")
+    return s.select("event_id", F.when(F.col("xs").isNotNull(), iv.first_gap(iv.merged(F.col("xs")), F.col("a"), F.col("z"))).alias("gap"))
+
+
+@query(f"""WITH {PARTS}, {STAY}, c AS (SELECT s.event_id, s.k, s.user_id, a, z, m.s AS ms, m.e AS me, x.e AS xe FROM stay s LEFT JOIN merged m ON m.k = s.k AND a >= m.s AND a < m.e LEFT JOIN merged x ON x.k = s.k AND z % 1440 >= x.s AND z % 1440 < x.e)
+SELECT event_id, CASE WHEN user_id % 17 = 0 THEN 'general_public_not_allowed' WHEN k IN (SELECT k FROM bad) THEN 'access_schedule_unknown' WHEN me IS NULL THEN 'entry_closed_at_arrival' WHEN xe IS NULL THEN 'closes_before_departure'
+WHEN z % 1440 + 10 >= xe AND xe < 1440 THEN 'insufficient_exit_margin' WHEN me < z THEN 'closed_interval_crossed' ELSE 'available' END AS decision FROM c""")
+def access_decision(spark, d):
+    """The first reason against a stay, in order: public, schedule, entry, exit, margin, a closed interval between."""
+    s = stays(spark, d).join(F.broadcast(rules(spark)), "k", "left").withColumn("m", iv.merged(F.col("xs")))
+    leave = F.pmod("z", F.lit(1440))
+    at_exit = F.filter("m", lambda x: (leave >= x["s"]) & (leave < x["e"]))
+    close = F.try_element_at(at_exit, F.lit(1))["e"]
+    decision = (
+        F.when(F.pmod("lot", F.lit(17)) == 0, "general_public_not_allowed").when(F.col("xs").isNull(), "access_schedule_unknown").when(~iv.contains(F.col("m"), F.col("a")), "entry_closed_at_arrival")
+        .when(F.size(at_exit) == 0, "closes_before_departure").when((leave + 10 >= close) & (close < 1440), "insufficient_exit_margin").when(iv.first_gap(F.col("m"), F.col("a"), F.col("z")).isNotNull(), "closed_interval_crossed").otherwise("available")
+    )
+    return s.select("event_id", decision.alias("decision"))
+
+
+PROG = "(CASE WHEN {m} > 0 THEN p[1] ELSE 0 END + " + " + ".join(f"CAST(ceil(greatest(least({{m}}, {hi}) - {lo}, 0) / 10.0) AS BIGINT) * p[{i}]" for i, (lo, hi) in enumerate(tariff.BRACKETS, 2)) + ")"
+RATE = "CASE " + " ".join(f"WHEN kind = '{k}' AND grade = {g} THEN {list(p)}" for (k, g), p in tariff.RATES.items()) + " END"
+STAYS = """stay AS (SELECT event_id, epoch_us(ts) // 60000000 AS a, event_id % 2000 + 1 AS mins, CASE WHEN user_id % 3 = 0 THEN 'on' ELSE 'off' END AS kind, 1 + user_id % 5 AS grade, CASE event_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 50 ELSE 20 END AS pct, CASE WHEN event_id % 4 = 0 THEN 90 ELSE 0 END AS free FROM events)"""
+FARE = f"""{STAYS},
+days AS (SELECT *, unnest(generate_series(a // 1440, (a + mins - 1) // 1440)) AS day FROM stay),
+bill AS (SELECT *, greatest(least(a + mins, day * 1440 + 1320) - greatest(a, day * 1440 + 540), 0) AS billable FROM days),
+used AS (SELECT *, coalesce(sum(billable) OVER (PARTITION BY event_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bill),
+paid AS (SELECT *, billable - least(greatest(free - before, 0), billable) AS due, {RATE} AS p FROM used)"""
+
+
+def fares(spark, d):
+    e = observations(spark, d)
+    x = e.select(
+        "event_id", F.floor(micros("ts") / 60_000_000).alias("a"), (F.pmod("event_id", F.lit(2000)) + 1).alias("mins"), F.when(F.pmod("lot", F.lit(3)) == 0, "on").otherwise("off").alias("kind"), (1 + F.pmod("lot", F.lit(5))).alias("grade"),
+        F.expr("CASE event_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 50 ELSE 20 END").alias("pct"), F.expr("CASE WHEN event_id % 4 = 0 THEN 90 ELSE 0 END").alias("free"),
+    )
+    return x.withColumns({"days": tariff.schedule(F.col("a"), F.col("mins"), F.lit(540), F.lit(1320)), "p": tariff.rates(F.col("kind"), F.col("grade"))})
+
+
+@query(f"WITH {FARE} SELECT event_id, day, CAST(billable AS BIGINT) AS billable FROM bill")
+def fee_schedule_days(spark, d):
+    return fares(spark, d).select("event_id", F.explode("days").alias("x")).select("event_id", "x.*")
+
+
+@query(f"WITH {STAYS} SELECT event_id, mins, CAST({PROG.format(m='mins')} AS BIGINT) AS price FROM (SELECT *, {RATE} AS p FROM stay)")
+def progressive_tariff(spark, d):
+    return fares(spark, d).select("event_id", "mins", tariff.progressive(F.col("mins"), F.col("p")).alias("price"))
+
+
+@query(f"""WITH {FARE} SELECT event_id, CAST(sum(due) AS BIGINT) AS billable, CAST(CASE WHEN sum(due) < 15 THEN 0 ELSE floor(sum(least({PROG.format(m='due')}, 25000)) * any_value(pct) / 10000.0) * 100 END AS BIGINT) AS total FROM paid GROUP BY event_id""")
+def calc_fare_total(spark, d):
+    x = fares(spark, d).withColumn("due", tariff.after_free(F.col("days"), F.col("free")))
+    return x.select("event_id", F.aggregate("due", F.lit(0).cast("long"), lambda a, y: a + y["billable"]).alias("billable"), tariff.total(F.col("due"), F.col("p"), F.col("pct")).alias("total"))
+
+
+PASS = "CASE " + " ".join(f"WHEN h = {h} THEN {list(p)}[grade]" for h, p in tariff.PASSES.items()) + " END"
+
+
+@query(f"""WITH {LOTS}, x AS (SELECT lot, grade, 7 + lot % 8 AS h, {RATE} AS p FROM lots), y AS (SELECT *, {PASS} AS pass FROM x), m AS (SELECT lot, pass, p, unnest(generate_series(10, 1440, 10)) AS t FROM y)
+SELECT lot, max(pass) AS pass, CAST(min(CASE WHEN {PROG.format(m='t')} > pass THEN t END) - 9 AS INTEGER) AS break_even FROM m GROUP BY lot""")
+def pass_break_even(spark, d):
+    x = lots(spark, d).withColumns({"p": tariff.rates(F.col("kind"), F.col("grade")), "pass": tariff.day_pass(7 + F.pmod("lot", F.lit(8)), F.col("grade"))})
+    return x.select("lot", "pass", tariff.break_even(F.col("pass"), F.col("p")).alias("break_even"))
+
+
+CODES = (("none", 100, 0), ("small_car", 50, 0), ("family", 50, 1), ("veteran", 20, 2))
+
+
+@query(f"""WITH {STAYS}, b AS (SELECT event_id, code, pos, CAST(floor({PROG.format(m='mins')} * pct / 10000.0) * 100 AS BIGINT) AS price FROM (SELECT event_id, mins, {RATE} AS p FROM stay), (VALUES ('none', 100, 0), ('small_car', 50, 1), ('family', 50, 2), ('veteran', 20, 3)) c(code, pct, pos) WHERE pos = 0 OR (event_id >> (pos - 1)) & 1 = 1)
+SELECT event_id, code, price FROM b QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY price, pos) = 1""")
+def best_benefit(spark, d):
+    """The single cheapest discount that a user has; ties keep the user's order."""
+    price = lambda pct: (F.floor(tariff.progressive(F.col("mins"), F.col("p")) * pct / 10_000) * 100).cast("long")
+    options = F.array(*[F.struct(price(pct).alias("price"), F.lit(i).alias("pos"), F.lit(c).alias("code")) for i, (c, pct, _) in enumerate(CODES)])
+    has = F.filter(options, lambda o: (o["pos"] == 0) | (F.pmod(F.floor(F.col("event_id") / F.pow(F.lit(2), o["pos"] - 1)), F.lit(2)) == 1))
+    return fares(spark, d).select("event_id", F.array_min(has).alias("b")).select("event_id", "b.code", "b.price")
+
+
+CARDS = f"""{LOTS}, q AS (SELECT c_custkey AS q, 37.2 + (c_custkey * 53 % 401) * 0.001 AS lat, 126.8 + (c_custkey * 29 % 397) * 0.001 AS lng FROM customer),
+cards AS (SELECT q.q, l.lot AS pos, CAST(round_even(m / 1000 * 1.43 / 4.2 * 60, 0) AS INTEGER) AS walk, p AS fare, (q.q * 31 + l.lot * 17) % 101 AS occ, (q.q * 13 + l.lot * 29) % 100 / 100.0 AS prob, (q.q + l.lot) % 7 = 0 AS estimated
+FROM (SELECT q.q, l.lot, 2 * 6371000.0 * asin(sqrt(least(pow(sin((radians(l.lat) - radians(q.lat)) / 2), 2) + cos(radians(q.lat)) * cos(radians(l.lat)) * pow(sin((radians(l.lng) - radians(q.lng)) / 2), 2), 1.0))) AS m, CASE WHEN l.lot % 5 = 0 THEN NULL ELSE l.lot % 4 * 500 END AS p FROM q, lots l) z JOIN q ON q.q = z.q JOIN lots l ON l.lot = z.lot WHERE m <= 5000)"""
+DEM = {"A": "FALSE", "B": "prob > 0.5 AND NOT estimated", "C": "occ >= 90 AND NOT estimated"}
+
+
+def cards(spark, d):
+    """Candidates of each customer's position: lots within 5 km, with minutes to walk, fare, occupancy and chance of being full."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("q"), (37.2 + F.pmod(F.col("c_custkey") * 53, F.lit(401)) * 0.001).alias("lat"), (126.8 + F.pmod(F.col("c_custkey") * 29, F.lit(397)) * 0.001).alias("lng"))
+    p = spatial.radius_join(c, lots(spark, d).select("lot", "lat", "lng"), 5000)
+    lot = F.col("r_lot")
+    return p.select(
+        "q", lot.alias("pos"), spatial.eta_minutes(F.col("metres"), 1.43, 4.2).alias("walk"), F.when(lot % 5 != 0, lot % 4 * 500).alias("fare"), F.pmod(F.col("q") * 31 + lot * 17, F.lit(101)).alias("occ"),
+        (F.pmod(F.col("q") * 13 + lot * 29, F.lit(100)) / 100).alias("prob"), (F.pmod(F.col("q") + lot, F.lit(7)) == 0).alias("estimated"),
+    )
+
+
+def rank_sql(axis, mode):
+    keys = "walk, fare" if axis == "walk" else "fare NULLS LAST, walk"
+    return f"row_number() OVER (PARTITION BY q ORDER BY ({DEM[mode]})::INT, {keys}, pos)".replace("walk, fare,", "walk, fare NULLS LAST,")
+
+
+@query(f"WITH {CARDS} SELECT q, pos, {rank_sql('walk', 'B')} AS rank, {rank_sql('walk', 'A')} AS rank_without FROM cards")
+def rank_walk_axis(spark, d):
+    x = ranking.rank(cards(spark, d), "q", "walk", "B", 0.5, "rank")
+    return ranking.rank(x, "q", "walk", "A", 0.5, "rank_without").select("q", "pos", "rank", "rank_without")
+
+
+@query(f"WITH {CARDS} SELECT q, pos, {rank_sql('fare', 'C')} AS rank, {rank_sql('fare', 'A')} AS rank_without FROM cards")
+def rank_fare_axis(spark, d):
+    x = ranking.rank(cards(spark, d), "q", "fare", "C", 0.5, "rank")
+    return ranking.rank(x, "q", "fare", "A", 0.5, "rank_without").select("q", "pos", "rank", "rank_without")
+
+
+@query(f"""WITH {CARDS}, r AS (SELECT q, pos, occ, {rank_sql('walk', 'A')} AS a, {rank_sql('walk', 'B')} AS b FROM cards),
+t AS (SELECT q, max(CASE WHEN a = 1 THEN pos END) <> max(CASE WHEN b = 1 THEN pos END) AS changed, max(CASE WHEN a = 1 THEN occ END) >= 90 AS af, max(CASE WHEN b = 1 THEN occ END) >= 90 AS bf, count(*) AS n FROM r GROUP BY q HAVING count(*) >= 3)
+SELECT count(*) AS queries, count(*) FILTER (WHERE changed) AS changed, count(*) FILTER (WHERE af AND NOT bf) AS rescued, count(*) FILTER (WHERE NOT af AND bf) AS harmed, count(*) FILTER (WHERE af AND bf) AS both_failed, round(count(*) FILTER (WHERE af AND NOT bf) / nullif(count(*) FILTER (WHERE af), 0), 6) AS rescue_rate FROM t""")
+def rescue_harm(spark, d):
+    x = ranking.rank(ranking.rank(cards(spark, d), "q", "walk", "A", 0.5, "a"), "q", "walk", "B", 0.5, "b")
+    top = lambda r, c: F.max(F.when(F.col(r) == 1, F.col(c)))
+    t = x.groupBy("q").agg((top("a", "pos") != top("b", "pos")).alias("changed"), (top("a", "occ") >= 90).alias("af"), (top("b", "occ") >= 90).alias("bf"), F.count("*").alias("n")).where("n >= 3")
+    return t.agg(
+        F.count("*").alias("queries"), F.count_if("changed").alias("changed"), F.count_if(F.expr("af AND NOT bf")).alias("rescued"), F.count_if(F.expr("NOT af AND bf")).alias("harmed"), F.count_if(F.expr("af AND bf")).alias("both_failed"),
+        r6(F.try_divide(F.count_if(F.expr("af AND NOT bf")), F.count_if("af"))).alias("rescue_rate"),
+    )
+
+
+@query(f"""WITH {CARDS}, r AS (SELECT q, pos, walk, fare, {rank_sql('walk', 'B')} AS w, {rank_sql('fare', 'B')} AS f FROM cards)
+SELECT q, to_json({{'walk': list(pos ORDER BY w) FILTER (WHERE w <= 3), 'fare': list(pos ORDER BY f) FILTER (WHERE f <= 3)}})::VARCHAR AS answer, count(*) AS candidates FROM r GROUP BY q""")
+def recommend(spark, d):
+    """The recommendation: the first three of each axis after demotion, as nested JSON."""
+    x = ranking.rank(ranking.rank(cards(spark, d), "q", "walk", "B", 0.5, "w"), "q", "fare", "B", 0.5, "f")
+    first = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col(r) <= 3, F.struct(r, "pos")))), lambda s: s["pos"])
+    return x.groupBy("q").agg(F.to_json(F.struct(first("w").alias("walk"), first("f").alias("fare"))).alias("answer"), F.count("*").alias("candidates"))
+
+
+GRID7 = (15, 30, 60, 120, 180, 240, 360)
+
+
+@query("""WITH h AS (SELECT event_id, value AS x FROM events) SELECT event_id, CASE WHEN x >= 1 AND x <= 360 THEN (SELECT arg_min(g, (abs(g - x), g)) FROM (VALUES (15), (30), (60), (120), (180), (240), (360)) t(g)) END AS horizon FROM h""")
+def horizon_snap(spark, d):
+    """The nearest served horizon; ties go to the shorter, and what lies outside is not served."""
+    x = read(spark, d, "events").select("event_id", F.col("value").alias("x"))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.lit(g) - F.col("x")).alias("d"), F.lit(g).alias("g")) for g in GRID7]))["g"]
+    return x.select("event_id", F.when(F.col("x").between(1, 360), near).alias("horizon"))
+
+
+@query(f"""WITH {LOTS}, n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id AS lot, max(ts) AS last, max(value) - min(value) AS span FROM events GROUP BY 1)
+SELECT lots.lot, CASE WHEN span IS NULL THEN 'unavailable' WHEN span < 1 THEN 'fixed_feed' WHEN epoch_us(now) - epoch_us(last) > 43200000000 THEN 'stale' ELSE 'fresh' END AS status FROM lots LEFT JOIN l USING (lot), n""")
+def observation_status(spark, d):
+    e = read(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now")).withColumn("k", F.lit(1))
+    last = e.groupBy(F.col("user_id").alias("lot")).agg(F.max("ts").alias("last"), (F.max("value") - F.min("value")).alias("span"))
+    x = lots(spark, d).select("lot").join(last, "lot", "left").withColumn("k", F.lit(1)).join(F.broadcast(now), "k")
+    status = F.when(F.col("span").isNull(), "unavailable").when(F.col("span") < 1, "fixed_feed").when(micros("now") - micros("last") > 43_200_000_000, "stale").otherwise("fresh")
+    return x.select("lot", status.alias("status"))
