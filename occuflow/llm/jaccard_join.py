@@ -7,6 +7,7 @@
 3. Of representatives, two that link share one of their first shingles in hash order, as many as they
    may lack of each other and one more. The least representative that has such a shingle is a
    pivot; all that share it with the pivot form a region, so linked sets meet in a region.
+   Members whose first shingles rule out every partner in a region leave it before sets are sent.
 4. Regions join recursively by the Jaccard distance, a metric: members go to the Voronoi cell of the
    nearest of several new pivots, and to further cells whose pivots are nearer than the home
    distance plus twice the radius; members far from all pivots form an outer cell. Cells that no
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,18 @@ def sets_of(texts: list[str | None], memo, width: int) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(of, np.arange(1, len(texts))))
 
 
+BLOCKS = "shard int, block long, ids binary, n binary, h binary, of binary"
+
+
 def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, shared): each text's distinct shingles, and those that other texts have too (a few more by truncation)."""
+    """(doc_id, n, shared): each text's distinct shingles, and those that other texts have too (a few more by truncation).
+
+    Blocks of texts are dealt to shards; each shard answers a block with one row, the numbers of its
+    texts that share shingles and how many, so rows between tasks don't grow with texts times shards.
+    """
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = word_memo()
+        memo, number = word_memo(), TaskContext.get().partitionId() << 32
         for pdf in batches:
             lengths = pdf["text"].map(lambda t: len(t) if t else 0).to_numpy() // 5
             for part in pieces(lengths, BLOCK):
@@ -67,11 +76,12 @@ def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH) -> DataF
                 flat, of = flat[order], np.repeat(np.arange(len(sets)), n)[order]
                 shard = (flat * np.uint64(shards)) >> np.uint64(bits)
                 edges = np.searchsorted(shard, np.arange(shards + 1))
-                first = {"ids": pack_sorted(ids.astype("<i8").view("<u8")), "n": pack(n)}
+                first = {"ids": pack(ids.astype("<i8").view("<u8")), "n": pack(n)}
                 yield pd.DataFrame([
-                    {"shard": k, "ids": first["ids"], "n": first["n"] if k == 0 else b"", "h": pack_sorted(flat[a:b]), "of": pack(of[a:b])}
+                    {"shard": k, "block": number, "ids": first["ids"] if k == 0 else b"", "n": first["n"] if k == 0 else b"", "h": pack_sorted(flat[a:b]), "of": pack(of[a:b])}
                     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a or k == 0
                 ])
+                number += 1
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([unpack_sorted(x) for x in pdf["h"]])
@@ -81,20 +91,26 @@ def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH) -> DataF
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
         del order, same, h
-        out, at = [], 0
-        for ids, n, packed_of in zip(pdf["ids"], pdf["n"], pdf["of"], strict=True):
+        texts, shared, at = [], [], 0
+        for packed_of in pdf["of"]:
             of = unpack(packed_of).astype(np.int64)
-            i = unpack_sorted(ids).view(np.int64)
-            shared = np.bincount(of[twice[at : at + len(of)]], minlength=len(i))
+            some, k = np.unique(of[twice[at : at + len(of)]], return_counts=True)
             at += len(of)
-            total = unpack(n).astype(np.int64) if n else np.zeros(len(i), np.int64)
-            keep = slice(None) if n else shared > 0
-            out.append(pd.DataFrame({"doc_id": i[keep], "n": total[keep], "shared": shared[keep]}))
-        return pd.concat(out)
+            texts.append(pack_sorted(some.astype(np.uint64)))
+            shared.append(pack(k))
+        return pd.DataFrame({"block": pdf["block"], "ids": pdf["ids"], "n": pdf["n"], "texts": texts, "shared": shared})
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, n = (unpack(max(pdf[c], key=len)).astype(np.uint64).view(np.int64) for c in ("ids", "n"))
+        total = np.zeros(len(ids), np.int64)
+        for texts, shared in zip(pdf["texts"], pdf["shared"], strict=True):
+            total[unpack_sorted(texts).astype(np.int64)] += unpack(shared).astype(np.int64)
+        return pd.DataFrame({"doc_id": ids, "n": n, "shared": total})
 
-    packed = docs.mapInPandas(blocks, "shard int, ids binary, n binary, h binary, of binary")
-    counts = packed.groupBy("shard").applyInPandas(count, "doc_id long, n long, shared long")
-    return counts.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    packed = docs.mapInPandas(blocks, BLOCKS)
+    answers = packed.groupBy("shard").applyInPandas(count, "block long, ids binary, n binary, texts binary, shared binary")
+    each = answers.groupBy("block").applyInPandas(gather, "doc_id long, n long, shared long")
+    return each.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("shared").alias("shared"))
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -103,6 +119,16 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def representatives(sigs: DataFrame, salts: int = 32) -> DataFrame:
+    """(doc_id, rep): the least id of an equal set. Copies are dealt by salts, so that a large group isn't one task's."""
+    salted = sigs.withColumn("salt", F.pmod("doc_id", F.lit(salts)).cast("int"))
+    least = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    single = least.where("c = 1").select(F.col("rep").alias("doc_id"), "rep")
+    dealt = least.where("c > 1").select("sig", "rep", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
+    both = salted.join(dealt, ["sig", "salt"]).select("doc_id", "rep")
+    return single.union(both).groupBy("doc_id").agg(F.min("rep").alias("rep"))
+
+
 def sets_table(docs: DataFrame, digest_only: bool, width: int = WIDTH) -> DataFrame:
     """(doc_id, sig) or (doc_id, n, set)."""
 
@@ -126,14 +152,53 @@ def most_missing(n: np.ndarray | int, percent: int):
 
 
 def first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, doc_id): each set's first shingles in hash order; sets are sorted."""
+    """(doc_id, n, first): each set's first shingles in hash order; sets are sorted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = [np.frombuffer(s, np.int64)[: most_missing(len(s) // 8, percent) + 1] for s in pdf["set"]]
-            yield pd.DataFrame({"key": np.concatenate([*keys, np.zeros(0, np.int64)]), "doc_id": np.repeat(pdf["doc_id"].to_numpy(np.int64), [len(k) for k in keys])})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pdf["n"], "first": [np.frombuffer(s, np.int64)[: most_missing(len(s) // 8, percent) + 1] for s in pdf["set"]]})
+
+    return sets.select("doc_id", "n", "set").mapInPandas(run, "doc_id long, n long, first array<long>")
 
-    return sets.select("doc_id", "set").mapInPandas(run, "key long, doc_id long")
+
+def partnered(ids: np.ndarray, n: np.ndarray, first: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a region have another there that they may link to, judged by first shingles alone.
+
+    Of two sets, the one whose first shingles end earlier has all others beyond that end, so the two
+    share at most their common first shingles and the rest of that one.
+    """
+    order = np.argsort(n, kind="stable")
+    n, first = n[order], [first[i].view(np.uint64) for i in order]
+    front = Region(ids[order], first)
+    last, rest = np.array([f[-1] for f in first]), n - front.n
+    alive = np.zeros(len(n), bool)
+    most = np.searchsorted(n, n * 100 // percent, side="right")
+    for i in range(len(n) - 1):
+        rows = np.arange(i + 1, most[i])
+        if alive[i]:
+            rows = rows[~alive[rows]]
+        if not len(rows):
+            continue
+        bound = front.overlaps(i, *front.gathered(rows)) + np.where(last[rows] < last[i], rest[rows], rest[i])
+        hit = rows[100 * bound >= percent * (n[i] + n[rows] - bound)]
+        alive[hit] = True
+        alive[i] |= len(hit) > 0
+    out = np.zeros(len(n), bool)
+    out[order] = alive
+    return out
+
+
+def with_partners(homes: DataFrame, firsts: DataFrame, percent: int = PERCENT, rows: int = REGION_ROWS) -> DataFrame:
+    """The (region, doc_id) of homes that may have a link in the region; larger regions than ``rows`` stay as they are."""
+
+    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = [np.asarray(f, np.int64) for f in pdf["first"]]
+        return pdf.loc[partnered(pdf["doc_id"].to_numpy(), pdf["n"].to_numpy(), first, percent), ["region", "doc_id"]]
+
+    sizes = homes.groupBy("region").count()
+    large = sizes.where(F.col("count") > rows).select("region")
+    small = homes.join(large, "region", "left_anti").join(firsts, "doc_id")
+    return small.groupBy("region").applyInPandas(prune, "region long, doc_id long").union(homes.join(large, "region", "left_semi").select("region", "doc_id"))
 
 
 class Region:
@@ -287,13 +352,15 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
 
     maybe = stats.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).select("doc_id")
     sigs = staged(sets_table(only(known, maybe), True, width), folder, "sigs")
-    rep = staged(sigs.join(sigs.groupBy("sig").agg(F.min("doc_id").alias("rep")), "sig").groupBy("doc_id").agg(F.min("rep").alias("rep")), folder, "reps")
+    rep = staged(representatives(sigs), folder, "reps")
 
     sets = staged(sets_table(only(known, rep.select(F.col("rep").alias("doc_id")).distinct()), False, width), folder, "sets")
-    keys = staged(first_shingles(sets, percent), folder, "keys")
+    firsts = staged(first_shingles(sets, percent), folder, "firsts")
+    keys = firsts.select("doc_id", F.explode("first").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("other")).where("region <> other").drop("other")
-    homes = keys.join(pivots, "key").select("region", "doc_id").distinct()
-    members = staged(homes.join(sets, "doc_id").select("region", "doc_id", "n", "set"), folder, "members")
+    homes = staged(keys.join(pivots, "key").select("region", "doc_id").distinct(), folder, "homes")
+    kept = with_partners(homes, firsts, percent, limits.get("rows", REGION_ROWS))
+    members = staged(kept.join(sets, "doc_id").select("region", "doc_id", "n", "set"), folder, "members")
     links = join_regions(members, folder, percent, **limits)
     of = components(links, folder)
 
