@@ -1 +1,48 @@
-"""Queries."""
+"""Model queries on Spark ML. Trained models have no SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import models
+from ..registry import query
+from ..sources.tables import read
+from .evaluation import pairs, weekpart
+
+
+def frame(spark, d):
+    """Pairs with all features: known rows up to the fold train, later ones test."""
+    p = pairs(spark, d).where("horizon = 360 AND actual IS NOT NULL AND occ_now IS NOT NULL")
+    p = p.withColumns({"hour": F.hour("target_time"), "weekend": (weekpart() == "weekend").cast("int"), "past": F.coalesce("lag_24h", "occ_now"), "week": F.coalesce("lag_7d", "occ_now")})
+    return p.withColumn("test", F.col("ts") >= F.expr("TIMESTAMP_NTZ'2024-01-24 00:00:00'"))
+
+
+FEATURES = ["occ_now", "hour", "weekend", "past", "week"]
+
+
+@query()
+def gbt_median(spark, d):
+    """Boosted trees with absolute loss, on the change from now, restored and clipped."""
+    x = frame(spark, d)
+    return models.boosted_change(x.where("NOT test AND target_time < TIMESTAMP_NTZ'2024-01-24 00:00:00'"), x.where("test"), FEATURES).select("lot", "ts", "actual", "predicted")
+
+
+@query()
+def full_probability(spark, d):
+    """The chance of being nearly full by boosted trees, recalibrated on its log-odds."""
+    x = frame(spark, d).withColumn("full", (F.col("actual") >= 90).cast("double"))
+    return models.calibrated_chance(x.where("NOT test"), x.where("test"), FEATURES, "full").select("lot", "ts", "full", "p", "calibrated")
+
+
+@query()
+def kmeans_profiles(spark, d):
+    """Clusters of vectors, with the number of clusters of the best silhouette."""
+    e = read(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, x -> double(x))").alias("v"))
+    return models.clusters(e, "v", (2, 3, 4)).select("vec_id", "cluster")
+
+
+@query()
+def ridge_leave_one_out(spark, d):
+    """Ridge forecasts of each lot from all other lots."""
+    x = frame(spark, d)
+    return models.ridge_without(x, "lot", FEATURES, "actual", 1.0).select("lot", "n", F.round("mae", 6).alias("mae"))

@@ -1 +1,31 @@
-"""Queries."""
+"""Event-time windows, over streams and in their batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..sources.tables import read
+from ..streaming import windows
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_dedup_window(spark, d):
+    """Tumbling windows of a stream of polls that drops repeated ones; it runs over what is there, then ends."""
+    return windows.tumbling(spark, d, "6 hours", "24 hours").select("event_type", "start", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT event_type, value, time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), w AS (SELECT event_type, value, b - k.k * INTERVAL 3 HOURS AS start FROM e, (VALUES (0), (1), (2), (3)) k(k))
+SELECT event_type, start, count(*) AS n, round(avg(value), 6) AS mean FROM w GROUP BY 1, 2""")
+def sliding_windows(spark, d):
+    w = F.window("ts", "12 hours", "3 hours")
+    g = read(spark, d, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return g.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "mean")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def gap_sessions(spark, d):
+    """Runs of polls with gaps below four hours."""
+    s = read(spark, d, "events").groupBy("user_id", F.session_window("ts", "4 hours").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")

@@ -1 +1,84 @@
-"""Queries."""
+"""Set operations, top-k, flattening, text cleaning and sources on the plain tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import text
+from ..registry import query
+from ..sources.tables import read
+from .evaluation import r6
+
+
+@query("SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(CAST(json_extract(props, '$.absent') AS VARCHAR), 'none') AS absent FROM events")
+def json_flatten(spark, d):
+    p = F.from_json("props", "k long, absent string")
+    return read(spark, d, "events").select("event_id", "user_id", p["k"].alias("k"), F.coalesce(p["absent"], F.lit("none")).alias("absent"))
+
+
+@query("SELECT event_id, round(abs(value - 100), 6) AS away FROM events ORDER BY abs(value - 100) DESC, event_id LIMIT 25")
+def topk_abs(spark, d):
+    away = F.abs(F.col("value") - 100)
+    return read(spark, d, "events").orderBy(away.desc(), "event_id").limit(25).select("event_id", F.round(away, 6).alias("away"))
+
+
+@query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 3")
+def topk_per_lot(spark, d):
+    """The three largest values of each lot, by a bounded aggregate before the last choice."""
+    e = read(spark, d, "events").withColumn("salt", F.pmod("event_id", F.lit(16)))
+    top = lambda: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "event_id", "value"))), 1, 3)
+    # rank within salted parts first, so that a hot lot isn't one task's
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id", "salt").orderBy(F.desc("value"), "event_id")
+    few = e.withColumn("i", F.row_number().over(w)).where("i <= 3")
+    return few.groupBy("user_id").agg(top().alias("t")).select("user_id", F.explode("t").alias("x")).select("user_id", "x.event_id", "x.value")
+
+
+@query("""SELECT 'both' AS side, k FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 150000) UNION ALL
+SELECT 'customer_only', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000)""")
+def setops_ids(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    o = read(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").alias("k"))
+    side = lambda df, n: df.select(F.lit(n).alias("side"), "k")
+    return side(c.intersect(o), "both").unionByName(side(c.subtract(o), "customer_only"))
+
+
+@query("""WITH u AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, 0 AS src FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, CAST(ts AS DATE), event_id, 1 FROM events WHERE event_type IN ('view', 'click'))
+SELECT user_id, CAST(day AS VARCHAR) AS day, event_id, src FROM u QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY src, event_id) = 1""")
+def union_dedup(spark, d):
+    """Two sources by key, the first one wins: an aggregate with map-side combine, not a window."""
+    e = read(spark, d, "events").withColumn("day", F.to_date("ts").cast("string"))
+    one = lambda kinds, src: e.where(F.col("event_type").isin(*kinds)).select("user_id", "day", "event_id", F.lit(src).alias("src"))
+    first = one(["click"], 0).unionByName(one(["view", "click"], 1)).groupBy("user_id", "day").agg(F.min(F.struct("src", "event_id")).alias("x"))
+    return first.select("user_id", "day", "x.event_id", "x.src")
+
+
+@query("SELECT l_returnflag, l_linestatus, coalesce(l_returnflag, 'all') || '/' || coalesce(l_linestatus, 'all') AS cell, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def margin_cube(spark, d):
+    c = read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), r6(F.avg("l_discount")).alias("discount"))
+    name = lambda x: F.coalesce(F.col(x), F.lit("all"))
+    return c.select("l_returnflag", "l_linestatus", F.concat(name("l_returnflag"), F.lit("/"), name("l_linestatus")).alias("cell"), "n", "quantity", "discount")
+
+
+@query(r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '\([^)]*\)', '', 'g'), '[^a-z0-9]+', '', 'g') AS name, split_part(p_brand, '#', 2) AS brand, TRY_CAST(split_part(p_brand, '#', 2) AS INTEGER) AS number,
+CASE WHEN p_type ILIKE '%brass%' THEN 'brass' WHEN regexp_matches(p_type, '(STEEL|TIN)') THEN 'plain' ELSE 'other' END AS kind FROM part""")
+def name_normalise(spark, d):
+    number = F.element_at(F.split("p_brand", "#"), 2)
+    kind = F.when(F.lower("p_type").contains("brass"), "brass").when(F.col("p_type").rlike("STEEL|TIN"), "plain").otherwise("other")
+    return read(spark, d, "part").select("p_partkey", text.normalised("p_name").alias("name"), number.alias("brand"), number.try_cast("int").alias("number"), kind.alias("kind"))
+
+
+@query("""WITH x AS (SELECT user_id, sum(value) AS v, count(*) AS n FROM events GROUP BY 1) SELECT user_id, round(ln(1 + n), 6) AS log_n, round(ln(p / (1 - p)), 6) AS log_odds, CAST(round_even(v, 0) AS BIGINT) AS half_even, CAST(ceil(n / 10.0) AS BIGINT) AS tens, CAST(floor(v / 100) * 100 AS BIGINT) AS hundreds
+FROM (SELECT *, least(greatest(n / 100.0, 1e-6), 1 - 1e-6) AS p FROM x)""")
+def scalar_functions(spark, d):
+    x = read(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    p = F.least(F.greatest(F.col("n") / 100, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return x.select("user_id", r6(F.log1p("n")).alias("log_n"), r6(F.log(p / (1 - p))).alias("log_odds"), F.bround("v").cast("long").alias("half_even"), F.ceil(F.col("n") / 10).alias("tens"), (F.floor(F.col("v") / 100) * 100).cast("long").alias("hundreds"))
+
+
+@query("SELECT l_shipmonth AS month, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM (SELECT *, strftime(l_shipdate, '%Y-%m') AS l_shipmonth FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1997-01-01') GROUP BY 1")
+def monthly_revenue(spark, d):
+    """A range filter that reaches the scan, and two columns of it."""
+    x = read(spark, d, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ'1995-01-01' AND l_shipdate < TIMESTAMP_NTZ'1997-01-01'")
+    return x.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
