@@ -14,7 +14,8 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     Each round takes the least label of the neighbours and then the label's own label, so long
     chains shrink by powers; rounds are staged in the folder.
     """
-    both = staged(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), folder, "links")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = staged(links.where("a <> b").select(F.explode(ways).alias("x")).select("x.*").distinct(), folder, "links")
     labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"), folder, "labels0")
     k = 0
     while True:

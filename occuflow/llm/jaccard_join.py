@@ -1,7 +1,7 @@
 """N-gram Jaccard join: an exact metric-space join of shingle sets.
 
-1. A text that links to another has at least the threshold's share of its shingles in other texts.
-   Sorted, truncated shingle hashes are counted in shards; texts below that share have no link.
+1. A text may lack only so many of its shingles in one that it links to. Sorted, truncated shingle
+   hashes are counted in shards; a text that has more shingles of its own alone has no link.
    (Truncation can only keep more.)
 2. Equal sets collapse to one representative each.
 3. Of representatives, two that link share one of their first shingles in hash order, as many as they
@@ -33,11 +33,11 @@ from .shingles import pack, pack_sorted, pieces, shingle_hashes, unpack, unpack_
 
 WIDTH, PERCENT = 4, 85
 #: Shingles of one packed block of texts, and of one counting shard.
-BLOCK, SHARD = 600_000, 2_500_000
+BLOCK, SHARD = 600_000, 2_000_000
 #: Ids up to this many are broadcast to filter texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Members and shingles of a region that one task joins; pivots and rounds of the split of larger ones.
-REGION_ROWS, REGION_SHINGLES, PIVOTS, ROUNDS = 4000, 3_000_000, 8, 3
+REGION_ROWS, REGION_SHINGLES, PIVOTS, ROUNDS = 4000, 2_000_000, 8, 3
 LEAF = 48
 
 
@@ -56,8 +56,8 @@ def sets_of(texts: list[str | None], memo, width: int) -> list[np.ndarray]:
 BLOCKS = "shard int, block long, ids binary, n binary, h binary, of binary"
 
 
-def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, shared): each text's distinct shingles, and those that other texts have too (a few more by truncation).
+def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, maybe): each text's number of distinct shingles, and whether other texts have enough of them too.
 
     Blocks of texts are dealt to shards; each shard answers a block with one row, the numbers of its
     texts that share shingles and how many, so rows between tasks don't grow with texts times shards.
@@ -74,11 +74,11 @@ def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH) -> DataF
                 flat = np.concatenate(sets) >> np.uint64(64 - bits)
                 order = np.argsort(flat, kind="stable")
                 flat, of = flat[order], np.repeat(np.arange(len(sets)), n)[order]
-                shard = (flat * np.uint64(shards)) >> np.uint64(bits)
-                edges = np.searchsorted(shard, np.arange(shards + 1))
+                edges = np.searchsorted((flat.astype(np.float64) * (shards / 2.0**bits)).astype(np.int64), np.arange(shards))
+                edges = np.append(edges, len(flat))
                 first = {"ids": pack(ids.astype("<i8").view("<u8")), "n": pack(n)}
                 yield pd.DataFrame([
-                    {"shard": k, "block": number, "ids": first["ids"] if k == 0 else b"", "n": first["n"] if k == 0 else b"", "h": pack_sorted(flat[a:b]), "of": pack(of[a:b])}
+                    {"shard": k, "block": number, **(first if k == 0 else dict.fromkeys(first, b"")), "h": pack_sorted(flat[a:b]), "of": pack(of[a:b])}
                     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a or k == 0
                 ])
                 number += 1
@@ -101,16 +101,16 @@ def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH) -> DataF
         return pd.DataFrame({"block": pdf["block"], "ids": pdf["ids"], "n": pdf["n"], "texts": texts, "shared": shared})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, n = (unpack(max(pdf[c], key=len)).astype(np.uint64).view(np.int64) for c in ("ids", "n"))
+        ids, n = (unpack(max(pdf[c], key=len)).view(np.int64) for c in ("ids", "n"))
         total = np.zeros(len(ids), np.int64)
         for texts, shared in zip(pdf["texts"], pdf["shared"], strict=True):
             total[unpack_sorted(texts).astype(np.int64)] += unpack(shared).astype(np.int64)
-        return pd.DataFrame({"doc_id": ids, "n": n, "shared": total})
+        return pd.DataFrame({"doc_id": ids, "n": n, "maybe": (n > 0) & (n - total <= most_missing(n, percent))})
 
     packed = docs.mapInPandas(blocks, BLOCKS)
     answers = packed.groupBy("shard").applyInPandas(count, "block long, ids binary, n binary, texts binary, shared binary")
-    each = answers.groupBy("block").applyInPandas(gather, "doc_id long, n long, shared long")
-    return each.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("shared").alias("shared"))
+    each = answers.groupBy("block").applyInPandas(gather, "doc_id long, n long, maybe boolean")
+    return each.groupBy("doc_id").agg(F.max("n").alias("n"), F.bool_or("maybe").alias("maybe"))
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -348,9 +348,9 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // (6 * SHARD)))
     bits = min(56, max(32, (chars // 6 + 1).bit_length() + 8))
-    stats = staged(shares(known, shards, bits, width), folder, "stats")
+    stats = staged(shares(known, shards, bits, width, percent), folder, "stats")
 
-    maybe = stats.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).select("doc_id")
+    maybe = stats.where("maybe").select("doc_id")
     sigs = staged(sets_table(only(known, maybe), True, width), folder, "sigs")
     rep = staged(representatives(sigs), folder, "reps")
 
@@ -360,7 +360,9 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
     pivots = keys.groupBy("key").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("other")).where("region <> other").drop("other")
     homes = staged(keys.join(pivots, "key").select("region", "doc_id").distinct(), folder, "homes")
     kept = with_partners(homes, firsts, percent, limits.get("rows", REGION_ROWS))
-    members = staged(kept.join(sets, "doc_id").select("region", "doc_id", "n", "set"), folder, "members")
+    kept = staged(kept, folder, "kept")
+    few = kept.count() <= BROADCAST_ROWS
+    members = staged(sets.join(F.broadcast(kept) if few else kept, "doc_id").select("region", "doc_id", "n", "set"), folder, "members")
     links = join_regions(members, folder, percent, **limits)
     of = components(links, folder)
 
