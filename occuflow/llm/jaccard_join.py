@@ -7,7 +7,8 @@
 3. Of representatives, two that link share one of their first shingles in hash order, as many as they
    may lack of each other and one more. The least representative that has such a shingle is a
    pivot; all that share it with the pivot form a region, so linked sets meet in a region.
-   Members whose first shingles rule out every partner in a region leave it before sets are sent.
+   Two sets that meet in several regions are joined in the least one alone: members with no partner
+   left in a region, by that or because their first shingles rule it out, leave it before sets are sent.
 4. Regions join recursively by the Jaccard distance, a metric: members go to the Voronoi cell of the
    nearest of several new pivots, and to further cells whose pivots are nearer than the home
    distance plus twice the radius; members far from all pivots form an outer cell. Cells that no
@@ -161,8 +162,31 @@ def first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return sets.select("doc_id", "n", "set").mapInPandas(run, "doc_id long, n long, first array<long>")
 
 
-def partnered(ids: np.ndarray, n: np.ndarray, first: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets of a region have another there that they may link to, judged by first shingles alone.
+def meetings(region: int, ids: np.ndarray, regions: list[np.ndarray]) -> Region:
+    """Members of a region with the lesser regions that each is in, and a number of its own after them; those that overlap meet earlier."""
+    earlier = [np.asarray(r, np.int64) for r in regions]
+    earlier = [r[r < region] for r in earlier]
+    known = np.unique(np.concatenate(earlier))
+    return Region(ids, [np.append(np.searchsorted(known, r), len(known) + i) for i, r in enumerate(earlier)])
+
+
+def first_met(region: int, ids: np.ndarray, regions: list[np.ndarray]) -> np.ndarray:
+    """Which members of a region have another there that they meet in no lesser region."""
+    met = meetings(region, ids, regions)
+    out = np.zeros(len(ids), bool)
+    for i in range(len(ids) - 1):
+        rows = np.arange(i + 1, len(ids))
+        if out[i]:
+            rows = rows[~out[rows]]
+        if len(rows):
+            new = rows[met.overlaps(i, *met.gathered(rows)) == 0]
+            out[new] = True
+            out[i] |= len(new) > 0
+    return out
+
+
+def partnered(ids: np.ndarray, n: np.ndarray, first: list[np.ndarray], met: Region, percent: int) -> np.ndarray:
+    """Which sets of a region have another there that they may link to and meet in no lesser region, judged by first shingles alone.
 
     Of two sets, the one whose first shingles end earlier has all others beyond that end, so the two
     share at most their common first shingles and the rest of that one.
@@ -177,6 +201,9 @@ def partnered(ids: np.ndarray, n: np.ndarray, first: list[np.ndarray], percent:
         rows = np.arange(i + 1, most[i])
         if alive[i]:
             rows = rows[~alive[rows]]
+        if not len(rows):
+            continue
+        rows = rows[met.overlaps(order[i], *met.gathered(order[rows])) == 0]
         if not len(rows):
             continue
         bound = front.overlaps(i, *front.gathered(rows)) + np.where(last[rows] < last[i], rest[rows], rest[i])
@@ -188,17 +215,26 @@ def partnered(ids: np.ndarray, n: np.ndarray, first: list[np.ndarray], percent:
     return out
 
 
-def with_partners(homes: DataFrame, firsts: DataFrame, percent: int = PERCENT, rows: int = REGION_ROWS) -> DataFrame:
-    """The (region, doc_id) of homes that may have a link in the region; larger regions than ``rows`` stay as they are."""
+def with_partners(homes: DataFrame, firsts: DataFrame, folder: str, percent: int = PERCENT, rows: int = REGION_ROWS) -> DataFrame:
+    """The (region, doc_id) of homes that may have a link in the region; larger regions than ``rows`` stay as they are.
+
+    A set is in at most as many regions as it has first shingles, so its list of them is bounded by it.
+    """
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[first_met(pdf["region"].iloc[0], pdf["doc_id"].to_numpy(), list(pdf["regions"]))]
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = [np.asarray(f, np.int64) for f in pdf["first"]]
-        return pdf.loc[partnered(pdf["doc_id"].to_numpy(), pdf["n"].to_numpy(), first, percent), ["region", "doc_id"]]
+        ids, first = pdf["doc_id"].to_numpy(), [np.asarray(f, np.int64) for f in pdf["first"]]
+        met = meetings(pdf["region"].iloc[0], ids, list(pdf["regions"]))
+        return pdf.loc[partnered(ids, pdf["n"].to_numpy(), first, met, percent), ["region", "doc_id"]]
 
-    sizes = homes.groupBy("region").count()
-    large = sizes.where(F.col("count") > rows).select("region")
-    small = homes.join(large, "region", "left_anti").join(firsts, "doc_id")
-    return small.groupBy("region").applyInPandas(prune, "region long, doc_id long").union(homes.join(large, "region", "left_semi").select("region", "doc_id"))
+    lists = homes.groupBy("doc_id").agg(F.collect_list("region").alias("regions"))
+    large = staged(homes.groupBy("region").count().where(F.col("count") > rows).select("region"), folder, "crowded")
+    small = homes.join(large, "region", "left_anti").join(lists, "doc_id").select("region", "doc_id", "regions")
+    met = staged(small.groupBy("region").applyInPandas(meet, small.schema), folder, "met")
+    kept = met.join(firsts, "doc_id").groupBy("region").applyInPandas(prune, "region long, doc_id long")
+    return kept.union(homes.join(large, "region", "left_semi").select("region", "doc_id"))
 
 
 class Region:
@@ -359,7 +395,7 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
     keys = firsts.select("doc_id", F.explode("first").alias("key"))
     pivots = keys.groupBy("key").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("other")).where("region <> other").drop("other")
     homes = staged(keys.join(pivots, "key").select("region", "doc_id").distinct(), folder, "homes")
-    kept = with_partners(homes, firsts, percent, limits.get("rows", REGION_ROWS))
+    kept = with_partners(homes, firsts, folder, percent, limits.get("rows", REGION_ROWS))
     kept = staged(kept, folder, "kept")
     few = kept.count() <= BROADCAST_ROWS
     members = staged(sets.join(F.broadcast(kept) if few else kept, "doc_id").select("region", "doc_id", "n", "set"), folder, "members")

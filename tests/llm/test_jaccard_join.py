@@ -81,3 +81,18 @@ def test_components_of_a_long_chain(spark, folder):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links, folder).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_pairs_stay_in_their_least_common_region():
+    rng = np.random.default_rng(3)
+    lists = {i: np.unique(rng.integers(0, 6, rng.integers(1, 5))) for i in range(40)}
+    met = set()
+    for region in range(6):
+        ids = np.array([i for i, r in lists.items() if region in r])
+        if len(ids):
+            keep = jaccard_join.first_met(region, ids, [lists[i] for i in ids])
+            members = [lists[i] for i in ids]
+            want = [any(j != i and not set(a[a < region]) & set(b[b < region]) for j, b in enumerate(members)) for i, a in enumerate(members)]
+            assert keep.tolist() == want
+            met |= {(a, b) for a in ids[keep] for b in ids[keep] if a < b}
+    assert met >= {(a, b) for a in lists for b in lists if a < b and set(lists[a]) & set(lists[b])}
