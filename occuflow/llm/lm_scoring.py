@@ -5,8 +5,10 @@ training rows and answer with each text's sums for the unigram base. From the co
 lexicon, words of at least LEAST_SHARE of all tokens (so at most 1 / LEAST_SHARE of them), and
 the mass of the other words in hashed buckets: the model's own unigram distribution, of a size that
 doesn't grow with the corpus. The second exchange deals trigrams by the word before the last,
-frequent ones split by the word before that; each shard builds the Elias-Fano trie of its
-training trigrams in a memory-mapped file and answers with each text's sum of log10 P.
+frequent ones split by the word before that, and is read twice. First each shard counts: the numbers of n-grams
+seen once and twice give the discounts of the whole model, and the pairs of split contexts are summed over
+all shards in a small exchange of their own. Then each shard builds the Elias-Fano trie of its training
+trigrams, with the whole counts of its pairs, in a memory-mapped file and answers with each text's sum of log10 P.
 
 A block holds every trigram once for each text and only the words that it uses, so exchanges take a few bytes a token.
 """
@@ -18,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyarrow.dataset import dataset
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, shared_folder, staged, table
-from .ngram_trie import TemporaryTrie, Trie
+from .common import id_crc, open_fs, shared_folder, staged, table
+from .ngram_trie import TemporaryTrie, Trie, discount_of, once_twice, pair_counts
 from .shingles import mixed, pack, pack_sorted, pieces, unpack, unpack_sorted, word_hashes, word_memo
 
 #: Tokens that no word equals: the end of a text, and what stands before its start.
@@ -156,10 +159,6 @@ class Lexicon:
         tail = self.tail[(h >> np.uint64(WORD_BITS - BUCKET_BITS)).astype(np.int64)]
         return np.where(at >= 0, self.p[at], tail) if len(self.p) else tail
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        at = self.places(h)
-        return np.where(at >= 0, self.c[at], 0) if len(self.c) else np.zeros(len(h), np.int64)
-
 
 def lexicon(counts: DataFrame, tokens: int) -> Lexicon:
     """Gather the lexicon: at most 1 / LEAST_SHARE words and 2^BUCKET_BITS buckets, whatever the corpus. Words are hashes of WORD_BITS here."""
@@ -187,6 +186,30 @@ def lexicon(counts: DataFrame, tokens: int) -> Lexicon:
     return Lexicon(np.concatenate(hs), np.concatenate(cs), mass, kinds, tokens)
 
 
+class Hot:
+    """Words of more than HOT training tokens, whose contexts are split: at most one for each HOT tokens of the corpus."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.c = h[order], c[order]
+
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        """Each word's place among the frequent ones, -1 for others."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1)
+
+
+def model_hash(token: bytes) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(token) >> (64 - WORD_BITS))
+
+
+def contexts_of(h: np.ndarray, c: np.ndarray) -> Hot:
+    """The frequent words as contexts: the start of a text, as frequent as the end, stands for the end, which is none."""
+    return Hot(np.where(h == model_hash(END), model_hash(START), h), c)
+
+
 def sorted_order(near: np.ndarray, far: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
     """The stable order by (near, far, word), of numbers below size."""
     if size >= 2_000_000:
@@ -201,9 +224,9 @@ def sorted_order(near: np.ndarray, far: np.ndarray, word: np.ndarray, size: int)
 TRIGRAMS = "shard int, block long, keys binary, train binary, words binary, near binary, far binary, word binary, text binary, times binary"
 
 
-def trigram_requests(docs: DataFrame, lex, shards: int) -> DataFrame:
+def trigram_requests(docs: DataFrame, hot: Hot, shards: int) -> DataFrame:
     """Each block's trigrams (near, far, word) with their texts, by shard of near, or of near and part of far where near is frequent."""
-    start, end = (np.uint64(xxhash.xxh64_intdigest(x) >> (64 - WORD_BITS)) for x in (START, END))
+    start, most = model_hash(START), HOT
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, rows, flat, sizes in blocks(batches):
@@ -216,9 +239,9 @@ def trigram_requests(docs: DataFrame, lex, shards: int) -> DataFrame:
             far[begin] = s
             second = begin[sizes > 1] + 1
             far[second] = s
-            often = lex.value.count(words)
-            often[s] = lex.value.count(np.array([end]))[0]
-            parts = 1 + often // HOT
+            rank = hot.rank(words)
+            parts = np.ones(len(words), np.int64)
+            parts[rank >= 0] += hot.c[rank[rank >= 0]] // most
             salt = mixed(words[far]) % parts[near].astype(np.uint64)
             shard = shard_of(mixed(words[near] + (salt << np.uint64(48))), shards).astype(np.uint16)
             del salt
@@ -244,13 +267,25 @@ def trigram_requests(docs: DataFrame, lex, shards: int) -> DataFrame:
     return docs.mapInPandas(run, TRIGRAMS)
 
 
-def trie_scores(requests: DataFrame, lex) -> DataFrame:
-    """A row for each block of a shard: its texts' sums of log10 P over the shard's trigrams."""
+def dealt(requests: DataFrame, shards: int) -> DataFrame:
+    """The requests, one shard a partition. All that is computed from the returned table reads the same exchange."""
+    spark, out = requests.sparkSession, requests.repartitionById(shards, F.col("shard"))._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(out.toJavaRDD(), out.schema()), spark)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    held = [pdf for pdf in batches if len(pdf)]
+    if held:
+        yield from pd.concat(held).groupby("shard")
+
+
+class Shard:
+    """A shard's words and distinct trigrams (near, far, word), sorted, with training counts; and each text's occurrences of them."""
+
+    def __init__(self, pdf: pd.DataFrame):
         vocabularies = [unpack_sorted(x) for x in pdf["words"]]
-        words, at = np.unique(np.concatenate(vocabularies), return_inverse=True)
-        size, place, texts, edges, filled = len(words), 0, 0, [0], 0
+        self.words, at = np.unique(np.concatenate(vocabularies), return_inverse=True)
+        self.size, place, texts, self.edges, filled = len(self.words), 0, 0, [0], 0
         times = [unpack(x).astype(np.int32) for x in pdf["times"]]
         n = sum(map(len, times))
         near, far, word, text, learnt = (np.empty(n, np.int32) for _ in range(5))
@@ -262,30 +297,128 @@ def trie_scores(requests: DataFrame, lex) -> DataFrame:
             near[here], far[here], word[here] = mine[unpack_sorted(r.near)], mine[unpack(r.far)], mine[unpack(r.word)]
             text[here], learnt[here] = mine_text + texts, t * train[mine_text]
             texts += len(train)
-            edges.append(texts)
+            self.edges.append(texts)
         times = np.concatenate(times)
         del at, vocabularies
-        order = sorted_order(near, far, word, size)
+        order = sorted_order(near, far, word, self.size)
         near, far, word = near[order].astype(np.int64), far[order].astype(np.int64), word[order].astype(np.int64)
-        text, times, learnt = text[order], times[order], learnt[order]
-        del order
+        self.text, self.times, learnt = text[order], times[order], learnt[order]
+        del order, text, times
         new = np.ones(len(word), bool)
         new[1:] = (near[1:] != near[:-1]) | (far[1:] != far[:-1]) | (word[1:] != word[:-1])
-        first = np.flatnonzero(new)
-        near, far, word = near[first], far[first], word[first]
-        counts = np.add.reduceat(learnt, first, dtype=np.int64) if len(first) else first
-        seen = counts > 0
-        base = lex.value.probability(words)
-        log = np.empty(len(first))
-        with TemporaryTrie(Trie.build(near[seen], far[seen], word[seen], counts[seen], size)) as trie:
-            for i in range(0, len(first), 500_000):
-                j = slice(i, i + 500_000)
-                log[j] = np.log10(trie.probability(near[j], far[j], word[j], base[word[j]]))
-        sums = np.bincount(text, times * np.repeat(log, np.diff(np.append(first, len(text)))), texts)
-        scores = [sums[a:b].astype("<f4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pd.DataFrame({"block": pdf["block"], "keys": pdf["keys"], "score": scores})
-
-    return requests.groupBy("shard").applyInPandas(run, "block long, keys binary, score binary")
+        self.first = np.flatnonzero(new)
+        self.near, self.far, self.word = near[self.first], far[self.first], word[self.first]
+        self.counts = np.add.reduceat(learnt, self.first, dtype=np.int64) if len(self.first) else self.first
+
+    def whole_pairs(self, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that were seen here of contexts that are not split."""
+        mine = (self.counts > 0) & (hot.rank(self.words)[self.near] < 0)
+        return pair_counts(self.near[mine], self.word[mine], self.counts[mine], self.size)
+
+    def shared_pairs(self, hot: Hot, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of split contexts, seen or asked for, by bucket: their numbers near * size + word, keys (rank, word), counts here, and the buckets' edges."""
+        rank = hot.rank(self.words)
+        mine = rank[self.near] >= 0
+        pair, at = np.unique(self.near[mine] * self.size + self.word[mine], return_inverse=True)
+        key = (rank[pair // self.size].astype(np.uint64) << np.uint64(WORD_BITS)) | self.words[pair % self.size]
+        bucket = shard_of(mixed(key), buckets)
+        order = np.argsort(bucket, kind="stable")
+        counts = np.bincount(at, self.counts[mine], len(pair)).astype(np.int64)
+        return pair[order], key[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+PARTIAL = "bucket int, shard int, keys binary, counts binary, seen array<long>"
+
+
+def partial_counts(requests: DataFrame, hot: Hot, buckets: int) -> DataFrame:
+    """Each shard's counts of pairs of split contexts by bucket, and in bucket -1 its numbers of whole pairs and trigrams seen once and twice."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, pdf in by_shard(batches):
+            shard = Shard(pdf)
+            _, keys, counts, edges = shard.shared_pairs(hot, buckets)
+            seen = [*once_twice(shard.whole_pairs(hot)[1]).tolist(), *once_twice(shard.counts).tolist()]
+            out = [(-1, k, b"", b"", seen)]
+            out += [(i, k, pack_sorted(keys[a:b]), pack(counts[a:b]), []) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PARTIAL.split(", ")])
+
+    return requests.mapInPandas(run, PARTIAL)
+
+
+SUMMED = "shard int, bucket int, counts binary, seen array<long>, ranks array<long>, totals array<long>, kinds array<long>"
+
+
+def summed_counts(partial: DataFrame) -> DataFrame:
+    """The sums over all shards, as each shard's answer in its order; and for shard -1 each context's total and number of words, and numbers of pairs seen once and twice."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [unpack_sorted(x) for x in pdf["keys"]]
+        keys, at = np.unique(np.concatenate(held), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([unpack(x) for x in pdf["counts"]]), len(keys)).astype(np.int64)
+        bucket, place, out = int(pdf["bucket"].iloc[0]), 0, []
+        for k, h in zip(pdf["shard"], held, strict=True):
+            out.append((k, bucket, pack(counts[at[place : place + len(h)]]), [], [], [], []))
+            place += len(h)
+        ranks, of = np.unique((keys >> np.uint64(WORD_BITS)).astype(np.int64), return_inverse=True)
+        totals, kinds = (np.bincount(of, x, len(ranks)).astype(np.int64).tolist() for x in (counts, counts > 0))
+        out.append((-1, bucket, None, once_twice(counts).tolist(), ranks.tolist(), totals, kinds))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in SUMMED.split(", ")])
+
+    return partial.where("bucket >= 0").groupBy("bucket").applyInPandas(run, SUMMED)
+
+
+def trie_scores(requests: DataFrame, lex, hot: Hot, folder: str, shards: int, buckets: int) -> DataFrame:
+    """A row for each block of a shard: its texts' sums of log10 P over the shard's trigrams. Sums over shards are staged in the folder."""
+    partial = staged(partial_counts(requests, hot, buckets), folder, "partial")
+    summed_counts(partial).repartition(shards, "shard").write.partitionBy("shard").parquet(f"{folder}/summed")
+    summed = requests.sparkSession.read.schema(SUMMED).parquet(f"{folder}/summed").where("shard = -1")
+    totals, kinds = np.zeros(len(hot.h), np.int64), np.zeros(len(hot.h), np.int64)
+    for r in summed.selectExpr("inline(arrays_zip(ranks, totals, kinds))").groupBy("ranks").agg(F.sum("totals"), F.sum("kinds")).collect():
+        totals[r[0]], kinds[r[0]] = r[1], r[2]
+    part = partial.where("bucket = -1").agg(*[F.sum(F.col("seen")[i]) for i in range(4)]).first()
+    more = summed.agg(*[F.sum(F.col("seen")[i]) for i in range(2)]).first()
+    seen = [x or 0 for x in part]
+    discounts = discount_of(seen[0] + (more[0] or 0), seen[1] + (more[1] or 0)), discount_of(seen[2], seen[3])
+
+    def answers(k: int) -> np.ndarray:
+        fs, path = open_fs(folder)
+        got = dataset(f"{path}/summed/shard={k}", filesystem=fs, format="parquet").to_table(columns=["bucket", "counts"]).to_pandas().sort_values("bucket")
+        return np.concatenate([unpack(x) for x in got["counts"]]).astype(np.int64)
+
+    def build(shard: Shard, k: int) -> Trie:
+        pair, pair_n = shard.whole_pairs(hot)
+        shared = shard.shared_pairs(hot, buckets)[0]
+        asked = np.unique(shared // shard.size)
+        if len(shared):
+            counts = answers(k)
+            pair, pair_n = np.concatenate([pair, shared[counts > 0]]), np.concatenate([pair_n, counts[counts > 0]])
+            order = np.argsort(pair)
+            pair, pair_n = pair[order], pair_n[order]
+        of = pair // shard.size
+        context = np.union1d(of, asked)
+        at = np.searchsorted(context, of)
+        total, kind = np.bincount(at, pair_n, len(context)).astype(np.int64), np.bincount(at, minlength=len(context))
+        rank = hot.rank(shard.words[context])
+        total[rank >= 0], kind[rank >= 0] = totals[rank[rank >= 0]], kinds[rank[rank >= 0]]
+        held = total > 0
+        seen = shard.counts > 0
+        return Trie.build(shard.near[seen], shard.far[seen], shard.word[seen], shard.counts[seen], shard.size, (pair, pair_n), (context[held], total[held], kind[held]), discounts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, pdf in by_shard(batches):
+            shard = Shard(pdf)
+            base = lex.value.probability(shard.words)
+            log = np.empty(len(shard.first))
+            with TemporaryTrie(build(shard, k)) as trie:
+                for i in range(0, len(log), 500_000):
+                    j = slice(i, i + 500_000)
+                    log[j] = np.log10(trie.probability(shard.near[j], shard.far[j], shard.word[j], base[shard.word[j]]))
+            texts = shard.edges[-1]
+            sums = np.bincount(shard.text, shard.times * np.repeat(log, np.diff(np.append(shard.first, len(shard.text)))), texts)
+            scores = [sums[a:b].astype("<f4").tobytes() for a, b in zip(shard.edges[:-1], shard.edges[1:], strict=True)]
+            yield pd.DataFrame({"block": pdf["block"], "keys": pdf["keys"], "score": scores})
+
+    return requests.mapInPandas(run, "block long, keys binary, score binary")
 
 
 def score(docs: DataFrame, folder: str) -> DataFrame:
@@ -307,8 +440,12 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
 
     total = counts.where("block = -1").select("tokens", "counts").mapInPandas(sizes, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
     n, v = total[0] or 0, total[1] or 0
-    lex = spark.sparkContext.broadcast(lexicon(counts, n))
-    scores = trie_scores(trigram_requests(texts, lex, -(-tokens // TRIE_SHARD)), lex)
+    words = lexicon(counts, n)
+    often = words.c > HOT
+    hot, lex = contexts_of(words.h[often], words.c[often]), spark.sparkContext.broadcast(words)
+    shards, buckets = -(-tokens // TRIE_SHARD), -(-tokens // WORD_SHARD)
+    requests = dealt(trigram_requests(texts, hot, shards), shards)
+    scores = trie_scores(requests, lex, hot, folder, shards, buckets)
     base = by_text(counts.where("block >= 0").select("block", "keys", "n", "known", "logs"), {"n": "long", "known": "long", "logs": "f8"})
     model = by_text(scores, {"score": "f4"})
     each = np.log10(n + ADD * (v + 1))

@@ -97,9 +97,17 @@ class EliasFano:
         return np.where(hit, lo, -1)
 
 
+def once_twice(counts: np.ndarray) -> np.ndarray:
+    """Numbers of n-grams seen once and twice."""
+    return np.array([np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)])
+
+
 def discount(counts: np.ndarray) -> float:
-    """Ney's estimate from the numbers of n-grams seen once and twice."""
-    one, two = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
+    """Ney's estimate from the counts of n-grams."""
+    return discount_of(*once_twice(counts))
+
+
+def discount_of(one: int, two: int) -> float:
     return min(max((one + 0.5) / (one + 2 * two + 1), 0.1), 0.95)
 
 
@@ -111,6 +119,13 @@ def grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
+def pair_counts(near: np.ndarray, word: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys near * size + word and their counts."""
+    key = near * size + word
+    order = np.argsort(key, kind="stable")
+    return grouped(key[order], counts[order])
+
+
 class Trie:
     """Built from sorted training trigrams (near, far, word) of numbers below ``size``; near is the word just before."""
 
@@ -120,16 +135,19 @@ class Trie:
         self.size, self.fano, self.codes = size, fano, codes
 
     @classmethod
-    def build(cls, near: np.ndarray, far: np.ndarray, word: np.ndarray, counts: np.ndarray, size: int) -> Trie:
+    def build(cls, near: np.ndarray, far: np.ndarray, word: np.ndarray, counts: np.ndarray, size: int, pairs=None, contexts=None, discounts=None) -> Trie:
+        """Of a part of the model, give what lies beyond it: all counts of its pairs (sorted keys, counts), its near words' (numbers, totals, kinds), both discounts."""
         # level 2
         key = near * size + word
-        order = np.argsort(key, kind="stable")
-        pair, pair_n = grouped(key[order], counts[order])
+        pair, pair_n = pairs or pair_counts(near, word, counts, size)
         of = pair // size
-        context, start = np.unique(of, return_index=True)
-        total = np.add.reduceat(pair_n, start) if len(pair) else pair_n
-        kinds = np.diff(np.append(start, len(pair)))
-        d2 = discount(pair_n)
+        if contexts is None:
+            context, start = np.unique(of, return_index=True)
+            contexts = context, np.add.reduceat(pair_n, start) if len(pair) else pair_n, np.diff(np.append(start, len(pair)))
+        context, total, kinds = contexts
+        start = np.searchsorted(of, context)
+        listed = np.diff(np.append(start, len(pair)))
+        d2, d3 = discounts or (discount(pair_n), discount(counts))
         at = np.searchsorted(context, of)
         codes = {"pair": quantised(np.maximum(pair_n - d2, 0) / total[at]), "near_back": quantised(d2 * kinds / np.maximum(total, 1))}
         # level 3: contexts of two words, and their successors' places in the nearer word's list
@@ -138,11 +156,10 @@ class Trie:
         far_total = np.add.reduceat(counts, far_start) if len(double) else counts
         far_kinds = np.diff(np.append(far_start, len(double)))
         far_at = np.repeat(np.arange(len(far_key)), far_kinds)
-        d3 = discount(counts)
         codes |= {"triple": quantised(np.maximum(counts - d3, 0) / far_total[far_at]), "far_back": quantised(d3 * far_kinds / np.maximum(far_total, 1))}
         place = np.searchsorted(pair, key) - start[np.searchsorted(context, near)] if len(key) else key
         # a context's relative numbers are lifted by the lengths of the lists of the contexts before it
-        span = kinds[np.searchsorted(context, far_key // size)] if len(far_key) else far_key
+        span = listed[np.searchsorted(context, far_key // size)] if len(far_key) else far_key
         lift = np.cumsum(span) - span
         fano = {"near": context, "pair": pair, "far": far_key, "relative": lift[far_at] + place, "lists": lift}
         fano["starts"] = start

@@ -86,5 +86,22 @@ def test_splitting_frequent_contexts_changes_no_counts(make_docs, folder, monkey
         assert abs(r["base_score"] - two[i]["base_score"]) < 1e-9 and abs(r["score"] / two[i]["score"] - 1) < 0.5
 
 
+def test_scores_do_not_depend_on_the_split(make_docs, folder, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    docs = make_docs([" ".join(f"the w{x} of v{x * y % 11}" if y % 3 else f"w{x} the the v{y}" for x, y in rng.zipf(1.5, (12, 2)) % 30) for _ in range(90)])
+
+    def scores(name, shard, hot):
+        monkeypatch.setattr(lm_scoring, "TRIE_SHARD", shard)
+        monkeypatch.setattr(lm_scoring, "WORD_SHARD", shard)
+        monkeypatch.setattr(lm_scoring, "HOT", hot)
+        return {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, f"{folder}/{name}").collect()}
+
+    whole = scores("whole", 10**6, 10**6)
+    for name, shard, hot in (("shards", 300, 10**6), ("split", 300, 20), ("one", 10**6, 20)):
+        split = scores(name, shard, hot)
+        assert all(abs(split[i] / x - 1) < 1e-5 for i, x in whole.items()), name
+
+
 def test_empty_table(make_docs, folder):
     assert lm_scoring.score(make_docs(["a"]).limit(0), folder).count() == 0
