@@ -1,14 +1,12 @@
 """Language-model scores from a sharded n-gram trie.
 
 Two exchanges over packed blocks of texts. The first deals words to shards, which count them in the
-training rows and answer with each text's sums for the unigram base. From the counts come the
-lexicon, words of at least LEAST_SHARE of all tokens (so at most 1 / LEAST_SHARE of them), and
-the mass of the other words in hashed buckets: the model's own unigram distribution, of a size that
-doesn't grow with the corpus. The second exchange deals trigrams by the word before the last,
-frequent ones split by the word before that, and is read twice. First each shard counts: the numbers of n-grams
-seen once and twice give the discounts of the whole model, and the pairs of split contexts are summed over
-all shards in a small exchange of their own. Then each shard builds the Elias-Fano trie of its training
-trigrams, with the whole counts of its pairs, in a memory-mapped file and answers with each text's sum of log10 P.
+training rows and answer with each text's sums for the unigram base. The second exchange deals
+trigrams by the word before the last, frequent ones split by the word before that, and is read twice. First each
+shard counts: the numbers of n-grams seen once and twice give the discounts of the whole model, and the counts of all
+its words and of the pairs of split contexts are summed over all shards in a small exchange of their own. Then each
+shard builds the Elias-Fano trie of its training trigrams, with the whole counts of its pairs, in a memory-mapped
+file and answers with each text's sum of log10 P. The model's own unigrams are the base's, from every word's count.
 
 A block holds every trigram once for each text and only the words that it uses, so exchanges take a few bytes a token.
 """
@@ -33,8 +31,6 @@ from .shingles import mixed, pack, pack_sorted, pieces, unpack, unpack_sorted, w
 END, START = b"\n", b"\t"
 #: Words of one packed block, words of one counting shard, tokens of one trie shard.
 BLOCK, WORD_SHARD, TRIE_SHARD = 1_200_000, 4_000_000, 2_000_000
-#: Share of the training tokens from which a word is in the lexicon, and buckets of the other words.
-LEAST_SHARE, BUCKET_BITS = 2.0**-20, 16
 #: Bits of a word's hash in the model; the base counts by all 64.
 WORD_BITS = 40
 CUT = np.uint64(64 - WORD_BITS)
@@ -92,11 +88,12 @@ def word_requests(docs: DataFrame, shards: int) -> DataFrame:
     return docs.mapInPandas(run, WORDS)
 
 
-COUNTS = "block long, keys binary, n binary, known binary, logs binary, words binary, counts binary, tokens long"
+COUNTS = "block long, keys binary, n binary, known binary, logs binary, words binary, counts binary, tokens long, kinds long"
 
 
 def word_counts(requests: DataFrame) -> DataFrame:
-    """A row for each block with its texts' sums over the shard's words, and one with the shard's training counts."""
+    """A row for each block with its texts' sums over the shard's words, and one with the shard's training tokens and words, and its frequent words."""
+    most = HOT
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held = [(unpack_sorted(r.words), unpack(r.texts).astype(np.int64), unpack(r.text).astype(np.int64), unpack(r.times).astype(np.int64), np.unpackbits(np.frombuffer(r.train, np.uint8)).astype(bool)) for r in pdf.itertuples()]
@@ -111,9 +108,10 @@ def word_counts(requests: DataFrame) -> DataFrame:
         log = np.log10(count + ADD)
         for r, mine, (_, _, text, times, train) in zip(pdf.itertuples(), spread, held, strict=True):
             known, logs = np.bincount(text, times * (count[mine] > 0), len(train)), np.bincount(text, times * log[mine], len(train))
-            out.append((r.block, r.keys, r.n, pack(known.astype(np.int64)), logs.astype("<f8").tobytes(), None, None, 0))
-        seen = count > 0
-        out.append((-1, b"", b"", b"", b"", pack_sorted(words[seen]), pack(count[seen]), int(count.sum())))
+            out.append((r.block, r.keys, r.n, pack(known.astype(np.int64)), logs.astype("<f8").tobytes(), None, None, 0, 0))
+        h, at = np.unique(words >> CUT, return_inverse=True)
+        c = np.bincount(at, count, len(h)).astype(np.int64)
+        out.append((-1, b"", b"", b"", b"", pack_sorted(h[c > most]), pack(c[c > most]), int(count.sum()), int((count > 0).sum())))
         return pd.DataFrame(out, columns=[x.split()[0] for x in COUNTS.split(", ")])
 
     return requests.groupBy("shard").applyInPandas(run, COUNTS)
@@ -139,53 +137,6 @@ def by_text(answers: DataFrame, summed: dict[str, str]) -> DataFrame:
     return sums.groupBy("key").agg(*[F.first(n).alias(n) for n in summed])
 
 
-class Lexicon:
-    """The unigram distribution: frequent words by their counts, others by their bucket's mass, shared evenly with one unseen word."""
-
-    def __init__(self, h: np.ndarray, c: np.ndarray, mass: np.ndarray, kinds: np.ndarray, tokens: int):
-        order = np.argsort(h)
-        self.h, self.c = h[order], c[order]
-        total = tokens + len(mass)
-        self.p, self.tail = self.c / total, (mass + 1) / total / (kinds + 1)
-
-    def places(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
-
-    def probability(self, h: np.ndarray) -> np.ndarray:
-        at = self.places(h)
-        tail = self.tail[(h >> np.uint64(WORD_BITS - BUCKET_BITS)).astype(np.int64)]
-        return np.where(at >= 0, self.p[at], tail) if len(self.p) else tail
-
-
-def lexicon(counts: DataFrame, tokens: int) -> Lexicon:
-    """Gather the lexicon: at most 1 / LEAST_SHARE words and 2^BUCKET_BITS buckets, whatever the corpus. Words are hashes of WORD_BITS here."""
-    least, n = tokens * LEAST_SHARE, 1 << BUCKET_BITS
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for words, counts in zip(pdf["words"], pdf["counts"], strict=True):
-                h, c = unpack_sorted(words) >> CUT, unpack(counts).astype(np.int64)
-                often = c >= least
-                bucket = (h[~often] >> np.uint64(WORD_BITS - BUCKET_BITS)).astype(np.int64)
-                some, at = np.unique(bucket, return_inverse=True)
-                yield pd.DataFrame([{
-                    "h": h[often].tobytes(), "c": c[often].tobytes(), "bucket": some.tobytes(),
-                    "mass": np.bincount(at, c[~often], len(some)).astype(np.int64).tobytes(), "kinds": np.bincount(at, minlength=len(some)).astype(np.int64).tobytes(),
-                }])
-
-    mass, kinds, hs, cs = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in counts.where("block = -1").select("words", "counts").mapInPandas(run, "h binary, c binary, bucket binary, mass binary, kinds binary").toLocalIterator():
-        hs.append(np.frombuffer(r["h"], np.uint64))
-        cs.append(np.frombuffer(r["c"], np.int64))
-        b = np.frombuffer(r["bucket"], np.int64)
-        mass[b] += np.frombuffer(r["mass"], np.int64)
-        kinds[b] += np.frombuffer(r["kinds"], np.int64)
-    return Lexicon(np.concatenate(hs), np.concatenate(cs), mass, kinds, tokens)
-
-
 class Hot:
     """Words of more than HOT training tokens, whose contexts are split: at most one for each HOT tokens of the corpus."""
 
@@ -205,9 +156,11 @@ def model_hash(token: bytes) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(token) >> (64 - WORD_BITS))
 
 
-def contexts_of(h: np.ndarray, c: np.ndarray) -> Hot:
+def frequent(counts: DataFrame) -> Hot:
     """The frequent words as contexts: the start of a text, as frequent as the end, stands for the end, which is none."""
-    return Hot(np.where(h == model_hash(END), model_hash(START), h), c)
+    rows = counts.where("block = -1").select("words", "counts").collect()
+    h, c = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in ([unpack_sorted(r[0]) for r in rows], [unpack(r[1]) for r in rows]))
+    return Hot(np.where(h == model_hash(END), model_hash(START), h), c.astype(np.int64))
 
 
 def sorted_order(near: np.ndarray, far: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
@@ -315,28 +268,29 @@ class Shard:
         mine = (self.counts > 0) & (hot.rank(self.words)[self.near] < 0)
         return pair_counts(self.near[mine], self.word[mine], self.counts[mine], self.size)
 
-    def shared_pairs(self, hot: Hot, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of split contexts, seen or asked for, by bucket: their numbers near * size + word, keys (rank, word), counts here, and the buckets' edges."""
+    def shared(self, hot: Hot, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, and pairs of split contexts, seen or asked for, by bucket: their numbers near * size + word (near is -1 for words), keys (rank + 1, word; 0 for words), counts here, and the buckets' edges."""
         rank = hot.rank(self.words)
         mine = rank[self.near] >= 0
-        pair, at = np.unique(self.near[mine] * self.size + self.word[mine], return_inverse=True)
-        key = (rank[pair // self.size].astype(np.uint64) << np.uint64(WORD_BITS)) | self.words[pair % self.size]
+        item, at = np.unique(np.concatenate([self.word - self.size, self.near[mine] * self.size + self.word[mine]]), return_inverse=True)
+        above = np.where(item < 0, 0, rank[item // self.size] + 1).astype(np.uint64)
+        key = (above << np.uint64(WORD_BITS)) | self.words[item % self.size]
         bucket = shard_of(mixed(key), buckets)
         order = np.argsort(bucket, kind="stable")
-        counts = np.bincount(at, self.counts[mine], len(pair)).astype(np.int64)
-        return pair[order], key[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        counts = np.bincount(at, np.concatenate([self.counts, self.counts[mine]]), len(item)).astype(np.int64)
+        return item[order], key[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 PARTIAL = "bucket int, shard int, keys binary, counts binary, seen array<long>"
 
 
 def partial_counts(requests: DataFrame, hot: Hot, buckets: int) -> DataFrame:
-    """Each shard's counts of pairs of split contexts by bucket, and in bucket -1 its numbers of whole pairs and trigrams seen once and twice."""
+    """Each shard's counts of words and of pairs of split contexts by bucket, and in bucket -1 its numbers of whole pairs and trigrams seen once and twice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, pdf in by_shard(batches):
             shard = Shard(pdf)
-            _, keys, counts, edges = shard.shared_pairs(hot, buckets)
+            _, keys, counts, edges = shard.shared(hot, buckets)
             seen = [*once_twice(shard.whole_pairs(hot)[1]).tolist(), *once_twice(shard.counts).tolist()]
             out = [(-1, k, b"", b"", seen)]
             out += [(i, k, pack_sorted(keys[a:b]), pack(counts[a:b]), []) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
@@ -361,18 +315,19 @@ def summed_counts(partial: DataFrame) -> DataFrame:
             place += len(h)
         ranks, of = np.unique((keys >> np.uint64(WORD_BITS)).astype(np.int64), return_inverse=True)
         totals, kinds = (np.bincount(of, x, len(ranks)).astype(np.int64).tolist() for x in (counts, counts > 0))
-        out.append((-1, bucket, None, once_twice(counts).tolist(), ranks.tolist(), totals, kinds))
+        pairs = counts[keys >> np.uint64(WORD_BITS) > 0]
+        out.append((-1, bucket, None, once_twice(pairs).tolist(), ranks.tolist(), totals, kinds))
         return pd.DataFrame(out, columns=[x.split()[0] for x in SUMMED.split(", ")])
 
     return partial.where("bucket >= 0").groupBy("bucket").applyInPandas(run, SUMMED)
 
 
-def trie_scores(requests: DataFrame, lex, hot: Hot, folder: str, shards: int, buckets: int) -> DataFrame:
+def trie_scores(requests: DataFrame, tokens: int, kinds_in_all: int, hot: Hot, folder: str, shards: int, buckets: int) -> DataFrame:
     """A row for each block of a shard: its texts' sums of log10 P over the shard's trigrams. Sums over shards are staged in the folder."""
     partial = staged(partial_counts(requests, hot, buckets), folder, "partial")
     summed_counts(partial).repartition(shards, "shard").write.partitionBy("shard").parquet(f"{folder}/summed")
     summed = requests.sparkSession.read.schema(SUMMED).parquet(f"{folder}/summed").where("shard = -1")
-    totals, kinds = np.zeros(len(hot.h), np.int64), np.zeros(len(hot.h), np.int64)
+    totals, kinds = np.zeros(len(hot.h) + 1, np.int64), np.zeros(len(hot.h) + 1, np.int64)
     for r in summed.selectExpr("inline(arrays_zip(ranks, totals, kinds))").groupBy("ranks").agg(F.sum("totals"), F.sum("kinds")).collect():
         totals[r[0]], kinds[r[0]] = r[1], r[2]
     part = partial.where("bucket = -1").agg(*[F.sum(F.col("seen")[i]) for i in range(4)]).first()
@@ -385,21 +340,18 @@ def trie_scores(requests: DataFrame, lex, hot: Hot, folder: str, shards: int, bu
         got = dataset(f"{path}/summed/shard={k}", filesystem=fs, format="parquet").to_table(columns=["bucket", "counts"]).to_pandas().sort_values("bucket")
         return np.concatenate([unpack(x) for x in got["counts"]]).astype(np.int64)
 
-    def build(shard: Shard, k: int) -> Trie:
+    def build(shard: Shard, shared: np.ndarray, counts: np.ndarray) -> Trie:
         pair, pair_n = shard.whole_pairs(hot)
-        shared = shard.shared_pairs(hot, buckets)[0]
         asked = np.unique(shared // shard.size)
-        if len(shared):
-            counts = answers(k)
-            pair, pair_n = np.concatenate([pair, shared[counts > 0]]), np.concatenate([pair_n, counts[counts > 0]])
-            order = np.argsort(pair)
-            pair, pair_n = pair[order], pair_n[order]
+        pair, pair_n = np.concatenate([pair, shared[counts > 0]]), np.concatenate([pair_n, counts[counts > 0]])
+        order = np.argsort(pair)
+        pair, pair_n = pair[order], pair_n[order]
         of = pair // shard.size
         context = np.union1d(of, asked)
         at = np.searchsorted(context, of)
         total, kind = np.bincount(at, pair_n, len(context)).astype(np.int64), np.bincount(at, minlength=len(context))
         rank = hot.rank(shard.words[context])
-        total[rank >= 0], kind[rank >= 0] = totals[rank[rank >= 0]], kinds[rank[rank >= 0]]
+        total[rank >= 0], kind[rank >= 0] = totals[rank[rank >= 0] + 1], kinds[rank[rank >= 0] + 1]
         held = total > 0
         seen = shard.counts > 0
         return Trie.build(shard.near[seen], shard.far[seen], shard.word[seen], shard.counts[seen], shard.size, (pair, pair_n), (context[held], total[held], kind[held]), discounts)
@@ -407,9 +359,11 @@ def trie_scores(requests: DataFrame, lex, hot: Hot, folder: str, shards: int, bu
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, pdf in by_shard(batches):
             shard = Shard(pdf)
-            base = lex.value.probability(shard.words)
+            item, counts = shard.shared(hot, buckets)[0], answers(k)
+            base, pairs = np.zeros(shard.size), item >= 0
+            base[item[~pairs] + shard.size] = (counts[~pairs] + ADD) / (tokens + ADD * (kinds_in_all + 1))
             log = np.empty(len(shard.first))
-            with TemporaryTrie(build(shard, k)) as trie:
+            with TemporaryTrie(build(shard, item[pairs], counts[pairs])) as trie:
                 for i in range(0, len(log), 500_000):
                     j = slice(i, i + 500_000)
                     log[j] = np.log10(trie.probability(shard.near[j], shard.far[j], shard.word[j], base[shard.word[j]]))
@@ -427,25 +381,17 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
     The model learns from rows whose crc32(doc_id) mod 10 is not 0. A null text is empty and has its end alone;
     a null id counts as the empty text; repeated rows count and are scored each. Work tables are staged in the folder.
     """
-    spark = docs.sparkSession
     rows = keyed(docs)
     texts = trained(rows)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     tokens = chars // 5 + 1
     counts = staged(word_counts(word_requests(texts, -(-tokens // WORD_SHARD))), folder, "counts")
 
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"tokens": pdf["tokens"], "kinds": [len(unpack(x)) for x in pdf["counts"]]})
-
-    total = counts.where("block = -1").select("tokens", "counts").mapInPandas(sizes, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
-    n, v = total[0] or 0, total[1] or 0
-    words = lexicon(counts, n)
-    often = words.c > HOT
-    hot, lex = contexts_of(words.h[often], words.c[often]), spark.sparkContext.broadcast(words)
+    total = counts.where("block = -1").agg(F.sum("tokens"), F.sum("kinds")).first()
+    n, v, hot = total[0] or 0, total[1] or 0, frequent(counts)
     shards, buckets = -(-tokens // TRIE_SHARD), -(-tokens // WORD_SHARD)
     requests = dealt(trigram_requests(texts, hot, shards), shards)
-    scores = trie_scores(requests, lex, hot, folder, shards, buckets)
+    scores = trie_scores(requests, n, v, hot, folder, shards, buckets)
     base = by_text(counts.where("block >= 0").select("block", "keys", "n", "known", "logs"), {"n": "long", "known": "long", "logs": "f8"})
     model = by_text(scores, {"score": "f4"})
     each = np.log10(n + ADD * (v + 1))

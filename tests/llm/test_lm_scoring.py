@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from occuflow.llm import lm_scoring
@@ -103,5 +104,18 @@ def test_scores_do_not_depend_on_the_split(make_docs, folder, monkeypatch):
         assert all(abs(split[i] / x - 1) < 1e-5 for i, x in whole.items()), name
 
 
+def test_rare_words_keep_their_own_counts(make_docs, folder):
+    # over 2^20 tokens a word seen once shared a bucket, of the first 16 bits of its hash, with unseen ones
+    top = lambda w: xxhash.xxh64_intdigest(w.encode()) >> 48
+    unseen = next(w for i in range(10**7) if top(w := f"u{i}") == top("rare"))
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = sorted(set(range(1000)) - set(held))
+    texts = {train[0]: "c " * 1_200_000, train[1]: "z rare", **{i: f"a{i} b{i}" for i in train[2:200]}, held[0]: "q rare q", held[1]: f"q {unseen} q"}
+    docs = make_docs([], [(i, t, None, None, None) for i, t in texts.items()])
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, folder).collect()}
+    # 1.1 against 0.1 of a count; then q backs off from the seen word with the discount, 0.95 here, and from the unseen one with 1
+    assert abs(got[held[0]]["score"] - got[held[1]]["score"] - math.log10(11 * 0.95)) < 0.06
+
+
 def test_empty_table(make_docs, folder):
     assert lm_scoring.score(make_docs(["a"]).limit(0), folder).count() == 0
