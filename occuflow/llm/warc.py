@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import open_fs, shared_folder, staged, table
@@ -23,7 +23,7 @@ from .common import open_fs, shared_folder, staged, table
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 100
-#: Revisits up to this many rows (16 bytes each) are broadcast; more are joined by a shuffle.
+#: Revisits up to this many rows (about 100 bytes each, with their digests) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Read ranges: the largest hole read over, the largest read.
 HOLE, READ = 64 << 10, 8 << 20
@@ -31,12 +31,15 @@ HOLE, READ = 64 << 10, 8 << 20
 PART = 16 << 20
 
 
+def payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload an earlier page has; only ids and digests are shuffled."""
-    data = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    ids = pages.select("page_id", F.sha2(data, 256).alias("d"), F.length(data).alias("n")).where(F.col("n") >= MIN_REVISIT).select("page_id", "d")
+    """(page_id, d, refers_to) of ids and payload digests that an earlier page has; only ids and digests are shuffled."""
+    ids = pages.select("page_id", F.sha2(payload(), 256).alias("d"), F.length(payload()).alias("n")).where(F.col("n") >= MIN_REVISIT).select("page_id", "d")
     first = ids.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return ids.join(first, "d").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return ids.join(first, "d").where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def record(url: str, page_id, payload: bytes, refers_to) -> tuple[bytes, str]:
@@ -156,12 +159,14 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
     """Archive pages (null html: empty; null url: empty) and return the index, staged in the folder.
 
     Of pages with equal payloads of at least MIN_REVISIT bytes the smallest page_id is the response.
-    A repeated row (same page_id and payload) is written again as the response it is.
+    A repeated row (same page_id and payload) is written again as the response it is; rows of one page_id
+    with different payloads are told apart by their digests.
     """
     again = staged(revisits(pages), folder, "revisits")
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
-    return staged(write(pages.join(again, "page_id", "left"), f"{folder}/warc"), folder, "index")
+    rows = pages.select("page_id", "url", "html", F.sha2(payload(), 256).alias("d"))
+    return staged(write(rows.join(again, ["page_id", "d"], "left"), f"{folder}/warc"), folder, "index")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

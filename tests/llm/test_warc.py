@@ -31,6 +31,17 @@ def test_round_trip(spark, folder):
     assert [r["page_id"] for r in some] == [9]
 
 
+def test_one_id_with_different_payloads(spark, folder):
+    a, b, c = "a" * 200, "b" * 200, "c" * 200
+    pages = [(1, a), (2, b), (3, a), (3, b), (3, c), (None, a)]
+    df = spark.createDataFrame([(i, "http://a/", h) for i, h in pages], "page_id long, url string, html string")
+    rows = warc.read(warc.archive(df, folder), f"{folder}/warc", payload=True).collect()
+    got = sorted(((r["page_id"] or 0, r["payload_digest"], r["refers_to"], bytes(r["payload"]).decode()) for r in rows), key=repr)
+    of = lambda h: hashlib.sha256(h.encode()).hexdigest()
+    want = [(1, of(a), None, a), (2, of(b), None, b), (3, of(a), 1, ""), (3, of(b), 2, ""), (3, of(c), None, c), (0, of(a), None, a)]
+    assert got == sorted(want, key=repr)
+
+
 def test_ranges_coalesce():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 10 + warc.HOLE + 11, 5), ("b", 0, 3)]
     got = [(f, s, e, len(h)) for f, s, e, h in warc.ranges(rows)]
