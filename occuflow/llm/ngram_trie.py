@@ -14,7 +14,6 @@ import tempfile
 
 import numpy as np
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: For each byte and k, the place of its k-th set bit.
 _SELECT = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
 #: Least logarithm (base 10) that a byte holds.
@@ -30,8 +29,27 @@ def quantised(p: np.ndarray) -> np.ndarray:
 LEVELS = np.concatenate([[0.0], 10 ** (LEAST * (1 - np.arange(255) / 254))])
 
 
+def byte_counts(x: np.ndarray) -> np.ndarray:
+    """For each 64-bit word, the numbers of set bits up to the end of each of its bytes, a byte each."""
+    x = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    x = (x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)
+    return x * np.uint64(0x0101010101010101)
+
+
+def select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of each word's k-th set bit."""
+    upto = byte_counts(x)
+    byte = np.zeros(len(x), np.uint64)
+    for b in range(7):
+        byte += ((upto >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64) <= k
+    shift = byte * np.uint64(8)
+    before = (((upto << np.uint64(8)) >> shift) & np.uint64(255)).astype(np.int64)
+    return shift.astype(np.int64) + _SELECT[((x >> shift) & np.uint64(255)).astype(np.int64), np.minimum(k - before, 7)]
+
+
 class EliasFano:
-    """A non-decreasing sequence: low bytes as they are, high parts as a unary bit vector with a rank directory over its bytes."""
+    """A non-decreasing sequence: low bytes as they are, high parts as a unary vector of 64-bit words, with a rank directory of half its size."""
 
     def __init__(self, n: int, shift: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.shift, self.low, self.high, self.ones = n, shift, low, high, ones
@@ -44,10 +62,11 @@ class EliasFano:
         shift = min((0, 8, 16, 24), key=lambda s: n * s + n + (top >> s))
         kind = {0: np.uint8, 8: np.uint8, 16: np.uint16, 24: np.uint32}[shift]
         low = (x & ((1 << shift) - 1)).astype(kind) if shift else np.zeros(0, np.uint8)
-        bits = np.zeros(n + (top >> shift) + 2, np.uint8)
+        bits = np.zeros(-(-(n + (top >> shift) + 2) // 64) * 64, np.uint8)
         bits[(x >> shift) + np.arange(n)] = 1
-        high = np.packbits(bits, bitorder="little")
-        return cls(n, shift, low, high, np.concatenate([[0], np.cumsum(_POP[high], dtype=np.int64)]).astype(np.uint32))
+        high = np.packbits(bits, bitorder="little").view("<u8").astype(np.uint64)
+        each = (byte_counts(high) >> np.uint64(56)).astype(np.int64)
+        return cls(n, shift, low, high, (np.cumsum(each) - each).astype(np.uint32))
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.n, self.shift], np.int64), self.low, self.high, self.ones]
@@ -57,17 +76,17 @@ class EliasFano:
         return cls(int(parts[0][0]), int(parts[0][1]), *parts[1:])
 
     def select1(self, i: np.ndarray) -> np.ndarray:
-        byte = np.searchsorted(self.ones, i, side="right") - 1
-        return byte * 8 + _SELECT[self.high[byte], i - self.ones[byte]]
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        return word * 64 + select_in_word(self.high[word], i - self.ones[word].astype(np.int64))
 
     def zeros_before(self, h: np.ndarray) -> np.ndarray:
         """Number of elements whose high part is below h: ones before the h-th zero bit."""
         if self.zeros is None:
-            self.zeros = 8 * np.arange(len(self.ones)) - self.ones
-        byte = np.searchsorted(self.zeros, h, side="left") - 1  # the last byte with fewer than h zeros before it
-        byte = np.maximum(byte, 0)
-        place = _SELECT[~self.high[byte], np.clip(h - 1 - self.zeros[byte], 0, 7)]
-        return np.where(h > 0, 8 * byte + place - (h - 1), 0)
+            self.zeros = 64 * np.arange(len(self.ones)) - self.ones
+        k = np.maximum(h - 1, 0)
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        place = select_in_word(~self.high[word], k - self.zeros[word])
+        return np.where(h > 0, 64 * word + place - k, 0)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         high = self.select1(i) - i
@@ -126,6 +145,12 @@ def pair_counts(near: np.ndarray, word: np.ndarray, counts: np.ndarray, size: in
     return grouped(key[order], counts[order])
 
 
+def context_counts(of: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted contexts of successors: the distinct ones, their totals and their numbers of successors."""
+    context, start = np.unique(of, return_index=True)
+    return context, np.add.reduceat(counts, start) if len(of) else counts, np.diff(np.append(start, len(of)))
+
+
 class Trie:
     """Built from sorted training trigrams (near, far, word) of numbers below ``size``; near is the word just before."""
 
@@ -135,16 +160,13 @@ class Trie:
         self.size, self.fano, self.codes = size, fano, codes
 
     @classmethod
-    def build(cls, near: np.ndarray, far: np.ndarray, word: np.ndarray, counts: np.ndarray, size: int, pairs=None, contexts=None, discounts=None) -> Trie:
-        """Of a part of the model, give what lies beyond it: all counts of its pairs (sorted keys, counts), its near words' (numbers, totals, kinds), both discounts."""
+    def build(cls, near: np.ndarray, far: np.ndarray, word: np.ndarray, counts: np.ndarray, size: int, pairs=None, contexts=None, doubles=None, discounts=None) -> Trie:
+        """Of a part of the model, give what lies beyond it: all counts of its pairs (sorted keys, counts), its contexts of one word and of two (sorted keys, totals, kinds), both discounts."""
         # level 2
         key = near * size + word
         pair, pair_n = pairs or pair_counts(near, word, counts, size)
         of = pair // size
-        if contexts is None:
-            context, start = np.unique(of, return_index=True)
-            contexts = context, np.add.reduceat(pair_n, start) if len(pair) else pair_n, np.diff(np.append(start, len(pair)))
-        context, total, kinds = contexts
+        context, total, kinds = contexts or context_counts(of, pair_n)
         start = np.searchsorted(of, context)
         listed = np.diff(np.append(start, len(pair)))
         d2, d3 = discounts or (discount(pair_n), discount(counts))
@@ -152,10 +174,8 @@ class Trie:
         codes = {"pair": quantised(np.maximum(pair_n - d2, 0) / total[at]), "near_back": quantised(d2 * kinds / np.maximum(total, 1))}
         # level 3: contexts of two words, and their successors' places in the nearer word's list
         double = near * size + far
-        far_key, far_start = np.unique(double, return_index=True)
-        far_total = np.add.reduceat(counts, far_start) if len(double) else counts
-        far_kinds = np.diff(np.append(far_start, len(double)))
-        far_at = np.repeat(np.arange(len(far_key)), far_kinds)
+        far_key, far_total, far_kinds = doubles or context_counts(double, counts)
+        far_at = np.searchsorted(far_key, double)
         codes |= {"triple": quantised(np.maximum(counts - d3, 0) / far_total[far_at]), "far_back": quantised(d3 * far_kinds / np.maximum(far_total, 1))}
         place = np.searchsorted(pair, key) - start[np.searchsorted(context, near)] if len(key) else key
         # a context's relative numbers are lifted by the lengths of the lists of the contexts before it
