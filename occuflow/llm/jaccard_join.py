@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, staged, table
 from .components import components
-from .shingles import pack, pack_sorted, pieces, shingle_hashes, unpack, unpack_sorted, word_hashes, word_memo
+from .shingles import pack, pack_sorted, pieces, shingle_hashes, unpack, unpack_sorted, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Shingles of one packed block of texts, and of one counting shard.
@@ -42,9 +42,9 @@ REGION_ROWS, REGION_SHINGLES, PIVOTS, ROUNDS = 4000, 2_000_000, 8, 3
 LEAF = 48
 
 
-def sets_of(texts: list[str | None], memo, width: int) -> list[np.ndarray]:
+def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    flat, sizes = word_hashes(texts, memo)
+    flat, sizes = word_hashes(texts)
     h, of = shingle_hashes(flat, sizes, width)
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
@@ -65,12 +65,12 @@ def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH, percent:
     """
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, number = word_memo(), TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         for pdf in batches:
             lengths = pdf["text"].map(lambda t: len(t) if t else 0).to_numpy() // 5
             for part in pieces(lengths, BLOCK):
                 ids = pdf["doc_id"].iloc[part].to_numpy()
-                sets = sets_of(list(pdf["text"].iloc[part]), memo, width)
+                sets = sets_of(list(pdf["text"].iloc[part]), width)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) >> np.uint64(64 - bits)
                 order = np.argsort(flat, kind="stable")
@@ -134,11 +134,10 @@ def sets_table(docs: DataFrame, digest_only: bool, width: int = WIDTH) -> DataFr
     """(doc_id, sig) or (doc_id, n, set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = word_memo()
         for pdf in batches:
             for i in range(0, len(pdf), 300):
                 part = pdf.iloc[i : i + 300]
-                raw = [s.tobytes() for s in sets_of(list(part["text"]), memo, width)]
+                raw = [s.tobytes() for s in sets_of(list(part["text"]), width)]
                 if digest_only:
                     yield pd.DataFrame({"doc_id": part["doc_id"], "sig": [xxhash.xxh3_128_digest(r) for r in raw]})
                 else:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import id_crc, open_fs, shared_folder, staged, table
 from .ngram_trie import TemporaryTrie, Trie, context_counts, discount_of, once_twice, pair_counts
-from .shingles import mixed, pack, pack_sorted, pieces, unpack, unpack_sorted, word_hashes, word_memo
+from .shingles import mixed, pack, pack_sorted, pieces, unpack, unpack_sorted, word_hashes
 
 #: Tokens that no word equals: the end of a text, and what stands before its start.
 END, START = b"\n", b"\t"
@@ -51,12 +51,12 @@ def trained(docs: DataFrame, held_out_remainder: int = 0) -> DataFrame:
 
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray]]:
     """(number, rows, word hashes, sizes) of blocks of texts; numbers are the same whenever the partition is read."""
-    memo, number = word_memo(), TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 32
     for pdf in batches:
         lengths = pdf["text"].map(lambda t: len(t) if t else 0).to_numpy() // 5
         for part in pieces(lengths, BLOCK):
             rows = pdf.iloc[part]
-            yield number, rows, *word_hashes(list(rows["text"]), memo, END)
+            yield number, rows, *word_hashes(list(rows["text"]), END)
             number += 1
 
 
@@ -208,7 +208,7 @@ def trigram_requests(docs: DataFrame, totals: Totals, shards: int, folder: str)
             far[begin] = s
             far[begin[sizes > 1] + 1] = s
             text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            shard = shard_of(salted(near, far, word, text + np.int32(number & 0xFFFF), words, hot), shards).astype(np.int32)
+            shard = shard_of(salted(near, far, word, text + np.int32(number & 0xFFFF), words, hot), shards).astype(np.uint16 if shards <= 1 << 16 else np.int64)
             order = sorted_order(near, far, word, len(words))
             order = order[np.argsort(shard[order], kind="stable")]
             near, far, word, text, shard = near[order], far[order], word[order], text[order], shard[order]

@@ -15,7 +15,9 @@ import tempfile
 import numpy as np
 
 #: For each byte and k, the place of its k-th set bit.
-_SELECT = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
+_SELECT = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint64)
+#: The lowest, and the highest, bit of each byte of a word.
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 #: Least logarithm (base 10) that a byte holds.
 LEAST = -9.0
 
@@ -34,18 +36,18 @@ def byte_counts(x: np.ndarray) -> np.ndarray:
     x = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
     x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
     x = (x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)
-    return x * np.uint64(0x0101010101010101)
+    return x * _EACH
 
 
 def select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The place of each word's k-th set bit."""
-    upto = byte_counts(x)
-    byte = np.zeros(len(x), np.uint64)
-    for b in range(7):
-        byte += ((upto >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64) <= k
-    shift = byte * np.uint64(8)
-    before = (((upto << np.uint64(8)) >> shift) & np.uint64(255)).astype(np.int64)
-    return shift.astype(np.int64) + _SELECT[((x >> shift) & np.uint64(255)).astype(np.int64), np.minimum(k - before, 7)]
+    upto, k = byte_counts(x), k.astype(np.uint64)
+    # all bytes are compared with k at once; those that don't exceed it are counted
+    within = ((((k * _EACH) | _TOP) - upto) & _TOP) >> np.uint64(7)
+    shift = ((within * _EACH) >> np.uint64(56)) << np.uint64(3)
+    before = ((upto << np.uint64(8)) >> shift) & np.uint64(255)
+    byte = (x >> shift) & np.uint64(255)
+    return (shift + _SELECT.take((byte << np.uint64(3) | (k - before)).astype(np.int64))).astype(np.int64)
 
 
 class EliasFano:

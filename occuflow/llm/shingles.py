@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
 import zstandard
 
-from .hashing import Memo
-
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 
@@ -20,17 +19,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_memo() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, 150_000)
-
-
-def word_hashes(texts: Iterable[str | None], memo: Memo, end: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: Iterable[str | None], end: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, each closed by ``end`` if given, and each text's number of them."""
     # bytes.lower() changes A-Z alone, bytes.split() splits at 0x20 and 0x09-0x0D alone
     last = [] if end is None else [end]
     split = [(t or "").encode().lower().split() + last for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((memo[w] for ws in split for w in ws), np.uint64, int(sizes.sum()))
+    flat = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
     return flat, sizes
 
 
