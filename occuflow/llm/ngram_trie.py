@@ -105,17 +105,18 @@ class EliasFano:
         lo, end = self.zeros_before(h), self.zeros_before(h + 1)
         if not self.shift:
             return np.where(inside & (lo < end), lo, -1)
-        want = (x & ((1 << self.shift) - 1)).astype(np.int64)
-        live, lo_, hi_ = np.flatnonzero(lo < end), lo, end.copy()
-        while len(live):  # first element of [lo, end) whose low part is not below
-            mid = (lo_[live] + hi_[live]) >> 1
-            less = self.low[mid] < want[live]
-            lo_[live[less]] = mid[less] + 1
-            hi_[live[~less]] = mid[~less]
-            live = live[lo_[live] < hi_[live]]
-        hit = inside & (lo < end)
-        hit &= self.low[np.minimum(lo, self.n - 1)] == want
-        return np.where(hit, lo, -1)
+        want = (x & ((1 << self.shift) - 1)).astype(self.low.dtype)
+        out, live = np.full(len(x), -1), np.flatnonzero(inside & (lo < end))
+        lo, end, want = lo[live], end[live], want[live]
+        while len(live):  # halve [lo, end) until its middle is the value or nothing is left
+            mid = (lo + end) >> 1
+            here = self.low[mid]
+            hit, less = here == want, here < want
+            out[live[hit]] = mid[hit]
+            lo, end = np.where(less, mid + 1, lo), np.where(less, end, mid)
+            on = np.flatnonzero(~hit & (lo < end))
+            live, lo, end, want = live[on], lo[on], end[on], want[on]
+        return out
 
 
 def once_twice(counts: np.ndarray) -> np.ndarray:
