@@ -1,20 +1,22 @@
 """N-gram Jaccard join: an exact metric-space join of shingle sets.
 
+With the distance d = 1 - similarity, a metric, and the radius r of a link:
+
 1. A text may lack only so many of its shingles in one that it links to. Sorted, truncated shingle
    hashes are counted in shards; a text that has more shingles of its own alone has no link.
-   (Truncation can only keep more.)
-2. Equal sets collapse to one representative each.
-3. Of representatives, two that link share one of their first shingles in hash order, as many as they
-   may lack of each other and one more. The least representative that has such a shingle is a
-   pivot; all that share it with the pivot form a region, so linked sets meet in a region.
-   Two sets that meet in several regions are joined in the least one alone: members with no partner
-   left in a region, by that or because their first shingles rule it out, leave it before sets are sent.
-4. Regions join recursively by the Jaccard distance, a metric: members go to the Voronoi cell of the
-   nearest of several new pivots, and to further cells whose pivots are nearer than the home
-   distance plus twice the radius; members far from all pivots form an outer cell. Cells that no
-   longer shrink are compared in full. Regions too large for a task are first split by rounds of
-   the same step over the cluster, and at last into tiles of pairs of parts.
-5. Regions return a spanning forest of their links, from which components follow.
+   (Truncation can only keep more.) Equal sets collapse to one node each.
+2. Pivots are chosen in rounds until every node is within r of one. Distances of all nodes to a round's pivots are
+   computed where they may be 2r or less: such two sets share one of their first shingles, rarest first, as
+   many as they may lack of each other and one more. A round's pivots are, of the nodes that no pivot
+   covers yet and that share one of the first shingles for r, the one of least hash; the last round takes all that are left.
+3. Every node is at home in the Voronoi region of its nearest pivot. It links to that pivot, so homes of one region
+   are one component and are never compared, however many they are.
+4. If x and y link and y is at home at q, then d(x, q) <= d(y, q) + r <= 2r: the window in which x is replicated to the
+   region of q, as a boundary node, unless it links to q or is of its component anyway. Of q's homes only those can link to x
+   for which d(y, q) >= d(x, q) - r. Boundary nodes and such homes are dealt in tiles of bounded size; regions whose farthest home is nearer than d(x, q) - r don't get x at all.
+5. In a tile, nodes join recursively: to the Voronoi cell of the nearest of a few further pivots, and to further cells
+   whose pivots are nearer than the home distance plus 2r; those far from all pivots form an outer cell. Cells that no longer shrink are
+   compared in full, by size, where components differ.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, staged, table
@@ -37,9 +39,12 @@ WIDTH, PERCENT = 4, 85
 BLOCK, SHARD = 600_000, 2_000_000
 #: Ids up to this many are broadcast to filter texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Members and shingles of a region that one task joins; pivots and rounds of the split of larger ones.
-REGION_ROWS, REGION_SHINGLES, PIVOTS, ROUNDS = 4000, 2_000_000, 8, 3
-LEAF = 48
+#: Rounds that choose pivots by shingles, before all nodes that are left become pivots.
+ROUNDS = 3
+#: Nodes and shingles of each kind (boundary, home) in a tile.
+TILE_ROWS, TILE_SHINGLES = 2000, 1_000_000
+#: Pivots of a task's own recursion, and nodes that are compared without it.
+PIVOTS, LEAF = 8, 48
 
 
 def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -120,131 +125,102 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def representatives(sigs: DataFrame, salts: int = 32) -> DataFrame:
-    """(doc_id, rep): the least id of an equal set. Copies are dealt by salts, so that a large group isn't one task's."""
-    salted = sigs.withColumn("salt", F.pmod("doc_id", F.lit(salts)).cast("int"))
-    least = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    single = least.where("c = 1").select(F.col("rep").alias("doc_id"), "rep")
-    dealt = least.where("c > 1").select("sig", "rep", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
-    both = salted.join(dealt, ["sig", "salt"]).select("doc_id", "rep")
-    return single.union(both).groupBy("doc_id").agg(F.min("rep").alias("rep"))
-
-
 def sets_table(docs: DataFrame, digest_only: bool, width: int = WIDTH) -> DataFrame:
-    """(doc_id, sig) or (doc_id, n, set)."""
+    """(doc_id, node) or (doc_id, node, n, set): a node is the 64-bit hash of a set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 300):
                 part = pdf.iloc[i : i + 300]
                 raw = [s.tobytes() for s in sets_of(list(part["text"]), width)]
-                if digest_only:
-                    yield pd.DataFrame({"doc_id": part["doc_id"], "sig": [xxhash.xxh3_128_digest(r) for r in raw]})
-                else:
-                    yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(r) // 8 for r in raw], "set": raw})
+                out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "node": np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)})
+                yield out if digest_only else out.assign(n=[len(r) // 8 for r in raw], set=raw)
 
-    return docs.mapInPandas(run, "doc_id long, sig binary" if digest_only else "doc_id long, n long, set binary")
+    return docs.mapInPandas(run, "doc_id long, node long" + ", n long, set binary" * (not digest_only))
 
 
-def most_missing(n: np.ndarray | int, percent: int):
-    """How many of its n shingles a set may lack in one that it links to."""
+def most_missing(n, percent: int):
+    """How many of its n shingles a set may lack in one of at least that similarity; n is a number, array or column."""
+    if isinstance(n, Column):
+        return n - F.ceil(n * percent / 100)
     return n - (-(-n * percent // 100))
 
 
-def first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, first): each set's first shingles in hash order; sets are sorted."""
+def first_keys(sets: DataFrame, percent: int, wide: int) -> DataFrame:
+    """(node, n, key, near): the first shingles of each set, rarest first, that sets of a similarity of ``wide`` percent share one of, and whether ``percent`` leaves them among the first.
+
+    Shingles of one set alone come first of all; they are counted, not listed. A set that has none left that count for ``percent`` has no link.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pdf["n"], "first": [np.frombuffer(s, np.int64)[: most_missing(len(s) // 8, percent) + 1] for s in pdf["set"]]})
-
-    return sets.select("doc_id", "n", "set").mapInPandas(run, "doc_id long, n long, first array<long>")
-
-
-def meetings(region: int, ids: np.ndarray, regions: list[np.ndarray]) -> Region:
-    """Members of a region with the lesser regions that each is in, and a number of its own after them; those that overlap meet earlier."""
-    earlier = [np.asarray(r, np.int64) for r in regions]
-    earlier = [r[r < region] for r in earlier]
-    known = np.unique(np.concatenate(earlier))
-    return Region(ids, [np.append(np.searchsorted(known, r), len(known) + i) for i, r in enumerate(earlier)])
-
-
-def first_met(region: int, ids: np.ndarray, regions: list[np.ndarray]) -> np.ndarray:
-    """Which members of a region have another there that they meet in no lesser region."""
-    met = meetings(region, ids, regions)
-    out = np.zeros(len(ids), bool)
-    for i in range(len(ids) - 1):
-        rows = np.arange(i + 1, len(ids))
-        if out[i]:
-            rows = rows[~out[rows]]
-        if len(rows):
-            new = rows[met.overlaps(i, *met.gathered(rows)) == 0]
-            out[new] = True
-            out[i] |= len(new) > 0
-    return out
+            for i in range(0, len(pdf), 1000):
+                part = pdf.iloc[i : i + 1000]
+                n = part["n"].to_numpy()
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), n), "n": np.repeat(n, n), "key": np.frombuffer(b"".join(part["set"]), np.int64)})
 
+    keys = sets.select("node", "n", "set").mapInPandas(run, "node long, n long, key long")
+    common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    listed = keys.join(common, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    first = listed.select("node", "n", "s", (most_missing(F.col("n"), percent) + 1 - own).alias("near"), (most_missing(F.col("n"), wide) + 1 - own).alias("wide")).where("near > 0")
+    each = first.select("node", "n", "near", F.posexplode(F.slice("s", 1, F.col("wide").cast("int"))).alias("i", "x"))
+    return each.select("node", "n", F.col("x.key").alias("key"), (F.col("i") < F.col("near")).alias("near"))
 
-def partnered(ids: np.ndarray, n: np.ndarray, first: list[np.ndarray], met: Region, percent: int) -> np.ndarray:
-    """Which sets of a region have another there that they may link to and meet in no lesser region, judged by first shingles alone.
 
-    Of two sets, the one whose first shingles end earlier has all others beyond that end, so the two
-    share at most their common first shingles and the rest of that one.
-    """
-    order = np.argsort(n, kind="stable")
-    n, first = n[order], [first[i].view(np.uint64) for i in order]
-    front = Region(ids[order], first)
-    last, rest = np.array([f[-1] for f in first]), n - front.n
-    alive = np.zeros(len(n), bool)
-    most = np.searchsorted(n, n * 100 // percent, side="right")
-    for i in range(len(n) - 1):
-        rows = np.arange(i + 1, most[i])
-        if alive[i]:
-            rows = rows[~alive[rows]]
-        if not len(rows):
-            continue
-        rows = rows[met.overlaps(order[i], *met.gathered(order[rows])) == 0]
-        if not len(rows):
-            continue
-        bound = front.overlaps(i, *front.gathered(rows)) + np.where(last[rows] < last[i], rest[rows], rest[i])
-        hit = rows[100 * bound >= percent * (n[i] + n[rows] - bound)]
-        alive[hit] = True
-        alive[i] |= len(hit) > 0
-    out = np.zeros(len(n), bool)
-    out[order] = alive
-    return out
-
-
-def with_partners(homes: DataFrame, firsts: DataFrame, folder: str, percent: int = PERCENT, rows: int = REGION_ROWS) -> DataFrame:
-    """The (region, doc_id) of homes that may have a link in the region; larger regions than ``rows`` stay as they are.
-
-    A set is in at most as many regions as it has first shingles, so its list of them is bounded by it.
-    """
+def overlap(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x))
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[first_met(pdf["region"].iloc[0], pdf["doc_id"].to_numpy(), list(pdf["regions"]))]
 
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, first = pdf["doc_id"].to_numpy(), [np.asarray(f, np.int64) for f in pdf["first"]]
-        met = meetings(pdf["region"].iloc[0], ids, list(pdf["regions"]))
-        return pdf.loc[partnered(ids, pdf["n"].to_numpy(), first, met, percent), ["region", "doc_id"]]
+def distances(pairs: DataFrame, sets: DataFrame, percent: int, wide: int) -> DataFrame:
+    """(node, pivot, n, similarity, near) of the pairs (node, pivot) of at least ``wide`` percent; near ones link."""
 
-    lists = homes.groupBy("doc_id").agg(F.collect_list("region").alias("regions"))
-    large = staged(homes.groupBy("region").count().where(F.col("count") > rows).select("region"), folder, "crowded")
-    small = homes.join(large, "region", "left_anti").join(lists, "doc_id").select("region", "doc_id", "regions")
-    met = staged(small.groupBy("region").applyInPandas(meet, small.schema), folder, "met")
-    kept = met.join(firsts, "doc_id").groupBy("region").applyInPandas(prune, "region long, doc_id long")
-    return kept.union(homes.join(large, "region", "left_semi").select("region", "doc_id"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = np.array([overlap(a, b) for a, b in zip(pdf["set"], pdf["pivot_set"], strict=True)], np.int64)
+            union = pdf["n"].to_numpy() + pdf["pivot_n"].to_numpy() - both
+            out = pdf[["node", "pivot", "n"]].assign(similarity=both / union, near=100 * both >= percent * union)
+            yield out[100 * both >= wide * union]
+
+    own = pairs.join(sets.select("node", "n", "set"), "node")
+    both = own.join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set")), "pivot")
+    return both.mapInPandas(run, "node long, pivot long, n long, similarity double, near boolean")
+
+
+def pivoted(keys: DataFrame, sets: DataFrame, folder: str, percent: int, wide: int) -> tuple[DataFrame, DataFrame]:
+    """Distances of nodes to pivots, and the pivots; every node of ``keys`` that may link is a pivot or near one."""
+    spark, near = keys.sparkSession, keys.where("near").select("node", "key")
+    shared = near.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    near = staged(near.join(shared, "key", "left_semi"), folder, "near")
+    left = staged(near.select("node").distinct(), folder, "left")
+    keys = staged(keys.join(left, "node", "left_semi").select("node", "n", "key"), folder, "wide")
+    k = 0
+    while True:
+        pick = near.join(left, "node", "left_semi").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("m")).select("m.node").distinct() if k < ROUNDS else left
+        chosen = staged(pick, f"{folder}/pivots", f"round={k}")
+        theirs = keys.join(chosen, "node", "left_semi").select("key", F.col("node").alias("pivot"), F.col("n").alias("m"))
+        fits = (F.col("node") != F.col("pivot")) & (100 * F.least("n", "m") >= wide * F.greatest("n", "m"))
+        pairs = staged(keys.join(theirs, "key").where(fits).select("node", "pivot").distinct(), folder, f"pairs{k}")
+        found = staged(distances(pairs, sets, percent, wide), f"{folder}/distances", f"round={k}")
+        covered = chosen.union(found.where("near").select("node"))
+        left = staged(left.join(covered, "node", "left_anti"), folder, f"left{k}")
+        k += 1
+        if not left.limit(1).count():
+            read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}").drop("round")
+            return read("distances", found.schema), read("pivots", chosen.schema)
 
 
 class Region:
-    """Members of a region: shingles as numbers below ``width``, end to end."""
+    """Nodes that a task joins: their components, and their shingles as numbers below ``width``, end to end."""
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray | None = None):
         self.ids = ids
         self.n = np.array([len(s) for s in sets], np.int64)
         self.universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.flat, self.ends = flat.astype(np.int64), np.cumsum(self.n)
-        self.label = np.arange(len(ids))  # the least member of each member's component
+        self.label = np.arange(len(ids)) if label is None else label  # the least member of each member's component
 
     def shingles(self, i: int) -> np.ndarray:
         return self.flat[self.ends[i] - self.n[i] : self.ends[i]]
@@ -307,75 +283,85 @@ def cell_masks(d: np.ndarray, percent: int) -> list[np.ndarray]:
     return [*((inner[:, None] & (d <= home[:, None] + 2 * r)).T), home >= 1 - r]
 
 
-def split(regions: DataFrame, percent: int, salts: int = 8) -> DataFrame:
-    """One round over the cluster: members (region, doc_id, n, set) of large regions go to the cells of PIVOTS pivots of their region."""
-    picks = [F.min_by(F.struct("doc_id", "set"), F.xxhash64(F.lit(k), "doc_id", "region")).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = regions.groupBy("region").agg(*picks).select("region", F.array(*[F.col(f"p{k}.set") for k in range(PIVOTS)]).alias("pivots"))
-    salted = pivots.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
-    dealt = regions.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts))).join(salted, ["region", "salt"])
+def boundaries(found: DataFrame, home: DataFrame, label: DataFrame, radius: float) -> DataFrame:
+    """(pivot, node, n, similarity): the windows of regions, nodes of other components at home at a lesser pivot and within r of the farthest home. One of two that link is in the other's window."""
+    reach = home.where("similarity < 1").groupBy("pivot").agg((F.min("similarity") - radius - 1e-9).alias("least"))
+    within = found.where("NOT near").join(reach, "pivot").where("similarity >= least")
+    far = within.join(home.select("node", F.col("pivot").alias("home")), "node").where("home < pivot")
+    of = label.select(F.col("node").alias("pivot"), F.col("label").alias("theirs"))
+    named = far.join(label, "node", "left").join(of, "pivot", "left")
+    return named.where(F.coalesce("label", "node") != F.coalesce("theirs", "pivot")).select("pivot", "node", "n", "similarity")
+
+
+def tiles(windows: DataFrame, home: DataFrame, radius: float, rows: int, shingles: int) -> DataFrame:
+    """(region, node): boundary nodes and those homes of their regions that they may link to, dealt to pairs of parts."""
+    count = lambda name: F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / shingles)).cast("int").alias(name)
+    met = windows.groupBy("pivot").agg(F.max("similarity").alias("closest"), count("boundary_parts"))
+    there = home.join(met, "pivot").where(1 - F.col("similarity") >= 1 - F.col("closest") - radius - 1e-9).drop("closest", "boundary_parts")
+    parts = there.groupBy("pivot").agg(count("home_parts")).join(met.select("pivot", "boundary_parts"), "pivot")
+    place = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = windows.join(parts, "pivot").select("pivot", "node", place("boundary_parts").alias("i"), every("home_parts").alias("j"))
+    b = there.join(parts, "pivot").select("pivot", "node", every("boundary_parts").alias("i"), place("home_parts").alias("j"))
+    return a.union(b).select(F.xxhash64("pivot", "i", "j").alias("region"), "node")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 200):
-                part = pdf.iloc[i : i + 200]
-                d = np.empty((len(part), PIVOTS))
-                for r, (mine, pivots) in enumerate(zip(part["set"], part["pivots"], strict=True)):
-                    a = np.frombuffer(mine, np.uint64)
-                    for k, p in enumerate(pivots):
-                        b = np.frombuffer(p, np.uint64)
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        d[r, k] = 1 - both / (len(a) + len(b) - both)
-                for k, mask in enumerate(cell_masks(d, percent)):
-                    if mask.any():
-                        cell = part.loc[mask, ["region", "doc_id", "n", "set"]]
-                        yield cell.assign(region=[xxhash.xxh64_intdigest(f"{x}/{k}") - (1 << 63) for x in cell["region"]])
-
-    return dealt.select("region", "doc_id", "n", "set", "pivots").mapInPandas(run, "region long, doc_id long, n long, set binary")
-
-
-def join_regions(members: DataFrame, folder: str, percent: int = PERCENT, rows: int = REGION_ROWS, shingles: int = REGION_SHINGLES) -> DataFrame:
-    """(a, b) spanning forests of the links in regions (region, doc_id, n, set)."""
+
+def join_tiles(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the components of tiles (region, node, label, set), as a spanning forest of labels."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        region = Region(pdf["doc_id"].to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf["set"]])
+        pdf = pdf.sort_values(["label", "node"])
+        label = pdf["label"].to_numpy()
+        region = Region(label, [np.frombuffer(s, np.uint64) for s in pdf["set"]], np.searchsorted(label, label))
+        before = region.label.copy()
         region.join(np.arange(len(pdf)), percent)
-        held = np.flatnonzero(region.label != np.arange(len(pdf)))
-        return pd.DataFrame({"a": region.ids[region.label[held]], "b": region.ids[held]})
-
-    ready = []
-    for k in range(ROUNDS + 1):
-        sizes = members.groupBy("region").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-        over = staged(sizes.where((F.col("members") > rows) | (F.col("total") > shingles)), folder, f"large{k}")
-        if not over.limit(1).count():
-            ready.append(members)
-            break
-        ready.append(members.join(over, "region", "left_anti"))
-        big = members.join(over, "region", "left_semi")
-        cells = staged(split(big, percent), folder, f"split{k}") if k < ROUNDS else None
-        if cells is None or cells.count() > 2.5 * big.count():  # the cells no longer shrink
-            ready.append(tiles(big, over, rows, shingles))
-            break
-        members = cells
-    whole = ready[0]
-    for x in ready[1:]:
-        whole = whole.union(x)
-    return whole.groupBy("region").applyInPandas(join, "a long, b long")
-
-
-def tiles(members: DataFrame, over: DataFrame, rows: int, shingles: int) -> DataFrame:
-    """Members of large regions dealt to pairs of parts, each pair a region of its own that fits a task."""
-    parts = over.select("region", F.ceil(2 * F.greatest(F.col("members") / rows, F.col("total") / shingles)).cast("int").alias("m"))
-    own = members.join(parts, "region").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("m")).cast("int"))
-    pairs = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    return pairs.select(F.xxhash64("region", F.least("i", "j"), F.greatest("i", "j")).alias("region"), "doc_id", "n", "set")
-
-
-def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent: int = PERCENT, **limits) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every distinct doc_id; links are exact.
-
-    A null text has no shingles and no links. Rows that repeat an id count as one document, the one of
-    most shingles; rows without an id form one row without a component. Work tables are staged in the folder.
+        held = np.flatnonzero(region.label != before)
+        return pd.DataFrame({"a": label[region.label[held]], "b": label[held]}).drop_duplicates()
+
+    return members.groupBy("region").applyInPandas(join, "a long, b long")
+
+
+def jaccard_links(sets: DataFrame, more: DataFrame, folder: str, percent: int, rows: int, shingles: int) -> DataFrame:
+    """(node, label): the component of every node that links, of the sets (node, n, set) and of the links ``more`` (a, b)."""
+    if not 50 < percent <= 100:
+        raise ValueError("a window of twice the radius must be less than the distance of sets without a common shingle: percent is over 50")
+    wide = 2 * percent - 100
+    keys = staged(first_keys(sets, percent, wide), folder, "keys")
+    found, pivots = pivoted(keys, sets, folder, percent, wide)
+    star = staged(found.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(more), folder, "star")
+    label = components(star, f"{folder}/stars").select(F.col("id").alias("node"), F.col("component").alias("label"))
+
+    own = pivots.select("node", F.col("node").alias("pivot"), F.lit(0).cast("long").alias("n"), F.lit(1.0).alias("similarity"))
+    nearest = F.max(F.struct("similarity", "pivot", "n")).alias("m")
+    home = found.where("near").select("node", "pivot", "n", "similarity").union(own).groupBy("node").agg(nearest).select("node", "m.pivot", "m.n", "m.similarity")
+    home = staged(home, folder, "homes")
+    windows = staged(boundaries(found, home, label, 1 - percent / 100), folder, "windows")
+    if not windows.limit(1).count():
+        return label
+    dealt = tiles(windows, home, 1 - percent / 100, rows, shingles)
+    members = dealt.join(label, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(sets.select("node", "set"), "node")
+    links = join_tiles(members, percent)
+    further = components(links, f"{folder}/further").withColumnRenamed("id", "label")
+    # a component of one node has no label yet
+    alone = further.select("label", "component").join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("component").alias("label"))
+    return label.join(further, "label", "left").select("node", F.coalesce("component", "label").alias("label")).union(alone)
+
+
+def least_ids(nodes: DataFrame, label: DataFrame, salts: int = 32) -> DataFrame:
+    """(doc_id, component): the least id of each id's component. Copies of a set are dealt by salts, so that a large group isn't one task's."""
+    salted = nodes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    least = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = least.groupBy("label").agg(F.min("rep").alias("component"), F.sum("c").alias("members")).where("members > 1")
+    dealt = least.join(of, "label").select("node", "component", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return salted.join(dealt, ["node", "salt"]).groupBy("doc_id").agg(F.min("component").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent: int = PERCENT, rows: int = TILE_ROWS, shingles: int = TILE_SHINGLES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every distinct doc_id; links are exact up to equal 64-bit hashes.
+
+    A null text has no shingles and no links. Rows that repeat an id are one document that links wherever one of its texts does
+    and has as many shingles as the largest; rows without an id form one row without a component. An empty table gives no rows.
+    Other columns are not read. Work tables are staged in the folder.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -385,23 +371,14 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
     bits = min(56, max(32, (chars // 6 + 1).bit_length() + 8))
     stats = staged(shares(known, shards, bits, width, percent), folder, "stats")
 
-    maybe = stats.where("maybe").select("doc_id")
-    sigs = staged(sets_table(only(known, maybe), True, width), folder, "sigs")
-    rep = staged(representatives(sigs), folder, "reps")
-
-    sets = staged(sets_table(only(known, rep.select(F.col("rep").alias("doc_id")).distinct()), False, width), folder, "sets")
-    firsts = staged(first_shingles(sets, percent), folder, "firsts")
-    keys = firsts.select("doc_id", F.explode("first").alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("other")).where("region <> other").drop("other")
-    homes = staged(keys.join(pivots, "key").select("region", "doc_id").distinct(), folder, "homes")
-    kept = with_partners(homes, firsts, folder, percent, limits.get("rows", REGION_ROWS))
-    kept = staged(kept, folder, "kept")
-    few = kept.count() <= BROADCAST_ROWS
-    members = staged(sets.join(F.broadcast(kept) if few else kept, "doc_id").select("region", "doc_id", "n", "set"), folder, "members")
-    links = join_regions(members, folder, percent, **limits)
-    of = components(links, folder)
-
-    whole = rep.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    nodes = staged(sets_table(only(known, stats.where("maybe").select("doc_id")), True, width).distinct(), folder, "nodes")
+    reps = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    drawn = sets_table(only(known, staged(reps.select("doc_id").distinct(), folder, "reps")), False, width)
+    sets = staged(drawn.join(reps, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "set").where("n > 0"), folder, "sets")
+    several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
+    label = jaccard_links(sets, nodes.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), folder, percent, rows, shingles)
+
+    whole = least_ids(nodes, staged(label, folder, "label"))
     out = stats.join(whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     nameless = texts.where(F.col("doc_id").isNull()).limit(1).select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.union(nameless) if nameless.count() else out
