@@ -5,16 +5,15 @@ With the distance d = 1 - similarity, a metric, and the radius r of a link:
 1. A text may lack only so many of its shingles in one that it links to. Sorted, truncated shingle
    hashes are counted in shards; a text that has more shingles of its own alone has no link.
    (Truncation can only keep more.) Equal sets collapse to one node each.
-2. Pivots are chosen in rounds until every node is within r of one. Distances of all nodes to a round's pivots are
-   computed where they may be 2r or less: such two sets share one of their first shingles, rarest first, as
-   many as they may lack of each other and one more. A round's pivots are, of the nodes that no pivot
-   covers yet and that share one of the first shingles for r, the one of least hash; the last round takes all that are left.
-3. Every node is at home in the Voronoi region of its nearest pivot. It links to that pivot, so homes of one region
-   are one component and are never compared, however many they are.
-4. If x and y link and y is at home at q, then d(x, q) <= d(y, q) + r <= 2r: the window in which x is replicated to the
-   region of q, as a boundary node, unless it links to q or is of its component anyway. Of q's homes only those can link to x
-   for which d(y, q) >= d(x, q) - r. Boundary nodes and such homes are dealt in tiles of bounded size; regions whose farthest home is nearer than d(x, q) - r don't get x at all.
-5. In a tile, nodes join recursively: to the Voronoi cell of the nearest of a few further pivots, and to further cells
+2. Pivots: two sets that link share one of their first shingles, rarest first, as many as they may lack of each other and one
+   more. Of all nodes that have such a shingle among their first, the one of least hash is the pivot. So a node meets few pivots,
+   with one row each, and two that link meet at one at least. All those distances are computed.
+3. A node whose nearest pivot is within r is at home in that pivot's Voronoi region and links to it, as to all others within r; so
+   homes of one region are one component and are never compared, however many they are. Nodes without a home choose pivots among themselves in further rounds.
+4. Around every pivot q, nodes lie in rings of width r. If x and y link, |d(x, q) - d(y, q)| <= r, so each ring is a region that joins its
+   own nodes and, as replicas, those of the ring inside it, the window of the triangle inequality. Rings of one component are dropped; rings too large for a task
+   are dealt to pairs of parts.
+5. Regions join recursively: nodes go to the Voronoi cell of the nearest of a few further pivots, and to further cells
    whose pivots are nearer than the home distance plus 2r; those far from all pivots form an outer cell. Cells that no longer shrink are
    compared in full, by size, where components differ.
 """
@@ -39,10 +38,10 @@ WIDTH, PERCENT = 4, 85
 BLOCK, SHARD = 600_000, 2_000_000
 #: Ids up to this many are broadcast to filter texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Rounds that choose pivots by shingles, before all nodes that are left become pivots.
-ROUNDS = 3
-#: Nodes and shingles of each kind (boundary, home) in a tile.
-TILE_ROWS, TILE_SHINGLES = 2000, 1_000_000
+#: Rounds in which nodes without a home choose pivots.
+ROUNDS = 2
+#: Nodes and shingles of a region that one task joins.
+REGION_ROWS, REGION_SHINGLES = 4000, 2_000_000
 #: Pivots of a task's own recursion, and nodes that are compared without it.
 PIVOTS, LEAF = 8, 48
 
@@ -146,10 +145,10 @@ def most_missing(n, percent: int):
     return n - (-(-n * percent // 100))
 
 
-def first_keys(sets: DataFrame, percent: int, wide: int) -> DataFrame:
-    """(node, n, key, near): the first shingles of each set, rarest first, that sets of a similarity of ``wide`` percent share one of, and whether ``percent`` leaves them among the first.
+def first_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, key): the first shingles of each set, rarest first, that it shares one of with every set that it links to.
 
-    Shingles of one set alone come first of all; they are counted, not listed. A set that has none left that count for ``percent`` has no link.
+    Shingles of one set alone come first of all; they are counted, not listed. A set whose first shingles are all of them has no link.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,10 +161,8 @@ def first_keys(sets: DataFrame, percent: int, wide: int) -> DataFrame:
     keys = sets.select("node", "n", "set").mapInPandas(run, "node long, n long, key long")
     common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     listed = keys.join(common, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))
-    own = F.col("n") - F.size("s")
-    first = listed.select("node", "n", "s", (most_missing(F.col("n"), percent) + 1 - own).alias("near"), (most_missing(F.col("n"), wide) + 1 - own).alias("wide")).where("near > 0")
-    each = first.select("node", "n", "near", F.posexplode(F.slice("s", 1, F.col("wide").cast("int"))).alias("i", "x"))
-    return each.select("node", "n", F.col("x.key").alias("key"), (F.col("i") < F.col("near")).alias("near"))
+    left = (most_missing(F.col("n"), percent) + 1 - (F.col("n") - F.size("s"))).cast("int")
+    return listed.withColumn("left", left).where("left > 0").select("node", F.explode(F.slice("s", 1, F.col("left"))).alias("x")).select("node", F.col("x.key").alias("key"))
 
 
 def overlap(a: bytes, b: bytes) -> int:
@@ -174,42 +171,35 @@ def overlap(a: bytes, b: bytes) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def distances(pairs: DataFrame, sets: DataFrame, percent: int, wide: int) -> DataFrame:
-    """(node, pivot, n, similarity, near) of the pairs (node, pivot) of at least ``wide`` percent; near ones link."""
+def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, pivot, n, similarity, near) of pairs (node, pivot); near ones link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = np.array([overlap(a, b) for a, b in zip(pdf["set"], pdf["pivot_set"], strict=True)], np.int64)
             union = pdf["n"].to_numpy() + pdf["pivot_n"].to_numpy() - both
-            out = pdf[["node", "pivot", "n"]].assign(similarity=both / union, near=100 * both >= percent * union)
-            yield out[100 * both >= wide * union]
+            yield pdf[["node", "pivot", "n"]].assign(similarity=both / union, near=100 * both >= percent * union)
 
     own = pairs.join(sets.select("node", "n", "set"), "node")
     both = own.join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set")), "pivot")
     return both.mapInPandas(run, "node long, pivot long, n long, similarity double, near boolean")
 
 
-def pivoted(keys: DataFrame, sets: DataFrame, folder: str, percent: int, wide: int) -> tuple[DataFrame, DataFrame]:
-    """Distances of nodes to pivots, and the pivots; every node of ``keys`` that may link is a pivot or near one."""
-    spark, near = keys.sparkSession, keys.where("near").select("node", "key")
-    shared = near.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    near = staged(near.join(shared, "key", "left_semi"), folder, "near")
-    left = staged(near.select("node").distinct(), folder, "left")
-    keys = staged(keys.join(left, "node", "left_semi").select("node", "n", "key"), folder, "wide")
-    k = 0
-    while True:
-        pick = near.join(left, "node", "left_semi").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("m")).select("m.node").distinct() if k < ROUNDS else left
-        chosen = staged(pick, f"{folder}/pivots", f"round={k}")
-        theirs = keys.join(chosen, "node", "left_semi").select("key", F.col("node").alias("pivot"), F.col("n").alias("m"))
-        fits = (F.col("node") != F.col("pivot")) & (100 * F.least("n", "m") >= wide * F.greatest("n", "m"))
-        pairs = staged(keys.join(theirs, "key").where(fits).select("node", "pivot").distinct(), folder, f"pairs{k}")
-        found = staged(distances(pairs, sets, percent, wide), f"{folder}/distances", f"round={k}")
-        covered = chosen.union(found.where("near").select("node"))
-        left = staged(left.join(covered, "node", "left_anti"), folder, f"left{k}")
-        k += 1
-        if not left.limit(1).count():
-            read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}").drop("round")
-            return read("distances", found.schema), read("pivots", chosen.schema)
+def pivoted(keys: DataFrame, sets: DataFrame, folder: str, percent: int) -> list[DataFrame]:
+    """Distances of nodes, pivots themselves among them, to the pivots of their keys: of all nodes, then in rounds of those that no pivot is near of."""
+    out = []
+    for k in range(1 + ROUNDS):
+        chosen = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("m")).where("c > 1").select("key", F.col("m.node").alias("pivot"))
+        pairs = staged(keys.join(chosen, "key").select("node", "pivot").distinct(), folder, f"pairs{k}")
+        found = staged(distances(pairs, sets, percent), folder, f"distances{k}")
+        out.append(found)
+        if k == ROUNDS:
+            break
+        covered = found.where("near AND node <> pivot").select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
+        keys = staged(keys.join(covered, "node", "left_anti"), folder, f"keys{k}")
+        if not keys.limit(1).count():
+            break
+    return out
 
 
 class Region:
@@ -283,31 +273,21 @@ def cell_masks(d: np.ndarray, percent: int) -> list[np.ndarray]:
     return [*((inner[:, None] & (d <= home[:, None] + 2 * r)).T), home >= 1 - r]
 
 
-def boundaries(found: DataFrame, home: DataFrame, label: DataFrame, radius: float) -> DataFrame:
-    """(pivot, node, n, similarity): the windows of regions, nodes of other components at home at a lesser pivot and within r of the farthest home. One of two that link is in the other's window."""
-    reach = home.where("similarity < 1").groupBy("pivot").agg((F.min("similarity") - radius - 1e-9).alias("least"))
-    within = found.where("NOT near").join(reach, "pivot").where("similarity >= least")
-    far = within.join(home.select("node", F.col("pivot").alias("home")), "node").where("home < pivot")
-    of = label.select(F.col("node").alias("pivot"), F.col("label").alias("theirs"))
-    named = far.join(label, "node", "left").join(of, "pivot", "left")
-    return named.where(F.coalesce("label", "node") != F.coalesce("theirs", "pivot")).select("pivot", "node", "n", "similarity")
+def rings(found: DataFrame, label: DataFrame, radius: float, rows: int, shingles: int) -> DataFrame:
+    """(region, node, label): the nodes of each ring around a pivot and those of the ring inside it, where components differ; large ones dealt to pairs of parts."""
+    width = radius * (1 + 1e-6) + 1e-9  # a little over r, so that two that link never lie two rings apart
+    named = found.join(label, "node", "left").select("node", "pivot", "n", F.coalesce("label", "node").alias("label"), F.floor((1 - F.col("similarity")) / width).alias("own"))
+    both = F.array(F.struct(F.col("own").alias("ring"), F.lit(1).alias("home")), F.struct((F.col("own") + 1).alias("ring"), F.lit(0).alias("home")))
+    there = named.withColumn("x", F.explode(both)).select("node", "pivot", "n", "label", "x.ring", "x.home")
+    parts = F.when((F.col("c") > rows) | (F.col("t") > shingles), F.ceil(2 * F.greatest(F.col("c") / rows, F.col("t") / shingles))).otherwise(1).cast("int")
+    counts = there.groupBy("pivot", "ring").agg(F.sum("home").alias("homes"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("t"))
+    alive = counts.where("homes > 0 AND lo <> hi").select("pivot", "ring", parts.alias("m"))
+    dealt = there.join(alive, ["pivot", "ring"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return dealt.select(F.xxhash64("pivot", "ring", F.least("i", "j"), F.greatest("i", "j")).alias("region"), "node", "label")
 
 
-def tiles(windows: DataFrame, home: DataFrame, radius: float, rows: int, shingles: int) -> DataFrame:
-    """(region, node): boundary nodes and those homes of their regions that they may link to, dealt to pairs of parts."""
-    count = lambda name: F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / shingles)).cast("int").alias(name)
-    met = windows.groupBy("pivot").agg(F.max("similarity").alias("closest"), count("boundary_parts"))
-    there = home.join(met, "pivot").where(1 - F.col("similarity") >= 1 - F.col("closest") - radius - 1e-9).drop("closest", "boundary_parts")
-    parts = there.groupBy("pivot").agg(count("home_parts")).join(met.select("pivot", "boundary_parts"), "pivot")
-    place = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    a = windows.join(parts, "pivot").select("pivot", "node", place("boundary_parts").alias("i"), every("home_parts").alias("j"))
-    b = there.join(parts, "pivot").select("pivot", "node", every("boundary_parts").alias("i"), place("home_parts").alias("j"))
-    return a.union(b).select(F.xxhash64("pivot", "i", "j").alias("region"), "node")
-
-
-def join_tiles(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the components of tiles (region, node, label, set), as a spanning forest of labels."""
+def join_regions(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the components of regions (region, node, label, set), as a spanning forest of labels."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["label", "node"])
@@ -323,27 +303,19 @@ def join_tiles(members: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_links(sets: DataFrame, more: DataFrame, folder: str, percent: int, rows: int, shingles: int) -> DataFrame:
     """(node, label): the component of every node that links, of the sets (node, n, set) and of the links ``more`` (a, b)."""
-    if not 50 < percent <= 100:
-        raise ValueError("a window of twice the radius must be less than the distance of sets without a common shingle: percent is over 50")
-    wide = 2 * percent - 100
-    keys = staged(first_keys(sets, percent, wide), folder, "keys")
-    found, pivots = pivoted(keys, sets, folder, percent, wide)
-    star = staged(found.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(more), folder, "star")
+    keys = staged(first_keys(sets, percent), folder, "keys")
+    found = pivoted(keys, sets, folder, percent)
+    star = more
+    for x in found:
+        star = star.union(x.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     label = components(star, f"{folder}/stars").select(F.col("id").alias("node"), F.col("component").alias("label"))
-
-    own = pivots.select("node", F.col("node").alias("pivot"), F.lit(0).cast("long").alias("n"), F.lit(1.0).alias("similarity"))
-    nearest = F.max(F.struct("similarity", "pivot", "n")).alias("m")
-    home = found.where("near").select("node", "pivot", "n", "similarity").union(own).groupBy("node").agg(nearest).select("node", "m.pivot", "m.n", "m.similarity")
-    home = staged(home, folder, "homes")
-    windows = staged(boundaries(found, home, label, 1 - percent / 100), folder, "windows")
-    if not windows.limit(1).count():
+    dealt = staged(rings(found[0], label, 1 - percent / 100, rows, shingles), folder, "regions")
+    if not dealt.limit(1).count():
         return label
-    dealt = tiles(windows, home, 1 - percent / 100, rows, shingles)
-    members = dealt.join(label, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(sets.select("node", "set"), "node")
-    links = join_tiles(members, percent)
+    links = join_regions(dealt.join(sets.select("node", "set"), "node"), percent)
     further = components(links, f"{folder}/further").withColumnRenamed("id", "label")
     # a component of one node has no label yet
-    alone = further.select("label", "component").join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("component").alias("label"))
+    alone = further.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("component").alias("label"))
     return label.join(further, "label", "left").select("node", F.coalesce("component", "label").alias("label")).union(alone)
 
 
@@ -356,7 +328,7 @@ def least_ids(nodes: DataFrame, label: DataFrame, salts: int = 32) -> DataFrame:
     return salted.join(dealt, ["node", "salt"]).groupBy("doc_id").agg(F.min("component").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent: int = PERCENT, rows: int = TILE_ROWS, shingles: int = TILE_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent: int = PERCENT, rows: int = REGION_ROWS, shingles: int = REGION_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every distinct doc_id; links are exact up to equal 64-bit hashes.
 
     A null text has no shingles and no links. Rows that repeat an id are one document that links wherever one of its texts does
