@@ -24,11 +24,11 @@ def n_tokens(text: Column) -> Column:
 
 
 def pieces(df: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """(doc_id, piece, length): texts in pieces of at most max_length tokens; an empty text is one piece of length 0."""
-    n = df.select("doc_id", n_tokens(F.col("text")).alias("n"))
+    """(doc_id, mark, piece, length): texts in pieces of at most max_length tokens; an empty text is one piece of length 0. Texts without an id are told apart by a hash."""
+    n = df.select("doc_id", n_tokens(F.col("text")).alias("n"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("mark"))
     last = F.greatest(F.ceil(F.col("n") / max_length) - 1, F.lit(0))
-    cut = n.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), last)).alias("piece", "x"))
-    return cut.select("doc_id", "piece", F.least(F.lit(max_length), F.col("n") - F.col("x") * max_length).alias("length"))
+    cut = n.select("doc_id", "mark", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), last)).alias("piece", "x"))
+    return cut.select("doc_id", "mark", "piece", F.least(F.lit(max_length), F.col("n") - F.col("x") * max_length).alias("length"))
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -59,9 +59,10 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 def pack(df: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, max_length: int = MAX_LENGTH, group: int = GROUP) -> DataFrame:
     """Batches of all sequences: doc_id, piece, length, bucket, padded_length, batch, position.
 
-    In a bucket, sequences are ordered by doc_id modulo the number of groups, then doc_id and piece;
-    ranks come from group offsets, so no task sorts a whole bucket. A null text has no tokens; a null
-    doc_id comes first; rows that agree in doc_id and piece take neighbouring places in either order.
+    In a bucket, sequences are ordered by a hash of doc_id and piece modulo the number of groups, then by both;
+    ranks come from group offsets, so no task sorts a whole bucket, nor all pieces of a long text. A null text has no tokens;
+    texts without a doc_id are dealt by a hash of the text and come first in their groups; rows that agree in all of that take
+    neighbouring places in either order. An empty table gives no rows; other columns are not read.
     """
     seq = pieces(df, max_length)
     hist = seq.groupBy("length").count().collect()  # at most max_length + 1 rows
@@ -73,11 +74,11 @@ def pack(df: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, max_length
     edges = F.array(*[F.lit(u).cast("long") for u in upper])
     bucket = F.size(F.filter(edges, lambda u: u < F.col("length")))
     seq = seq.withColumn("bucket", bucket).withColumn("padded_length", F.element_at(edges, F.col("bucket") + 1))
-    seq = seq.withColumn("part", F.coalesce(F.pmod("doc_id", F.lit(groups)), F.lit(0)))
+    seq = seq.withColumn("part", F.pmod(F.xxhash64("doc_id", "mark", "piece"), F.lit(groups)))
     sizes = seq.groupBy("bucket", "part").agg(F.count("*").alias("c"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("bucket", "part").orderBy("doc_id", "piece")
+    own = Window.partitionBy("bucket", "part").orderBy("doc_id", "mark", "piece")
     ranked = seq.withColumn("n", F.row_number().over(own) - 1).join(offsets, ["bucket", "part"])
     rank, each = F.col("offset") + F.col("n"), F.greatest(F.floor(F.lit(budget) / F.greatest("padded_length", F.lit(1))), F.lit(1))
     return ranked.select("doc_id", "piece", "length", "bucket", "padded_length", F.floor(rank / each).alias("batch"), F.pmod(rank, each).alias("position"))

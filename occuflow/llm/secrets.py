@@ -8,7 +8,7 @@ live. Runs that look live are added as spans of the kind ``live``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder, staged, table
@@ -24,6 +24,8 @@ RUN = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[a-zA-Z+/_=-]*[0-9])(?=[0
 #: A value of more owners, or of more repositories, is an example.
 MAX_OWNERS, MAX_REPOSITORIES = 2, 50
 SALTS = 8
+#: Matches of one text that are summed together.
+CHUNK = 200
 #: Spans of up to this many texts are broadcast to mask them; more are joined by a shuffle.
 MASK_BROADCAST_ROWS = 500_000
 
@@ -33,12 +35,13 @@ SPAN = "struct<s:bigint,k:int,e:bigint,h:bigint>"
 def spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, kind, end, hash of the value); offsets count code points.
 
-    Starts are running sums of the lengths of the pieces between matches and of the matches.
+    Starts are running sums of the lengths of the pieces between matches and of the matches. Sums run over
+    chunks first and then inside each, so that no long array is rebuilt for every match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    zero, none = F.lit(0).cast("long"), F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
@@ -47,10 +50,20 @@ def spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column
         kept = F.length(x["v"]) >= ASSIGN_LEAST if value_group else F.lit(True)
         return F.struct(e.alias("at"), F.when(kept, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
+    def offsets(acc: Column, x: Column) -> Column:
+        n = F.aggregate(x, zero, lambda total, y: total + F.length(y["p"]) + F.length(y["m"]))
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
     zipped = F.zip_with(found, F.zip_with(values, pieces, lambda v, p: F.struct(v.alias("v"), p.alias("p"))), lambda m, x: F.struct(m.alias("m"), x["v"].alias("v"), x["p"].alias("p")))
     # split gives one piece more than there are matches; its pairing has no match
-    out = F.aggregate(F.filter(zipped, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(F.array().cast(f"array<{SPAN}>"))
+    matched = F.filter(zipped, lambda x: x["m"].isNotNull())
+    chunks = F.transform(F.sequence(F.lit(1), F.size(found), F.lit(CHUNK)), lambda i: F.slice(matched, i, CHUNK))
+    cut = F.struct(chunks.alias("chunks"))
+    starts = lambda c: F.aggregate(c["chunks"], F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), offsets, lambda acc: acc["out"])
+    each = lambda x, at: F.aggregate(x, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    # the one-element array binds the chunks, so that they are made once
+    out = F.flatten(F.flatten(F.transform(F.array(cut), lambda c: F.zip_with(c["chunks"], starts(c), each))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(none)
 
 
 def joined(xs: Column) -> Column:
@@ -63,23 +76,30 @@ def count(xs: Column, kind: int) -> Column:
 
 
 def candidates(df: DataFrame, text: str, owner: str, repository: str) -> DataFrame:
-    """Each row's base spans and further runs: (row, doc_id, owner, repository, base, runs)."""
+    """Each row's base spans and all runs that may be credentials: (row, doc_id, owner, repository, base, found)."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(f"array<{SPAN}>")
     assign = F.when(F.contains(t, F.lit(":")) | F.contains(t, F.lit("=")), spans(t, ASSIGN, 0, 2)).otherwise(none)
     access = F.when(F.contains(t, F.lit("AKIA")), spans(t, ACCESS, 1)).otherwise(none)
-    rows = df.select(
+    return df.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
-        F.array_sort(F.concat(assign, access, spans(t, HEX, 2))).alias("base"), spans(t, RUN, 3).alias("found"),
+        F.array_sort(F.concat(assign, access, spans(t, HEX, 2))).alias("base"), spans(t, RUN, len(KINDS)).alias("found"),
     )
-    apart = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return rows.select("row", "doc_id", "owner", "repository", "base", F.when(F.size("found") > 0, F.filter("found", apart)).otherwise(none).alias("runs"))
 
 
-def ownership(cands: DataFrame) -> DataFrame:
+def apart(each: DataFrame) -> DataFrame:
+    """The spans (row, owner, repository, s, k, e, h) without the runs that overlap a base span of their text, by one sort of a text's spans."""
+    base = F.col("k") < len(KINDS)
+    order = Window.partitionBy("row").orderBy("s")
+    before = F.max(F.when(base, F.col("e"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("s"))).over(order.rangeBetween(1, Window.unboundedFollowing))
+    met = each.withColumn("met", F.coalesce(before > F.col("s"), F.lit(False)) | F.coalesce(after < F.col("e"), F.lit(False)))
+    return met.where(base | ~F.col("met")).drop("met")
+
+
+def ownership(each: DataFrame) -> DataFrame:
     """(h, owners, repositories, live) of every candidate value, from three levels of partial counts, so that a hot value is never gathered."""
-    seen = cands.where((F.size("base") > 0) | (F.size("runs") > 0)).select(F.explode(F.array_distinct(F.transform(F.concat("base", "runs"), lambda x: x["h"]))).alias("h"), "owner", "repository")
-    by_owner = seen.groupBy("h", "owner", "repository").count().groupBy("h", "owner").agg(F.count("*").alias("r"))
+    by_owner = each.groupBy("h", "owner", "repository").count().groupBy("h", "owner").agg(F.count("*").alias("r"))
     total = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
     return total.withColumn("live", (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES))
 
@@ -89,16 +109,18 @@ def scan(df: DataFrame, folder: str, text: str = "text", owner: str = "source",
 
     ``n_live`` counts the spans (base ones too) whose value looks live, ``n_copied`` the base spans with a
     copied value. A null text is empty, a null owner or repository is one of its own name '', and
-    repeated rows are scanned as rows of their own. Candidates are staged in the folder.
+    repeated rows are scanned as rows of their own; an empty table gives no rows. Columns that aren't named
+    are not read. Candidates are staged in the folder.
     """
     cands = staged(candidates(df, text, owner, repository), folder, "candidates")
-    some = cands.where((F.size("base") > 0) | (F.size("runs") > 0))
-    each = some.select("row", F.explode(F.concat("base", "runs")).alias("x")).withColumn("salt", F.pmod("row", F.lit(SALTS)))
-    classes = ownership(cands).select("h", "live").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    marked = each.withColumn("h", F.col("x.h")).join(classes, ["h", "salt"])
-    kept = marked.where((F.col("x.k") < len(KINDS)) | F.col("live"))
-    by_row = kept.groupBy("row").agg(
-        F.array_sort(F.collect_list("x")).alias("all"), F.count_if("live").alias("n_live"), F.count_if((F.col("x.k") < len(KINDS)) & ~F.col("live")).alias("n_copied"),
+    some = cands.where((F.size("base") > 0) | (F.size("found") > 0))
+    each = staged(apart(some.select("row", "owner", "repository", F.explode(F.concat("base", "found")).alias("x")).select("row", "owner", "repository", "x.*")), folder, "each")
+    # classes are as many as values: never broadcast by their file size
+    classes = ownership(each).select("h", "live").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    marked = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(classes, ["h", "salt"])
+    base = F.col("k") < len(KINDS)
+    by_row = marked.where(base | F.col("live")).groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("s", "k", "e", "h"))).alias("all"), F.count_if("live").alias("n_live"), F.count_if(base & ~F.col("live")).alias("n_copied"),
     )
     out = cands.select("row", "doc_id", "base").join(by_row, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
@@ -114,22 +136,22 @@ def masked(docs: DataFrame, folder: str, text: str = "text", owner: str = "sourc
     Overlapping spans are masked as one, by the first one's kind. Rows are joined by id: of rows that repeat an
     id with different texts, each is masked by its own text's spans; null texts stay null.
     """
-    key = F.xxhash64("doc_id", text)
-    spans_ = scan(docs.withColumn("doc_id", key), folder, text, owner, repository).where(F.col("spans") != "").select(F.col("doc_id").alias("key_"), "spans").distinct()
+    key, k, found = F.xxhash64("doc_id", text), "_masked_key", "_masked_spans"
+    spans_ = scan(docs.withColumn("doc_id", key), folder, text, owner, repository).where(F.col("spans") != "").select(F.col("doc_id").alias(k), F.col("spans").alias(found)).distinct()
     few = staged(spans_, folder, "spans")
     side = F.broadcast(few) if few.count() <= MASK_BROADCAST_ROWS else few
-    parts = F.transform(F.split("spans", ","), lambda x: F.struct(F.split(x, ":")[0].alias("k"), F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    parts = F.transform(F.split(found, ","), lambda x: F.struct(F.split(x, ":")[0].alias("k"), F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     t = F.col(text)
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["k"], F.lit("]"))
+        fresh = F.concat(acc["out"], F.array(F.concat(F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["k"], F.lit("]"))))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(parts, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    out = docs.withColumn("key_", key).join(side, "key_", "left").withColumn(text, F.when(F.col("spans").isNull(), t).otherwise(clean))
+    clean = F.aggregate(parts, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    out = docs.withColumn(k, key).join(side, k, "left").withColumn(text, F.when(F.col(found).isNull(), t).otherwise(clean))
     if size in docs.columns:
-        out = out.withColumn(size, F.when(F.col("spans").isNull(), F.col(size)).otherwise(F.length(text)).cast(docs.schema[size].dataType))
+        out = out.withColumn(size, F.when(F.col(found).isNull(), F.col(size)).otherwise(F.length(text)).cast(docs.schema[size].dataType))
     return out.select(*docs.columns)
 
 

@@ -25,6 +25,8 @@ INDEX = "file string, offset long, length long, url string, digest string, page_
 MIN_REVISIT = 100
 #: Revisits up to this many rows (about 100 bytes each, with their digests) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A digest's pages are dealt to so many parts.
+SALTS = 16
 #: Read ranges: the largest hole read over, the largest read.
 HOLE, READ = 64 << 10, 8 << 20
 #: Archive bytes for one reading task.
@@ -39,7 +41,9 @@ def revisits(pages: DataFrame) -> DataFrame:
     """(page_id, d, refers_to) of ids and payload digests that an earlier page has; only ids and digests are shuffled."""
     ids = pages.select("page_id", F.sha2(payload(), 256).alias("d"), F.length(payload()).alias("n")).where(F.col("n") >= MIN_REVISIT).select("page_id", "d")
     first = ids.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return ids.join(first, "d").where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(dealt, ["d", "salt"]).where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def record(url: str, page_id, payload: bytes, refers_to) -> tuple[bytes, str]:

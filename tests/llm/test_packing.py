@@ -43,3 +43,15 @@ def test_empty_null_id_and_repeated_rows(make_docs):
     docs = make_docs(["a b c"] * 5, [(None, "x y", None, None, None), (0, "a b c", "en", "s", 5)])
     assert packing.pack(docs).count() == 7
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_regular_ids(make_docs):
+    from pyspark.sql import functions as F
+
+    docs = make_docs([], [(10 * i, "a b c", "en", "s", 5) for i in range(400)])
+    for c in ("length", "bucket", "piece", "part", "n", "mark", "offset", "batch"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    rows = packing.pack(docs, budget=30, group=40).collect()
+    assert sorted(r["doc_id"] for r in rows) == [10 * i for i in range(400)] and {r["length"] for r in rows} == {3}
+    parts = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(None).cast("long"), F.lit(0)), F.lit(10)).alias("p")).distinct().count()
+    assert parts == 10

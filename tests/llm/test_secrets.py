@@ -57,3 +57,28 @@ def test_masking_keeps_rows_and_hides_spans(make_docs, folder):
     assert got[3]["text"] == '[assign]" and more'
     assert HEX40 not in "".join(r["text"] or "" for r in got.values())
     assert got[8]["text"].startswith("😀é😀 [assign]") and got[8]["n_chars"] == len(got[8]["text"])
+
+
+def test_thousands_of_spans_in_one_text(make_docs, folder):
+    import random
+
+    rng = random.Random(4)
+    parts = []
+    for i in range(12_000):
+        parts.append(rng.choice(["%016x" % rng.getrandbits(64), "é", "Zz9Zz9Zz9%011dA" % i, "token=%020x" % i, "AKIA%016d" % i]))
+    text = " ".join(parts)
+    r = secrets.scan(make_docs([text]), folder).collect()[0]
+    base = brute(text)
+    assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+    live = [s for s in r["spans"].split(",") if s.startswith("live")]
+    assert live == [f"live:{m.start()}:{m.end()}" for m in re.finditer(r"Zz9Zz9Zz9\d{11}A", text)]
+
+
+def test_masking_with_clashing_columns(make_docs, folder):
+    from pyspark.sql import functions as F
+
+    docs = make_docs(TEXTS)
+    for c in ("spans", "key_", "key", "row", "base"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    rows = secrets.masked(docs, folder).collect()
+    assert len(rows) == len(TEXTS) and all(r["spans"] == r["key_"] == "mine" for r in rows)

@@ -51,3 +51,13 @@ def test_ranges_coalesce():
 def test_empty(spark, folder):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.archive(df, folder), f"{folder}/warc").count() == 0
+
+
+def test_clashing_columns_and_a_hot_payload(spark, folder):
+    pages = [(i, "same payload " * 20) for i in range(300)] + [(7, "same payload " * 20)]
+    df = spark.createDataFrame([(i, "http://a/", h) for i, h in pages], "page_id long, url string, html string")
+    for c in ("refers_to", "d", "salt", "c", "n", "digest", "file", "offset"):
+        df = df.withColumn(c, F.lit("mine"))
+    rows = warc.read(warc.archive(df, folder), f"{folder}/warc").collect()
+    assert len(rows) == len(pages) and sorted(r["page_id"] for r in rows) == sorted(i for i, _ in pages)
+    assert all((r["refers_to"], r["record_type"]) == ((None, "response") if r["page_id"] == 0 else (0, "revisit")) for r in rows)
