@@ -1,16 +1,19 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-Windows of a text that have an item's length are fingerprinted by SimHash of their word shingles.
+Windows of a text that have an item's length are fingerprinted by SimHash of their weighted word shingles.
 Fingerprints of windows and items meet in a multi-index: of radius + 1 bit blocks, two fingerprints
 within the radius agree in one at least. Candidates within the radius are verified by the exact
 weighted similarity of their shingles.
 
 A window that reaches the threshold shares a shingle with its item, so only windows aligned at a
-shared shingle are made; a run of shared shingles at one alignment makes one window.
+shared shingle are made; a run of shared shingles at one alignment makes one window. Texts are cut into
+positions without carrying the text; only texts that have such a window are read again for it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +22,25 @@ from .common import SPACE, UPPER, shared_folder, staged, table
 WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 fingerprints differ in 10 of 64 bits, deviating by 3; the radius lies over three deviations above.
 RADIUS = 19
-#: Items' shingles up to this many rows (of 40 bytes) are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Items' shingles, and texts with windows, up to this many rows are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_TEXTS = 500_000, 200_000
 
+#: Of an array of (h, w): each bit is set if the shingles that have it weigh more than the others.
 FINGERPRINT = (
-    "aggregate(sequence(0, 63), 0L, (f, b) -> IF(aggregate({x}, 0, (a, h) -> a + IF(shiftright(h, b) & 1L = 1L, 1, -1)) > 0, f | shiftleft(1L, b), f))"
+    "aggregate(sequence(0, 63), 0L, (f, b) -> IF(aggregate({x}, 0D, (a, y) -> a + IF(shiftright(y.h, b) & 1L = 1L, y.w, -y.w)) > 0, f | shiftleft(1L, b), f))"
 )
 
 
-def shingles(text: str) -> str:
-    """SQL of the array of hashes of a text's shingles of WORDS lower-cased words, in order; null if it has none."""
-    clean = f"btrim(translate({text}, '{UPPER}', '{UPPER.lower()}'), ' \\t\\n\\u000B\\f\\r')"
-    parts = ", ".join(f"w[i + {k}]" for k in range(WORDS))
-    hashed = f"transform(split({clean}, '{SPACE.replace(chr(92), chr(92) * 2)}+'), x -> xxhash64(x))"
-    return f"transform(array({hashed}), w -> IF(size(w) >= {WORDS}, transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({parts})), null))[0]"
+def word_hashes(text: str) -> str:
+    """SQL of the array of hashes of a text's lower-cased words; null for a null text."""
+    clean = f"translate({text}, '{UPPER}', '{UPPER.lower()}')"
+    return f"transform(filter(split({clean}, '{SPACE.replace(chr(92), chr(92) * 2)}+'), x -> x <> ''), x -> xxhash64(x))"
+
+
+def shingles(text: str, width: int) -> str:
+    """SQL of the array of hashes of a text's shingles of ``width`` lower-cased words, in order; null if it has none."""
+    parts = ", ".join(f"w[i + {k}]" for k in range(width))
+    return f"transform(array({word_hashes(text)}), w -> IF(size(w) >= {width}, transform(sequence(0, size(w) - {width}), i -> xxhash64({parts})), null))[0]"
 
 
 def blocks(fingerprint: str) -> Column:
@@ -43,55 +51,78 @@ def blocks(fingerprint: str) -> Column:
     return F.explode(F.expr(f"array({', '.join(cut)})"))
 
 
-def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n, sh, weights, total, fingerprint): an item's number of shingles, its distinct ones and their weights.
+def weights(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Items (item, item_id, width, n, all), shingles (h, w), and the weight of a shingle that no item has.
 
-    A shingle weighs ln(1 + items / items with it). Items of fewer than WORDS words have no shingle and match nothing.
+    An item of fewer than WORDS words is one shingle of them all; one without words, or null, matches nothing. Rows that
+    share an id, or have none, are items of their own. A shingle weighs ln(1 + items / items with it).
     """
-    x = benchmark.select("item_id", F.expr(shingles("text")).alias("all")).where("all IS NOT NULL").distinct()
-    count = x.select("item_id").distinct().count()
-    df = x.select("item_id", F.explode(F.array_distinct("all")).alias("h")).distinct().groupBy("h").agg(F.log(1 + F.lit(float(count)) / F.count("*")).alias("w"))
-    own = x.select("item_id", "all", F.explode(F.array_distinct("all")).alias("h")).join(df, "h")
-    packed = own.groupBy("item_id", "all").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("hw"))
-    return packed.select(
-        "item_id", F.size("all").alias("n"), "all", "hw", F.expr("aggregate(hw, 0D, (a, x) -> a + x.w)").alias("total"),
-        F.expr(FINGERPRINT.format(x="all")).alias("item_fp"), F.log(F.lit(1.0 + count)).alias("foreign"),
-    )
-
-
-def windows(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(row, doc_id, start, n, win): windows of an item's number of shingles, at the alignments of shared shingles."""
-    at = known.select("n", "all", F.posexplode("all").alias("o", "h")).groupBy("h", "n", "all").agg(F.min("o").alias("o"))
-    anchors = at.select("h", "n", "o", F.expr("IF(o = 0, null, all[o - 1])").alias("before")).distinct()
+    counted = benchmark.where(F.col("text").isNotNull()).select("item_id", "text", F.least(F.expr(f"size({word_hashes('text')})"), F.lit(WORDS)).alias("width")).where("width > 0")
+    by_width = F.coalesce(*[F.when(F.col("width") == k, F.expr(shingles("text", k))) for k in range(1, WORDS + 1)])
+    all_ = counted.select("item_id", "width", by_width.alias("all")).distinct()
+    items = all_.select(F.xxhash64("item_id", "width", "all").alias("item"), "item_id", "width", F.size("all").alias("n"), "all")
+    count = items.count()
+    df = items.select("item", F.explode(F.array_distinct("all")).alias("h")).groupBy("h").agg(F.log(1 + F.lit(float(count)) / F.count("*")).alias("w"))
+    return items, df, math.log(1 + count)
+
+
+def weighted(arrays: DataFrame, keys: list[str], array: str, df: DataFrame, foreign: float) -> DataFrame:
+    """The keys with ``hw``, the distinct shingles of an array and their weights, their ``total``, and their fingerprint ``fp``."""
+    own = arrays.select(*keys, F.explode(F.array_distinct(array)).alias("h")).join(df, "h", "left")
+    packed = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("h", F.coalesce("w", F.lit(foreign)).alias("w")))).alias("hw"))
+    return packed.select("*", F.expr("aggregate(hw, 0D, (a, y) -> a + y.w)").alias("total"), F.expr(FINGERPRINT.format(x="hw")).alias("fp"))
+
+
+def alignments(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(row, start, n): windows of an item's number of shingles, where they are aligned with it at a shared shingle."""
+    at = items.where(F.col("width") == width).select("n", "all", F.posexplode("all").alias("o", "h")).groupBy("h", "n", "all").agg(F.min("o").alias("o"))
+    anchors = at.select("h", "n", "o", F.expr("IF(o = 0, null, all[o - 1])").alias("item_before")).distinct()
     if anchors.count() <= BROADCAST_ROWS:
         anchors = F.broadcast(anchors)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.expr(shingles("text")).alias("sh")).where("sh IS NOT NULL")
-    met = texts.select("row", "doc_id", "sh", F.posexplode("sh").alias("p", "h")).join(anchors, "h")
-    first = met.where("before IS NULL OR p = 0 OR sh[p - 1] <> before")  # the first shared shingle of its run
-    start = first.withColumn("start", F.expr("greatest(least(p - o, size(sh) - n), 0)"))
-    return start.select("row", "doc_id", "start", "n", F.expr("slice(sh, start + 1, n)").alias("win")).distinct()
+    texts = docs.select("row", F.expr(shingles("text", width)).alias("sh")).where("sh IS NOT NULL")
+    pairs = F.expr("arrays_zip(sh, concat(array(CAST(null AS BIGINT)), slice(sh, 1, size(sh) - 1)))")
+    each = texts.select("row", F.size("sh").alias("m"), F.posexplode(pairs).alias("p", "x")).select("row", "m", "p", F.col("x.sh").alias("h"), F.col("x.1").alias("before"))
+    first = each.join(anchors, "h").where("item_before IS NULL OR before IS NULL OR before <> item_before")  # the first shared shingle of its run
+    return first.select("row", F.expr("greatest(least(p - o, m - n), 0)").alias("start"), "n").distinct()
+
+
+def windows(docs: DataFrame, items: DataFrame, folder: str) -> DataFrame:
+    """(row, doc_id, width, start, n, win): the shingles of all aligned windows. ``row`` is the hash of a row's id and text."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    out = rows.limit(0).select("row", "doc_id", F.lit(0).alias("width"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("win"))
+    for (width,) in items.select("width").distinct().orderBy("width").collect():  # at most WORDS widths; only items of few words have others than WORDS
+        wanted = staged(alignments(rows, items, width).groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("at")), folder, f"alignments{width}")
+        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+        held = rows.join(side, "row").select("row", "doc_id", F.expr(shingles("text", width)).alias("sh"), "at").select("row", "doc_id", "sh", F.explode("at").alias("a"))
+        out = out.union(held.select("row", "doc_id", F.lit(width).alias("width"), "a.start", "a.n", F.expr("slice(sh, a.start + 1, a.n)").alias("win")))
+    return out.distinct()
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
     """The items that texts contain: (doc_id, item_id, start_word, n_words, hamming, similarity), the best aligned window of each.
 
-    Similarity is the weight of shared shingles over that of all; one that the item lacks weighs like a
-    shingle of a single item. Null texts have no shingles; repeated rows, equal items and items that
-    share an id are matched each on its own, and equal result rows are returned once.
+    Similarity is the weight of shared shingles over that of all; a shingle that no item has weighs like one
+    of a single item. Null texts have no shingles; null ids are kept; repeated rows, equal items and items that
+    share an id are matched each on its own, and equal result rows are returned once. Empty tables give no rows; other columns are not read.
     """
-    known = staged(items(benchmark), folder, "items")
-    found = staged(windows(docs, known), folder, "windows").withColumn("fp", F.expr(FINGERPRINT.format(x="win")))
-    left = found.select("row", "start", "n", "fp", blocks("fp").alias("b")).select("row", "start", "n", "fp", "b.*")
-    right = known.select("item_id", "n", "item_fp", blocks("item_fp").alias("b")).select("item_id", "n", "item_fp", "b.*")
-    near = left.join(right, ["n", "block", "bits"]).withColumn("hamming", F.expr("bit_count(fp ^ item_fp)")).where(F.col("hamming") <= RADIUS)
-    near = near.select("row", "start", "n", "item_id", "item_fp", "hamming").distinct()
-    both = near.join(found.select("row", "doc_id", "start", "n", "win"), ["row", "start", "n"]).join(known.select("item_id", "n", "item_fp", "all", "hw", "total", "foreign"), ["item_id", "n", "item_fp"])
-    shared = F.expr("aggregate(filter(hw, x -> array_contains(win, x.h)), 0D, (a, x) -> a + x.w)")
-    others = F.expr("size(array_except(win, all)) * foreign")
-    scored = both.select("row", "doc_id", "item_id", "start", "n", "hamming", (shared / (F.col("total") + others)).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("row", "doc_id", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start", "n", "hamming")).alias("b"))
-    return best.select(
-        "doc_id", "item_id", F.col("b.start").alias("start_word"), (F.col("b.n") + WORDS - 1).alias("n_words"), F.col("b.hamming").alias("hamming"), (-F.col("b.col1")).alias("similarity"),
+    items, df, foreign = weights(benchmark)
+    items, df = staged(items, folder, "items"), staged(df, folder, "weights")
+    known = items.join(weighted(items, ["item"], "all", df, foreign).withColumnRenamed("fp", "item_fp"), "item")
+    known = staged(known, folder, "known")
+    found = staged(windows(docs, items, folder), folder, "windows")
+    keys = ["row", "width", "start", "n"]
+    prints = staged(weighted(found, keys, "win", df, foreign).withColumnsRenamed({"hw": "win_hw", "total": "win_total"}), folder, "prints")
+    left = prints.select(*keys, "fp", blocks("fp").alias("b")).select(*keys, "fp", "b.*")
+    right = known.select("item", "width", "n", "item_fp", blocks("item_fp").alias("b")).select("item", "width", "n", "item_fp", "b.*")
+    near = left.join(right, ["width", "n", "block", "bits"]).withColumn("hamming", F.expr("bit_count(fp ^ item_fp)")).where(F.col("hamming") <= RADIUS)
+    near = near.select(*keys, "item", "hamming").distinct()
+    both = near.join(prints.select(*keys, "win_hw", "win_total"), keys).join(known.select("item", "item_id", "all", "total"), "item")
+    shared = F.expr("aggregate(filter(win_hw, y -> array_contains(all, y.h)), 0D, (a, y) -> a + y.w)")
+    scored = both.withColumn("shared", shared).select(*keys, "item", "item_id", "hamming", (F.col("shared") / (F.col("total") + F.col("win_total") - F.col("shared"))).alias("similarity"))
+    best = scored.where(F.col("similarity") >= threshold).groupBy("row", "item", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start", "n", "width", "hamming")).alias("b"))
+    named = best.join(found.select("row", "doc_id").distinct(), "row")
+    return named.select(
+        "doc_id", "item_id", F.col("b.start").alias("start_word"), (F.col("b.n") + F.col("b.width") - 1).alias("n_words"), F.col("b.hamming").alias("hamming"), (-F.col("b.col1")).alias("similarity"),
     ).distinct()
 
 

@@ -79,12 +79,12 @@ class LabelModel:
 
     @classmethod
     def fit(cls, counts: dict[str, int], rounds: int = 60) -> LabelModel:
-        """Expectation-maximisation over patterns of votes; it starts from the majority of votes."""
+        """Expectation-maximisation over patterns of votes; it starts from each pattern's share of good votes."""
         m = len(LABELLERS)
         codes = np.array([["01-".index(c) for c in p] for p in counts], np.int64).reshape(-1, m)
         n = np.array(list(counts.values()), np.float64)
         good, bad = (codes == 1).sum(axis=1), (codes == 0).sum(axis=1)
-        q = np.where(bad == 0, 0.9, np.where(bad >= 2, 0.1, np.where(good > 4 * bad, 0.6, 0.2)))  # of class 1, good
+        q = (good + 1) / (good + bad + 2)  # of class 1, good
         model = cls(0.8, np.full((2, m, 3), 1 / 3))
         for _ in range(rounds if len(n) else 0):
             share = np.stack([1 - q, q])
@@ -121,7 +121,7 @@ def shape(word: str) -> int:
         s = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
-    return bucket("".join(out[:12]).encode(), BITS)
+    return bucket("".join(out).encode(), BITS)
 
 
 EQUAL, SEEN, LINE, FUNCTION = (bucket(b"\x00%d" % i, BITS) for i in range(4))
@@ -177,17 +177,22 @@ class Scorer:
 
 
 def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
-    """Votes and their counts cover every row; the scorer learns from at most ``sample`` ids. Votes are staged in the folder."""
+    """Votes and their counts cover every row; the scorer learns from at most ``sample`` ids. Votes are staged in the folder.
+
+    Of rows that repeat an id with different texts, the scorer may learn from that of the least hash; rows without an id vote, but aren't learnt from.
+    """
 
     def voting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": [votes(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "votes": [votes(t) for t in pdf["text"]]})
 
-    voted = staged(docs.select("doc_id", "text").mapInPandas(voting, "doc_id long, votes string"), folder, "votes")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    voted = staged(marked.mapInPandas(voting, "doc_id long, mark long, votes string"), folder, "votes")
     counts = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().orderBy("votes").collect()}  # at most 3^7 patterns
     model = LabelModel.fit(counts)
     posterior = dict(zip(counts, model.posterior(list(counts)), strict=True))
-    ids = F.broadcast(sampled(voted.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("votes").alias("votes")), "doc_id", sample))
+    one = voted.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("mark", "votes")).alias("x")).select("doc_id", "x.*")
+    ids = F.broadcast(sampled(one, "doc_id", sample))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(shape)
@@ -196,25 +201,29 @@ def train(docs: DataFrame, folder: str, sample: int = SAMPLE) -> tuple[LabelMode
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "votes": pdf["votes"], "k": [np.array(k, np.int32) for k, _ in both], "v": [v for _, v in both]})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+        pdf = pdf.sort_values("doc_id")
         scorer = Scorer.fit(list(pdf["k"]), list(pdf["v"]), np.array([posterior[p] for p in pdf["votes"]]))
         return pd.DataFrame({"w": [scorer.weights], "b": [scorer.bias]})
 
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").mapInPandas(extract, "doc_id long, votes string, k array<int>, v array<double>")
+    rows = marked.join(ids, ["doc_id", "mark"]).dropDuplicates(["doc_id"]).drop("mark").mapInPandas(extract, "doc_id long, votes string, k array<int>, v array<double>")
     fitted = rows.groupBy().applyInPandas(fit, "w array<double>, b double").collect()
     return model, Scorer(np.array(fitted[0]["w"]), fitted[0]["b"]) if fitted else Scorer.fit([], [], np.zeros(0))
 
 
-def judge(docs: DataFrame, scorer: Scorer, keep: float = KEEP) -> DataFrame:
-    """Every row with its columns and ``quality_score``; rows without words have nothing to keep and score 0."""
-    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+def judge(docs: DataFrame, scorer: Scorer, name: str = "quality_score") -> DataFrame:
+    """Every row with its columns and the score, which replaces a column of its name; rows without words have nothing to keep and score 0.
+
+    Repeated rows are scored each; an empty table gives no rows.
+    """
+    docs = docs.drop(name)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 500):
                 part = pdf.iloc[i : i + 500]
                 some = part["text"].map(lambda t: bool(t and t.split())).to_numpy(bool)
-                yield part.assign(quality_score=np.where(some, scorer.score(list(part["text"])), 0.0))
+                yield part.assign(**{name: np.where(some, scorer.score(list(part["text"])), 0.0)})
 
     return docs.mapInPandas(run, schema)
 

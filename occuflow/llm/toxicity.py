@@ -108,6 +108,7 @@ class FactorizationMachine:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on at most ``sample`` rows of labels (doc_id, toxic); conflicting labels of one id count as toxic, null ones not at all.
 
+    Of rows that repeat an id with different texts, that of the least hash is learnt from. Columns other than doc_id and text are not read.
     The sample is chosen from the ids alone, so its size bounds what is broadcast against the texts and what the one fitting task reads.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -120,10 +121,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [np.array(t, np.int32) for t in terms]})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")  # a repeated row counts once
+        pdf = pdf.sort_values("doc_id")
         return pd.DataFrame({"model": [pickle.dumps(FactorizationMachine.fit(list(pdf["terms"]), pdf["toxic"].to_numpy()))]})
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInPandas(extract, "doc_id long, toxic int, terms array<int>")
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    one = held.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.mapInPandas(extract, "doc_id long, toxic int, terms array<int>")
     model = rows.groupBy().applyInPandas(fit, "model binary").collect()
     return pickle.loads(model[0]["model"]) if model else FactorizationMachine.fit([], np.zeros(0))
 

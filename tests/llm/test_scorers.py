@@ -81,3 +81,41 @@ def test_empty_table(make_docs, folder):
     docs = make_docs(["a"]).limit(0)
     _, scorer = quality.train(docs, folder)
     assert quality.judge(docs, scorer).count() == 0
+
+
+def test_scores_are_the_sums_over_terms_and_pairs():
+    rng = np.random.default_rng(6)
+    words = [b"fool", b"zorgs", b"river", b"word1", b"stone"]
+    terms = np.array(sorted({t for w in words for t in toxicity.terms_of(w)}))
+    model = toxicity.FactorizationMachine(terms, rng.normal(size=len(terms)), rng.normal(size=(len(terms), toxicity.FACTORS)), -0.3)
+    texts = [None, "", "unknown", "fool", "Fool the zorgs, fool", "river stone word1 zorgs fool", "stone " * 9]
+    place = {int(t): i for i, t in enumerate(terms)}
+    for text, got in zip(texts, model.score(texts), strict=True):
+        mine = sorted({place[t] for w in word_list(text) for t in toxicity.terms_of(w) if t in place})
+        total = model.bias + sum(model.w[i] for i in mine) + sum(model.v[a] @ model.v[b] for k, a in enumerate(mine) for b in mine[k + 1 :])
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_linear_scores_are_sums_of_features():
+    rng = np.random.default_rng(7)
+    scorer = quality.Scorer(rng.normal(size=1 << quality.BITS), 0.2)
+    for text in ("A house, 12 lines\nA house, 12 lines\nand more", "x", "$$$ ||| of the of", "É" * 300 + " 9a9"):
+        w = text.split()
+        total = scorer.bias + sum(scorer.weights[quality.shape(x)] for x in w) / len(w)
+        lines = text.split("\n")
+        total += scorer.weights[quality.EQUAL] * sum(a == b for a, b in zip(w, w[1:])) / len(w) + scorer.weights[quality.SEEN] * (1 - len(set(w)) / len(w)) * min(len(w), 50) / 50
+        total += scorer.weights[quality.LINE] * (1 - len(set(lines)) / len(lines)) + scorer.weights[quality.FUNCTION] * sum(x in quality.FUNCTION_WORDS for x in w) / len(w)
+        assert abs(scorer.score([text])[0] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_repeated_ids_are_learnt_from_once(spark, make_docs, folder):
+    data = quality_texts()
+    docs = make_docs([t for t, _ in data], [(0, data[0][0], None, None, None)] * 3 + [(1, "another text of one", None, None, None)] * 3).withColumn("quality_score", F.lit("mine")).withColumn("mark", F.lit(1))
+    _, scorer = quality.train(docs, folder)
+    rows = quality.judge(docs, scorer, "judged").collect()
+    assert len(rows) == 206 and {r["quality_score"] for r in rows} == {"mine"}
+    assert len(quality.judge(docs, scorer).collect()[0]) == len(docs.columns)
+    texts, labels = texts_and_labels(200)
+    both = make_docs(texts, [(0, texts[1], None, None, None)] * 5).withColumn("toxic", F.lit(1))
+    model = toxicity.train(both, spark.createDataFrame([(i, int(x)) for i, x in enumerate(labels)] * 2, "doc_id long, toxic int"))
+    assert toxicity.score(both, model).count() == 205
