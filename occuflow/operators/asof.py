@@ -42,3 +42,22 @@ def offset_join(left: DataFrame, lookup: DataFrame, keys: list[str], at: str, mi
     """``value`` exactly so many minutes before ``at``, never the nearest: an equi-join, so history of any gaps gives no wrong match."""
     past = lookup.select(*keys, F.timestamp_add("MINUTE", F.lit(minutes), F.col("ts")).alias(at), F.col(value).alias(name))
     return left.join(past, [*keys, at], "left")
+
+
+def asof_series(left: DataFrame, series: DataFrame, time: str = "ts") -> DataFrame:
+    """Left rows with ``r_ts`` and ``v`` of the latest row of a series (r_ts, v) that has no key and isn't later.
+
+    Days are the tasks: inside a day rows are ordered by time, and each day starts from the last value of the days before it,
+    taken over one row a day.
+    """
+    day = lambda c: F.to_date(c).alias("day")
+    value = F.struct("r_ts", "v")
+    last = series.groupBy(day("r_ts")).agg(F.max(value).alias("last"))
+    days = left.select(day(time)).union(series.select(day("r_ts"))).distinct().join(last, "day", "left")
+    before = days.select("day", F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    columns = left.columns
+    rows = left.select(day(time), F.col(time).alias("at"), F.lit(1).alias("side"), F.struct(*columns).alias("row"), F.lit(None).cast(series.select(value.alias("x")).schema["x"].dataType).alias("x"))
+    more = series.select(day("r_ts"), F.col("r_ts").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), value.alias("x"))
+    inside = F.last("x", ignorenulls=True).over(Window.partitionBy("day").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.union(more).withColumn("x", inside).where("side = 1").join(before, "day").select("row.*", F.coalesce("x", "carried").alias("x"))
+    return found.select(*columns, "x.r_ts", "x.v")

@@ -80,3 +80,19 @@ def certified_prefix(table: DataFrame, ok: str = "ok", order: str = "horizon") -
     """Adds ``certified``: this and all shorter horizons are ok. The table has a row for each horizon, so one window is small."""
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return table.withColumn("certified", F.min(F.col(ok).cast("int")).over(w) == 1)
+
+
+def ranked_value(df: DataFrame, keys: list[str], value: str, rank, width: float = 0.5) -> DataFrame:
+    """(keys, n, value): the value at a rank, a function of the group's number of rows, counting from 1.
+
+    Values are counted in bins of ``width`` first and the rank is looked up in the bins' running sums; only the bin that holds it is
+    sorted, so no task sorts a group.
+    """
+    binned = df.select(*keys, F.col(value).alias("v"), F.floor(F.col(value) / width).alias("bin"))
+    bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = bins.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(*keys))}).withColumn("rank", rank(F.col("n")))
+    hit = sums.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select(*keys, "bin", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("place"))
+    counted = binned.join(hit, [*keys, "bin"]).groupBy(*keys, "n", "place", "v").agg(F.count("*").alias("c"))
+    within = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return within.where("upto >= place").groupBy(*keys, "n").agg(F.min("v").alias(value))

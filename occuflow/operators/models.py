@@ -47,6 +47,49 @@ def clusters(frame: DataFrame, vector: str, ks: tuple[int, ...]) -> DataFrame:
     return max(fits, key=lambda m: judge.evaluate(m.transform(rows))).transform(rows)
 
 
+def interval(fit: DataFrame, held: DataFrame, test: DataFrame, features: list[str], keys: list[str], low: float, high: float) -> DataFrame:
+    """Test rows with ``lo``, ``mid`` and ``hi``, in order: the boosted median and, by keys, the quantiles of the residuals of held-back rows added to it."""
+    columns = test.columns
+    both = boosted_change(fit, held.withColumn("part", F.lit(0)).unionByName(test.withColumn("part", F.lit(1))), features)
+    offsets = both.where("part = 0").groupBy(*keys).agg(F.percentile_approx(F.col("actual") - F.col("predicted"), [low, high], 10_000).alias("q"))
+    three = F.array_sort(F.array("predicted", *[F.least(F.greatest(F.col("predicted") + F.coalesce(F.col("q")[i], F.lit(0.0)), F.lit(0.0)), F.lit(100.0)) for i in range(2)]))
+    return both.where("part = 1").join(F.broadcast(offsets), keys, "left").select(*columns, three.alias("t")).select(*columns, *[F.col("t")[i].alias(n) for i, n in enumerate(("lo", "mid", "hi"))])  # a row a horizon
+
+
+def importance(spark, train: DataFrame, features: list[str], now: str = "occ_now", actual: str = "actual") -> DataFrame:
+    """(feature, share, rank) of boosted trees on the change from now."""
+    rows = VectorAssembler(inputCols=features, outputCol="x").transform(train).withColumn("change", F.col(actual) - F.col(now))
+    share = GBTRegressor(featuresCol="x", labelCol="change", lossType="absolute", maxIter=20, maxDepth=4, seed=1).fit(rows).featureImportances.toArray()
+    order = sorted(range(len(features)), key=lambda i: (-share[i], features[i]))
+    return spark.createDataFrame([(features[i], float(share[i]), k + 1) for k, i in enumerate(order)], "feature string, share double, rank int")
+
+
+def normal_sums(frame: DataFrame, group: list[str], features: list[str], target: str) -> DataFrame:
+    """(group, sums): the normal equations of a group as one array of sums, and its number of rows ``rows``."""
+    one = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    terms = [a * b for a in one for b in one] + [a * F.col(target).cast("double") for a in one]
+    named = frame.select(*group, *[t.alias(f"t{i}") for i, t in enumerate(terms)])
+    return named.groupBy(*group).agg(F.array(*[F.sum(f"t{i}") for i in range(len(terms))]).alias("sums"), F.count("*").alias("rows"))
+
+
+def ridge_local(train: DataFrame, test: DataFrame, group: str, features: list[str], target: str, alpha: float, least: int) -> DataFrame:
+    """(group, n, mae_global, mae_local) on test rows of a ridge over all rows and of one over the group's own, null below ``least`` rows."""
+    k = len(features) + 1
+
+    def solve(sums: pd.Series) -> pd.Series:
+        penalty = alpha * np.eye(k)
+        penalty[0, 0] = 1e-9  # the constant isn't shrunk
+        return pd.Series([np.linalg.solve(np.asarray(s)[: k * k].reshape(k, k) + penalty, np.asarray(s)[k * k :]) for s in sums])
+
+    w = F.pandas_udf(solve, "array<double>")
+    local = normal_sums(train, [group], features, target).where(F.col("rows") >= least).select(group, w("sums").alias("local"))
+    whole = normal_sums(train, [], features, target).where("rows > 0").select(w("sums").alias("whole"))
+    x = test.select(group, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features]).alias("x"), F.col(target).cast("double").alias("y")).withColumn("k", F.lit(1))
+    both = x.join(F.broadcast(whole.withColumn("k", F.lit(1))), "k").join(local, group, "left")  # the whole is one row
+    miss = lambda c: F.abs(F.aggregate(F.zip_with("x", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) - F.col("y"))
+    return both.groupBy(group).agg(F.count("*").alias("n"), F.avg(miss("whole")).alias("mae_global"), F.avg(F.when(F.col("local").isNotNull(), miss("local"))).alias("mae_local"))
+
+
 def ridge_without(frame: DataFrame, group: str, features: list[str], target: str, alpha: float) -> DataFrame:
     """(group, n, mae): each group is forecast from the other groups' rows.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +65,18 @@ def leave_one_out(grid: DataFrame, hour: Column) -> DataFrame:
     return x.select("lot", "h", (F.try_divide(F.col("levels") - F.col("level"), F.col("all") - 1) * shape).alias("predicted"), (F.col("level") * shape).alias("with_own_level"), "actual")
 
 
-def cluster_bootstrap(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(mean, lo, hi) of a ratio of sums s / n over clusters (cluster, s, n): clusters are drawn with replacement.
+def cluster_bootstrap(clusters: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
+    """(keys, mean, lo, hi) of a ratio of sums s / n over clusters (keys, cluster, s, n): clusters are drawn with replacement.
 
-    A cluster's number of draws in a resample is Poisson of mean one, so resamples need no gathering and no self-join.
+    A cluster's number of draws in a resample is Poisson of mean one, so resamples need no gathering and no self-join;
+    it comes from a hash of seed, draw and cluster and is the same at any partitioning and retry.
     """
-    u = F.rand(seed)
-    edges = [0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532]  # of the Poisson distribution
-    times = sum((F.when(F.col("u") >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    rows = clusters.select("s", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", u).withColumn("times", times)
-    means = rows.groupBy("draw").agg(F.try_divide(F.sum(F.col("s") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    upto, term = [], math.exp(-1)
+    for k in range(1, 18):  # beyond 17 draws lies less than the hash resolves
+        upto.append(term + (upto[-1] if upto else 0))
+        term /= k
+    rows = clusters.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "cluster", *keys), F.lit(1 << 53)) / float(1 << 53)
+    rows = rows.withColumn("u", u).withColumn("times", sum((F.when(F.col("u") >= e, 1).otherwise(0) for e in upto), F.lit(0)))
+    means = rows.groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col("s") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("m"))
+    return means.groupBy(*keys).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))

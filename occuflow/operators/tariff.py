@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Prices of the first half hour, then of each ten minutes up to 60, 120, 180 minutes and beyond, by kind and grade.
 RATES = {
-    ("on", 1): (600, 300, 600, 900, 1200), ("on", 2): (400, 200, 400, 600, 800), ("on", 3): (200, 100, 300, 400, 400), ("on", 4): (200, 100, 200, 200, 200), ("on", 5): (200, 100, 100, 100, 100),
+    ("on", 1): (600, 300, 600, 900, 1200), ("on", 2): (400, 200, 400, 600, 800), ("on", 3): (200, 100, 300, 400, 400),
     ("off", 1): (600, 300, 600, 900, 1200), ("off", 2): (400, 200, 400, 600, 800), ("off", 3): (200, 100, 300, 400, 400), ("off", 4): (200, 100, 200, 200, 200), ("off", 5): (200, 100, 100, 100, 100),
 }
 #: Day passes by whole hours and grade 1 to 5.
@@ -15,6 +15,13 @@ PASSES = {
     8: (10000, 7000, 5000, 2000, 1500), 9: (11000, 8000, 5000, 2000, 1500), 10: (13000, 9000, 6000, 3000, 2500),
     11: (14000, 10000, 7000, 3000, 2500), 12: (15000, 11000, 7000, 3000, 2500), 13: (16000, 12000, 8000, 4000, 3500),
 }
+#: Percent paid and free minutes of each discount.
+DISCOUNTS = {
+    "emergency": (0, 0), "compact": (50, 0), "low_emission": (50, 0), "charging": (50, 120), "senior": (50, 0), "disabled_mild": (50, 0), "disabled_severe": (50, 120),
+    "veteran": (50, 120), "transfer": (50, 0), "transfer_compact": (40, 0), "children": (50, 0), "pregnant": (50, 0), "market": (100, 90),
+}
+#: Percent of a day pass that holders of a discount pay.
+PASS_PERCENT = 30
 BRACKETS = ((30, 60), (60, 120), (120, 180), (180, 1440))
 DAY_CAP, FREE_MINUTES = 25_000, 15
 
@@ -72,4 +79,58 @@ def total(days: Column, prices: Column, percent_paid: Column) -> Column:
 def break_even(pass_price: Column, prices: Column) -> Column:
     """The first minute from which the pass is cheaper, null if never within a day."""
     hit = F.filter(F.sequence(F.lit(10), F.lit(1440), F.lit(10)), lambda m: progressive(m, prices) > pass_price)
-    return F.try_element_at(hit, F.lit(1)) - 9
+    return F.when(pass_price.isNotNull(), F.try_element_at(hit, F.lit(1)) - 9)
+
+
+def discount(code: Column, part: int) -> Column:
+    """Percent paid (part 0) or free minutes (part 1) of a discount; without one all is paid from the first minute."""
+    out = F.lit((100, 0)[part])
+    for name, row in DISCOUNTS.items():
+        out = F.when(code == name, row[part]).otherwise(out)
+    return out
+
+
+def weekday_of(day: Column) -> Column:
+    """Monday is 0; days count from 1970."""
+    return F.pmod(day + 3, F.lit(7))
+
+
+def charged_days(start: Column, minutes: Column, windows: Column, free_days: Column) -> Column:
+    """For each calendar day of a stay: (day, billable, window), its minutes inside the charging windows (s, e) of the day and the windows' length.
+
+    Windows are given by weekday, an array of seven arrays; on free days, and outside all windows, nothing is charged.
+    """
+    first, last = F.floor(start / 1440), F.floor((start + minutes - 1) / 1440)
+
+    def of(day: Column) -> Column:
+        mine = F.when(F.array_contains(free_days, day), F.array().cast("array<struct<s:int,e:int>>")).otherwise(F.element_at(windows, (weekday_of(day) + 1).cast("int")))
+        inside = lambda a, w: a + F.greatest(F.least(start + minutes, day * 1440 + w["e"]) - F.greatest(start, day * 1440 + w["s"]), F.lit(0))
+        zero = F.lit(0).cast("long")
+        return F.struct(day.alias("day"), F.aggregate(mine, zero, inside).alias("billable"), F.aggregate(mine, zero, lambda a, w: a + w["e"] - w["s"]).alias("window"))
+
+    return F.transform(F.sequence(first, last), of)
+
+
+def quote(days: Column, prices: Column, grade: Column, percent: Column, free: Column) -> Column:
+    """A stay's quote from its charged days: each day has its own progression and cap; free minutes are used from the first paid day on; the discount comes before rounding down.
+
+    The day pass is that of the first paid day's charging hours, null where the table has none; a prepaid total is given for stays of one paid day.
+    """
+    zero = F.lit(0).cast("long")
+    plain = F.transform(days, lambda x: F.struct(x["day"].alias("day"), x["billable"].alias("billable")))
+    left = after_free(plain, free)
+    sum_of = lambda xs, f: F.aggregate(xs, zero, lambda a, x: a + f(x))
+    billable, due = sum_of(days, lambda x: x["billable"]), sum_of(left, lambda x: x["billable"])
+    each = lambda x: progressive(x["billable"], prices)
+    raw, capped = sum_of(left, each), sum_of(left, lambda x: F.least(each(x), F.lit(DAY_CAP)))
+    charged = (billable >= FREE_MINUTES) & (due > 0) & prices.isNotNull()
+    paid_days = F.when(charged, F.size(F.filter(left, lambda x: x["billable"] > 0))).otherwise(0)
+    hours = F.try_element_at(F.filter(days, lambda x: x["billable"] > 0), F.lit(1))["window"] / 60
+    pass_ = F.when(charged, day_pass(hours, grade))
+    total = F.when(prices.isNull(), None).when(~charged, 0).otherwise(F.floor(capped * percent / 10_000) * 100).cast("long")
+    prepaid = F.when(paid_days == 1, F.when(percent != 100, F.floor(pass_ * PASS_PERCENT / 10_000) * 100).otherwise(pass_)).cast("long")
+    reason = F.when(prices.isNull(), "no_such_tariff").when(billable < FREE_MINUTES, "not_charged").when(due == 0, "within_free_minutes").when(pass_.isNull(), "no_day_pass")
+    return F.struct(
+        billable.alias("billable"), F.when(charged, raw).alias("raw"), (charged & (raw > capped)).alias("capped"), total.alias("total"), paid_days.alias("paid_days"), pass_.alias("day_pass"), prepaid.alias("prepaid"),
+        (prepaid < total).alias("buy_pass"), F.when(prepaid.isNotNull(), F.greatest(total - prepaid, zero)).alias("saving"), break_even(pass_, prices).alias("pass_from_minute"), reason.alias("reason"),
+    )

@@ -117,17 +117,20 @@ def pass_break_even(spark, d):
     return x.select("lot", "pass", tariff.break_even(F.col("pass"), F.col("p")).alias("break_even"))
 
 
-CODES = (("none", 100, 0), ("small_car", 50, 0), ("family", 50, 1), ("veteran", 20, 2))
-
-
-@query(f"""WITH {STAYS}, b AS (SELECT event_id, code, pos, CAST(floor({PROG.format(m='mins')} * pct / 10000.0) * 100 AS BIGINT) AS price FROM (SELECT event_id, mins, {RATE} AS p FROM stay), (VALUES ('none', 100, 0), ('small_car', 50, 1), ('family', 50, 2), ('veteran', 20, 3)) c(code, pct, pos) WHERE pos = 0 OR (event_id >> (pos - 1)) & 1 = 1)
+@query(f"""WITH {STAYS}, b AS (SELECT event_id, code, pos, CASE WHEN mins < 15 OR mins <= f THEN 0 ELSE CAST(floor({PROG.format(m='(mins - f)')} * pct / 10000.0) * 100 AS BIGINT) END AS price FROM (SELECT event_id, mins, {RATE} AS p FROM stay), (VALUES ('none', 100, 0, 0), ('compact', 50, 0, 1), ('charging', 50, 120, 2), ('veteran', 50, 120, 3), ('transfer_compact', 40, 0, 4), ('market', 100, 90, 5)) c(code, pct, f, pos) WHERE p IS NOT NULL AND (pos = 0 OR (event_id >> (pos - 1)) & 1 = 1))
 SELECT event_id, code, price FROM b QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY price, pos) = 1""")
 def best_benefit(spark, d):
-    """The single cheapest discount that a user has; ties keep the user's order."""
-    price = lambda pct: (F.floor(tariff.progressive(F.col("mins"), F.col("p")) * pct / 10_000) * 100).cast("long")
-    options = F.array(*[F.struct(price(pct).alias("price"), F.lit(i).alias("pos"), F.lit(c).alias("code")) for i, (c, pct, _) in enumerate(CODES)])
+    """The single cheapest discount that a user has, of its percentage and free minutes; ties keep the user's order."""
+    codes = ("none", "compact", "charging", "veteran", "transfer_compact", "market")
+
+    def price(code: str):
+        pct, free = tariff.discount(F.lit(code), 0), tariff.discount(F.lit(code), 1)
+        due = F.col("mins") - free
+        return F.when((F.col("mins") < 15) | (due <= 0), 0).otherwise(F.floor(tariff.progressive(due, F.col("p")) * pct / 10_000) * 100).cast("long")
+
+    options = F.array(*[F.struct(price(c).alias("price"), F.lit(i).alias("pos"), F.lit(c).alias("code")) for i, c in enumerate(codes)])
     has = F.filter(options, lambda o: (o["pos"] == 0) | (F.pmod(F.floor(F.col("event_id") / F.pow(F.lit(2), o["pos"] - 1)), F.lit(2)) == 1))
-    return fares(spark, d).select("event_id", F.array_min(has).alias("b")).select("event_id", "b.code", "b.price")
+    return fares(spark, d).where("p IS NOT NULL").select("event_id", F.array_min(has).alias("b")).select("event_id", "b.code", "b.price")
 
 
 CARDS = f"""{LOTS}, q AS (SELECT c_custkey AS q, 37.2 + (c_custkey * 53 % 401) * 0.001 AS lat, 126.8 + (c_custkey * 29 % 397) * 0.001 AS lng FROM customer),

@@ -134,20 +134,15 @@ def method_missing(spark, d):
     return x.groupBy("horizon", "day", F.col("x.m").alias("method")).agg(F.count("*").alias("n"), F.count("x.p").alias("scored"), F.count_if(F.col("x.p").isNull()).alias("missing"), r6(F.avg(F.abs(F.col("x.p") - F.col("actual")))).alias("mae"))
 
 
-@query(f"WITH {PAIRS} SELECT lot, round(median(actual - lag_24h), 6) AS correction, count(*) AS n FROM pairs WHERE horizon = 360 AND {CORE} GROUP BY lot")
+@query(f"WITH {PAIRS} SELECT lot, horizon, round(median(actual - lag_24h), 6) AS correction, count(*) AS n FROM pairs WHERE {CORE} GROUP BY lot, horizon")
 def residual_median(spark, d):
-    p = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"]) & (F.col("horizon") == 360))
-    return p.groupBy("lot").agg(r6(F.median(F.col("actual") - F.col("lag_24h"))).alias("correction"), F.count("*").alias("n"))
+    p = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"]))
+    return p.groupBy("lot", "horizon").agg(r6(F.median(F.col("actual") - F.col("lag_24h"))).alias("correction"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {PAIRS}, p AS (SELECT lot, ts, abs(actual - lag_24h) AS s, row_number() OVER (PARTITION BY lot % 4 ORDER BY abs(actual - lag_24h), lot, ts) AS i, count(*) OVER (PARTITION BY lot % 4) AS n FROM pairs WHERE horizon = 360 AND {CORE})
-SELECT lot % 4 AS state, max(n) AS n, round(CASE WHEN max(n) >= 50 THEN max(CASE WHEN i = CAST(ceil(least(1.0, ceil((n + 1) * 0.8) / n) * (n - 1)) AS BIGINT) + 1 THEN s END) END, 6) AS adjust FROM p GROUP BY 1""")
+@query(f"""WITH {PAIRS}, p AS (SELECT lot % 4 AS state, horizon, abs(actual - lag_24h) AS s, row_number() OVER (PARTITION BY lot % 4, horizon ORDER BY abs(actual - lag_24h), lot, ts) AS i, count(*) OVER (PARTITION BY lot % 4, horizon) AS n FROM pairs WHERE {CORE})
+SELECT state, horizon, max(n) AS n, round(CASE WHEN max(n) >= 50 THEN max(CASE WHEN i = CAST(ceil(least(1.0, ceil((n + 1) * 0.8) / n) * (n - 1)) AS BIGINT) + 1 THEN s END) END, 6) AS adjust FROM p GROUP BY 1, 2""")
 def conformal_quantile(spark, d):
-    """The conformal quantile: the score of the next higher rank, none below 50 scores. Ranks come from counts, so no state is sorted in one task."""
-    p = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"]) & (F.col("horizon") == 360)).select(F.pmod("lot", F.lit(4)).alias("state"), ev.errors("lag_24h").alias("s"))
-    counts = p.groupBy("state", "s").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("state").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy("state")
-    ranked = counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(total)})
-    rank = F.ceil(F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * 0.8) / F.col("n")) * (F.col("n") - 1)) + 1
-    return ranked.groupBy("state").agg(F.max("n").alias("n"), F.round(F.min(F.when((F.col("upto") >= rank) & (F.col("n") >= 50), F.col("s"))), 6).alias("adjust"))
+    """The conformal quantile of each state and horizon: the score of the next higher rank, none below 50 scores."""
+    p = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"])).select(F.pmod("lot", F.lit(4)).alias("state"), "horizon", ev.errors("lag_24h").alias("s"))
+    return ev.ranked_value(p, ["state", "horizon"], "s", lambda n: F.ceil(F.least(F.lit(1.0), F.ceil((n + 1) * 0.8) / n) * (n - 1)) + 1).select("state", "horizon", "n", F.round(F.when(F.col("n") >= 50, F.col("s")), 6).alias("adjust"))

@@ -35,13 +35,13 @@ def asof_nearest_tol(spark, d):
 
 
 @query("""WITH h AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1)
-SELECT e.event_id, h.ts AS r_ts, round(h.v, 6) AS v FROM (SELECT event_id, ts, date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'error') e LEFT JOIN h ON h.ts = e.hour""")
+SELECT e.event_id, h.ts AS r_ts, round(h.v, 6) AS v FROM (SELECT event_id, ts FROM events WHERE event_type = 'error') e ASOF LEFT JOIN h ON h.ts <= e.ts""")
 def asof_broadcast(spark, d):
-    """An hourly series onto events: the hour is the key, so no as-of search is needed."""
+    """An hourly series without a key onto events: the latest hour that has a value, however long ago."""
     e = read(spark, d, "events")
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     series = e.where("event_type = 'view'").groupBy(hour.alias("r_ts")).agg(F.avg("value").alias("v"))
-    return e.where("event_type = 'error'").withColumn("r", hour).join(series, F.col("r") == F.col("r_ts"), "left").select("event_id", "r_ts", F.round("v", 6).alias("v"))
+    return asof.asof_series(e.where("event_type = 'error'").select("event_id", "ts"), series).select("event_id", "r_ts", F.round("v", 6).alias("v"))
 
 
 @query(f"WITH {GRID} SELECT g.lot, g.ts, round(p.occ, 6) AS lag_24h, round(q.occ, 6) AS lag_7d FROM grid g LEFT JOIN grid p ON p.lot = g.lot AND p.ts = g.ts - INTERVAL 24 HOURS LEFT JOIN grid q ON q.lot = g.lot AND q.ts = g.ts - INTERVAL 7 DAYS")

@@ -11,27 +11,58 @@ from .evaluation import pairs, weekpart
 
 
 def frame(spark, d):
-    """Pairs with all features: known rows up to the fold train, later ones test."""
-    p = pairs(spark, d).where("horizon = 360 AND actual IS NOT NULL AND occ_now IS NOT NULL")
+    """Pairs of all horizons with all features: known rows up to the fold train, later ones test."""
+    p = pairs(spark, d).where("actual IS NOT NULL AND occ_now IS NOT NULL")
     p = p.withColumns({"hour": F.hour("target_time"), "weekend": (weekpart() == "weekend").cast("int"), "past": F.coalesce("lag_24h", "occ_now"), "week": F.coalesce("lag_7d", "occ_now")})
     return p.withColumn("test", F.col("ts") >= F.expr("TIMESTAMP_NTZ'2024-01-24 00:00:00'"))
 
 
-FEATURES = ["occ_now", "hour", "weekend", "past", "week"]
+FEATURES = ["horizon", "occ_now", "hour", "weekend", "past", "week"]
+KNOWN = "NOT test AND target_time < TIMESTAMP_NTZ'2024-01-24 00:00:00'"
 
 
 @query()
 def gbt_median(spark, d):
-    """Boosted trees with absolute loss, on the change from now, restored and clipped."""
+    """Boosted trees with absolute loss over all horizons, the horizon a feature; the change from now, restored and clipped."""
     x = frame(spark, d)
-    return models.boosted_change(x.where("NOT test AND target_time < TIMESTAMP_NTZ'2024-01-24 00:00:00'"), x.where("test"), FEATURES).select("lot", "ts", "actual", "predicted")
+    return models.boosted_change(x.where(KNOWN), x.where("test"), FEATURES).select("lot", "ts", "horizon", "actual", "predicted")
+
+
+@query()
+def pooled_horizon(spark, d):
+    """One model learnt from the shortest and longest horizon and asked for one between: errors by horizon, and whether it was learnt."""
+    x = frame(spark, d)
+    out = models.boosted_change(x.where(KNOWN).where("horizon <> 720"), x.where("test"), FEATURES)
+    return out.groupBy("horizon", (F.col("horizon") != 720).alias("learnt")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 6).alias("mae"))
+
+
+@query()
+def quantile_triple(spark, d):
+    """Low, middle and high forecasts, sorted so that they never cross: boosted medians and the offsets of calibration residuals."""
+    x = frame(spark, d)
+    cut = "TIMESTAMP_NTZ'2024-01-17 00:00:00'"
+    fit, held = x.where(KNOWN).where(f"target_time < {cut}"), x.where(KNOWN).where(f"ts >= {cut}")
+    return models.interval(fit, held, x.where("test"), FEATURES, ["horizon"], 0.1, 0.9).select("lot", "ts", "horizon", "actual", "lo", "mid", "hi")
+
+
+@query()
+def feature_importance(spark, d):
+    """The share of each feature in the trees' splits, the largest first."""
+    x = frame(spark, d)
+    return models.importance(spark, x.where(KNOWN), FEATURES)
+
+
+@query()
+def global_vs_local(spark, d):
+    """Errors of one ridge over all lots against one a lot; lots of fewer than 200 rows have no own model."""
+    return models.ridge_local(frame(spark, d).where(KNOWN), frame(spark, d).where("test"), "lot", FEATURES, "actual", 1.0, 200).select("lot", "n", F.round("mae_global", 6).alias("mae_global"), F.round("mae_local", 6).alias("mae_local"))
 
 
 @query()
 def full_probability(spark, d):
     """The chance of being nearly full by boosted trees, recalibrated on its log-odds."""
     x = frame(spark, d).withColumn("full", (F.col("actual") >= 90).cast("double"))
-    return models.calibrated_chance(x.where("NOT test"), x.where("test"), FEATURES, "full").select("lot", "ts", "full", "p", "calibrated")
+    return models.calibrated_chance(x.where("NOT test"), x.where("test"), FEATURES, "full").select("lot", "ts", "horizon", "full", "p", "calibrated")
 
 
 @query()

@@ -31,12 +31,12 @@ def brier_by_group(spark, d):
     return cal.brier(probabilities(spark, d), ["kind"], "q").select("kind", "n", r6("brier").alias("brier"), r6("brier_base").alias("brier_base"))
 
 
-BINS = f"""{PROB}, b AS (SELECT kind, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS mean_y FROM prob WHERE p < 0.3 OR p >= 0.4 GROUP BY 1, 2),
+BINS = f"""{PROB}, b AS (SELECT kind, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS mean_y FROM prob GROUP BY 1, 2),
 bins AS (SELECT k.kind, CAST(i.bin AS INTEGER) AS bin, coalesce(b.n, 0) AS n, b.mean_p, b.mean_y FROM (SELECT DISTINCT kind FROM prob) k CROSS JOIN range(10) i(bin) LEFT JOIN b ON b.kind = k.kind AND b.bin = i.bin)"""
 
 
 def bins(spark, d):
-    return cal.reliability(probabilities(spark, d).where("p < 0.3 OR p >= 0.4"), ["kind"])
+    return cal.reliability(probabilities(spark, d), ["kind"])
 
 
 @query(f"WITH {BINS} SELECT kind, bin, n, round(mean_p, 6) AS mean_p, round(mean_y, 6) AS mean_y FROM bins")
@@ -50,11 +50,11 @@ def reliability_slope(spark, d):
     return cal.slope(bins(spark, d), ["kind"]).select("kind", r6("slope").alias("slope"))
 
 
-@query(f"""WITH {PROB}, g AS (SELECT kind, count(*) AS n, avg(pow(p - y, 2)) AS brier, avg(pow(q - y, 2)) AS base FROM prob WHERE p < 0.3 OR p >= 0.4 GROUP BY 1), {BINS.replace(PROB + ', ', '')},
+@query(f"""WITH {PROB}, g AS (SELECT kind, count(*) AS n, avg(pow(p - y, 2)) AS brier, avg(pow(q - y, 2)) AS base FROM prob GROUP BY 1), {BINS.replace(PROB + ', ', '')},
 s AS (SELECT kind, CASE WHEN count(mean_p) >= 2 THEN regr_slope(mean_y, mean_p) END AS slope FROM bins GROUP BY kind)
 SELECT kind, CASE WHEN n < 1500 THEN 'insufficient' WHEN brier >= base THEN 'no_better_than_persistence' WHEN slope IS NULL OR slope < 0.8 OR slope > 1.2 THEN 'miscalibrated' ELSE 'calibrated' END AS status FROM g JOIN s USING (kind)""")
 def probability_gate(spark, d):
-    p = probabilities(spark, d).where("p < 0.3 OR p >= 0.4")
+    p = probabilities(spark, d)
     return cal.gate(cal.brier(p, ["kind"], "q"), cal.slope(cal.reliability(p, ["kind"]), ["kind"]), ["kind"], 1500).select("kind", "status")
 
 
@@ -70,10 +70,10 @@ def intervals(spark, d):
 COVER = "count(*) AS n, count(lo) AS n_interval, count(*) FILTER (WHERE actual BETWEEN lo AND hi) AS inside, avg(hi - lo) AS width"
 
 
-@query(f"""WITH {INTERVALS}, c AS (SELECT horizon, day, {COVER} FROM iv WHERE lot % 2 = 0 OR horizon < 1440 GROUP BY 1, 2)
+@query(f"""WITH {INTERVALS}, c AS (SELECT horizon, day, {COVER} FROM iv GROUP BY 1, 2)
 SELECT horizon, day, n, n_interval, inside, round(inside / nullif(n_interval, 0), 6) AS coverage, round(width, 6) AS width, CASE WHEN n_interval < n THEN 'unavailable' WHEN inside / n_interval BETWEEN 0.77 AND 0.83 THEN 'pass' ELSE 'fail' END AS status FROM c""")
 def interval_coverage(spark, d):
-    x = intervals(spark, d).where("lot % 2 = 0 OR horizon < 1440")
+    x = intervals(spark, d)
     return cal.coverage(x, ["horizon", "day"]).select("horizon", "day", "n", "n_interval", "inside", r6("coverage").alias("coverage"), r6("width").alias("width"), "status")
 
 
@@ -84,10 +84,10 @@ def coverage_additivity(spark, d):
     return cal.additive(cal.coverage(intervals(spark, d), ["horizon", "day"]), cal.coverage(intervals(spark, d), ["horizon"]), ["horizon"])
 
 
-@query(f"""WITH {INTERVALS}, c AS (SELECT horizon, lot % 3 AS state, {COVER} FROM iv WHERE lot % 10 <> 0 GROUP BY 1, 2) SELECT horizon, bool_and(inside / nullif(n_interval, 0) BETWEEN 0.7 AND 0.9) AS open FROM c GROUP BY horizon""")
+@query(f"""WITH {INTERVALS}, c AS (SELECT horizon, lot % 3 AS state, {COVER} FROM iv GROUP BY 1, 2) SELECT horizon, bool_and(inside / nullif(n_interval, 0) BETWEEN 0.7 AND 0.9) AS open FROM c GROUP BY horizon""")
 def interval_gate(spark, d):
     """A horizon opens if all its states are covered within the band."""
-    c = cal.coverage(intervals(spark, d).where("lot % 10 <> 0").withColumn("state", F.pmod("lot", F.lit(3))), ["horizon", "state"])
+    c = cal.coverage(intervals(spark, d).withColumn("state", F.pmod("lot", F.lit(3))), ["horizon", "state"])
     return c.groupBy("horizon").agg(F.bool_and(F.col("coverage").between(0.7, 0.9)).alias("open"))
 
 
@@ -250,9 +250,11 @@ def report_pivot(spark, d):
 
 
 def bootstrap_rescue(spark, d):
-    """Day-cluster bootstrap of a gain: resamples of days, 2.5 and 97.5 percent. Rows only: draws are pseudo-random."""
-    x = scored(spark, d).where("horizon = 360").groupBy(F.pmod("lot", F.lit(12)).alias("cluster")).agg(F.sum(F.col("b1") - F.col("e")).alias("s"), F.count("*").alias("n"))
-    return st.cluster_bootstrap(x, 500, 7)
+    """Day-cluster bootstrap of a gain by horizon: resamples of days, 2.5 and 97.5 percent. Draws are hashes, so they are the same at every run."""
+    p = pairs(spark, d).where(CORE)
+    gain = F.abs(F.col("persistence") - F.col("actual")) - F.abs(F.col("lag_24h") - F.col("actual"))
+    x = p.groupBy("horizon", F.to_date("target_time").alias("cluster")).agg(F.sum(gain).alias("s"), F.count("*").alias("n"))
+    return st.cluster_bootstrap(x, ["horizon"], 500, 7)
 
 
 query()(bootstrap_rescue)

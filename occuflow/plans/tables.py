@@ -54,9 +54,9 @@ def union_dedup(spark, d):
     return first.select("user_id", "day", "x.event_id", "x.src")
 
 
-@query("SELECT l_returnflag, l_linestatus, coalesce(l_returnflag, 'all') || '/' || coalesce(l_linestatus, 'all') AS cell, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+@query("SELECT l_returnflag, l_linestatus, coalesce(l_returnflag, 'all') || '/' || coalesce(l_linestatus, 'all') AS cell, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS quantity, round(CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) / count(l_discount), 6) AS discount FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def margin_cube(spark, d):
-    c = read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), r6(F.avg("l_discount")).alias("discount"))
+    c = read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"), r6(F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double") / F.count("l_discount")).alias("discount"))
     name = lambda x: F.coalesce(F.col(x), F.lit("all"))
     return c.select("l_returnflag", "l_linestatus", F.concat(name("l_returnflag"), F.lit("/"), name("l_linestatus")).alias("cell"), "n", "quantity", "discount")
 
