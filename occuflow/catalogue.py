@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audits, domain, evaluation, fares, grids, joins, model, quality, statistics, stream, tables  # noqa: F401
+from .plans import audits, domain, evaluation, fares, files, grids, joins, model, predicates, quality, statistics, stream, tables  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "persistence_error"
