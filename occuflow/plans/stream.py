@@ -8,11 +8,14 @@ from ..registry import query
 from ..sources.tables import read
 from ..streaming import windows
 
+#: Files come in any order, so a row may be as late as the table is long.
+SPAN = "60 days"
+
 
 @query("SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_dedup_window(spark, d):
     """Tumbling windows of a stream of polls that drops repeated ones; it runs over what is there, then ends."""
-    return windows.tumbling(spark, d, "6 hours", "24 hours").select("event_type", "start", "n", F.round("total", 4).alias("total"))
+    return windows.tumbling(spark, d, "6 hours", SPAN).select("event_type", "start", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH e AS (SELECT event_type, value, time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), w AS (SELECT event_type, value, b - k.k * INTERVAL 3 HOURS AS start FROM e, (VALUES (0), (1), (2), (3)) k(k))
@@ -29,3 +32,32 @@ def gap_sessions(spark, d):
     """Runs of polls with gaps below four hours."""
     s = read(spark, d, "events").groupBy("user_id", F.session_window("ts", "4 hours").alias("w")).agg(F.count("*").alias("n"))
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+SLIDING = """WITH e AS (SELECT event_type, value, time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), w AS (SELECT event_type, value, b - k.k * INTERVAL 3 HOURS AS start FROM e, (VALUES (0), (1), (2), (3)) k(k))
+SELECT event_type, start, count(*) AS n, round(avg(value), 6) AS mean FROM w GROUP BY 1, 2"""
+
+
+@query(SLIDING)
+def stream_sliding(spark, d):
+    """Sliding means over a stream."""
+    return windows.sliding(spark, d, "12 hours", "3 hours", SPAN).select("event_type", "start", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOURS THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, d):
+    """Sessions of polls over a stream, merged as late polls join them."""
+    return windows.sessions(spark, d, "4 hours", SPAN)
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id, time_bucket(INTERVAL 5 MINUTES, ts, TIMESTAMP '1970-01-01') AS slot, arg_max(value, (ts, event_id)) AS v FROM events, m WHERE ts >= now - INTERVAL 4 HOURS GROUP BY 1, 2)
+SELECT user_id, count(*) AS slots, round(arg_max(v, slot), 6) AS latest, round(avg(v), 6) AS mean FROM s GROUP BY 1""")
+def live_refresh(spark, d):
+    """The features of each lot from the last four hours: five-minute slots with their last value, the latest and the mean."""
+    e = read(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    recent = e.join(F.broadcast(now), F.col("ts") >= F.col("now") - F.expr("INTERVAL 4 HOURS"))
+    slot = F.window("ts", "5 minutes")["start"].alias("slot")
+    s = recent.groupBy("user_id", slot).agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
+    return s.groupBy("user_id").agg(F.count("*").alias("slots"), F.round(F.max_by("v", "slot"), 6).alias("latest"), F.round(F.avg("v"), 6).alias("mean"))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,19 +21,49 @@ def polls(spark: SparkSession, sf_dir: str, name: str = "events.parquet") -> Dat
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*")
 
 
-def tumbling(spark: SparkSession, sf_dir: str, width: str, late: str) -> DataFrame:
-    """(event_type, start, n, total). Batches write what changed, with their number; of a window's versions the last counts.
+def run(counted: DataFrame, keys: list[str], columns: list[str], mode: str) -> DataFrame:
+    """Run a windowed stream over all that is there, and return the last version of each window (keys).
 
-    A replayed batch writes the same folder again, so results are the same after a restart.
+    Batches write what changed (``update``) or all (``complete``) with their number. A replayed batch writes the same folder again, so results are
+    the same after a restart.
     """
-    folder = work_folder(spark)
-    fresh = polls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-    counted = fresh.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    spark, folder = counted.sparkSession, work_folder(counted.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.select(*keys, *columns).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    stream = counted.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
+    stream = counted.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
     stream.awaitTermination()
-    last = spark.read.parquet(f"{folder}/out").groupBy("event_type", "start").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
-    return last.select("event_type", "start", "x.n", "x.total")
+    out = spark.read.parquet(f"{folder}/out")
+    if mode == "complete":
+        newest = out.agg(F.max("batch").alias("batch"))
+        return out.join(F.broadcast(newest), "batch").select(*keys, *columns)  # one row
+    last = out.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("x"))
+    return last.select(*keys, *[f"x.{c}" for c in columns])
+
+
+def fresh(spark: SparkSession, sf_dir: str, late: str) -> DataFrame:
+    """Polls without repetitions. Rows later than ``late`` behind the newest are lost, so files that come in any order need the span of their times."""
+    return polls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def start() -> Column:
+    return F.col("w.start").cast("timestamp_ntz").alias("start")
+
+
+def tumbling(spark: SparkSession, sf_dir: str, width: str, late: str) -> DataFrame:
+    """(event_type, start, n, total)."""
+    counted = fresh(spark, sf_dir, late).groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return run(counted.select("event_type", start(), "n", "total"), ["event_type", "start"], ["n", "total"], "update")
+
+
+def sliding(spark: SparkSession, sf_dir: str, width: str, step: str, late: str) -> DataFrame:
+    """(event_type, start, n, mean) of overlapping windows."""
+    counted = fresh(spark, sf_dir, late).groupBy("event_type", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return run(counted.select("event_type", start(), "n", "mean"), ["event_type", "start"], ["n", "mean"], "update")
+
+
+def sessions(spark: SparkSession, sf_dir: str, gap: str, late: str) -> DataFrame:
+    """(user_id, start, n) of runs of polls with gaps below ``gap``; sessions may grow together, so all are written each time."""
+    counted = fresh(spark, sf_dir, late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return run(counted.select("user_id", start(), "n"), ["user_id", "start"], ["n"], "complete")
