@@ -8,27 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(frame: DataFrame, keys: list[str], c: str, name: str) -> DataFrame:
-    """Adds the mean rank of ties.
+def rank_parts(counts: DataFrame, keys: list[str], c: str, name: str) -> DataFrame:
+    """(keys, c, name): the mean rank of each value, of distinct values and their counts t (keys, c, t).
 
-    Ranks come from running sums over distinct values, split by the leading part of the value range of
-    each key, so that no task sorts a whole key's rows.
+    Ranks come from running sums over distinct values, split at approximate quantiles of each key, so that no
+    task sorts a whole key's values, however they are spread.
     """
-    counts = frame.groupBy(*keys, c).agg(F.count("*").alias("t"))
-    ends = counts.groupBy(*keys).agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-    part = F.coalesce(F.floor(256 * F.try_divide(F.col(c) - F.col("lo"), F.col("hi") - F.col("lo"))), F.lit(0)).cast("int")
-    placed = counts.join(F.broadcast(ends), keys).withColumn("part", part)
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(c, [k / 64 for k in range(1, 64)], 2000).alias("cuts"))
+    placed = counts.join(cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col(c)))).drop("cuts")
     w = Window.partitionBy(*keys, "part").orderBy(c)
     sizes = placed.groupBy(*keys, "part").agg(F.sum("t").alias("s"))
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     ranks = placed.withColumn("below", F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).join(offsets, [*keys, "part"])
-    return frame.join(ranks.select(*keys, c, (F.col("offset") + F.col("below") + (F.col("t") + 1) / 2).alias(name)), [*keys, c])
+    return ranks.select(*keys, c, (F.col("offset") + F.col("below") + (F.col("t") + 1) / 2).alias(name))
 
 
 def spearman(frame: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    ranked = average_rank(average_rank(frame, keys, x, "rank_x"), keys, y, "rank_y")
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rank_x", "rank_y").alias("rho"))
+    """(keys, n, rho): the correlation of mean ranks. Rows are counted by pairs of values first, so frequent values are one row each and the frame is read once."""
+    pairs = frame.groupBy(*keys, x, y).agg(F.count("*").alias("t"))
+    of = lambda c, name: rank_parts(pairs.groupBy(*keys, c).agg(F.sum("t").alias("t")), keys, c, name)
+    r = pairs.join(of(x, "a"), [*keys, x]).join(of(y, "b"), [*keys, y])
+    n, a, b, t = F.sum("t"), F.col("a"), F.col("b"), F.col("t")
+    sums = r.groupBy(*keys).agg(n.alias("n"), F.sum(t * a).alias("sa"), F.sum(t * b).alias("sb"), F.sum(t * a * a).alias("saa"), F.sum(t * b * b).alias("sbb"), F.sum(t * a * b).alias("sab"))
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    spread = F.sqrt((F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")) * (F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")))
+    return sums.select(*keys, "n", F.try_divide(cov, spread).alias("rho"))
 
 
 def fisher_interval(r: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -101,11 +101,15 @@ def confusion_metrics(spark, d):
 SELECT kind, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, round(hit, 6) AS hit FROM g QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(hit, 9) DESC, lo, hi) = 1""")
 def threshold_search(spark, d):
     """The two thresholds of the best share of right answers, from a grid of all pairs."""
-    grid_ = [(i / 10, j / 10) for i in range(1, 10) for j in range(i + 1, 10)]
-    cuts = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in grid_])
-    x = probabilities(spark, d).select("kind", "p", "q", "y", F.explode(cuts).alias("c"))
-    says = F.when(F.col("p") < F.col("c.lo"), 0.0).when(F.col("p") < F.col("c.hi"), F.col("q")).otherwise(1.0)
-    hit = x.groupBy("kind", "c").agg(F.avg((says == F.col("y")).cast("double")).alias("hit"))
+    grid_ = [(i, j) for i in range(1, 10) for j in range(i + 1, 10)]
+    cuts = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in grid_])
+    # cuts are tenths, so rows are counted by tenth first and only the counts meet all pairs
+    tenth = F.floor(F.round(F.col("p") * 1000) / 100).cast("int")
+    counts = probabilities(spark, d).groupBy("kind", tenth.alias("t"), "q", "y").agg(F.count("*").alias("n"))
+    x = counts.select("kind", "t", "q", "y", "n", F.explode(cuts).alias("c"))
+    says = F.when(F.col("t") < F.col("c.i"), 0.0).when(F.col("t") < F.col("c.j"), F.col("q")).otherwise(1.0)
+    hit = x.groupBy("kind", "c").agg((F.sum(F.when(says == F.col("y"), F.col("n")).otherwise(0)) / F.sum("n")).alias("hit"))
+    hit = hit.select("kind", F.struct((F.col("c.i") / 10).alias("lo"), (F.col("c.j") / 10).alias("hi")).alias("c"), "hit")
     best = hit.groupBy("kind").agg(F.min(F.struct(-F.round("hit", 9), "c.lo", "c.hi", "hit")).alias("b"))
     return best.select("kind", "b.lo", "b.hi", r6("b.hit").alias("hit"))
 

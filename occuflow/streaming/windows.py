@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "occuflow-streams").as_uri()
+    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in this process, as in tests."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = Path(tempfile.gettempdir(), "occuflow-streams").as_uri()
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
