@@ -36,10 +36,12 @@ def words(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, deleted when the driver ends.
 
-    Where the setting is absent (tests), a temporary folder stands in for it.
+    Where the setting is absent and all runs in this process (tests), a temporary folder stands in for it.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = Path(tempfile.gettempdir(), "occuflow-shared").as_uri()
     folder = f"{base.rstrip('/')}/occuflow-{uuid.uuid4().hex}"
     jvm = spark._jvm
