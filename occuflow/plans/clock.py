@@ -45,11 +45,11 @@ def target_features(spark, d):
     )
 
 
-@query("SELECT event_id, round(CASE WHEN user_id % 6 = 0 THEN 0 ELSE greatest((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 3600000000.0 - (6 + user_id % 5), 0) END, 6) AS hours FROM events")
+@query("SELECT event_id, round(CASE WHEN user_id % 6 = 0 THEN 0 ELSE greatest((epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 1000000 - (6 + user_id % 5) * 3600, 0) / 3600 END, 6) AS hours FROM events")
 def hours_since_open(spark, d):
     """Hours since a lot opened that day: none before, and none where it stays closed."""
-    h = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp")))) / 3_600_000_000
-    hours = F.when(F.pmod("user_id", F.lit(6)) == 0, 0.0).otherwise(F.greatest(h - (6 + F.pmod("user_id", F.lit(5))), F.lit(0.0)))
+    seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    hours = F.when(F.pmod("user_id", F.lit(6)) == 0, 0.0).otherwise(F.greatest(seconds - (6 + F.pmod("user_id", F.lit(5))) * 3600, F.lit(0)) / 3600)
     return read(spark, d, "events").select("event_id", r6(hours).alias("hours"))
 
 

@@ -73,14 +73,14 @@ def pinned_snapshot(spark, d):
     return seen
 
 
-@query("""SELECT l.s_suppkey AS lot, l.s_name AS name, count(*) AS n, count(DISTINCT CAST(floor(e.value) AS BIGINT)) AS uniq, min(e.value) AS lo, max(e.value) AS hi, round(avg(e.value / nullif(l.s_nationkey, 0)), 3) AS ratio
+@query("""SELECT l.s_suppkey AS lot, l.s_name AS name, count(*) AS n, count(DISTINCT CAST(floor(e.value) AS BIGINT)) AS uniq, min(e.value) AS lo, max(e.value) AS hi, round(CAST(sum(CAST(e.value AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count(*) * any_value(l.s_nationkey), 0), 6) AS ratio
 FROM events e JOIN supplier l ON l.s_suppkey = e.user_id GROUP BY 1, 2 ORDER BY uniq, lot""")
 def feed_diagnosis(spark, d):
     """How many different values a lot's feed has, its range, and its mean ratio; feeds that hardly move come first."""
     e, s = read(spark, d, "events"), read(spark, d, "supplier")
     x = e.join(s, e["user_id"] == s["s_suppkey"])
     g = x.groupBy(F.col("s_suppkey").alias("lot"), F.col("s_name").alias("name")).agg(
-        F.count("*").alias("n"), F.countDistinct(F.floor("value")).alias("uniq"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg(F.try_divide("value", "s_nationkey")), 3).alias("ratio"),
+        F.count("*").alias("n"), F.countDistinct(F.floor("value")).alias("uniq"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.try_divide(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), F.count("*") * F.max("s_nationkey")), 6).alias("ratio"),
     )
     return g.orderBy("uniq", "lot")
 

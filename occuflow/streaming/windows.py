@@ -62,9 +62,9 @@ def tumbling(spark: SparkSession, sf_dir: str, width: str, late: str) -> DataFra
 
 
 def sliding(spark: SparkSession, sf_dir: str, width: str, step: str, late: str) -> DataFrame:
-    """(event_type, start, n, mean) of overlapping windows."""
-    counted = fresh(spark, sf_dir, late).groupBy("event_type", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    return run(counted.select("event_type", start(), "n", "mean"), ["event_type", "start"], ["n", "mean"], "update")
+    """(event_type, start, n, total) of overlapping windows; sums of hundredths are exact, so they don't depend on the order of rows."""
+    counted = fresh(spark, sf_dir, late).groupBy("event_type", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+    return run(counted.select("event_type", start(), "n", "total"), ["event_type", "start"], ["n", "total"], "update")
 
 
 def sessions(spark: SparkSession, sf_dir: str, gap: str, late: str) -> DataFrame:
