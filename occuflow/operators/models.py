@@ -90,6 +90,22 @@ def ridge_local(train: DataFrame, test: DataFrame, group: str, features: list[st
     return both.groupBy(group).agg(F.count("*").alias("n"), F.avg(miss("whole")).alias("mae_global"), F.avg(F.when(F.col("local").isNotNull(), miss("local"))).alias("mae_local"))
 
 
+def ridge_errors(train: DataFrame, test: DataFrame, keys: list[str], features: list[str], target: str, alpha: float, back: str | None = None) -> DataFrame:
+    """(keys, n, mae) on test rows of one ridge over all training rows; with ``back``, a column that is added to the forecast of a change from it."""
+    k, goal = len(features) + 1, F.col(target) - F.col(back) if back else F.col(target)
+
+    def solve(sums: pd.Series) -> pd.Series:
+        penalty = alpha * np.eye(k)
+        penalty[0, 0] = 1e-9  # the constant isn't shrunk
+        return pd.Series([np.linalg.solve(np.asarray(s)[: k * k].reshape(k, k) + penalty, np.asarray(s)[k * k :]) for s in sums])
+
+    w = normal_sums(train.withColumn("goal_", goal), [], features, "goal_").where("rows > 0").select(F.pandas_udf(solve, "array<double>")("sums").alias("w_"))
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
+    guess = F.aggregate(F.zip_with(x, "w_", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scored = test.join(F.broadcast(w), F.lit(True)).withColumn("guess_", guess + F.col(back) if back else guess)  # one row of weights
+    return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(F.least(F.greatest("guess_", F.lit(0.0)), F.lit(100.0)) - F.col(target))).alias("mae"))
+
+
 def ridge_without(frame: DataFrame, group: str, features: list[str], target: str, alpha: float) -> DataFrame:
     """(group, n, mae): each group is forecast from the other groups' rows.
 

@@ -58,6 +58,25 @@ def global_vs_local(spark, d):
     return models.ridge_local(frame(spark, d).where(KNOWN), frame(spark, d).where("test"), "lot", FEATURES, "actual", 1.0, 200).select("lot", "n", F.round("mae_global", 6).alias("mae_global"), F.round("mae_local", 6).alias("mae_local"))
 
 
+@query()
+def feature_ablation(spark, d):
+    """Errors by horizon with all features and without each group of them."""
+    x, groups = frame(spark, d), {"none": [], "clock": ["hour", "weekend"], "past": ["past", "week"], "now": ["occ_now"]}
+    out = None
+    for name, gone in groups.items():
+        one = models.ridge_errors(x.where(KNOWN), x.where("test"), ["horizon"], [f for f in FEATURES if f not in gone], "actual", 1.0).select(F.lit(name).alias("without"), "horizon", "n", F.round("mae", 6).alias("mae"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def level_or_change(spark, d):
+    """Errors by horizon of learning the level itself and of learning the change from now."""
+    x = frame(spark, d)
+    one = lambda name, back: models.ridge_errors(x.where(KNOWN), x.where("test"), ["horizon"], FEATURES, "actual", 1.0, back).select(F.lit(name).alias("target"), "horizon", "n", F.round("mae", 6).alias("mae"))
+    return one("level", None).unionByName(one("change", "occ_now"))
+
+
 @query()
 def full_probability(spark, d):
     """The chance of being nearly full by boosted trees, recalibrated on its log-odds."""
