@@ -55,3 +55,38 @@ def test_resampling_keeps_signals_apart():
 
 def test_empty_table(make_docs):
     assert media.features(media.store(make_docs(["a"]).limit(0))).count() == 0
+
+
+def test_null_ids_repeated_rows_clashing_columns(make_docs):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "a text", "é" * 70, "long " * 60_000]
+    docs = make_docs(texts, [(None, "no id", None, None, None), (2, "a text", None, None, None), (2, "another text", None, None, None)])
+    for c in ("data", "media", "n_bytes", "feature", "payload_bytes", "pcm"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    rows = media.features(media.store(docs), keep_pcm=True).collect()
+    assert len(rows) == len(texts) + 3
+    held = sorted((str(r["doc_id"]), r["n_bytes"], r["payload_sha256"]) for r in rows)
+    want = []
+    for i, t in [*enumerate(texts), (None, "no id"), (2, "a text"), (2, "another text")]:
+        x = (t or "").encode()
+        want.append((str(i), len(x), hashlib.sha256(x + bytes(-len(x) % 64 or 64 * (not x))).hexdigest()))
+    assert held == sorted(want)
+    same = [r for r in rows if r["n_bytes"] == 6]
+    assert len({(r["feature"], bytes(r["pcm"])) for r in same}) == 1
+    assert media.features(media.store(docs.limit(0))).count() == 0
+
+
+def test_tables_by_the_rule_of_the_standard():
+    # segments of mu-law start at 33 * 2^k - 33 steps of four, those of A-law double from the second on
+    mu, a = media.mulaw_table().astype(int), media.alaw_table().astype(int)
+    for code in range(256):
+        u, sign = ~code & 255, -1 if ~code & 128 else 1
+        size = ((2 * (u & 15) + 33) << ((u >> 4) & 7)) - 33
+        assert mu[code] == sign * size * 4
+        x = code ^ 0x55
+        e, m = (x >> 4) & 7, x & 15
+        size = 2 * m + 1 if e == 0 else (2 * m + 33) << (e - 1)
+        assert a[code] == (1 if x & 128 else -1) * size * 8
