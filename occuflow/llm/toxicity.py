@@ -2,7 +2,7 @@
 
 A text's terms are its distinct words and their leading characters, hashed. Linear weights find
 insults; products of the terms' factors find pairs that are toxic only together, such as an
-insult with a group's mention. The model is trained in one task on a bounded sample of labelled
+insult with a group's mention; words that matter in such pairs alone are found by counting pairs. The model is trained in one task on a bounded sample of labelled
 rows and broadcast; scoring is one pass over the texts without a shuffle.
 """
 
@@ -23,9 +23,11 @@ from .hashing import Memo, bucket, sampled, sigmoid, word_list
 BITS, FACTORS = 20, 4
 #: Lengths, in bytes, of the leading characters of a word that are terms too.
 LEADS = (4, 5, 6, 7, 8)
-#: Most labelled rows that are learnt from, and most terms that get weights.
-SAMPLE, TERMS = 12_000, 4096
-LEAST_DOCS, LEAST_Z = 5, 3.5
+#: Most labelled rows that are learnt from; it bounds the terms that get weights too.
+SAMPLE = 12_000
+#: A term gets a weight if its toxic share is so many deviations from the whole's, or if it is half of a pair whose share is so many from
+#: what its two words alone would give; the least numbers of texts for either, for a word of a pair, and the tests' deviations.
+LEAST_DOCS, LEAST_Z, PAIR_WORD_DOCS, PAIR_DOCS, PAIR_Z = 5, 3.5, 20, 8, 8.0
 EPOCHS, RATE, DECAY = 30, 0.1, 1e-4
 
 
@@ -33,6 +35,42 @@ def terms_of(word: bytes, bits: int = BITS) -> tuple[int, ...]:
     return tuple({bucket(word, bits), *(bucket(b"^%d:%s" % (n, word[:n]), bits) for n in LEADS if len(word) >= n)})
 
 
+def paired(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Hashed words of pairs whose toxic share deviates from what adding their own log-odds gives; docs are distinct hashed words.
+
+    It finds words that are as frequent in clean as in toxic texts but for their company. Every pair of words of ``PAIR_WORD_DOCS`` texts
+    or more is counted, one word's partners at a time, so memory is that of the sample and of one row of counts.
+    """
+    p = y.mean()
+    sizes = np.array([len(d) for d in docs])
+    flat, rows = np.concatenate(docs).astype(np.int64), np.repeat(np.arange(len(docs)), sizes)
+    n = np.bincount(flat, minlength=1 << BITS)
+    words = np.flatnonzero(n >= PAIR_WORD_DOCS)
+    place = np.full(1 << BITS, -1)
+    place[words] = np.arange(len(words))
+    held = place[flat] >= 0
+    rows, cols = rows[held], place[flat][held]
+    by_row = np.lexsort((cols, rows))
+    rows, cols = rows[by_row], cols[by_row]
+    ends = np.searchsorted(rows, np.arange(len(docs)), "right")
+    by_word = np.argsort(cols, kind="stable")  # entries of a word, which are also the starts of its later partners
+    starts = np.searchsorted(cols[by_word], np.arange(len(words) + 1))
+    odds = np.log((np.bincount(cols, y[rows], len(words)) + p) / (np.bincount(cols, 1 - y[rows], len(words)) + 1 - p)) - np.log(p / (1 - p))
+    found = np.zeros(len(words), bool)
+    for a in range(len(words)):
+        at = by_word[starts[a] : starts[a + 1]]
+        long = ends[rows[at]] - at - 1
+        shift = np.repeat(at + 1 - np.cumsum(long) + long, long)
+        partners, toxic = cols[shift + np.arange(len(shift))], np.repeat(y[rows[at]], long)
+        both = np.bincount(partners, minlength=len(words))
+        b = np.flatnonzero(both >= PAIR_DOCS)
+        k, e = both[b], sigmoid(np.log(p / (1 - p)) + odds[a] + odds[b])
+        far = np.abs(np.bincount(partners, toxic, len(words))[b] - k * e) >= PAIR_Z * np.sqrt(k * e * (1 - e))
+        found[b[far]] = True
+        found[a] |= far.any()
+    return words[found]
+
+
 @dataclass
 class FactorizationMachine:
     """score = sigmoid(bias + sum of w + half of (sum of v)^2 - sum of v^2) over a text's terms."""
@@ -62,8 +100,8 @@ class FactorizationMachine:
         return total + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
     @classmethod
-    def fit(cls, docs: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> FactorizationMachine:
-        """Learn from each text's hashed terms and 0/1 labels; terms are chosen by how far their toxic share is from the whole's."""
+    def fit(cls, docs: list[np.ndarray], words: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> FactorizationMachine:
+        """Learn from each text's hashed terms, hashed whole words and 0/1 labels; terms are chosen by their own toxic share or by that of their pairs."""
         y = np.asarray(labels, np.float64)
         if not len(y) or y.min() == y.max():
             p = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
@@ -75,8 +113,7 @@ class FactorizationMachine:
         pos = np.bincount(flat, y[rows], minlength=1 << BITS)
         p = y.mean()
         z = (pos - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
-        good = np.flatnonzero((n >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
-        terms = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:TERMS]])
+        terms = np.union1d(np.flatnonzero((n >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)), paired(words, y))
         place = np.full(1 << BITS, -1)
         place[terms] = np.arange(len(terms))
         held = place[flat] >= 0
@@ -117,18 +154,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(terms_of)
         for pdf in batches:
-            terms = [sorted(set().union(*map(memo.__getitem__, set(word_list(t))))) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [np.array(t, np.int32) for t in terms]})
+            words = [set(word_list(t)) for t in pdf["text"]]
+            terms = [sorted(set().union(*map(memo.__getitem__, w))) for w in words]
+            whole = [sorted({bucket(x, BITS) for x in w}) for w in words]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [np.array(t, np.int32) for t in terms], "words": [np.array(w, np.int32) for w in whole]})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
-        return pd.DataFrame({"model": [pickle.dumps(FactorizationMachine.fit(list(pdf["terms"]), pdf["toxic"].to_numpy()))]})
+        return pd.DataFrame({"model": [pickle.dumps(FactorizationMachine.fit(list(pdf["terms"]), list(pdf["words"]), pdf["toxic"].to_numpy()))]})
 
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
     one = held.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = one.mapInPandas(extract, "doc_id long, toxic int, terms array<int>")
+    rows = one.mapInPandas(extract, "doc_id long, toxic int, terms array<int>, words array<int>")
     model = rows.groupBy().applyInPandas(fit, "model binary").collect()
-    return pickle.loads(model[0]["model"]) if model else FactorizationMachine.fit([], np.zeros(0))
+    return pickle.loads(model[0]["model"]) if model else FactorizationMachine.fit([], [], np.zeros(0))
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:

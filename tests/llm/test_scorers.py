@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from occuflow.llm import quality, toxicity
-from occuflow.llm.hashing import word_list
+from occuflow.llm.hashing import bucket, word_list
 
 
 def texts_and_labels(n=600, seed=3):
@@ -21,12 +21,63 @@ def texts_and_labels(n=600, seed=3):
 
 def test_pairs_are_learnt():
     texts, labels = texts_and_labels()
-    terms = [np.array(sorted(set().union(*map(toxicity.terms_of, set(word_list(t))))), np.int64) for t in texts]
-    model = toxicity.FactorizationMachine.fit(terms[:400], labels[:400])
+    model = fitted(texts[:400], labels[:400])
     score = model.score(texts[400:])
     assert ((score >= 0.5) == labels[400:]).mean() > 0.98
 
 
+def fitted(texts, labels):
+    terms = [np.array(sorted(set().union(*map(toxicity.terms_of, set(word_list(t))))), np.int64) for t in texts]
+    return toxicity.FactorizationMachine.fit(terms, hashed_words(texts), labels)
+
+
+def hashed_words(texts):
+    return [np.array(sorted({bucket(w, toxicity.BITS) for w in word_list(t)}), np.int64) for t in texts]
+
+
+def test_pairs_without_marginal_effects_are_learnt():
+    """Each word alone is as frequent in toxic as in clean texts; only both or neither is toxic."""
+    texts, labels = texts_and_labels(1600)
+    labels = np.array([(("fool" in t.split()) == ("zorgs" in t.split())) * 1 for t in texts])
+    for word in ("fool", "zorgs"):
+        assert labels[[word in t.split() for t in texts]].mean() == 0.5
+    found = toxicity.paired(hashed_words(texts[:1200]), labels[:1200].astype(float))
+    assert sorted(found) == sorted(bucket(w, toxicity.BITS) for w in (b"fool", b"zorgs"))
+    score = fitted(texts[:1200], labels[:1200]).score(texts[1200:])
+    assert ((score >= 0.5) == labels[1200:]).mean() > 0.98
+
+
+def test_a_group_toxic_only_beside_an_insult_is_found():
+    """The insult has a toxic share of its own; the group's mention, as frequent in both kinds, has none."""
+    rng = np.random.default_rng(8)
+    texts, labels = [], []
+    for i in range(2400):
+        insult, group, other = i % 4 == 0, i // 4 % 2 == 0, i // 8 % 8 < 3
+        y = (insult and group) or (not insult and not group and other)
+        w = [f"word{x}" for x in rng.integers(0, 60, 20)] + ["fool"] * insult + ["zorgs"] * group + ["vile"] * (y and not insult)
+        texts.append(" ".join(w))
+        labels.append(int(y))
+    assert bucket(b"zorgs", toxicity.BITS) in toxicity.paired(hashed_words(texts), np.array(labels, float))
+    score = fitted(texts[:1800], np.array(labels[:1800])).score(texts[1800:])
+    assert ((score >= 0.5) == np.array(labels[1800:])).mean() > 0.98
+
+
+def test_pair_counts_are_those_of_a_double_loop():
+    rng = np.random.default_rng(9)
+    docs = [np.unique(rng.integers(0, 14, rng.integers(0, 14))) for _ in range(1500)]
+    y = np.array([float(((1 in d) == (2 in d)) ^ (rng.random() < 0.1)) for d in map(list, docs)])
+    p, want = y.mean(), set()
+    has = [np.array([w in d for d in docs]) for w in range(14)]
+    odds = [np.log((y[h].sum() + p) / ((1 - y[h]).sum() + 1 - p)) - np.log(p / (1 - p)) for h in has]
+    for a in range(14):
+        for b in range(a + 1, 14):
+            both = has[a] & has[b]
+            k, e = both.sum(), 1 / (1 + np.exp(-(np.log(p / (1 - p)) + odds[a] + odds[b])))
+            if min(has[a].sum(), has[b].sum()) >= toxicity.PAIR_WORD_DOCS and k >= toxicity.PAIR_DOCS and abs(y[both].sum() - k * e) >= toxicity.PAIR_Z * np.sqrt(k * e * (1 - e)):
+                want |= {a, b}
+    assert want and set(toxicity.paired(docs, y)) == want
+
+
 def test_toxicity_over_spark(spark, make_docs):
     texts, labels = texts_and_labels(300)
     docs = make_docs([*texts, None, "", "word1 " * 50_000], [(0, texts[0], None, None, None), (None, "fool", None, None, None)]).withColumn("toxic", F.lit(9)).withColumn("score", F.lit(1.0))
