@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .evaluation import ranked_value
+
 
 def brier(frame: DataFrame, keys: list[str], base: str) -> DataFrame:
     """(keys, n, brier, brier_base): mean squared errors of the chance and of a rival forecast."""
@@ -41,6 +43,20 @@ def coverage(frame: DataFrame, keys: list[str], low: float = 0.77, high: float =
     return c.withColumn("status", F.when(F.col("n_interval") < F.col("n"), "unavailable").when(F.col("coverage").between(low, high), "pass").otherwise("fail"))
 
 
+def conformal(known: DataFrame, rows: DataFrame, keys: list[str], share: float = 0.8, least: int = 50, most: float = 100.0) -> DataFrame:
+    """``rows`` with lo and hi moved by the conformal quantile of the signed scores of ``known`` rows, by keys.
+
+    A score is how far the actual value lies outside (lo, hi), negative inside, so that intervals widen or narrow. Groups of fewer than
+    ``least`` scores and intervals that would cross have none; rows without keys, bounds or a known group likewise. Known rows without a score don't count.
+    """
+    score = known.select(*keys, F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull() & F.col("actual").isNotNull(), F.greatest(F.col("lo") - F.col("actual"), F.col("actual") - F.col("hi"))).alias("s_")).where("s_ IS NOT NULL")
+    rank = lambda n: F.ceil(F.least(F.lit(1.0), F.ceil((n + 1) * share) / n) * (n - 1)) + 1
+    moved = ranked_value(score, keys, "s_", rank).where(F.col("n") >= least).select(*keys, "s_")
+    low, high = F.col("lo") - F.col("s_"), F.col("hi") + F.col("s_")
+    x = rows.join(moved, keys, "left")
+    return x.withColumns({"lo": F.when(low <= high, F.least(F.greatest(low, F.lit(0.0)), F.lit(most))), "hi": F.when(low <= high, F.least(F.greatest(high, F.lit(0.0)), F.lit(most)))}).drop("s_")
+
+
 def additive(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """Whether each parent's counts are the sums of its children's."""
     sums = children.groupBy(*keys).agg(*[F.sum(c).alias(f"s_{c}") for c in ("n", "n_interval", "inside")])

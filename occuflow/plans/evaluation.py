@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import calibration as cal
 from ..operators import evaluation as ev
 from ..registry import query
 from .grids import GRID, grid
@@ -146,3 +147,16 @@ def conformal_quantile(spark, d):
     """The conformal quantile of each state and horizon: the score of the next higher rank, none below 50 scores."""
     p = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"])).select(F.pmod("lot", F.lit(4)).alias("state"), "horizon", ev.errors("lag_24h").alias("s"))
     return ev.ranked_value(p, ["state", "horizon"], "s", lambda n: F.ceil(F.least(F.lit(1.0), F.ceil((n + 1) * 0.8) / n) * (n - 1)) + 1).select("state", "horizon", "n", F.round(F.when(F.col("n") >= 50, F.col("s")), 6).alias("adjust"))
+
+
+@query(f"""WITH {PAIRS}, b AS (SELECT lot, ts, target_time, horizon, actual, {DAY} AS day, least(persistence, lag_24h) AS lo, greatest(persistence, lag_24h) AS hi FROM pairs WHERE {CORE}),
+q AS (SELECT day, horizon, greatest(lo - actual, actual - hi) AS s, row_number() OVER (PARTITION BY day, horizon ORDER BY greatest(lo - actual, actual - hi)) AS i, count(*) OVER (PARTITION BY day, horizon) AS n FROM b WHERE target_time < TIMESTAMP '2024-01-24'),
+a AS (SELECT day, horizon, CASE WHEN max(n) >= 50 THEN max(CASE WHEN i = CAST(ceil(least(1.0, ceil((n + 1) * 0.8) / n) * (n - 1)) AS BIGINT) + 1 THEN s END) END AS adjust FROM q GROUP BY 1, 2),
+w AS (SELECT b.*, lo - adjust AS l, hi + adjust AS h FROM b LEFT JOIN a USING (day, horizon) WHERE ts >= TIMESTAMP '2024-01-24')
+SELECT lot, ts, horizon, day, round(CASE WHEN l <= h THEN least(greatest(l, 0), 100) END, 6) AS lo, round(CASE WHEN l <= h THEN least(greatest(h, 0), 100) END, 6) AS hi FROM w""")
+def conformal_intervals(spark, d):
+    """Intervals between the last value and that of a day before, moved by the conformal quantile that earlier rows give to a part of the week and horizon."""
+    p = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"])).withColumns({"day": weekpart(), "lo": F.least("persistence", "lag_24h"), "hi": F.greatest("persistence", "lag_24h")})
+    cut = F.expr("TIMESTAMP_NTZ'2024-01-24 00:00:00'")
+    out = cal.conformal(p.where(F.col("target_time") < cut), p.where(F.col("ts") >= cut), ["day", "horizon"])
+    return out.select("lot", "ts", "horizon", "day", r6("lo").alias("lo"), r6("hi").alias("hi"))

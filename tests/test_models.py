@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from occuflow.operators import asof, evaluation, models, statistics
+from occuflow.operators import asof, calibration, evaluation, models, statistics
 
 
 def data(spark, n=240):
@@ -64,3 +64,19 @@ def test_series_without_a_key_carries_over_days(spark):
     got = {r["i"]: r["v"] for r in asof.asof_series(left, series).collect()}
     assert got == {1: None, 2: 1.0, 3: 1.0, 4: 1.0, 5: 2.0}
     assert asof.asof_series(left.limit(0), series).count() == 0 and asof.asof_series(left, series.limit(0)).count() == 5
+
+
+def test_conformal_intervals_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = [("a", float(lo), float(lo + 20), float(lo + x)) for lo, x in zip(rng.uniform(20, 60, 120), rng.normal(10, 15, 120))]
+    rows += [("b", float(lo), float(lo + 30), float(lo + 15)) for lo in rng.uniform(20, 60, 60)] + [("few", 1.0, 2.0, 3.0)] * 49 + [("a", None, 3.0, 1.0), ("a", 1.0, 2.0, None)]
+    schema = "k string, lo double, hi double, actual double"
+    known = spark.createDataFrame(rows, schema).repartition(3)
+    asked = spark.createDataFrame([("a", 40.0, 60.0, None), ("a", 2.0, 99.0, None), ("b", 10.0, 40.0, None), ("b", 10.0, 11.0, None), ("few", 1.0, 2.0, None), ("new", 1.0, 2.0, None), (None, 1.0, 2.0, None), ("a", None, 2.0, None)], schema)
+    s = sorted(max(lo - y, y - hi) for k, lo, hi, y in rows if k == "a" and lo is not None and y is not None)
+    q = s[int(np.ceil(min(1.0, np.ceil(121 * 0.8) / 120) * 119))]
+    got = {(r["k"], i): (r["lo"], r["hi"]) for i, r in enumerate(sorted(calibration.conformal(known, asked, ["k"]).collect(), key=lambda r: (r["k"] or "", r["lo"] is None, r["lo"] or 0)))}
+    values = sorted((k[0] or "", v) for k, v in got.items() if v[0] is not None)
+    want = sorted([("a", (40 - q, 60 + q)), ("a", (max(2 - q, 0.0), min(99 + q, 100.0))), ("b", (25.0, 25.0))])
+    assert len(got) == 8 and [k for k, _ in values] == [k for k, _ in want] and np.allclose([v for _, v in values], [v for _, v in want])
+    assert calibration.conformal(known.limit(0), asked, ["k"]).where("lo IS NOT NULL").count() == 0
