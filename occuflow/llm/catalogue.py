@@ -1,4 +1,4 @@
-"""Queries of the subpackage, op1 to op10, and the SQL of those that SQL can express."""
+"""Queries of the subpackage, op1 to op13, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, lm_scoring, media, packing, quality, secrets, toxicity, url_filter, warc
+from . import decontamination, jaccard_join, language, lm_scoring, media, packing, quality, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_warc": warc.op9_warc,
         "op10_quality": quality.op10_quality,
+        "op11_language": language.op11_language,
     }
 
 
