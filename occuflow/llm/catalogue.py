@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language, lm_scoring, media, packing, quality, secrets, toxicity, url_filter, warc
+from . import codebooks, decontamination, jaccard_join, language, lm_scoring, media, packing, quality, secrets, toxicity, url_filter, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": warc.op9_warc,
         "op10_quality": quality.op10_quality,
         "op11_language": language.op11_language,
+        "op12_vector_codes": codebooks.op12_vector_codes,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return url_filter.SQL | warc.SQL
+    return url_filter.SQL | warc.SQL | codebooks.SQL
