@@ -21,11 +21,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, to
     both = l_.unionByName(r)
     by = Window.partitionBy(*keys)
     before = by.orderBy(ts, "side_", "r_.v").rowsBetween(Window.unboundedPreceding, 0)
-    after = by.orderBy(ts, F.desc("side_"), F.desc("r_.v")).rowsBetween(0, Window.unboundedFollowing)
+    # the next right row is the last one in falling order: a frame that grows is summed up once, one that shrinks anew for each row
+    after = by.orderBy(F.desc(ts), "side_", "r_.v").rowsBetween(Window.unboundedPreceding, 0)
     if direction in ("backward", "nearest"):
         both = both.withColumn("b_", F.last("r_", True).over(before))
     if direction in ("forward", "nearest"):
-        both = both.withColumn("f_", F.first("r_", True).over(after))
+        both = both.withColumn("f_", F.last("r_", True).over(after))
     out = both.where("side_ = 1")
     gap = lambda c: F.abs(micros(f"{c}.t") - micros(ts))
     if direction == "nearest":

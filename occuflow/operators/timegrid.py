@@ -70,9 +70,10 @@ def spanned(placed: DataFrame, values: DataFrame, step: int, common: bool) -> Da
 
 def interpolate_one(grid: DataFrame, step: int) -> DataFrame:
     """Fill the first missing slot of each gap on the line between its ends; nothing after the last value."""
-    w = Window.partitionBy("lot").orderBy("ts")
+    w = Window.partitionBy("lot")
     here = F.when(F.col("occ").isNotNull(), F.struct("ts", "occ"))
-    both = grid.withColumn("p", F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    upto = lambda order: F.last(here, True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    both = grid.withColumn("p", upto(F.asc("ts"))).withColumn("n", upto(F.desc("ts")))
     minutes = lambda a, b: F.timestamp_diff("MINUTE", F.col(a), F.col(b))
     line = F.col("p.occ") + (F.col("n.occ") - F.col("p.occ")) * step / minutes("p.ts", "n.ts")
     fill = F.when((minutes("p.ts", "ts") == step) & F.col("n").isNotNull(), line)
