@@ -57,12 +57,12 @@ def spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column
     zipped = F.zip_with(found, F.zip_with(values, pieces, lambda v, p: F.struct(v.alias("v"), p.alias("p"))), lambda m, x: F.struct(m.alias("m"), x["v"].alias("v"), x["p"].alias("p")))
     # split gives one piece more than there are matches; its pairing has no match
     matched = F.filter(zipped, lambda x: x["m"].isNotNull())
-    chunks = F.transform(F.sequence(F.lit(1), F.size(found), F.lit(CHUNK)), lambda i: F.slice(matched, i, CHUNK))
-    cut = F.struct(chunks.alias("chunks"))
-    starts = lambda c: F.aggregate(c["chunks"], F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), offsets, lambda acc: acc["out"])
+    cut = lambda m: F.transform(F.sequence(F.lit(1), F.size(m), F.lit(CHUNK)), lambda i: F.slice(m, i, CHUNK))
+    starts = lambda chunks: F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), offsets, lambda acc: acc["out"])
     each = lambda x, at: F.aggregate(x, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    # the one-element array binds the chunks, so that they are made once
-    out = F.flatten(F.flatten(F.transform(F.array(cut), lambda c: F.zip_with(c["chunks"], starts(c), each))))
+    # one-element arrays bind the matches and the chunks, so that each is made once
+    chunked = F.transform(F.array(matched), cut)
+    out = F.flatten(F.flatten(F.transform(chunked, lambda chunks: F.zip_with(chunks, starts(chunks), each))))
     return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(none)
 
 
@@ -90,9 +90,10 @@ def candidates(df: DataFrame, text: str, owner: str, repository: str) -> DataFra
 def apart(each: DataFrame) -> DataFrame:
     """The spans (row, owner, repository, s, k, e, h) without the runs that overlap a base span of their text, by one sort of a text's spans."""
     base = F.col("k") < len(KINDS)
-    order = Window.partitionBy("row").orderBy("s")
-    before = F.max(F.when(base, F.col("e"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("s"))).over(order.rangeBetween(1, Window.unboundedFollowing))
+    order = Window.partitionBy("row")
+    before = F.max(F.when(base, F.col("e"))).over(order.orderBy("s").rangeBetween(Window.unboundedPreceding, 0))
+    # in falling order the later starts come first, so this frame grows too
+    after = F.min(F.when(base, F.col("s"))).over(order.orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, -1))
     met = each.withColumn("met", F.coalesce(before > F.col("s"), F.lit(False)) | F.coalesce(after < F.col("e"), F.lit(False)))
     return met.where(base | ~F.col("met")).drop("met")
 
@@ -130,6 +131,40 @@ def scan(df: DataFrame, folder: str, text: str = "text", owner: str = "source",
     )
 
 
+def replaced(t: Column, parts: Column) -> Column:
+    """A text with the spans (k, s, e), sorted by start, replaced by ``[k]``; those that overlap become one, of the first one's kind.
+
+    The text is cut into one piece for each chunk of spans first, so that no span searches its place from the text's start.
+    """
+    zero, strings = F.lit(0), F.array().cast("array<string>")
+    most = lambda xs, at: F.aggregate(xs, at, lambda a, x: F.greatest(a, x["e"]))
+    cut = lambda xs: F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(CHUNK)), lambda i: F.slice(xs, i, CHUNK))
+
+    def ends(acc: Column, xs: Column) -> Column:
+        return F.struct(most(xs, acc["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), most(xs, acc["at"]).alias("b")))).alias("out"))
+
+    def rewritten(xs: Column, bounds: Column) -> Column:
+        piece = F.substring(t, bounds["a"] + 1, bounds["b"] - bounds["a"])
+        start = F.struct(zero.alias("at"), strings.alias("out"))
+
+        def step(piece: Column):
+            def one(acc: Column, x: Column) -> Column:
+                s, e = x["s"] - bounds["a"], x["e"] - bounds["a"]
+                fresh = F.concat(acc["out"], F.array(F.substring(piece, acc["at"] + 1, s - acc["at"]), F.concat(F.lit("["), x["k"], F.lit("]"))))
+                return F.struct(F.greatest(acc["at"], e).alias("at"), F.when(s >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+            return one
+
+        return F.array_join(F.flatten(F.transform(F.array(piece), lambda p: F.aggregate(xs, start, step(p), lambda acc: acc["out"]))), "")
+
+    def joined_up(chunks: Column) -> Column:
+        bounds = F.aggregate(chunks, F.struct(zero.alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out")), ends, lambda acc: acc["out"])
+        return F.array_join(F.zip_with(chunks, bounds, rewritten), "")
+
+    head = F.array_join(F.transform(F.transform(F.array(parts), cut), joined_up), "")
+    return F.concat(head, F.substring(t, most(parts, zero) + 1, F.length(t)))
+
+
 def masked(docs: DataFrame, folder: str, text: str = "text", owner: str = "source", repository: str = "doc_id", size: str = "n_chars") -> DataFrame:
     """Every row with its spans replaced by ``[kind]`` and its size column, if it has one, set to the new length.
 
@@ -141,15 +176,8 @@ def masked(docs: DataFrame, folder: str, text: str = "text", owner: str = "sourc
     few = staged(spans_, folder, "spans")
     side = F.broadcast(few) if few.count() <= MASK_BROADCAST_ROWS else few
     parts = F.transform(F.split(found, ","), lambda x: F.struct(F.split(x, ":")[0].alias("k"), F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    t = F.col(text)
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(F.concat(F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["k"], F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate(parts, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    out = docs.withColumn(k, key).join(side, k, "left").withColumn(text, F.when(F.col(found).isNull(), t).otherwise(clean))
+    clean = replaced(F.col(text), parts)
+    out = docs.withColumn(k, key).join(side, k, "left").withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(clean))
     if size in docs.columns:
         out = out.withColumn(size, F.when(F.col(found).isNull(), F.col(size)).otherwise(F.length(text)).cast(docs.schema[size].dataType))
     return out.select(*docs.columns)
