@@ -38,12 +38,15 @@ def payload() -> Column:
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, d, refers_to) of ids and payload digests that an earlier page has; only ids and digests are shuffled."""
+    """(page_id, d, refers_to) of ids and payload digests that an earlier page has; only ids and digests are shuffled.
+
+    A page without an id comes after all that have one; equal payloads that no page with an id has refer to nothing.
+    """
     ids = pages.select("page_id", F.sha2(payload(), 256).alias("d"), F.length(payload()).alias("n")).where(F.col("n") >= MIN_REVISIT).select("page_id", "d")
     first = ids.groupBy("d").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
     salted = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(dealt, ["d", "salt"]).where("page_id > refers_to").select("page_id", "d", "refers_to").distinct()
+    return salted.join(dealt, ["d", "salt"]).where("page_id > refers_to OR page_id IS NULL AND refers_to IS NOT NULL").select("page_id", "d", "refers_to").distinct()
 
 
 def record(url: str, page_id, payload: bytes, refers_to) -> tuple[bytes, str]:
@@ -162,7 +165,8 @@ def read(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
 def archive(pages: DataFrame, folder: str) -> DataFrame:
     """Archive pages (null html: empty; null url: empty) and return the index, staged in the folder.
 
-    Of pages with equal payloads of at least MIN_REVISIT bytes the smallest page_id is the response.
+    Of pages with equal payloads of at least MIN_REVISIT bytes the smallest page_id is the response; pages without an id revisit it,
+    and are responses where no page of their payload has an id.
     A repeated row (same page_id and payload) is written again as the response it is; rows of one page_id
     with different payloads are told apart by their digests.
     """
@@ -170,7 +174,9 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     rows = pages.select("page_id", "url", "html", F.sha2(payload(), 256).alias("d"))
-    return staged(write(rows.join(again, ["page_id", "d"], "left"), f"{folder}/warc"), folder, "index")
+    again = again.select(F.col("page_id").alias("again"), F.col("d").alias("same"), "refers_to")
+    flagged = rows.join(again, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("d") == F.col("same")), "left")
+    return staged(write(flagged, f"{folder}/warc"), folder, "index")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +192,7 @@ WITH a AS (
 ), b AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM a),
 c AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+  CASE WHEN payload_bytes >= 100 AND (page_id > first OR page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND (page_id > first OR page_id IS NULL) THEN first END AS refers_to
 FROM c"""
 }
