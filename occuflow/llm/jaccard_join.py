@@ -332,13 +332,17 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
     """(doc_id, n_shingles, component_id) of every distinct doc_id; links are exact up to equal 64-bit hashes.
 
     A null text has no shingles and no links. Rows that repeat an id are one document that links wherever one of its texts does
-    and has as many shingles as the largest; rows without an id form one row without a component. An empty table gives no rows.
-    Other columns are not read. Work tables are staged in the folder.
+    and has as many shingles as the largest. Each row without an id is a document of its own: its row has no doc_id, the size of its
+    set and the smallest id that it reaches, null if there is none. An empty table gives no rows. Other columns are not read. Work tables are staged in the folder.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    known = texts.where(F.col("doc_id").isNotNull())
-    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chars, last, nameless = texts.agg(F.sum(F.length("text")), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    chars, last, known = chars or 0, last or 0, texts.where(F.col("doc_id").isNotNull())
+    if nameless:
+        # beyond all ids, so that a number that stands for none is never the smallest of a group that has one
+        numbered = texts.where(F.col("doc_id").isNull()).select((F.lit(last + 1) + F.monotonically_increasing_id()).alias("doc_id"), "text")
+        known = known.union(staged(numbered, folder, "nameless"))
     shards = max(1, -(-chars // (6 * SHARD)))
     bits = min(56, max(32, (chars // 6 + 1).bit_length() + 8))
     stats = staged(shares(known, shards, bits, width, percent), folder, "stats")
@@ -352,8 +356,10 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
 
     whole = least_ids(nodes, staged(label, folder, "label"))
     out = stats.join(whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    nameless = texts.where(F.col("doc_id").isNull()).limit(1).select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.union(nameless) if nameless.count() else out
+    if nameless:
+        named = lambda c: F.when(F.col(c) <= last, F.col(c)).alias(c)
+        out = out.select(named("doc_id"), "n_shingles", named("component_id"))
+    return out
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,12 @@ def test_salted_label_sums_are_the_broadcast_ones(spark, monkeypatch):
     one = sorted(map(tuple, codebooks.with_label_error(coded).drop("label").collect()))
     monkeypatch.setattr(codebooks, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, codebooks.with_label_error(coded).drop("label").collect())) == one
+
+
+def test_sql_twin_agrees(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i * 7 % 401, [float(v) for v in rng.normal(size=8)], int(i % 4) if i % 9 else None) for i in range(300)] + [(900, None, 1)]
+    got = result(spark, rows, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(got) == sorted(con.execute(codebooks.SQL["op12_vector_codes"]).fetchall())

@@ -52,7 +52,7 @@ def test_matches_brute_force(make_docs, folder, monkeypatch, rounds, limits, see
         docs = docs.withColumn(c, F.lit(1))
     rows = jaccard_join.jaccard_components(docs, folder, **limits).collect()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
-    assert got.pop(None) == (None, None)
+    assert got.pop(None) == (1, None)
     assert got == brute(texts) and len(rows) == len(got) + 1
 
 
@@ -80,6 +80,17 @@ def test_large_groups_are_stars(spark, make_docs, folder):
     assert met < 8 * len(texts) and homes > 150, (met, homes)
 
 
+def test_rows_without_an_id_keep_their_rows_sizes_and_links(make_docs, folder):
+    w, z, lone = "a large text of some ten words that is a copy", "another text of seven short words here", "alone in all of this"
+    near = w + " indeed"
+    rows = [(None, t, None, None, None) for t in (w, w, near, lone, lone, None, "")] + [(8, w, None, None, None), (4, z, None, None, None), (None, z, None, None, None), (6, None, None, None, None)]
+    got = [tuple(r) for r in jaccard_join.jaccard_components(make_docs([], rows), folder).collect()]
+    n = lambda t: len(t.split()) - 3
+    linked = 8 if 100 * n(w) >= 85 * n(near) else None
+    want = [(None, n(w), 8)] * 2 + [(None, n(near), linked), (None, n(lone), None), (None, n(lone), None), (None, 0, None), (None, 0, None), (8, n(w), 8), (4, n(z), 4), (None, n(z), 4), (6, 0, 6)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(make_docs, folder):
     assert jaccard_join.jaccard_components(make_docs(["a"]).limit(0), folder).count() == 0
 
