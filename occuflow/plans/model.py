@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models
+from ..operators import boosting, models
+from ..operators import evaluation as ev
 from ..registry import query
+from ..sources import bundles
 from ..sources.tables import read
-from .evaluation import pairs, weekpart
+from ..streaming.windows import work_folder
+from .evaluation import FOLDS, pairs, weekpart
 
 
 def frame(spark, d):
@@ -17,6 +20,12 @@ def frame(spark, d):
     return p.withColumn("test", F.col("ts") >= F.expr("TIMESTAMP_NTZ'2024-01-24 00:00:00'"))
 
 
+def staged(df, folder, name):
+    """A written copy: what trees are learnt from is read once a level."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 FEATURES = ["horizon", "occ_now", "hour", "weekend", "past", "week"]
 KNOWN = "NOT test AND target_time < TIMESTAMP_NTZ'2024-01-24 00:00:00'"
 
@@ -96,3 +105,68 @@ def ridge_leave_one_out(spark, d):
     """Ridge forecasts of each lot from all other lots."""
     x = frame(spark, d)
     return models.ridge_without(x, "lot", FEATURES, "actual", 1.0).select("lot", "n", F.round("mae", 6).alias("mae"))
+
+
+QUANTILES = [0.1, 0.5, 0.9]
+
+
+def learnt(spark, d, folder):
+    """A forest of the change from now, learnt on known pairs, and all pairs, written."""
+    x = staged(frame(spark, d).withColumn("change", F.col("actual") - F.col("occ_now")), folder, "pairs")
+    return boosting.fit(x.where(KNOWN), FEATURES, "change", QUANTILES), x
+
+
+@query()
+def boosted_quantiles(spark, d):
+    """Trees with pinball loss for three quantiles at once, learnt on histograms: forecasts of the change, restored and clipped."""
+    forest, x = learnt(spark, d, work_folder(spark))
+    bundle = bundles.Bundle("now", FEATURES, forest, None, None, {}, {})
+    return bundles.forecast(x.where("test"), bundle).select("lot", "ts", "horizon", "actual", "p10", "p50", "p90")
+
+
+@query()
+def quantile_coverage(spark, d):
+    """By horizon, the share of actual values inside the boosted quantiles and inside offsets of a median's residuals, their pinball losses and mean widths."""
+    folder = work_folder(spark)
+    forest, x = learnt(spark, d, folder)
+    mine = bundles.forecast(x.where("test"), bundles.Bundle("now", FEATURES, forest, None, None, {}, {})).select(F.lit("trees").alias("method"), "horizon", "actual", F.col("p10").alias("lo"), F.col("p90").alias("hi"))
+    cut = "TIMESTAMP_NTZ'2024-01-17 00:00:00'"
+    other = models.interval(x.where(KNOWN).where(f"target_time < {cut}"), x.where(KNOWN).where(f"ts >= {cut}"), x.where("test"), FEATURES, ["horizon"], 0.1, 0.9).select(F.lit("offsets").alias("method"), "horizon", "actual", "lo", "hi")
+    a = F.col("actual")
+    loss = boosting.pinball(a, F.col("lo"), 0.1) + boosting.pinball(a, F.col("hi"), 0.9)
+    return mine.unionByName(other).groupBy("method", "horizon").agg(F.count("*").alias("n"), F.round(F.avg(a.between(F.col("lo"), F.col("hi")).cast("int")), 6).alias("coverage"), F.round(F.avg(loss), 6).alias("loss"), F.round(F.avg(F.col("hi") - F.col("lo")), 6).alias("width"))
+
+
+@query()
+def published_forecast(spark, d):
+    """The forecast as served: trees, chances and a calibration curve are learnt, published as a version, loaded again, and forecast from what was loaded."""
+    folder = work_folder(spark)
+    forest, x = learnt(spark, d, folder)
+    bundles.publish(spark, f"{folder}/bundles", bundles.Bundle("v1", FEATURES, forest, None, None, {}, {}))
+    got = bundles.load(spark.newSession(), f"{folder}/bundles")
+    return bundles.forecast(x.where("test"), got).select("lot", "ts", "horizon", "p10", "p50", "p90", "model_version")
+
+
+LOCAL_LEAST = 60
+
+
+@query()
+def local_global_folds(spark, d):
+    """By fold and horizon, on the same rows: a model of all lots (g0), one of each lot (l0), and the first moved by each lot's median residual of the validation day (h0).
+
+    Models are trained apart: a group each in one task, or over Spark where it is large.
+    """
+    folder = work_folder(spark)
+    p = frame(spark, d).withColumn("change", F.col("actual") - F.col("occ_now")).drop("test")
+    x = staged(ev.roles(p, list(FOLDS), False), folder, "roles")
+    train, asked = x.where("role = 'train'"), x.where("role <> 'train'")
+    keep = ["fold", "role", "horizon", "lot", "ts", "actual", "occ_now", *[f for f in FEATURES if f not in ("horizon", "occ_now")]]
+    g = staged(boosting.fit_groups(train, asked.select(*keep), ["fold", "horizon"], FEATURES, "change", [0.5], ["g"], 1), folder, "global")
+    g = staged(boosting.fit_groups(train, g, ["fold", "horizon", "lot"], FEATURES, "change", [0.5], ["l"], LOCAL_LEAST), folder, "both")
+    restore = lambda c: F.least(F.greatest(F.col("occ_now") + c, F.lit(0.0)), F.lit(100.0))
+    g = g.withColumns({"g0": restore(F.col("g")), "l0": restore(F.col("l"))})
+    lot = ["fold", "horizon", "lot"]
+    shift = g.where("role = 'validation'").groupBy(*lot).agg(F.percentile_approx(F.col("actual") - F.col("g0"), 0.5, 10_000).alias("shift"))
+    t = g.where("role = 'test'").join(shift, lot, "left").withColumn("h0", F.least(F.greatest(F.col("g0") + F.coalesce("shift", F.lit(0.0)), F.lit(0.0)), F.lit(100.0)))
+    s = ev.long_scores(t.where(ev.complete(["g0", "l0", "h0", "actual"])), ["g0", "l0", "h0"], ["fold", "horizon"])
+    return s.select(F.col("fold").cast("string").alias("fold"), "horizon", "method", "n", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
