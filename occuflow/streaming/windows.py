@@ -20,9 +20,17 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def polls(spark: SparkSession, sf_dir: str, name: str = "events.parquet") -> DataFrame:
+def polls(spark: SparkSession, sf_dir: str, name: str = "events.parquet", per_batch: int | None = None) -> DataFrame:
+    """Files as a stream, ``per_batch`` a batch or all that are there."""
     schema = spark.read.parquet(f"{sf_dir}/{name}").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*")
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(f"{sf_dir}/{name}*")
+
+
+def span(spark: SparkSession, sf_dir: str, name: str = "events.parquet") -> str:
+    """How late a row can be if files come in any order: the time from the table's first row to its last."""
+    lo, hi = spark.read.parquet(f"{sf_dir}/{name}").agg(F.min("ts"), F.max("ts")).first()
+    return f"{int((hi - lo).total_seconds()) + 1 if hi else 1} seconds"
 
 
 def run(counted: DataFrame, keys: list[str], columns: list[str], mode: str) -> DataFrame:
@@ -46,28 +54,29 @@ def run(counted: DataFrame, keys: list[str], columns: list[str], mode: str) -> D
     return last.select(*keys, *[f"x.{c}" for c in columns])
 
 
-def fresh(spark: SparkSession, sf_dir: str, late: str) -> DataFrame:
-    """Polls without repetitions. Rows later than ``late`` behind the newest are lost, so files that come in any order need the span of their times."""
-    return polls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def fresh(spark: SparkSession, sf_dir: str, late: str | None, per_batch: int | None = None) -> DataFrame:
+    """Polls without repetitions. Rows later than ``late`` behind the newest are lost; None is the span of the table, so none is, in any order of files."""
+    late = late or span(spark, sf_dir)
+    return polls(spark, sf_dir, per_batch=per_batch).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def start() -> Column:
     return F.col("w.start").cast("timestamp_ntz").alias("start")
 
 
-def tumbling(spark: SparkSession, sf_dir: str, width: str, late: str) -> DataFrame:
+def tumbling(spark: SparkSession, sf_dir: str, width: str, late: str | None = None, per_batch: int | None = None) -> DataFrame:
     """(event_type, start, n, total)."""
-    counted = fresh(spark, sf_dir, late).groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    counted = fresh(spark, sf_dir, late, per_batch).groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return run(counted.select("event_type", start(), "n", "total"), ["event_type", "start"], ["n", "total"], "update")
 
 
-def sliding(spark: SparkSession, sf_dir: str, width: str, step: str, late: str) -> DataFrame:
+def sliding(spark: SparkSession, sf_dir: str, width: str, step: str, late: str | None = None, per_batch: int | None = None) -> DataFrame:
     """(event_type, start, n, total) of overlapping windows; sums of hundredths are exact, so they don't depend on the order of rows."""
-    counted = fresh(spark, sf_dir, late).groupBy("event_type", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+    counted = fresh(spark, sf_dir, late, per_batch).groupBy("event_type", F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
     return run(counted.select("event_type", start(), "n", "total"), ["event_type", "start"], ["n", "total"], "update")
 
 
-def sessions(spark: SparkSession, sf_dir: str, gap: str, late: str) -> DataFrame:
+def sessions(spark: SparkSession, sf_dir: str, gap: str, late: str | None = None, per_batch: int | None = None) -> DataFrame:
     """(user_id, start, n) of runs of polls with gaps below ``gap``; sessions may grow together, so all are written each time."""
-    counted = fresh(spark, sf_dir, late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    counted = fresh(spark, sf_dir, late, per_batch).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return run(counted.select("user_id", start(), "n"), ["user_id", "start"], ["n"], "complete")
