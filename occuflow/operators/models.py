@@ -133,3 +133,112 @@ def ridge_without(frame: DataFrame, group: str, features: list[str], target: str
     weights = own.withColumn("k", F.lit(1)).join(F.broadcast(whole), "k").select(group, w("own", "whole").alias("w"))
     guess = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return rows.select(group, "x", "y").join(weights, group).groupBy(group).agg(F.count("*").alias("n"), F.avg(F.abs(guess - F.col("y"))).alias("mae"))
+
+
+def cross_sums(frame: DataFrame, group: str, features: list[str], target: str) -> DataFrame:
+    """(group, s): the sums of all products of 1, the features and the target, row by row of their matrix; rows with a null are left out."""
+    one = [F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(target).cast("double")]
+    whole = frame.where(F.concat_ws("", *[F.when(F.col(c).isNull(), "x") for c in [*features, target]]) == "")
+    named = whole.select(group, *[(a * b).alias(f"t{i}_{j}") for i, a in enumerate(one) for j, b in enumerate(one) if i <= j])
+    cell = lambda i, j: f"t{min(i, j)}_{max(i, j)}"
+    sums = named.groupBy(group).agg(*[F.sum(cell(i, j)).alias(cell(i, j)) for i in range(len(one)) for j in range(i, len(one))])
+    return sums.select(group, F.array(*[cell(i, j) for i in range(len(one)) for j in range(len(one))]).alias("s"))
+
+
+class RidgePath:
+    """Ridge weights for every penalty from one matrix of sums, by one eigendecomposition; features are z-scored by the rows of those sums."""
+
+    def __init__(self, s: np.ndarray):
+        n, m = s[0, 0], s[0, 1:] / max(s[0, 0], 1.0)
+        cov = s[1:, 1:] - n * np.outer(m, m)
+        sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0) / max(n - 1, 1))
+        used = sd > 1e-12 * (1 + np.abs(m[:-1]))  # a constant feature has no weight
+        self.mean, self.sd, self.used = m, np.where(used, sd, 1.0), used
+        self.values, self.vectors = np.linalg.eigh(np.where(np.outer(used, used), cov[:-1, :-1] / np.outer(self.sd, self.sd), 0))
+        self.turned = self.vectors.T @ np.where(used, cov[:-1, -1] / self.sd, 0)
+
+    def weights(self, alpha: float) -> np.ndarray:
+        """The constant and a weight for each feature as it is."""
+        w = np.where(self.used, self.vectors @ (self.turned / (np.maximum(self.values, 0) + alpha)), 0) / self.sd
+        return np.concatenate([[self.mean[-1] - self.mean[:-1] @ w], w])
+
+
+def squared_error(s: np.ndarray, w: np.ndarray) -> float:
+    """The sum of squared errors of weights on the rows of a matrix of sums."""
+    v = np.append(w, -1.0)
+    return float(v @ s @ v)
+
+
+def chosen(own: np.ndarray, whole: np.ndarray, parts: np.ndarray, fold: int, alphas: np.ndarray) -> tuple[float, np.ndarray]:
+    """The penalty of the least error over the inner folds, all of them without the group's own rows, and the weights of all other rows."""
+    loss = np.zeros(len(alphas))
+    for k, part in enumerate(parts):
+        held = part - own if k == fold else part
+        if held[0, 0] < 0.5 or (whole - own - held)[0, 0] < 1.5:
+            continue
+        path = RidgePath(whole - own - held)
+        loss += [squared_error(held, path.weights(a)) for a in alphas]
+    best = float(alphas[int(loss.argmin())])
+    return best, RidgePath(whole - own).weights(best)
+
+
+def ridge_cv(frame: DataFrame, group: str, features: list[str], target: str, alphas: np.ndarray, folds: int = 5) -> DataFrame:
+    """(group, n, alpha, rmse, mae): each group is forecast from the others by a ridge whose penalty is chosen by folds of those others.
+
+    Groups are dealt to inner folds by their hash. All fits come from sums, one small matrix a group, so the rows are read once for them and once
+    for the absolute error; the sums of the whole and of the folds are one row. Of equal losses the smallest penalty counts. With one group only there is nothing to learn from: no rows.
+    """
+    k = len(features) + 2
+    own = cross_sums(frame, group, features, target).withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
+    added = F.array(*[F.sum(F.col("s")[i]) for i in range(k * k)])
+    by_fold = own.groupBy("fold").agg(added.alias("p"))
+    parts = by_fold.agg(F.collect_list(F.struct("fold", "p")).alias("parts"))  # a matrix a fold
+
+    def solve(own_: pd.Series, fold_: pd.Series, parts_: pd.Series) -> pd.Series:
+        out = []
+        for s, f, ps in zip(own_, fold_, parts_, strict=True):
+            inner = np.zeros((folds, k, k))
+            for p in ps:
+                inner[p["fold"]] = np.asarray(p["p"]).reshape(k, k)
+            s, whole = np.asarray(s).reshape(k, k), inner.sum(axis=0)
+            alpha, w = (0.0, np.zeros(k - 1)) if (whole - s)[0, 0] < 1.5 else chosen(s, whole, inner, f, alphas)
+            out.append([alpha, float(np.sqrt(max(squared_error(s, w), 0.0) / s[0, 0])), *w])
+        return pd.Series(out)
+
+    fit = F.pandas_udf(solve, "array<double>")
+    found = own.join(F.broadcast(parts), F.lit(True)).select(group, fit("s", "fold", "parts").alias("f")).where(F.col("f")[0] > 0)
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
+    guess = F.aggregate(F.zip_with(x, F.slice("f", 3, k - 1), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    miss = frame.join(found, group).withColumn("miss_", F.abs(guess - F.col(target))).where("miss_ IS NOT NULL")
+    return miss.groupBy(group).agg(F.count("*").alias("n"), F.min(F.col("f")[0]).alias("alpha"), F.min(F.col("f")[1]).alias("rmse"), F.avg("miss_").alias("mae"))
+
+
+def inflation(frame: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, vif): how much each feature's variance grows by the others, the diagonal of the inverse of their correlations.
+
+    One pass gives all correlations; the matrix is one row. Infinite where features determine one another, null for a constant one.
+    """
+    k = len(features)
+    pairs = [(i, j) for i in range(k) for j in range(i)]
+    x = [F.col(c).cast("double") for c in features]
+    cell = lambda i, j: F.try_divide(F.covar_pop(x[i], x[j]), F.stddev_pop(x[i]) * F.stddev_pop(x[j]))
+    r = frame.agg(*[cell(i, j).alias(f"r{i}_{j}") for i, j in pairs], F.count("*").alias("n"))
+
+    def inverse(cells: pd.Series) -> pd.Series:
+        out = []
+        for c in cells:
+            m = np.eye(k)
+            for (i, j), v in zip(pairs, c, strict=True):
+                m[i, j] = m[j, i] = np.nan if v is None else v
+            some = [i for i in range(k) if k == 1 or not np.isnan(np.delete(m[i], i)).all()]
+            vif = np.full(k, np.nan)
+            if some:
+                values, vectors = np.linalg.eigh(np.nan_to_num(m[np.ix_(some, some)]))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    safe = np.where(values > 1e-12, values, 0.0)
+                    vif[some] = np.nansum(np.where(vectors**2 > 1e-18, vectors**2 / safe, 0), axis=1)
+            out.append([None if np.isnan(v) else float(v) for v in vif])
+        return pd.Series(out)
+
+    one = r.select(F.pandas_udf(inverse, "array<double>")(F.array(*[f"r{i}_{j}" for i, j in pairs]) if pairs else F.array().cast("array<double>")).alias("v"))
+    return one.select(F.posexplode("v").alias("i", "vif")).select(F.element_at(F.array(*map(F.lit, features)), F.col("i") + 1).alias("feature"), "vif")

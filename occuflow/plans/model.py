@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import boosting, models
@@ -170,3 +171,15 @@ def local_global_folds(spark, d):
     t = g.where("role = 'test'").join(shift, lot, "left").withColumn("h0", F.least(F.greatest(F.col("g0") + F.coalesce("shift", F.lit(0.0)), F.lit(0.0)), F.lit(100.0)))
     s = ev.long_scores(t.where(ev.complete(["g0", "l0", "h0", "actual"])), ["g0", "l0", "h0"], ["fold", "horizon"])
     return s.select(F.col("fold").cast("string").alias("fold"), "horizon", "method", "n", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
+
+
+#: Twenty penalties from 0.01 to 1000, evenly by their logarithms.
+ALPHAS = np.logspace(-2, 3, 20)
+
+
+@query()
+def ridge_cv(spark, d):
+    """Ridge forecasts of each lot from all others, with the penalty chosen among twenty by folds of those others."""
+    x = staged(frame(spark, d), work_folder(spark), "pairs")
+    g = models.ridge_cv(x, "lot", FEATURES, "actual", ALPHAS)
+    return g.select("lot", "n", *[F.round(c, 6).alias(c) for c in ("alpha", "rmse", "mae")])

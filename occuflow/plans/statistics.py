@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calibration as cal
+from ..operators import models
 from ..operators import statistics as st
 from ..registry import query
 from ..sources.tables import read
@@ -244,6 +245,26 @@ def variance_inflation(spark, d):
     return k.select(*[r6((1 - F.col(o) * F.col(o)) / det).alias(f"vif_{c}") for c, o in (("a", "bc"), ("b", "ac"), ("c", "ab"))])
 
 
+SIX = 6
+
+
+def sweep_sql():
+    """The inverse of six features' correlations in SQL: the matrix's cells are columns, swept by one feature a step."""
+    cells = [(i, j) for i in range(SIX) for j in range(SIX)]
+    steps = ["x AS (SELECT " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(SIX)) + " FROM embeddings)", "s0 AS (SELECT " + ", ".join(f"corr(x{i}, x{j}) AS a{i}_{j}" for i, j in cells) + " FROM x)"]
+    for k in range(SIX):
+        new = [f"{'-' if i == k and j == k else ''}{'1 / a%d_%d' % (k, k) if i == j == k else f'a{i}_{j} / a{k}_{k}' if k in (i, j) else f'a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}'} AS a{i}_{j}" for i, j in cells]
+        steps.append(f"s{k + 1} AS (SELECT {', '.join(new)} FROM s{k})")
+    return "WITH " + ", ".join(steps) + f" SELECT unnest([{', '.join(repr(f'x{i}') for i in range(SIX))}]) AS feature, round(unnest([{', '.join(f'-a{i}_{i}' for i in range(SIX))}]), 6) AS vif FROM s{SIX}"
+
+
+@query(sweep_sql())
+def inflation_factors(spark, d):
+    """Variance inflation of six features, from the inverse of their correlation matrix."""
+    e = read(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(SIX)])
+    return models.inflation(e, list(e.columns)).select("feature", r6("vif").alias("vif"))
+
+
 @query(f"""WITH {PAIRS}, {LONG.format(src='pairs')}, s AS (SELECT horizon, x.m AS m, avg(abs(x.p - actual)) AS mae FROM long WHERE {CORE} GROUP BY 1, 2)
 SELECT m AS method, round(max(mae) FILTER (WHERE horizon = 360), 6) AS h360, round(max(mae) FILTER (WHERE horizon = 720), 6) AS h720, round(max(mae) FILTER (WHERE horizon = 1440), 6) AS h1440 FROM s GROUP BY m""")
 def report_pivot(spark, d):

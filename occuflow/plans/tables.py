@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import text
+from ..operators import nested, text
 from ..registry import query
 from ..sources.tables import read
 from .evaluation import r6
@@ -82,3 +82,27 @@ def monthly_revenue(spark, d):
     """A range filter that reaches the scan, and two columns of it."""
     x = read(spark, d, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ'1995-01-01' AND l_shipdate < TIMESTAMP_NTZ'1997-01-01'")
     return x.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+#: Documents as an address service answers them: the items of an order are a list, one object, or missing; numbers come as texts, some of them empty.
+ITEM = "named_struct('no', l_linenumber, 'name', l_returnflag, 'homes', if(l_linenumber % 2 = 0, '0', cast(cast(l_quantity AS int) AS string)), 'flats', cast(l_partkey AS string), 'ground', if(l_partkey % 3 = 0, '', cast(l_partkey % 50 AS string)), 'below', if(l_partkey % 5 = 0, NULL, l_partkey % 70))"
+
+
+def answers(spark, d):
+    """(l_orderkey, doc): nested JSON texts, made of the order lines."""
+    x = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.expr(ITEM))).alias("items"))
+    body = lambda item: F.to_json(F.struct(F.struct(F.struct(item.alias("item")).alias("body")).alias("response")))
+    doc = F.when(F.col("l_orderkey") % 4 == 0, body(F.col("items"))).when(F.col("l_orderkey") % 4 == 1, body(F.col("items")[0])).when(F.col("l_orderkey") % 4 == 2, F.lit('{"response": {"body": "none"}}')).otherwise("not json {")
+    return x.select("l_orderkey", doc.alias("doc"))
+
+
+@query("""WITH i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, CASE WHEN l_linenumber % 2 = 0 THEN '0' ELSE CAST(CAST(trunc(l_quantity) AS INTEGER) AS VARCHAR) END, CAST(l_partkey AS VARCHAR)) = 1 AS first FROM lineitem), k AS (SELECT *, CAST(CAST(trunc(l_quantity) AS INTEGER) AS DOUBLE) AS homes FROM i WHERE l_orderkey % 4 = 0 OR l_orderkey % 4 = 1 AND first)
+SELECT l_orderkey, l_linenumber AS no, l_returnflag AS name, CASE WHEN l_linenumber % 2 = 0 OR homes = 0 THEN CAST(l_partkey AS DOUBLE) ELSE homes END AS households, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_partkey % 50 AS DOUBLE) END AS ground,
+coalesce(CASE WHEN l_partkey % 3 <> 0 THEN l_partkey % 50 END, 0.0) + coalesce(CASE WHEN l_partkey % 5 <> 0 THEN l_partkey % 70 END, 0.0) AS parking, l_orderkey % 4 = 0 AS listed FROM k
+UNION ALL SELECT DISTINCT l_orderkey, NULL, NULL, NULL, NULL, 0.0, FALSE FROM lineitem WHERE l_orderkey % 4 >= 2""")
+def variant_flatten(spark, d):
+    """Nested JSON with a list, an object or nothing at a path, flattened to a row an item; what isn't JSON or lacks the path gives one row of nulls."""
+    return nested.flattened(answers(spark, d), "doc", "$.response.body.item").select(
+        "l_orderkey", nested.field("no", "int").alias("no"), nested.field("name", "string").alias("name"), nested.first_positive("homes", "flats").alias("households"), nested.number("ground").alias("ground"),
+        (F.coalesce(nested.number("ground"), F.lit(0.0)) + F.coalesce(nested.number("below"), F.lit(0.0))).alias("parking"), "listed",
+    )
