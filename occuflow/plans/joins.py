@@ -180,3 +180,42 @@ def grid_snap(spark, d):
     l_ = lots(spark, d)
     y, x = spatial.snapped(F.col("lat"), F.col("lng"))
     return l_.select("lot", F.round(y, 6).alias("y"), F.round(x, 6).alias("x"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS q, c_custkey % 90 AS lot, TIMESTAMP '2024-01-02 00:00:00' + (c_custkey * 977 % 38000) * INTERVAL 1 MINUTE AS target, CASE c_custkey % 3 WHEN 0 THEN 60 WHEN 1 THEN 120 ELSE 360 END AS horizon FROM customer),
+b AS (SELECT *, target - horizon * INTERVAL 1 MINUTE AS base FROM a), h AS (SELECT user_id AS lot, ts, max(CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END) AS v FROM events GROUP BY 1, 2),
+m AS (SELECT q, arg_max({'t': h.ts, 'v': h.v}, h.ts) AS x FROM b JOIN h ON h.lot = b.lot AND h.ts <= b.base AND h.ts >= b.base - INTERVAL 3 HOURS GROUP BY q)
+SELECT b.q, b.lot, b.target, b.horizon, CASE WHEN x.v IS NOT NULL THEN x.t END AS r_ts, x.v AS known FROM b LEFT JOIN m ON m.q = b.q""")
+def point_asof(spark, d):
+    """What was known of a lot at a request's target less its horizon; a stale or missing latest value is null, an older one doesn't stand in for it."""
+    k = F.col("c_custkey")
+    asked = read(spark, d, "customer").select(
+        k.alias("q"), (k % 90).alias("lot"), F.timestamp_add("MINUTE", (k * 977 % 38000).cast("int"), F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'")).alias("target"), F.expr("CASE c_custkey % 3 WHEN 0 THEN 60 WHEN 1 THEN 120 ELSE 360 END").alias("horizon"),
+    )
+    history = read(spark, d, "events").select(F.col("user_id").alias("lot"), "ts", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("known"))
+    return asof.point_lookup(asked, history, ["lot"], "known", 3 * 3600)
+
+
+@query("""WITH t AS (SELECT TIMESTAMP '2024-01-01 12:00:00' + k * INTERVAL 30 HOURS AS moment FROM range(20) r(k)), a AS (SELECT DISTINCT user_id AS lot, moment FROM events, t),
+x AS (SELECT a.lot, a.moment, e.ts, e.value, e.event_type, abs(epoch_us(e.ts) - epoch_us(a.moment)) AS away FROM a JOIN events e ON e.user_id = a.lot AND abs(epoch_us(e.ts) - epoch_us(a.moment)) <= 14400000000),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lot, moment ORDER BY away, ts, value DESC, event_type DESC) = 1)
+SELECT a.lot, a.moment, b.ts AS r_ts, b.value, b.event_type, b.away / 1000000.0 AS seconds FROM a LEFT JOIN b ON b.lot = a.lot AND b.moment = a.moment""")
+def nearest_in_window(spark, d):
+    """All lots as they were at twenty moments: the nearest row of each within four hours of each moment."""
+    times = spark.range(20).select(F.timestamp_add("HOUR", (F.col("id") * 30).cast("int"), F.expr("TIMESTAMP_NTZ'2024-01-01 12:00:00'")).alias("moment"))
+    e = read(spark, d, "events").withColumnRenamed("user_id", "lot")
+    asked = e.select("lot").distinct().crossJoin(F.broadcast(times))  # twenty moments
+    return asof.nearest_in_window(asked, e, ["lot"], ["value", "event_type"], 4 * 3600, "moment")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, replace(lower('Customer  ' || o_custkey), ' ', '') AS name, CAST(o_orderdate AS TIMESTAMP) AS at FROM orders), s AS (SELECT replace(lower('CUSTOMER ' || o_custkey), ' ', '') AS name, CAST(l_shipdate AS TIMESTAMP) AS ts, max(l_extendedprice) AS price FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY ALL),
+x AS (SELECT o.k, s.ts, s.price FROM o JOIN s ON s.name = o.name AND abs(epoch_us(s.ts) - epoch_us(o.at)) <= 864000000000 QUALIFY row_number() OVER (PARTITION BY o.k ORDER BY abs(epoch_us(s.ts) - epoch_us(o.at)), s.ts) = 1)
+SELECT o.k, o.name, x.ts AS r_ts, x.price FROM o LEFT JOIN x ON x.k = o.k""")
+def cross_source_nearest(spark, d):
+    """Two sources that write names differently: joined by the normalised name, and in it to the nearest row within ten days."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"\s", "")
+    orders = read(spark, d, "orders")
+    asked = orders.select(F.col("o_orderkey").alias("k"), plain(F.concat(F.lit("Customer  "), F.col("o_custkey").cast("string"))).alias("name"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    lines = read(spark, d, "lineitem").where("l_returnflag = 'R'").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    other = lines.select(plain(F.concat(F.lit("CUSTOMER "), F.col("o_custkey").cast("string"))).alias("name"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), F.col("l_extendedprice").alias("price"))
+    return asof.nearest_in_window(asked, other, ["name"], ["price"], 10 * 86400).select("k", "name", "r_ts", "price")
