@@ -96,3 +96,30 @@ def ranked_value(df: DataFrame, keys: list[str], value: str, rank, width: float
     counted = binned.join(hit, [*keys, "bin"]).groupBy(*keys, "n", "place", "v").agg(F.count("*").alias("c"))
     within = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     return within.where("upto >= place").groupBy(*keys, "n").agg(F.min("v").alias(value))
+
+
+def counts_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, c): how often each value occurs; a shuffle by key and value, so a group of few keys is spread over all tasks."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+
+
+def quantiles_of(counted: DataFrame, keys: list[str], value: str, shares: dict[str, float], width: float = 0.5) -> DataFrame:
+    """(keys, a column a share): exact quantiles on the line between neighbours, from counts of values.
+
+    The ranks are looked up in running sums over bins of ``width``; only the values of the bins that hold one are sorted. No task holds a
+    group, and nothing is rounded. Keys without values have no row.
+    """
+    binned = counted.withColumn("bin_", F.floor(F.col(value) / width))
+    upto = Window.partitionBy(*keys).orderBy("bin_").rowsBetween(Window.unboundedPreceding, 0)
+    bins = binned.groupBy(*keys, "bin_").agg(F.sum("c").alias("b_"))
+    sums = bins.withColumns({"upto_": F.sum("b_").over(upto), "n_": F.sum("b_").over(Window.partitionBy(*keys))})
+    # each share asks for the values at two ranks, counted from 0
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), ((F.col("n_") - 1) * p).alias("at"), end((F.col("n_") - 1) * p).cast("long").alias("rank")) for name, p in shares.items() for side, end in (("low", F.floor), ("high", F.ceil))])
+    hit = sums.withColumn("ask_", F.explode(asked)).where((F.col("ask_.rank") < F.col("upto_")) & (F.col("ask_.rank") >= F.col("upto_") - F.col("b_")))
+    places = hit.groupBy(*keys, "bin_").agg(F.collect_list(F.struct("ask_.name", "ask_.side", (F.col("ask_.at") - F.floor("ask_.at")).alias("part"), (F.col("ask_.rank") - F.col("upto_") + F.col("b_")).alias("place"))).alias("places_"))
+    inside = Window.partitionBy(*keys, "bin_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = binned.join(places, [*keys, "bin_"]).withColumn("upto_", F.sum("c").over(inside))  # two bins a share and key at most
+    ends = found.withColumn("p_", F.explode("places_")).where((F.col("p_.place") < F.col("upto_")) & (F.col("p_.place") >= F.col("upto_") - F.col("c")))
+    of = lambda name, side, c: F.max(F.when((F.col("p_.name") == name) & (F.col("p_.side") == side), F.col(c)))
+    line = lambda name: of(name, "low", value) + (of(name, "high", value) - of(name, "low", value)) * of(name, "low", "p_.part")
+    return ends.groupBy(*keys).agg(*[line(name).alias(name) for name in shares])

@@ -36,7 +36,10 @@ def persistence_error(spark, d):
     """The flagship: errors of the last value as a forecast, by horizon."""
     g = grid(spark, d)
     e = ev.horizon_frame(g, HORIZONS).where("actual IS NOT NULL AND occ_now IS NOT NULL").withColumn("e", ev.errors("occ_now"))
-    return e.groupBy("horizon").agg(F.count("*").alias("n"), r6(F.avg("e")).alias("mae"), r6(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rmse"), r6(F.percentile("e", F.lit(0.5))).alias("p50"), r6(F.percentile("e", F.lit(0.9))).alias("p90"))
+    counted = ev.counts_of(e, ["horizon"], "e")
+    n = F.sum("c")
+    sums = counted.groupBy("horizon").agg(n.alias("n"), r6(F.sum(F.col("c") * F.col("e")) / n).alias("mae"), r6(F.sqrt(F.sum(F.col("c") * F.col("e") * F.col("e")) / n)).alias("rmse"))
+    return sums.join(ev.quantiles_of(counted, ["horizon"], "e", {"p50": 0.5, "p90": 0.9}).select("horizon", r6("p50").alias("p50"), r6("p90").alias("p90")), "horizon")
 
 
 @query(f"WITH {PAIRS} SELECT horizon, count(*) AS grid_n, count(actual) AS eligible, count(persistence) AS n_persistence, count(lag_24h) AS n_lag_24h, count(lag_7d) AS n_lag_7d, count(*) FILTER (WHERE {CORE}) AS core, count(*) FILTER (WHERE {CORE} AND lag_7d IS NOT NULL) AS all_rows, round(count(*) FILTER (WHERE {CORE}) / nullif(count(actual), 0), 6) AS core_rate FROM pairs GROUP BY horizon")
@@ -102,8 +105,14 @@ SELECT horizon, count(*) FILTER (WHERE target_time < cut) AS train, count(*) FIL
 def purged_split(spark, d):
     """80 percent of the distinct times train; pairs whose label lies past the cut are purged."""
     e = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"]))
-    times = e.agg(F.sort_array(F.collect_set("ts")).alias("x")).select(F.lit(1).alias("k"), F.element_at("x", F.floor(F.size("x") * 0.8).cast("int") + 1).alias("cut"))  # slots of the whole span
-    x = e.withColumn("k", F.lit(1)).join(F.broadcast(times), "k")
+    # the time at a rank: days are counted first, then only the day that holds it is sorted
+    times = e.select("ts").distinct()
+    days = times.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("c"))
+    upto = days.withColumns({"upto": F.sum("c").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(Window.partitionBy())})  # a row a day
+    rank = F.floor(F.col("n") * 0.8)
+    day = upto.where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("c"))).select("day", (rank - F.col("upto") + F.col("c") + 1).alias("place"))
+    cut = times.withColumn("day", F.to_date("ts")).join(F.broadcast(day), "day").withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy("ts"))).where("i = place").select(F.col("ts").alias("cut"))
+    x = e.join(F.broadcast(cut), F.lit(True))  # one row
     return x.groupBy("horizon").agg(F.count_if(F.col("target_time") < F.col("cut")).alias("train"), F.count_if(F.col("ts") >= F.col("cut")).alias("test"), F.count_if((F.col("ts") < F.col("cut")) & (F.col("target_time") >= F.col("cut"))).alias("purged"))
 
 

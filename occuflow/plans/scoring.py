@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as ev
 from ..operators import ranking
 from ..registry import query
 from ..sources.tables import OBS, observations, read
@@ -84,7 +85,8 @@ def seven_checks(spark, d):
     """A horizon's certification: rows, days, mean error, weekends, share of lots and of days, and the tail."""
     e = pairs(spark, d).where(CORE).select("horizon", "lot", F.to_date("target_time").alias("day"), (F.weekday("target_time") >= 5).alias("we"), F.abs(F.col("lag_24h") - F.col("actual")).alias("m"), F.abs(F.col("persistence") - F.col("actual")).alias("b"))
     only = lambda c: F.avg(F.when(F.col("we"), F.col(c)))
-    h = e.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("m").alias("m"), F.avg("b").alias("b"), F.percentile("m", F.lit(0.9)).alias("p90"), only("m").alias("mw"), only("b").alias("bw"))
+    h = e.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("m").alias("m"), F.avg("b").alias("b"), only("m").alias("mw"), only("b").alias("bw"))
+    h = h.join(ev.quantiles_of(ev.counts_of(e, ["horizon"], "m"), ["horizon"], "m", {"p90": 0.9}), "horizon")
 
     def share(key: str, name: str):
         by = e.groupBy("horizon", key).agg(F.avg("m").alias("m"), F.avg("b").alias("b"))
@@ -110,7 +112,9 @@ def cutoff_summary(spark, d):
     demoted = ((F.col("prob") * 100 > F.col("cut")) & ~F.col("estimated")).cast("int")
     x = r.groupBy("cut", "q").agg(F.count("*").alias("n"), F.min(F.struct("a", "pos", "walk")).alias("old"), F.min(F.struct(demoted.alias("k"), "a", "pos", "walk")).alias("new")).where("n >= 3")
     changed = F.col("old.pos") != F.col("new.pos")
-    return x.groupBy("cut").agg(F.count("*").alias("queries"), F.count_if(changed).alias("changed"), F.median(F.when(changed, F.col("new.walk") - F.col("old.walk"))).alias("extra_walk"))
+    x = x.select("cut", changed.alias("changed"), F.when(changed, F.col("new.walk") - F.col("old.walk")).alias("extra"))
+    sums = x.groupBy("cut").agg(F.count("*").alias("queries"), F.count_if("changed").alias("changed"))
+    return sums.join(ev.quantiles_of(ev.counts_of(x, ["cut"], "extra"), ["cut"], "extra", {"extra_walk": 0.5}), "cut", "left")
 
 
 @query(f"""WITH {CARDS}, g AS (SELECT q, count(*) AS found, count(fare) AS priced, count(*) FILTER (WHERE NOT estimated) AS measured FROM cards GROUP BY q)
@@ -142,7 +146,10 @@ def multiclass_confusion(spark, d):
 @query(f"WITH {PAIRS}, x AS (SELECT horizon, isodow(target_time) >= 6 AS weekend, hour(target_time) AS hour, actual FROM pairs WHERE actual IS NOT NULL) SELECT horizon, weekend, hour, count(*) AS n, round(avg(actual), 6) AS mean, round(median(actual), 6) AS middle, round(stddev_samp(actual), 6) AS sd FROM x GROUP BY 1, 2, 3")
 def segment_means(spark, d):
     x = pairs(spark, d).where("actual IS NOT NULL")
-    return x.groupBy("horizon", (F.weekday("target_time") >= 5).alias("weekend"), F.hour("target_time").alias("hour")).agg(F.count("*").alias("n"), r6(F.avg("actual")).alias("mean"), r6(F.median("actual")).alias("middle"), r6(F.stddev_samp("actual")).alias("sd"))
+    x = x.select("horizon", (F.weekday("target_time") >= 5).alias("weekend"), F.hour("target_time").alias("hour"), "actual")
+    keys = ["horizon", "weekend", "hour"]
+    sums = x.groupBy(*keys).agg(F.count("*").alias("n"), r6(F.avg("actual")).alias("mean"), r6(F.stddev_samp("actual")).alias("sd"))
+    return sums.join(ev.quantiles_of(ev.counts_of(x, keys, "actual"), keys, "actual", {"middle": 0.5}), keys).select(*keys, "n", "mean", r6("middle").alias("middle"), "sd")
 
 
 @query("""WITH p AS (SELECT p_partkey, p_type FROM part), l AS (SELECT 1 AS level, split_part(p_type, ' ', 1) AS code FROM p UNION ALL SELECT 2, split_part(p_type, ' ', 1) || ' ' || split_part(p_type, ' ', 2) FROM p UNION ALL SELECT 3, p_type FROM p)

@@ -56,7 +56,9 @@ def union_dedup(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, coalesce(l_returnflag, 'all') || '/' || coalesce(l_linestatus, 'all') AS cell, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS quantity, round(CAST(sum(CAST(l_discount AS DECIMAL(18, 2))) AS DOUBLE) / count(l_discount), 6) AS discount FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def margin_cube(spark, d):
-    c = read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"), r6(F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double") / F.count("l_discount")).alias("discount"))
+    # rows are summed by the finest cells once, and the cube is over those few
+    fine = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"), F.sum(F.col("l_discount").cast("decimal(18,2)")).alias("s"), F.count("l_discount").alias("k"))
+    c = fine.cube("l_returnflag", "l_linestatus").agg(F.sum("n").alias("n"), F.sum("q").cast("double").alias("quantity"), r6(F.sum("s").cast("double") / F.sum("k")).alias("discount"))
     name = lambda x: F.coalesce(F.col(x), F.lit("all"))
     return c.select("l_returnflag", "l_linestatus", F.concat(name("l_returnflag"), F.lit("/"), name("l_linestatus")).alias("cell"), "n", "quantity", "discount")
 

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from occuflow.operators import evaluation as ev
 from occuflow.operators import asof, calibration, evaluation, models, statistics
 
 
@@ -80,3 +81,16 @@ def test_conformal_intervals_by_brute_force(spark):
     want = sorted([("a", (40 - q, 60 + q)), ("a", (max(2 - q, 0.0), min(99 + q, 100.0))), ("b", (25.0, 25.0))])
     assert len(got) == 8 and [k for k, _ in values] == [k for k, _ in want] and np.allclose([v for _, v in values], [v for _, v in want])
     assert calibration.conformal(known.limit(0), asked, ["k"]).where("lo IS NOT NULL").count() == 0
+
+
+def test_quantiles_from_counts_are_exact(spark):
+    rng = np.random.default_rng(11)
+    groups = {1: rng.normal(size=501) * 30, 2: np.repeat([1.5, -2.0, 7.25], [5, 1, 3]), 3: np.array([4.0]), 4: rng.integers(-3, 3, 40).astype(float)}
+    rows = [(k, float(v)) for k, xs in groups.items() for v in xs] + [(1, None), (5, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(3)
+    shares = {"lo": 0.0, "q": 0.25, "mid": 0.5, "p": 0.937, "hi": 1.0}
+    got = {r["k"]: r for r in ev.quantiles_of(ev.counts_of(df, ["k"], "v"), ["k"], "v", shares).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    for k, xs in groups.items():
+        for name, p in shares.items():
+            assert abs(got[k][name] - np.quantile(xs, p)) < 1e-9
