@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.calendar import IN_HOLIDAYS, is_holiday
 from ..registry import query
 from ..sources.tables import LOTS, OBS, lots, observations, read
 from .evaluation import PAIRS, pairs, r6
 from .grids import FLOOR
 
-#: Public holidays of South Korea, January to March 2024.
-HOLIDAYS = ("2024-01-01", "2024-02-09", "2024-02-10", "2024-02-11", "2024-02-12", "2024-03-01")
-IN_HOLIDAYS = "IN ({})".format(", ".join(f"DATE '{d}'" for d in HOLIDAYS))
-
-
-def is_holiday(day):
-    return day.isin(*[F.to_date(F.lit(d)) for d in HOLIDAYS])
-
-
 @query(f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, any_value(CAST(ts AS DATE) {IN_HOLIDAYS}) AS holiday, any_value(CASE WHEN CAST(ts AS DATE) {IN_HOLIDAYS} OR isodow(ts) = 7 THEN 'sunday_holiday' WHEN isodow(ts) = 6 THEN 'saturday' ELSE 'weekday' END) AS day_group, count(*) AS n FROM events GROUP BY 1")
 def holiday_calendar(spark, d):
     """Days with their group, holidays counting as Sundays."""

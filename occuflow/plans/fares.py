@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tariff
+from ..operators.calendar import HOLIDAY_NUMBERS
 from ..operators.timegrid import micros
 from ..registry import query
 from ..sources.tables import LOTS, lots, read
@@ -14,11 +15,10 @@ STAY = """stay AS (SELECT event_id, epoch_us(ts) // 60000000 AS a, event_id % 26
 CASE event_id % 14 WHEN 0 THEN 'emergency' WHEN 1 THEN 'compact' WHEN 2 THEN 'low_emission' WHEN 3 THEN 'charging' WHEN 4 THEN 'senior' WHEN 5 THEN 'disabled_mild' WHEN 6 THEN 'disabled_severe' WHEN 7 THEN 'veteran' WHEN 8 THEN 'transfer' WHEN 9 THEN 'transfer_compact' WHEN 10 THEN 'children' WHEN 11 THEN 'pregnant' WHEN 12 THEN 'market' END AS code FROM events)"""
 #: Rules: windows of weekdays, Saturdays and Sundays in minutes. Rule 4 isn't surveyed: nine to ten in the evening, Sundays and holidays free.
 RULE_ROWS = [(0, 0, 540, 1320), (0, 5, 540, 1080), (1, 0, 600, 1080), (1, 5, 600, 1080), (1, 6, 600, 1080), (2, 0, 0, 1440), (2, 5, 0, 1440), (2, 6, 0, 1440), (3, 0, 0, 480), (3, 0, 1200, 1440), (3, 5, 1200, 1440), (4, 0, 540, 1320), (4, 5, 540, 1320)]
-#: Holidays, as days from 1970: 2024-01-01 and 2024-02-09.
-HOLIDAYS = (19723, 19762)
 WINDOWS = "win AS (SELECT * FROM (VALUES {}) t(rule, d, s, e))".format(", ".join(map(str, RULE_ROWS)))
 WEEKDAYS = {0: range(5), 5: (5,), 6: (6,)}
 
+#: The tariff tables of operators/tariff.py as SQL.
 PRICES = """CASE kind || grade WHEN 'on1' THEN [600, 300, 600, 900, 1200] WHEN 'on2' THEN [400, 200, 400, 600, 800] WHEN 'on3' THEN [200, 100, 300, 400, 400] WHEN 'off1' THEN [600, 300, 600, 900, 1200]
 WHEN 'off2' THEN [400, 200, 400, 600, 800] WHEN 'off3' THEN [200, 100, 300, 400, 400] WHEN 'off4' THEN [200, 100, 200, 200, 200] WHEN 'off5' THEN [200, 100, 100, 100, 100] END"""
 PASS = """CASE CAST(h AS VARCHAR) WHEN '8.0' THEN [10000, 7000, 5000, 2000, 1500] WHEN '9.0' THEN [11000, 8000, 5000, 2000, 1500] WHEN '10.0' THEN [13000, 9000, 6000, 3000, 2500] WHEN '11.0' THEN [14000, 10000, 7000, 3000, 2500]
@@ -34,7 +34,7 @@ def prog(m: str) -> str:
 
 DAYS = f"""{STAY}, {WINDOWS}, day AS (SELECT *, unnest(generate_series(a // 1440, (a + mins - 1) // 1440)) AS day FROM stay),
 charged AS (SELECT event_id, day, any_value(a) AS a, any_value(mins) AS mins, any_value(kind) AS kind, any_value(grade) AS grade, any_value(code) AS code, CAST(coalesce(sum(greatest(least(a + mins, day * 1440 + e) - greatest(a, day * 1440 + s), 0)) FILTER (WHERE s IS NOT NULL), 0) AS BIGINT) AS billable, CAST(coalesce(sum(e - s), 0) AS BIGINT) AS win
-FROM day LEFT JOIN win ON win.rule = day.rule AND day.day NOT IN (19723, 19762) AND win.d = CASE (day.day + 3) % 7 WHEN 5 THEN 5 WHEN 6 THEN 6 ELSE 0 END GROUP BY event_id, day)"""
+FROM day LEFT JOIN win ON win.rule = day.rule AND day.day NOT IN {HOLIDAY_NUMBERS} AND win.d = CASE (day.day + 3) % 7 WHEN 5 THEN 5 WHEN 6 THEN 6 ELSE 0 END GROUP BY event_id, day)"""
 
 
 def stays(spark, d):
@@ -51,7 +51,7 @@ def stays(spark, d):
         "event_id", F.floor(micros("ts") / 60_000_000).alias("a"), (F.pmod("event_id", F.lit(2600)) + 5).alias("mins"), windows.alias("windows"),
         F.when(F.pmod("user_id", F.lit(3)) == 0, "on").otherwise("off").alias("kind"), (1 + F.pmod("user_id", F.lit(5))).cast("int").alias("grade"), code.alias("code"),
     )
-    return x.withColumn("days", tariff.charged_days(F.col("a"), F.col("mins"), F.col("windows"), F.array(*[F.lit(h).cast("long") for h in HOLIDAYS])))
+    return x.withColumn("days", tariff.charged_days(F.col("a"), F.col("mins"), F.col("windows"), F.array(*[F.lit(h).cast("long") for h in HOLIDAY_NUMBERS])))
 
 
 @query(f"WITH {DAYS} SELECT event_id, day, billable, win AS window_minutes FROM charged")

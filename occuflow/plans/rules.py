@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import gates
 from ..operators import rules as ru
+from ..operators.calendar import IN_HOLIDAYS, is_holiday
 from ..operators.features import minute_of_day
 from ..registry import query
 from ..sources.tables import LOTS, lots, read
-from .clock import IN_HOLIDAYS, is_holiday
 
 K = "o_orderkey"
 WINDOW_TEXTS = ["09:00-18:00", "", "closed", "00:00-24:00", "09:00-12:00|13:00-18:00", "9:00-18:00", "22:00-06:00", "09:00-09:00", "24:00-24:00", "10:00-12:00|11:00-13:00", "06:00-10:00", "08:00-25:00", "09:00-18:00|"]
@@ -21,8 +21,8 @@ def pick(xs: list[str], by: str) -> str:
 
 #: A rule row made of each order: its texts as SQL that both engines read alike. Most are sound, some are not.
 ROW = {
-    "line": K, "extra": f"{K} % 97 = 0", "parking_id": f"CASE WHEN {K} % 53 = 0 THEN 'x1' WHEN {K} % 59 = 0 THEN '0' ELSE CAST(1 + o_custkey % 120 AS VARCHAR(20)) END",
-    "name": f"CASE WHEN {K} % 61 = 0 THEN '' WHEN {K} % 67 = 0 THEN 'other' ELSE concat('Supplier#', lpad(CAST(1 + o_custkey % 120 AS VARCHAR(20)), 9, '0')) END",
+    "line": K, "extra": f"{K} % 97 = 0", "parking_id": f"CASE WHEN {K} % 53 = 0 THEN 'x1' WHEN {K} % 59 = 0 THEN '0' ELSE CAST(2 + 2 * (o_custkey % 60) AS VARCHAR(20)) END",
+    "name": f"CASE WHEN {K} % 61 = 0 THEN '' WHEN {K} % 67 = 0 THEN 'other' ELSE concat('Supplier#', lpad(CAST(2 + 2 * (o_custkey % 60) AS VARCHAR(20)), 9, '0')) END",
     "day_group": pick(["weekday", "saturday", "sunday_holiday", "weekday", "saturday", "sunday_holiday", "holiday"], f"{K} * 5 + o_custkey"),
     "entry_windows": pick(WINDOW_TEXTS, f"{K} * 7"), "exit_windows": pick(WINDOW_TEXTS, f"{K} * 3 + 1"), "fee_windows": pick(WINDOW_TEXTS, "o_custkey * 11"), "fee_mode": pick([*ru.FEE_MODES, "monthly"], f"{K} + o_custkey"),
     "overnight_allowed": pick(["true", "false", "yes"], K), "access_status": pick([*ru.STATUSES, "confirmed_open", "open"], f"o_custkey + {K} * 2"), "general_public": pick(["true", "true", "false", ""], f"{K} * 3"),
@@ -31,8 +31,19 @@ ROW = {
 }
 
 
+#: The rules of each odd lot, one for each day group; of one lot in eleven they lack evidence.
+SOUND = {
+    "line": "100000000 + s_suppkey * 3 + g", "extra": "FALSE", "parking_id": "CAST(s_suppkey AS VARCHAR(20))", "name": "s_name", "day_group": "CASE g WHEN 0 THEN 'weekday' WHEN 1 THEN 'saturday' ELSE 'sunday_holiday' END",
+    "entry_windows": pick(["00:00-24:00", "07:00-22:00", "13:00-20:00|09:00-12:00", "06:00-10:00", "closed"], "s_suppkey + g"), "exit_windows": pick(["00:00-24:00", "06:00-23:00", "08:00-20:00"], "s_suppkey"), "fee_windows": "CASE g WHEN 0 THEN '09:00-18:00' WHEN 1 THEN '00:00-24:00' ELSE '' END",
+    "fee_mode": "CASE g WHEN 0 THEN 'paid_window_free_outside' WHEN 1 THEN 'paid_24h' ELSE 'free' END", "overnight_allowed": "CASE WHEN s_suppkey % 9 = 0 THEN 'true' ELSE 'false' END", "access_status": "'confirmed_restricted'", "general_public": "'true'",
+    "effective_from": "'2024-01-01'", "effective_to": "''", "checked_at": "'2024-01-02'", "evidence_method": "'phone'", "evidence_ref": "CASE WHEN s_suppkey % 11 = 3 THEN '' ELSE 'call' END", "note": "''",
+}
+
+
 def rule_rows(spark, d):
-    return read(spark, d, "orders").select(*[F.expr(v.replace("VARCHAR(20)", "STRING")).alias(c) for c, v in ROW.items()])
+    made = lambda df, row: df.select(*[F.expr(v.replace("VARCHAR(20)", "STRING")).alias(c) for c, v in row.items()])
+    odd = read(spark, d, "supplier").where("s_suppkey % 2 = 1").crossJoin(spark.range(3).withColumnRenamed("id", "g"))  # three day groups
+    return made(read(spark, d, "orders"), ROW).unionByName(made(odd, SOUND))
 
 
 def window_sql(c: str, closed: bool) -> str:
@@ -48,7 +59,7 @@ def window_sql(c: str, closed: bool) -> str:
 
 
 DATE = "CASE WHEN regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST({c} AS DATE) END"
-RULES_SQL = f"""{LOTS}, r AS (SELECT {', '.join(f'{v} AS {c}' for c, v in ROW.items())} FROM orders),
+RULES_SQL = f"""{LOTS}, r AS (SELECT {', '.join(f'{v} AS {c}' for c, v in ROW.items())} FROM orders UNION ALL SELECT {', '.join(SOUND.values())} FROM supplier, range(3) t(g) WHERE s_suppkey % 2 = 1),
 p AS (SELECT r.*, CASE WHEN regexp_full_match(parking_id, '[+]?[0-9]+') AND TRY_CAST(parking_id AS BIGINT) > 0 THEN TRY_CAST(parking_id AS BIGINT) END AS pid, {', '.join(window_sql(c, c != 'fee') for c in ('entry', 'exit', 'fee'))}, {', '.join(DATE.format(c=c) + ' AS ' + n for c, n in (('effective_from', 'starts'), ('effective_to', 'ends'), ('checked_at', 'checked')))} FROM r),
 x AS (SELECT p.*, lots.name AS lot_name, len(entry_xs) AS entry_n, len(exit_xs) AS exit_n, len(fee_xs) AS fee_n, coalesce(fee_xs = [[0, 1440]], FALSE) AS fee_whole FROM p LEFT JOIN lots ON lots.lot = p.pid),
 known AS (SELECT line, pid, day_group, starts, ends FROM x WHERE pid IS NOT NULL AND starts IS NOT NULL AND day_group IN {ru.words(ru.DAY_GROUPS)}),

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, gates, ranking, serving, spatial, tariff
 from ..operators import intervals as iv
+from ..operators.calendar import IN_HOLIDAYS, is_holiday
 from ..operators.features import minute_of_day
 from ..operators.timegrid import occupancy
 from ..registry import query
 from ..sources.tables import LOTS, lots, observations, read
-from .clock import IN_HOLIDAYS, is_holiday
 from .domain import PARTS, rules
 from .evaluation import r6
 from .fares import DAYS, FREE, PASS, PCT, PRICES, prog, stays
