@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audits, clock, domain, evaluation, fares, files, grids, joins, model, predicates, quality, rules, scoring, service, serving, statistics, stream, tables  # noqa: F401
+from .plans import audits, clock, domain, evaluation, fares, files, grids, joins, model, predicates, quality, reports, rules, scoring, service, serving, statistics, stream, tables  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "persistence_error"
