@@ -12,7 +12,8 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     """(id, component) of every id in links (a, b); component is the smallest id reachable.
 
     Each round takes the least label of the neighbours and then the label's own label, so long
-    chains shrink by powers; rounds are staged in the folder.
+    chains shrink by powers; rounds are staged in the folder. Repeated and reversed links count once, an id linked with itself alone
+    has no row, a link with a null is none, and an empty table gives no rows.
     """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     both = staged(links.where("a <> b").select(F.explode(ways).alias("x")).select("x.*").distinct(), folder, "links")

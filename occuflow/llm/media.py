@@ -129,7 +129,10 @@ def chunks(column: pd.Series) -> Iterator[slice]:
 
 
 def store(df: DataFrame, text: str = "text") -> DataFrame:
-    """Texts (null: empty) to WAV files: (doc_id, n_bytes, media). Equal texts give equal files; the text's crc32 picks the codec."""
+    """Texts (null: empty) to WAV files: (doc_id, n_bytes, media). Equal texts give equal files; the text's crc32 picks the codec.
+
+    Every row gives a row, repeated ones and those without an id too; other columns aren't read, and an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -145,7 +148,10 @@ def store(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def features(df: DataFrame, keep_pcm: bool = False) -> DataFrame:
-    """Digests and features of stored files, read from their bytes; ``keep_pcm`` adds the resampled signal (16-bit, 16 kHz)."""
+    """Digests and features of stored files, read from their bytes; ``keep_pcm`` adds the resampled signal (16-bit, 16 kHz).
+
+    Every file gives a row, repeated ones and those without an id too; bytes that ``store`` didn't write raise.
+    """
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string" + ", pcm binary" * keep_pcm
