@@ -65,36 +65,36 @@ def interp_limit1(spark, d):
 @query(f"""WITH {GRID} SELECT lot, ts, {', '.join(f'round(lag(occ, {k}) {W}), 6) AS lag_{k}' for k in (1, 2, 3, 6, 12))},
 {', '.join(f'round(occ - lag(occ, {k}) {W}), 6) AS delta_{k}' for k in (1, 3, 6))} FROM grid""")
 def lag_features(spark, d):
-    f = ft.features(grid(spark, d))
+    f = ft.features(grid(spark, d), STEP)
     return f.select("lot", "ts", *[F.round(c, 6).alias(c) for c in f.columns if c.startswith(("lag_", "delta_"))])
 
 
 @query(f"""WITH {GRID} SELECT lot, ts, {', '.join(f'round(avg(occ) {W} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW), 6) AS roll_mean_{w}' for w in (3, 6, 12))} FROM grid""")
 def rolling_mp1(spark, d):
-    return grid(spark, d).select("lot", "ts", *[F.round(ft.rolling_mean(w), 6).alias(f"roll_mean_{w}") for w in (3, 6, 12)])
+    return ft.windowed(grid(spark, d), STEP, {f"roll_mean_{w}": F.round(ft.rolling_mean(w), 6) for w in (3, 6, 12)}, 11).drop("occ")
 
 
 @query(f"""WITH {GRID} SELECT lot, ts, {', '.join(
     f'CASE WHEN count(occ) {W} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) = {w} THEN round(avg(occ) {W} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW), 6) END AS roll_mean_{w}' for w in (2, 3))} FROM grid""")
 def rolling_full(spark, d):
-    return grid(spark, d).select("lot", "ts", *[F.round(ft.rolling_mean(w, True), 6).alias(f"roll_mean_{w}") for w in (2, 3)])
+    return ft.windowed(grid(spark, d), STEP, {f"roll_mean_{w}": F.round(ft.rolling_mean(w, True), 6) for w in (2, 3)}, 2).drop("occ")
 
 
 @query(f"WITH {GRID} SELECT lot, ts, count(occ) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS complete FROM grid")
 def history_complete(spark, d):
-    return grid(spark, d).select("lot", "ts", ft.past_complete(3).alias("complete"))
+    return ft.windowed(grid(spark, d), STEP, {"complete": ft.past_complete(3)}, 2).drop("occ")
 
 
 @query(f"WITH {GRID} SELECT lot, ts, count(occ) {W} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AS complete FROM grid")
 def future_complete(spark, d):
-    return grid(spark, d).select("lot", "ts", ft.future_complete(2).alias("complete"))
+    return ft.windowed(grid(spark, d), STEP, {"complete": ft.future_complete(2)}, ahead=2).drop("occ")
 
 
 @query(f"""WITH {GRID}, f AS (SELECT lot, ts, {', '.join(f'count(occ) {W} ROWS BETWEEN CURRENT ROW AND {k} FOLLOWING) = {k + 1} AS c{k}' for k in (1, 2, 4))} FROM grid)
 SELECT lot, count(*) AS slots, {', '.join(f'count(*) FILTER (WHERE c{k}) AS whole_{k}' for k in (1, 2, 4))}, {', '.join(f'round(count(*) FILTER (WHERE c{k}) / count(*), 6) AS share_{k}' for k in (1, 2, 4))} FROM f GROUP BY lot""")
 def horizon_continuity(spark, d):
     """Slots from which a whole horizon is observed, by lot."""
-    f = grid(spark, d).select("lot", "ts", *[ft.future_complete(k).alias(f"c{k}") for k in (1, 2, 4)])
+    f = ft.windowed(grid(spark, d), STEP, {f"c{k}": ft.future_complete(k) for k in (1, 2, 4)}, ahead=4)
     return f.groupBy("lot").agg(F.count("*").alias("slots"), *[F.count_if(f"c{k}").alias(f"whole_{k}") for k in (1, 2, 4)], *[F.round(F.count_if(f"c{k}") / F.count("*"), 6).alias(f"share_{k}") for k in (1, 2, 4)])
 
 
@@ -152,7 +152,8 @@ def label_valid_mask(spark, d):
     """Values are masked where a lot isn't known to be open, before any feature is made of them."""
     v = grid(spark, d).withColumn("open", accessible()).withColumn("occ_valid", F.expr("CASE WHEN open THEN occ END"))
     shut = ~F.coalesce("open", F.lit(False))
-    return v.select("lot", "ts", "open", F.round("occ_valid", 6).alias("occ_valid"), ft.recently(shut, 4).alias("opened_recently"), F.round(ft.rolling_mean(4, c="occ_valid"), 6).alias("mean_valid"))
+    v = ft.windowed(v, STEP, {"opened_recently": ft.recently(shut, 4), "mean_valid": F.round(ft.rolling_mean(4, c="occ_valid"), 6)}, 3)
+    return v.select("lot", "ts", "open", F.round("occ_valid", 6).alias("occ_valid"), "opened_recently", "mean_valid")
 
 
 @query(f"""WITH {OBS}, g AS (SELECT lot, ts, park, lag(ts) {W}, event_id) AS pt, lag(park) {W}, event_id) AS pp FROM obs)
