@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -81,7 +82,9 @@ def first_entries(rows: DataFrame, vec_id: str, width: int) -> np.ndarray:
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, arrow = {}, None
         for batch in batches:
-            arrow = batch.schema
+            arrow, last = batch.schema, next(reversed(held), None)
+            if len(held) == ENTRIES and last is not None:  # larger ids, and null ones, can't be among the smallest any more
+                batch = batch.filter(pc.less_equal(batch.column(0), pa.scalar(last, arrow.field(0).type)))
             for key, x in zip(batch.column(0).to_pylist(), map(tuple, matrix(batch, "x", width).tolist()), strict=True):
                 held[key] = min(held.get(key, x), x)
             held = {k: held[k] for k in sorted(held, key=lambda k: (k is None, k))[:ENTRIES]}

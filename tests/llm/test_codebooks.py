@@ -110,3 +110,18 @@ def test_sql_twin_agrees(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert sorted(got) == sorted(con.execute(codebooks.SQL["op12_vector_codes"]).fetchall())
+
+
+def test_the_first_entries_are_those_of_the_smallest_ids(spark):
+    rng = np.random.default_rng(7)
+    ids = [int(i) if i % 13 else None for i in rng.integers(0, 3000, 4000)]
+    rows = [(i, [int(v) for v in rng.integers(-9, 9, 4)]) for i in ids]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+    try:
+        got = codebooks.first_entries(spark.createDataFrame(rows, "vec_id long, x array<long>").repartition(3), "vec_id", 4)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    least = {}
+    for i, x in rows:
+        least[i] = min(least.get(i, x), x)
+    assert got.tolist() == [least[i] for i in sorted(i for i in least if i is not None)[:256]]
