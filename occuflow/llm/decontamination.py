@@ -1,9 +1,10 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 Windows of a text that have an item's length are fingerprinted by SimHash of their weighted word shingles.
-Fingerprints of windows and items meet in a multi-index: of radius + 1 bit blocks, two fingerprints
-within the radius agree in one at least. Candidates within the radius are verified by the exact
-weighted similarity of their shingles.
+Fingerprints of windows and items meet in a multi-index of bit blocks: two fingerprints within the
+radius differ in few bits in one block at least, and items are entered under all values so near to their
+blocks. Candidates within the radius are verified by the exact weighted similarity of their shingles.
+Equal windows, however many texts hold them, are fingerprinted, looked up and verified once.
 
 A window that reaches the threshold shares a shingle with its item, so only windows aligned at a
 shared shingle are made; a run of shared shingles at one alignment makes one window. Texts are cut into
@@ -13,6 +14,7 @@ positions without carrying the text; only texts that have such a window are read
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +22,21 @@ from pyspark.sql import functions as F
 from .common import SPACE, UPPER, shared_folder, staged, table
 
 WORDS, THRESHOLD = 5, 0.8
-#: At a similarity of 0.8 fingerprints differ in 10 of 64 bits, deviating by 3; the radius lies over three deviations above.
-RADIUS = 19
-#: Items' shingles, and texts with windows, up to this many rows are broadcast; more are joined by a shuffle.
+#: Fingerprints are two longs, cut into blocks of so many bits each.
+BITS, BLOCK = 128, 16
+#: An item is entered under all values of a block that differ in at most so many bits from its own.
+NEAR = 3
+#: Fingerprints that differ in more bits than NEAR in each block differ in more than this. At a similarity of
+#: 0.8 they differ in 19 bits, deviating by 4: the radius lies three deviations above.
+RADIUS = (NEAR + 1) * (BITS // BLOCK) - 1
+#: Items' shingles, texts with windows, and verified pairs up to this many rows are broadcast; more are joined by a salted shuffle.
 BROADCAST_ROWS, BROADCAST_TEXTS = 500_000, 200_000
+#: Parts that the rows of one key are dealt to where a side is too large to broadcast.
+SALTS = 16
 
-#: Of an array of (h, w): each bit is set if the shingles that have it weigh more than the others.
+#: Of an array of (h, g, w): each bit is set if the shingles whose hash h, or its second hash g, has it weigh more than the others.
 FINGERPRINT = (
-    "aggregate(sequence(0, 63), 0L, (f, b) -> IF(aggregate({x}, 0D, (a, y) -> a + IF(shiftright(y.h, b) & 1L = 1L, y.w, -y.w)) > 0, f | shiftleft(1L, b), f))"
+    "aggregate(sequence(0, 63), 0L, (f, b) -> IF(aggregate(hw, 0D, (a, y) -> a + IF(shiftright(y.{hash}, b) & 1L = 1L, y.w, -y.w)) > 0, f | shiftleft(1L, b), f))"
 )
 
 
@@ -43,14 +52,28 @@ def shingles(text: str, width: int) -> str:
     return f"transform(array({word_hashes(text)}), w -> IF(size(w) >= {width}, transform(sequence(0, size(w) - {width}), i -> xxhash64({parts})), null))[0]"
 
 
-def blocks(fingerprint: str) -> Column:
-    """The (block, bits) of a fingerprint's RADIUS + 1 blocks."""
-    n = RADIUS + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    cut = [f"struct({k} AS block, shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L AS bits)" for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+def blocks() -> Column:
+    """The (block, bits) of a fingerprint (fp, fp2)."""
+    each = 64 // BLOCK
+    cut = [f"struct({k} AS block, shiftrightunsigned({('fp', 'fp2')[k // each]}, {k % each * BLOCK}) & {(1 << BLOCK) - 1}L AS bits)" for k in range(BITS // BLOCK)]
     return F.explode(F.expr(f"array({', '.join(cut)})"))
 
 
+def neighbours(bits: Column) -> Column:
+    """All values of a block that differ from its own in at most NEAR bits."""
+    masks = [sum(1 << i for i in c) for k in range(NEAR + 1) for c in combinations(range(BLOCK), k)]
+    return F.explode(F.transform(F.expr(f"array({', '.join(f'{m}L' for m in masks)})"), lambda m: bits.bitwiseXOR(m)))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """A join whose right side is broadcast if it has few rows; else the left rows of a key are dealt to parts and the right ones repeated in each."""
+    if few:
+        return left.join(F.broadcast(right), keys, how)
+    salted = left.withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    repeated = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, [*keys, "salt"], how).drop("salt")
+
+
 def weights(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     """Items (item, item_id, width, n, all), shingles (h, w), and the weight of a shingle that no item has.
 
@@ -66,28 +89,27 @@ def weights(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return items, df, math.log(1 + count)
 
 
-def weighted(arrays: DataFrame, keys: list[str], array: str, df: DataFrame, foreign: float) -> DataFrame:
-    """The keys with ``hw``, the distinct shingles of an array and their weights, their ``total``, and their fingerprint ``fp``."""
-    own = arrays.select(*keys, F.explode(F.array_distinct(array)).alias("h")).join(df, "h", "left")
-    packed = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("h", F.coalesce("w", F.lit(foreign)).alias("w")))).alias("hw"))
-    return packed.select("*", F.expr("aggregate(hw, 0D, (a, y) -> a + y.w)").alias("total"), F.expr(FINGERPRINT.format(x="hw")).alias("fp"))
+def weighted(arrays: DataFrame, keys: list[str], array: str, df: DataFrame, foreign: float, few: bool) -> DataFrame:
+    """The keys with ``hw``, the distinct shingles of an array with a second hash and their weights, their ``total``, and their fingerprint ``fp``, ``fp2``."""
+    own = joined(arrays.select(*keys, F.explode(F.array_distinct(array)).alias("h")), df, ["h"], few, "left")
+    packed = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("h", F.xxhash64("h").alias("g"), F.coalesce("w", F.lit(foreign)).alias("w")))).alias("hw"))
+    prints = [F.expr(FINGERPRINT.format(hash=h)).alias(name) for h, name in (("h", "fp"), ("g", "fp2"))]
+    return packed.select("*", F.expr("aggregate(hw, 0D, (a, y) -> a + y.w)").alias("total"), *prints)
 
 
 def alignments(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """(row, start, n): windows of an item's number of shingles, where they are aligned with it at a shared shingle."""
     at = items.where(F.col("width") == width).select("n", "all", F.posexplode("all").alias("o", "h")).groupBy("h", "n", "all").agg(F.min("o").alias("o"))
     anchors = at.select("h", "n", "o", F.expr("IF(o = 0, null, all[o - 1])").alias("item_before")).distinct()
-    if anchors.count() <= BROADCAST_ROWS:
-        anchors = F.broadcast(anchors)
     texts = docs.select("row", F.expr(shingles("text", width)).alias("sh")).where("sh IS NOT NULL")
     pairs = F.expr("arrays_zip(sh, concat(array(CAST(null AS BIGINT)), slice(sh, 1, size(sh) - 1)))")
     each = texts.select("row", F.size("sh").alias("m"), F.posexplode(pairs).alias("p", "x")).select("row", "m", "p", F.col("x.sh").alias("h"), F.col("x.1").alias("before"))
-    first = each.join(anchors, "h").where("item_before IS NULL OR before IS NULL OR before <> item_before")  # the first shared shingle of its run
+    first = joined(each, anchors, ["h"], anchors.count() <= BROADCAST_ROWS).where("item_before IS NULL OR before IS NULL OR before <> item_before")  # the first shared shingle of its run
     return first.select("row", F.expr("greatest(least(p - o, m - n), 0)").alias("start"), "n").distinct()
 
 
 def windows(docs: DataFrame, items: DataFrame, folder: str) -> DataFrame:
-    """(row, doc_id, width, start, n, win): the shingles of all aligned windows. ``row`` is the hash of a row's id and text."""
+    """(row, doc_id, width, start, n, win, content): the shingles of all aligned windows and their hash. ``row`` is the hash of a row's id and text."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     out = rows.limit(0).select("row", "doc_id", F.lit(0).alias("width"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("win"))
     for (width,) in items.select("width").distinct().orderBy("width").collect():  # at most WORDS widths; only items of few words have others than WORDS
@@ -95,7 +117,27 @@ def windows(docs: DataFrame, items: DataFrame, folder: str) -> DataFrame:
         side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
         held = rows.join(side, "row").select("row", "doc_id", F.expr(shingles("text", width)).alias("sh"), "at").select("row", "doc_id", "sh", F.explode("at").alias("a"))
         out = out.union(held.select("row", "doc_id", F.lit(width).alias("width"), "a.start", "a.n", F.expr("slice(sh, a.start + 1, a.n)").alias("win")))
-    return out.distinct()
+    return out.distinct().withColumn("content", F.xxhash64("width", "win"))
+
+
+def meetings(prints: DataFrame, known: DataFrame) -> DataFrame:
+    """(content, item, hamming): windows and items of equal width and size that meet in a block of the index. A pair that meets in several blocks comes several times."""
+    left = prints.select("content", "width", "n", "fp", "fp2", blocks().alias("b")).select("content", "width", "n", "fp", "fp2", "b.*")
+    entered = known.select("item", "width", "n", "fp", "fp2", blocks().alias("b")).select("item", "width", "n", F.col("fp").alias("item_fp"), F.col("fp2").alias("item_fp2"), "b.*")
+    right = entered.withColumn("bits", neighbours(F.col("bits")))
+    return left.join(right, ["width", "n", "block", "bits"]).select("content", "item", F.expr("bit_count(fp ^ item_fp) + bit_count(fp2 ^ item_fp2)").alias("hamming"))
+
+
+def fingerprinted(docs: DataFrame, benchmark: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Staged: all windows; their distinct contents and all items, each with shingles, weights and fingerprint; whether the items are few."""
+    items, df, foreign = weights(benchmark)
+    items, df = staged(items, folder, "items"), staged(df, folder, "weights")
+    few = (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS
+    known = staged(items.join(weighted(items, ["item"], "all", df, foreign, few), "item"), folder, "known")
+    found = staged(windows(docs, items, folder), folder, "windows")
+    contents = found.select("content", "width", "n", "win").dropDuplicates(["content"])
+    prints = staged(weighted(contents, ["content", "width", "n"], "win", df, foreign, few), folder, "prints")
+    return found, prints, known, few
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,23 +147,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, folder: str, threshold
     of a single item. Null texts have no shingles; null ids are kept; repeated rows, equal items and items that
     share an id are matched each on its own, and equal result rows are returned once. Empty tables give no rows; other columns are not read.
     """
-    items, df, foreign = weights(benchmark)
-    items, df = staged(items, folder, "items"), staged(df, folder, "weights")
-    known = items.join(weighted(items, ["item"], "all", df, foreign).withColumnRenamed("fp", "item_fp"), "item")
-    known = staged(known, folder, "known")
-    found = staged(windows(docs, items, folder), folder, "windows")
-    keys = ["row", "width", "start", "n"]
-    prints = staged(weighted(found, keys, "win", df, foreign).withColumnsRenamed({"hw": "win_hw", "total": "win_total"}), folder, "prints")
-    left = prints.select(*keys, "fp", blocks("fp").alias("b")).select(*keys, "fp", "b.*")
-    right = known.select("item", "width", "n", "item_fp", blocks("item_fp").alias("b")).select("item", "width", "n", "item_fp", "b.*")
-    near = left.join(right, ["width", "n", "block", "bits"]).withColumn("hamming", F.expr("bit_count(fp ^ item_fp)")).where(F.col("hamming") <= RADIUS)
-    near = near.select(*keys, "item", "hamming").distinct()
-    both = near.join(prints.select(*keys, "win_hw", "win_total"), keys).join(known.select("item", "item_id", "all", "total"), "item")
-    shared = F.expr("aggregate(filter(win_hw, y -> array_contains(all, y.h)), 0D, (a, y) -> a + y.w)")
-    scored = both.withColumn("shared", shared).select(*keys, "item", "item_id", "hamming", (F.col("shared") / (F.col("total") + F.col("win_total") - F.col("shared"))).alias("similarity"))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("row", "item", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start", "n", "width", "hamming")).alias("b"))
-    named = best.join(found.select("row", "doc_id").distinct(), "row")
-    return named.select(
+    found, prints, known, few = fingerprinted(docs, benchmark, folder)
+    near = meetings(prints, known).where(F.col("hamming") <= RADIUS).distinct()
+    both = joined(near.join(prints.select("content", "hw", F.col("total").alias("win_total")), "content"), known.select("item", "item_id", "all", "total"), ["item"], few)
+    shared = F.expr("aggregate(filter(hw, y -> array_contains(all, y.h)), 0D, (a, y) -> a + y.w)")
+    scored = both.withColumn("shared", shared).select("content", "item", "item_id", "hamming", (F.col("shared") / (F.col("total") + F.col("win_total") - F.col("shared"))).alias("similarity"))
+    verified = staged(scored.where(F.col("similarity") >= threshold), folder, "verified")
+    held = joined(found.select("row", "doc_id", "width", "start", "n", "content"), verified, ["content"], verified.count() <= BROADCAST_ROWS)
+    best = held.groupBy("row", "doc_id", "item", "item_id").agg(F.min(F.struct(-F.col("similarity"), "start", "n", "width", "hamming")).alias("b"))
+    return best.select(
         "doc_id", "item_id", F.col("b.start").alias("start_word"), (F.col("b.n") + F.col("b.width") - 1).alias("n_words"), F.col("b.hamming").alias("hamming"), (-F.col("b.col1")).alias("similarity"),
     ).distinct()
 

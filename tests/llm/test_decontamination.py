@@ -77,3 +77,52 @@ def test_recall_on_the_tables(spark, folder):
     want = set(brute(pairs(docs, "doc_id"), pairs(bench, "item_id")))
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminations(docs, bench, folder).collect()}
     assert want and got <= want and len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
+def within_radius(p, i):
+    return sum(((p[f] ^ i[f]) & (2**64 - 1)).bit_count() for f in ("fp", "fp2")) <= decontamination.RADIUS
+
+
+def test_the_index_passes_few_unrelated_pairs(spark):
+    """Random fingerprints meet at a chance of 1 - (1 - 697 / 65,536)^8 = 8.2 percent; pairs just within the radius always do."""
+    rng = random.Random(5)
+    long = lambda: rng.getrandbits(64) - 2**63
+    schema = "content long, item long, width int, n int, fp long, fp2 long"
+    items = [(k, k, 5, 9, long(), long()) for k in range(200)]
+    prints = [(k, k, 5, 9, long(), long()) for k in range(200, 400)]
+    for k, _, w, n, *fp in items[:100]:
+        for b in rng.sample(range(128), decontamination.RADIUS):
+            x = (fp[b // 64] & (2**64 - 1)) ^ (1 << b % 64)
+            fp[b // 64] = x - 2**64 if x >> 63 else x
+        prints.append((1000 + k, k, w, n, *fp))
+    met = decontamination.meetings(spark.createDataFrame(prints, schema).drop("item"), spark.createDataFrame(items, schema).drop("content")).select("content", "item").distinct().collect()
+    got = {tuple(r) for r in met}
+    assert {(1000 + k, k) for k in range(100)} <= got
+    assert len([p for p in got if p[0] < 1000]) < 0.1 * 200 * 200
+
+
+def test_what_the_index_passes_on_the_tables(spark, folder):
+    """All pairs within the radius meet, and few others; those share a shingle at least, so more of them meet than of random ones."""
+    sf = "/root/testdata/sf0.1"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    _, prints, known, _ = decontamination.fingerprinted(docs, bench, folder)
+    met = {(r["content"], r["item"]) for r in decontamination.meetings(prints, known).collect()}
+    items = known.collect()
+    pairs = {(p["content"], i["item"]): within_radius(p, i) for p in prints.collect() for i in items if (p["width"], p["n"]) == (i["width"], i["n"])}
+    within = {p for p, near in pairs.items() if near}
+    assert within and within <= met <= set(pairs)
+    assert len(met - within) < 0.15 * (len(pairs) - len(within)), (len(met), len(within), len(pairs))
+
+
+def test_large_sides_are_salted(spark, make_docs, folder, monkeypatch):
+    """Without any broadcast the result is the same; a passage that most texts hold is verified once."""
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(5)], "item_id long, text string")
+    passage = " ".join(f"W3x{k}" for k in range(12))
+    docs = make_docs([f"{'left ' * (k % 4)}{passage} right {k}" for k in range(60)] + [" ".join(f"w1x{k}" for k in range(12)), None, "w2x0 w2x1"])
+    rows = lambda name: sorted(map(tuple, decontamination.contaminations(docs, bench, f"{folder}/{name}").collect()))
+    want = rows("broadcast")
+    assert [(r[0], r[1]) for r in want] == [*((k, 3) for k in range(60)), (60, 1)]
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_TEXTS", 0)
+    assert rows("salted") == want
+    assert spark.read.parquet(f"{folder}/salted/verified").count() < 10
