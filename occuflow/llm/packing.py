@@ -24,8 +24,8 @@ def n_tokens(text: Column) -> Column:
 
 
 def pieces(df: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """(doc_id, mark, piece, length): texts in pieces of at most max_length tokens; an empty text is one piece of length 0. Texts without an id are told apart by a hash."""
-    n = df.select("doc_id", n_tokens(F.col("text")).alias("n"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("mark"))
+    """(doc_id, mark, piece, length): texts in pieces of at most max_length tokens; an empty text is one piece of length 0. ``mark`` is a hash of the text, which tells texts of one id, or of none, apart."""
+    n = df.select("doc_id", n_tokens(F.col("text")).alias("n"), F.xxhash64("text").alias("mark"))
     last = F.greatest(F.ceil(F.col("n") / max_length) - 1, F.lit(0))
     cut = n.select("doc_id", "mark", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), last)).alias("piece", "x"))
     return cut.select("doc_id", "mark", "piece", F.least(F.lit(max_length), F.col("n") - F.col("x") * max_length).alias("length"))
@@ -59,10 +59,10 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 def pack(df: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, max_length: int = MAX_LENGTH, group: int = GROUP) -> DataFrame:
     """Batches of all sequences: doc_id, piece, length, bucket, padded_length, batch, position.
 
-    In a bucket, sequences are ordered by a hash of doc_id and piece modulo the number of groups, then by both;
-    ranks come from group offsets, so no task sorts a whole bucket, nor all pieces of a long text. A null text has no tokens;
-    texts without a doc_id are dealt by a hash of the text and come first in their groups; rows that agree in all of that take
-    neighbouring places in either order. An empty table gives no rows; other columns are not read.
+    In a bucket, sequences are ordered by a hash of doc_id, text and piece modulo the number of groups, then by doc_id, the text's hash and piece;
+    ranks come from group offsets, so no task sorts a whole bucket, nor all pieces of a long text, nor all texts of one id. A null text has
+    no tokens; texts without a doc_id come first in their groups. So places don't depend on the order of rows: rows that agree in id and text
+    take neighbouring places, and are alike in all columns but those. An empty table gives no rows; other columns are not read.
     """
     seq = pieces(df, max_length)
     hist = seq.groupBy("length").count().collect()  # at most max_length + 1 rows

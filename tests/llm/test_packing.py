@@ -53,5 +53,16 @@ def test_clashing_columns_and_regular_ids(make_docs):
         docs = docs.withColumn(c, F.lit("mine"))
     rows = packing.pack(docs, budget=30, group=40).collect()
     assert sorted(r["doc_id"] for r in rows) == [10 * i for i in range(400)] and {r["length"] for r in rows} == {3}
-    parts = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(None).cast("long"), F.lit(0)), F.lit(10)).alias("p")).distinct().count()
+    parts = docs.select(F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(0)), F.lit(10)).alias("p")).distinct().count()
     assert parts == 10
+
+
+def test_texts_of_one_id_keep_their_places_in_any_order(make_docs):
+    """Rows of one id, or none, with texts of several lengths: the same batches whatever the order and partitions; they lie in several groups."""
+    rng = random.Random(11)
+    rows = [(None if k % 3 else 7, "".join(rng.choice("ab") for _ in range(12)) + " x" * (k % 5), None, None, None) for k in range(300)]
+    docs = make_docs([], rows)
+    of = lambda df: sorted(map(str, packing.pack(df, buckets=3, budget=12, group=20).collect()))
+    assert of(docs) == of(make_docs([], rows[::-1]).repartition(7))
+    parts = packing.pieces(docs).where("doc_id = 7").selectExpr("pmod(xxhash64(doc_id, mark, piece), 15) AS part").groupBy("part").count().collect()
+    assert len(parts) > 5
