@@ -121,11 +121,17 @@ def windows(docs: DataFrame, items: DataFrame, folder: str) -> DataFrame:
 
 
 def meetings(prints: DataFrame, known: DataFrame) -> DataFrame:
-    """(content, item, hamming): windows and items of equal width and size that meet in a block of the index. A pair that meets in several blocks comes several times."""
+    """(content, item, hamming): windows and items of equal width and size that meet in a block of the index. A pair that meets in several blocks comes several times.
+
+    Windows' blocks are broadcast if they are few; else both sides are shuffled and merged. The planner doesn't see how many values
+    an item is entered under, so it is never left to guess that side small enough.
+    """
     left = prints.select("content", "width", "n", "fp", "fp2", blocks().alias("b")).select("content", "width", "n", "fp", "fp2", "b.*")
     entered = known.select("item", "width", "n", "fp", "fp2", blocks().alias("b")).select("item", "width", "n", F.col("fp").alias("item_fp"), F.col("fp2").alias("item_fp2"), "b.*")
     right = entered.withColumn("bits", neighbours(F.col("bits")))
-    return left.join(right, ["width", "n", "block", "bits"]).select("content", "item", F.expr("bit_count(fp ^ item_fp) + bit_count(fp2 ^ item_fp2)").alias("hamming"))
+    few = prints.count() * (BITS // BLOCK) <= BROADCAST_ROWS
+    met = right.join(F.broadcast(left) if few else left.hint("merge"), ["width", "n", "block", "bits"])
+    return met.select("content", "item", F.expr("bit_count(fp ^ item_fp) + bit_count(fp2 ^ item_fp2)").alias("hamming"))
 
 
 def fingerprinted(docs: DataFrame, benchmark: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
