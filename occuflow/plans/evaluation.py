@@ -146,8 +146,12 @@ def method_missing(spark, d):
 
 @query(f"WITH {PAIRS} SELECT lot, horizon, round(median(actual - lag_24h), 6) AS correction, count(*) AS n FROM pairs WHERE {CORE} GROUP BY lot, horizon")
 def residual_median(spark, d):
-    p = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"]))
-    return p.groupBy("lot", "horizon").agg(r6(F.median(F.col("actual") - F.col("lag_24h"))).alias("correction"), F.count("*").alias("n"))
+    """The median error of the day before, exact from counts of errors: no task holds a lot's errors."""
+    p = pairs(spark, d).where(ev.complete(["actual", "persistence", "lag_24h"])).withColumn("e", F.col("actual") - F.col("lag_24h"))
+    keys = ["lot", "horizon"]
+    counted = ev.counts_of(p, keys, "e")
+    n = counted.groupBy(*keys).agg(F.sum("c").alias("n"))
+    return n.join(ev.quantiles_of(counted, keys, "e", {"correction": 0.5}), keys).select(*keys, r6("correction").alias("correction"), "n")
 
 
 @query(f"""WITH {PAIRS}, p AS (SELECT lot % 4 AS state, horizon, abs(actual - lag_24h) AS s, row_number() OVER (PARTITION BY lot % 4, horizon ORDER BY abs(actual - lag_24h), lot, ts) AS i, count(*) OVER (PARTITION BY lot % 4, horizon) AS n FROM pairs WHERE {CORE})
