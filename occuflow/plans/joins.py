@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, spatial
 from ..registry import query
 from ..sources.tables import LOTS, OBS, lots, observations, read
+from ..streaming.windows import work_folder
 from .grids import GRID, grid
 
 
@@ -87,29 +88,31 @@ a.cells AS c1, b.cells AS c2, a.name AS n1, b.name AS n2, b.price AS price FROM
 
 @query(f"WITH {NEAR} SELECT lot, other, CAST(round_even(m, 0) AS BIGINT) AS metres FROM dist WHERE m <= 3000 AND lot <> other")
 def radius_join(spark, d):
-    p = spatial.radius_join(lots(spark, d), lots(spark, d), 3000)
+    place = lots(spark, d).select("lot", "lat", "lng")
+    p = spatial.radius_join(place, place, 3000)
     return p.where("lot <> r_lot").select("lot", F.col("r_lot").alias("other"), F.bround("metres").cast("long").alias("metres"))
 
 
 @query(f"WITH {NEAR} SELECT lot, arg_min(other, (m, other)) AS other, CAST(round_even(min(m), 0) AS BIGINT) AS metres FROM dist WHERE lot <> other AND m <= 10000 GROUP BY lot")
 def nearest_one(spark, d):
-    p = spatial.radius_join(lots(spark, d), lots(spark, d), 10_000).where("lot <> r_lot")
-    best = p.groupBy("lot").agg(F.min(F.struct("metres", "r_lot")).alias("b"))
-    return best.select("lot", F.col("b.r_lot").alias("other"), F.bround("b.metres").cast("long").alias("metres"))
+    place = lots(spark, d).select("lot", "lat", "lng")
+    best = spatial.nearest(place, place, "lot", 10_000, "lot", F.col("lot") != F.col("r_lot"))
+    return best.select("lot", "other", F.bround("metres").cast("long").alias("metres"))
 
 
 @query(f"""WITH {NEAR}, c AS (SELECT lot, count(*) FILTER (WHERE m <= 1000) AS a, count(*) FILTER (WHERE m <= 2000) AS b FROM dist WHERE m <= 3000 AND lot <> other GROUP BY lot),
 r AS (SELECT lot, CASE WHEN a >= 2 THEN 1000.0 WHEN b >= 2 THEN 2000.0 ELSE 3000.0 END AS radius FROM c)
 SELECT d.lot, d.other, CAST(r.radius AS DOUBLE) AS radius FROM dist d JOIN r USING (lot) WHERE d.lot <> d.other AND d.m <= r.radius""")
 def expanding_radius(spark, d):
-    p = spatial.radius_join(lots(spark, d), lots(spark, d), 3000).where("lot <> r_lot")
-    return spatial.expanding(p, "lot", [1000, 2000, 3000], 2).select("lot", F.col("r_lot").alias("other"), "radius")
+    place = lots(spark, d).select("lot", "lat", "lng")
+    return spatial.expanding(place, place, "lot", [1000, 2000, 3000], 2, F.col("lot") != F.col("r_lot"), work_folder(spark)).select("lot", F.col("r_lot").alias("other"), "radius")
 
 
 @query(f"WITH {NEAR} SELECT lot, other FROM dist WHERE m <= 3000 AND NOT (c1 = c2 AND (m <= 10 OR (n1 = n2 AND m <= 100)))")
 def self_match_antijoin(spark, d):
     """Neighbours that aren't the lot itself: equal cells and at most 10 m apart, or an equal name and at most 100 m."""
-    p = spatial.radius_join(lots(spark, d), lots(spark, d), 3000)
+    place = lots(spark, d).select("lot", "lat", "lng", "cells", "name")
+    p = spatial.radius_join(place, place, 3000)
     own = (F.col("cells") == F.col("r_cells")) & ((F.col("metres") <= 10) | ((F.col("name") == F.col("r_name")) & (F.col("metres") <= 100)))
     return p.where(~own).select("lot", F.col("r_lot").alias("other"))
 
@@ -117,9 +120,9 @@ def self_match_antijoin(spark, d):
 @query(f"WITH {NEAR} SELECT lot, arg_min(other, (m, other)) AS other FROM dist WHERE lot <> other AND m <= 3000 AND c2 * 1.0 / c1 BETWEEN 0.8 AND 1.25 GROUP BY lot")
 def tolerance_match(spark, d):
     """The nearest other lot within 3 km of a like capacity."""
-    p = spatial.radius_join(lots(spark, d), lots(spark, d), 3000).where("lot <> r_lot")
-    like = p.where((F.col("r_cells") / F.col("cells")).between(0.8, 1.25))
-    return like.groupBy("lot").agg(F.min_by("r_lot", F.struct("metres", "r_lot")).alias("other"))
+    place = lots(spark, d).select("lot", "lat", "lng", "cells")
+    like = (F.col("lot") != F.col("r_lot")) & (F.col("r_cells") / F.col("cells")).between(0.8, 1.25)
+    return spatial.nearest(place, place, "lot", 3000, "lot", like).select("lot", "other")
 
 
 @query("""WITH a AS (SELECT c_custkey AS k, 'N' || c_custkey % 211 AS address, replace(c_name, 'Customer', 'X') AS name, c_nationkey AS dong FROM customer),
