@@ -36,8 +36,8 @@ from .shingles import pack, pack_sorted, pieces, shingle_hashes, unpack, unpack_
 WIDTH, PERCENT = 4, 85
 #: Shingles of one packed block of texts, and of one counting shard.
 BLOCK, SHARD = 600_000, 2_000_000
-#: Ids up to this many are broadcast to filter texts; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Bits of the filter of texts that are read again, a multiple of 32768: 4 MB on the driver and in each task, however many ids there are.
+FILTER_BITS = 1 << 25
 #: Rounds in which nodes without a home choose pivots.
 ROUNDS = 2
 #: Nodes and shingles of a region that one task joins.
@@ -118,24 +118,38 @@ def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH, percent:
     return each.groupBy("doc_id").agg(F.max("n").alias("n"), F.bool_or("maybe").alias("maybe"))
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of some ids; the ids are broadcast if they are few."""
-    few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def filter_bit() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
 
 
-def sets_table(docs: DataFrame, digest_only: bool, width: int = WIDTH) -> DataFrame:
-    """(doc_id, node) or (doc_id, node, n, set): a node is the 64-bit hash of a set."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of some ids, made in parts by Spark. It has all of them, and others by chance: 2 in a hundred with 600,000 ids, 9 with 3 million."""
+    b = ids.select(filter_bit().alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in b.collect():  # 1024 rows of 4 KB at most
+        out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def sets_table(docs: DataFrame, ids: DataFrame, digest_only: bool, width: int = WIDTH) -> DataFrame:
+    """(doc_id, node) or (doc_id, node, n, set) of the texts of some ids, and of a few others that their filter lets through: a node is the 64-bit hash of a set.
+
+    So texts are neither shuffled nor met by a table of ids that would lie whole on the driver.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = held.value
         for pdf in batches:
+            at = pdf["bit"].to_numpy() - 1
+            pdf = pdf[(bits[at >> 3] >> (at & 7)) & 1 == 1]
             for i in range(0, len(pdf), 300):
                 part = pdf.iloc[i : i + 300]
                 raw = [s.tobytes() for s in sets_of(list(part["text"]), width)]
                 out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "node": np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)})
                 yield out if digest_only else out.assign(n=[len(r) // 8 for r in raw], set=raw)
 
-    return docs.mapInPandas(run, "doc_id long, node long" + ", n long, set binary" * (not digest_only))
+    return docs.withColumn("bit", filter_bit()).mapInPandas(run, "doc_id long, node long" + ", n long, set binary" * (not digest_only))
 
 
 def most_missing(n, percent: int):
@@ -347,9 +361,9 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
     bits = min(56, max(32, (chars // 6 + 1).bit_length() + 8))
     stats = staged(shares(known, shards, bits, width, percent), folder, "stats")
 
-    nodes = staged(sets_table(only(known, stats.where("maybe").select("doc_id")), True, width).distinct(), folder, "nodes")
+    nodes = staged(sets_table(known, stats.where("maybe").select("doc_id"), True, width).distinct(), folder, "nodes")
     reps = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    drawn = sets_table(only(known, staged(reps.select("doc_id").distinct(), folder, "reps")), False, width)
+    drawn = sets_table(known, reps.select("doc_id"), False, width)
     sets = staged(drawn.join(reps, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "set").where("n > 0"), folder, "sets")
     several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
     label = jaccard_links(sets, nodes.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), folder, percent, rows, shingles)

@@ -118,3 +118,14 @@ def test_components_of_a_long_chain(spark, folder):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links, folder).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_texts_read_again_are_filtered_by_a_bitmap_of_fixed_size(make_docs, folder):
+    docs = make_docs([f"one two three four {i}" for i in range(300)]).select("doc_id", "text")
+    ids = docs.where("doc_id % 3 = 0").select("doc_id")
+    assert jaccard_join.id_filter(ids.limit(3)).nbytes == jaccard_join.id_filter(ids).nbytes == jaccard_join.FILTER_BITS // 8
+    got = jaccard_join.sets_table(docs, ids, True)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    held = {r["doc_id"] for r in got.collect()}
+    assert held >= set(range(0, 300, 3)) and len(held) <= 105
+    assert jaccard_join.sets_table(docs, ids.limit(0), True).count() == 0
