@@ -135,3 +135,26 @@ def test_forecasts_are_restored_and_clipped(spark, forest):
     df = spark.createDataFrame([(1.0, 1.0, 200.0), (1.0, 1.0, -300.0)], "a double, b double, occ_now double")
     rows = bundles.forecast(df, bundle(forest, "v1")).collect()
     assert [(r["p10"], r["p90"], r["model_version"]) for r in rows] == [(100.0, 100.0, "v1"), (0.0, 0.0, "v1")]
+
+
+def test_large_groups_share_their_jobs_and_small_ones_reach_no_task(spark):
+    tracker, rng = spark.sparkContext, np.random.default_rng(7)
+    rows = [(g, float(v), float(v * g + rng.normal())) for g in range(1, 7) for v in rng.integers(0, 10, 120)]
+    few = [(g, 1.0, 2.0) for g in range(100, 160) for _ in range(3)]
+    train = spark.createDataFrame(rows + few, "g int, a double, y double").cache()
+    test = spark.createDataFrame([(g, 3.0) for g in (*range(1, 7), *range(100, 160))], "g int, a double")
+
+    def jobs(groups, name):
+        tracker.setJobGroup(name, name)
+        got = boosting.fit_groups(train.where(f"g <= {groups} OR g >= 100"), test.where(f"g <= {groups} OR g >= 100"), ["g"], ["a"], "y", [0.5], ["p"], 50, most=100, rounds=2)
+        out = {r["g"]: r["p"] for r in got.collect()}
+        return len(tracker.statusTracker().getJobIdsForGroup(name)), out
+
+    one, _ = jobs(1, "one-large")
+    six, got = jobs(6, "six-large")
+    tracker.setLocalProperty("spark.jobGroup.id", None)
+    assert six <= one + 4  # not six times as many
+    assert len(got) == 66 and all(abs(got[g] - 3 * g) < 4 + g for g in range(1, 7)) and all(got[g] is None for g in range(100, 160))
+    # a group with much to forecast and too little to learn from has no forecast
+    thin = boosting.fit_groups(train, spark.createDataFrame([(100, 1.0)] * 8, "g int, a double"), ["g"], ["a"], "y", [0.5], ["p"], 50, most=5, rounds=1)
+    assert [r["p"] for r in thin.collect()] == [None] * 8
