@@ -146,40 +146,43 @@ def cross_sums(frame: DataFrame, group: str, features: list[str], target: str) -
 
 
 class RidgePath:
-    """Ridge weights for every penalty from one matrix of sums, by one eigendecomposition; features are z-scored by the rows of those sums."""
+    """Ridge weights for every penalty from matrices of sums (..., k, k), by one eigendecomposition each; features are z-scored by the rows of those sums."""
 
     def __init__(self, s: np.ndarray):
-        n, m = s[0, 0], s[0, 1:] / max(s[0, 0], 1.0)
-        cov = s[1:, 1:] - n * np.outer(m, m)
-        sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0) / max(n - 1, 1))
-        used = sd > 1e-12 * (1 + np.abs(m[:-1]))  # a constant feature has no weight
+        n = s[..., 0, 0]
+        m = s[..., 0, 1:] / np.maximum(n, 1.0)[..., None]
+        cov = s[..., 1:, 1:] - n[..., None, None] * (m[..., :, None] * m[..., None, :])
+        sd = np.sqrt(np.maximum(np.diagonal(cov, axis1=-2, axis2=-1)[..., :-1], 0) / np.maximum(n - 1, 1)[..., None])
+        used = sd > 1e-12 * (1 + np.abs(m[..., :-1]))  # a constant feature has no weight
         self.mean, self.sd, self.used = m, np.where(used, sd, 1.0), used
-        self.values, self.vectors = np.linalg.eigh(np.where(np.outer(used, used), cov[:-1, :-1] / np.outer(self.sd, self.sd), 0))
-        self.turned = self.vectors.T @ np.where(used, cov[:-1, -1] / self.sd, 0)
+        both = used[..., :, None] & used[..., None, :]
+        self.values, self.vectors = np.linalg.eigh(np.where(both, cov[..., :-1, :-1] / (self.sd[..., :, None] * self.sd[..., None, :]), 0))
+        self.turned = (np.where(used, cov[..., :-1, -1] / self.sd, 0)[..., None, :] @ self.vectors)[..., 0, :]
 
-    def weights(self, alpha: float) -> np.ndarray:
-        """The constant and a weight for each feature as it is."""
-        w = np.where(self.used, self.vectors @ (self.turned / (np.maximum(self.values, 0) + alpha)), 0) / self.sd
-        return np.concatenate([[self.mean[-1] - self.mean[:-1] @ w], w])
+    def weights(self, alpha: float | np.ndarray) -> np.ndarray:
+        """The constant and a weight for each feature as it is; a penalty for all matrices or one for each."""
+        scaled = self.turned / (np.maximum(self.values, 0) + np.asarray(alpha)[..., None])
+        w = np.where(self.used, (self.vectors @ scaled[..., None])[..., 0], 0) / self.sd
+        return np.concatenate([self.mean[..., -1:] - (self.mean[..., :-1] * w).sum(axis=-1, keepdims=True), w], axis=-1)
 
 
-def squared_error(s: np.ndarray, w: np.ndarray) -> float:
-    """The sum of squared errors of weights on the rows of a matrix of sums."""
-    v = np.append(w, -1.0)
-    return float(v @ s @ v)
+def squared_error(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sums of squared errors of weights on the rows of matrices of sums."""
+    v = np.concatenate([w, np.full((*w.shape[:-1], 1), -1.0)], axis=-1)
+    return ((v[..., None, :] @ s)[..., 0, :] * v).sum(axis=-1)
 
 
-def chosen(own: np.ndarray, whole: np.ndarray, parts: np.ndarray, fold: int, alphas: np.ndarray) -> tuple[float, np.ndarray]:
-    """The penalty of the least error over the inner folds, all of them without the group's own rows, and the weights of all other rows."""
-    loss = np.zeros(len(alphas))
+def chosen(own: np.ndarray, parts: np.ndarray, fold: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group (its own sums, its fold) the penalty of the least error over the inner folds, all of them without the group's own rows, and the weights of all other rows."""
+    rest, loss = parts.sum(axis=0) - own, np.zeros((len(own), len(alphas)))
     for k, part in enumerate(parts):
-        held = part - own if k == fold else part
-        if held[0, 0] < 0.5 or (whole - own - held)[0, 0] < 1.5:
-            continue
-        path = RidgePath(whole - own - held)
-        loss += [squared_error(held, path.weights(a)) for a in alphas]
-    best = float(alphas[int(loss.argmin())])
-    return best, RidgePath(whole - own).weights(best)
+        held = part - np.where((fold == k)[:, None, None], own, 0)
+        learnt = rest - held
+        some = (held[:, 0, 0] >= 0.5) & (learnt[:, 0, 0] >= 1.5)
+        path = RidgePath(learnt[some])
+        loss[some] += np.stack([squared_error(held[some], path.weights(a)) for a in alphas], axis=1)
+    best = np.asarray(alphas, float)[loss.argmin(axis=1)]
+    return best, RidgePath(rest).weights(best)
 
 
 def ridge_cv(frame: DataFrame, group: str, features: list[str], target: str, alphas: np.ndarray, folds: int = 5) -> DataFrame:
@@ -192,18 +195,20 @@ def ridge_cv(frame: DataFrame, group: str, features: list[str], target: str, alp
     own = cross_sums(frame, group, features, target).withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
     added = F.array(*[F.sum(F.col("s")[i]) for i in range(k * k)])
     by_fold = own.groupBy("fold").agg(added.alias("p"))
-    parts = by_fold.agg(F.collect_list(F.struct("fold", "p")).alias("parts"))  # a matrix a fold
+    of = F.map_from_entries(F.collect_list(F.struct("fold", "p")))  # a matrix a fold
+    none = F.array_repeat(F.lit(0.0), k * k)
+    parts = by_fold.agg(F.flatten(F.array(*[F.coalesce(F.try_element_at(of, F.lit(f)), none) for f in range(folds)])).alias("parts"))
 
     def solve(own_: pd.Series, fold_: pd.Series, parts_: pd.Series) -> pd.Series:
-        out = []
-        for s, f, ps in zip(own_, fold_, parts_, strict=True):
-            inner = np.zeros((folds, k, k))
-            for p in ps:
-                inner[p["fold"]] = np.asarray(p["p"]).reshape(k, k)
-            s, whole = np.asarray(s).reshape(k, k), inner.sum(axis=0)
-            alpha, w = (0.0, np.zeros(k - 1)) if (whole - s)[0, 0] < 1.5 else chosen(s, whole, inner, f, alphas)
-            out.append([alpha, float(np.sqrt(max(squared_error(s, w), 0.0) / s[0, 0])), *w])
-        return pd.Series(out)
+        if not len(own_):
+            return pd.Series([], dtype=object)
+        s, inner = np.stack(own_.to_numpy()).reshape(-1, k, k), np.asarray(parts_.iloc[0]).reshape(folds, k, k)
+        out = np.zeros((len(s), k + 1))
+        some = (inner.sum(axis=0) - s)[:, 0, 0] >= 1.5  # there is something to learn from
+        if some.any():
+            out[some, 0], out[some, 2:] = chosen(s[some], inner, fold_.to_numpy()[some], alphas)
+        out[:, 1] = np.sqrt(np.maximum(squared_error(s, out[:, 2:]), 0.0) / s[:, 0, 0])
+        return pd.Series(list(out))
 
     fit = F.pandas_udf(solve, "array<double>")
     found = own.join(F.broadcast(parts), F.lit(True)).select(group, fit("s", "fold", "parts").alias("f")).where(F.col("f")[0] > 0)
