@@ -5,6 +5,13 @@ A rule row is all text, as a file has it. Nothing is dropped or guessed: an issu
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,19 +91,90 @@ def day(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z")), text.try_cast("date"))
 
 
+WINDOW = pa.struct([("code", pa.string()), ("xs", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
+TYPED = f"line {{line}}, extra boolean, {', '.join(f'{c} string' for c in FIELDS)}, pid long, " + ", ".join(f"{c} struct<code: string, xs: {KIND}>" for c in ("entry", "exit", "fee")) + ", starts date, ends date, checked date"
+
+
+def parsed_windows(text: str, closed: bool) -> dict:
+    """``windows`` of one text."""
+    if text in ("", "closed"):
+        return {"code": "closed_not_allowed" if text and not closed else None, "xs": [] if text and closed else None}
+    xs = []
+    for token in text.split("|"):
+        if not re.fullmatch(r"[0-9]{2}:[0-9]{2}-[0-9]{2}:[0-9]{2}", token):
+            return {"code": "invalid_window", "xs": None}
+        h, m, h2, m2 = (int(token[i : i + 2]) for i in (0, 3, 6, 9))
+        if h > 23 or m > 59 or m2 > 59 or h2 > 23 and (h2, m2) != (24, 0):
+            return {"code": "invalid_time", "xs": None}
+        s, e = h * 60 + m, h2 * 60 + m2
+        if s >= e:
+            return {"code": "ambiguous_zero_window" if s == e else "cross_midnight_window", "xs": None}
+        xs.append((s, e))
+    xs.sort()
+    if any(b[0] < a[1] for a, b in zip(xs, xs[1:])):
+        return {"code": "overlapping_windows", "xs": None}
+    return {"code": None, "xs": [{"s": s, "e": e} for s, e in xs]}
+
+
+def parsed_day(text: str) -> int | None:
+    """``day`` of one text, as days since 1970."""
+    try:
+        return int(np.datetime64(text, "D").astype(np.int64)) if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text) else None
+    except ValueError:
+        return None
+
+
+def parsed_id(text: str) -> int | None:
+    return int(text) or None if re.fullmatch(r"\+?[0-9]{1,18}", text) else None
+
+
+def each_once(texts: pa.Array, f: Callable, kind: pa.DataType) -> pa.Array:
+    """f of every text, called once a distinct text of the batch."""
+    coded = texts.dictionary_encode()
+    return pa.array([f(t) for t in coded.dictionary.to_pylist()], kind).take(coded.indices)
+
+
 def typed(rows: DataFrame, lots: DataFrame) -> DataFrame:
-    """Rule rows (line, the fields, maybe ``extra``) with their typed values; rows without any value are passed over. ``lots`` has (lot, name)."""
-    text = [F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in FIELDS]
+    """Rule rows (line, the fields, maybe ``extra``) with their typed values; rows without any value are passed over. ``lots`` has (lot, name).
+
+    A rule table repeats few texts, so each is parsed once a batch.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            text = {c: each_once(pc.fill_null(t.column(c), ""), lambda x: x.strip(" "), pa.string()) for c in FIELDS}
+            made = {"line": t.column("line"), "extra": t.column("extra"), **text, "pid": each_once(text["parking_id"], parsed_id, pa.int64())}
+            for c in ("entry", "exit", "fee"):
+                made[c] = each_once(text[f"{c}_windows"], lambda x, closed=c != "fee": parsed_windows(x, closed), WINDOW)
+            for c, n in (("effective_from", "starts"), ("effective_to", "ends"), ("checked_at", "checked")):
+                made[n] = each_once(text[c], parsed_day, pa.date32())
+            some = reduce(pc.or_, [pc.not_equal(x, "") for x in text.values()])
+            yield pa.RecordBatch.from_pydict(made).filter(some)
+
     extra = F.coalesce(F.col("extra"), F.lit(False)) if "extra" in rows.columns else F.lit(False)
-    x = rows.select("line", extra.alias("extra"), *text).where(F.concat(*FIELDS) != "")
-    number = F.when(F.regexp_like("parking_id", F.lit(r"^\+?[0-9]{1,18}\z")), F.col("parking_id").try_cast("long"))
-    x = x.withColumns({"pid": F.when(number > 0, number), "entry": windows(F.col("entry_windows"), True), "exit": windows(F.col("exit_windows"), True), "fee": windows(F.col("fee_windows"), False), "starts": day(F.col("effective_from")), "ends": day(F.col("effective_to")), "checked": day(F.col("checked_at"))})
+    text = rows.select("line", extra.alias("extra"), *[F.col(c).cast("string").alias(c) for c in FIELDS])
+    x = text.mapInArrow(parse, TYPED.format(line=dict(rows.dtypes)["line"]))
     count = lambda c: F.when(F.col(c)["xs"].isNotNull(), F.size(F.col(c)["xs"]))
     whole = F.coalesce((F.size("fee.xs") == 1) & (F.try_element_at("fee.xs", F.lit(1))["s"] == 0) & (F.try_element_at("fee.xs", F.lit(1))["e"] == 1440), F.lit(False))
     x = x.withColumns({"entry_n": count("entry"), "exit_n": count("exit"), "fee_n": count("fee"), "fee_whole": whole})
     return x.join(lots.select(F.col("lot").cast("long").alias("pid"), F.col("name").alias("lot_name")), "pid", "left")
 
 
+def fails() -> Column:
+    """Whether a typed row fails any check of its own."""
+    out = F.lit(False)
+    for when in [F.expr(when) for _, _, when in CHECKS] + [F.col(c)["code"].isNotNull() for c in ("entry", "exit", "fee")]:
+        out = out | F.coalesce(when, F.lit(False))
+    return out
+
+
+def sound(rows: DataFrame, lots: DataFrame) -> DataFrame:
+    """Typed rows of the lines without an issue. Rows that fail a check of their own are left out before lines are compared, and issues aren't listed for it."""
+    x = typed(rows, lots).withColumn("fails_", fails())
+    bad = x.where("fails_").select("line").union(set_issues(x).select("line"))
+    return x.where("NOT fails_").drop("fails_").join(bad, "line", "left_anti")
+
+
 def row_issues(x: DataFrame) -> DataFrame:
     """(line, column, code) of every check that a typed row fails."""
     issue = lambda column, code, when: F.when(when, F.struct(F.lit(column).alias("column"), code.alias("code")))
@@ -108,14 +186,16 @@ def row_issues(x: DataFrame) -> DataFrame:
 def set_issues(x: DataFrame) -> DataFrame:
     """Issues of rows together: a day group twice or missing in a lot's period, and periods of a lot and day group that overlap."""
     known = x.where(F.col("pid").isNotNull() & F.col("day_group").isin(*DAY_GROUPS) & F.col("starts").isNotNull()).select("line", "pid", "day_group", "starts", "ends")
-    nth = F.row_number().over(Window.partitionBy("pid", "starts", "ends", "day_group").orderBy("line"))
-    twice = known.withColumn("nth", nth).where("nth > 1").select("line", F.lit("day_group").alias("column"), F.lit("duplicate_day_group").alias("code"))
     groups = known.groupBy("pid", "starts", "ends").agg(F.countDistinct("day_group").alias("n"), F.min("line").alias("line"))
     missing = groups.where(F.col("n") < len(DAY_GROUPS)).select("line", F.lit("day_group").alias("column"), F.lit("missing_day_groups").alias("code"))
+    # both windows from one shuffle: the groups of the first lie within those of the second
+    nth = F.row_number().over(Window.partitionBy("pid", "starts", "ends", "day_group").orderBy("line"))
     order = Window.partitionBy("pid", "day_group").orderBy("starts", "line")
-    before = known.withColumns({"first": F.row_number().over(order) == 1, "last": F.coalesce(F.lag("ends").over(order), F.lit("9999-12-31").cast("date"))})
-    overlap = before.where(~F.col("first") & (F.col("starts") <= F.col("last"))).select("line", F.lit("effective_from").alias("column"), F.lit("overlapping_effective_periods").alias("code"))
-    return twice.union(missing).union(overlap)
+    placed = known.withColumns({"first": F.row_number().over(order) == 1, "last": F.coalesce(F.lag("ends").over(order), F.lit("9999-12-31").cast("date"))}).withColumn("nth", nth)
+    issue = lambda column, code, when: F.when(when, F.struct(F.lit(column).alias("column"), F.lit(code).alias("code")))
+    both = F.array_compact(F.array(issue("day_group", "duplicate_day_group", F.col("nth") > 1), issue("effective_from", "overlapping_effective_periods", ~F.col("first") & (F.col("starts") <= F.col("last")))))
+    of_rows = placed.select("line", F.explode(both).alias("i")).select("line", "i.column", "i.code")
+    return of_rows.union(missing)
 
 
 def validate(rows: DataFrame, lots: DataFrame) -> DataFrame:

@@ -79,8 +79,7 @@ def rule_issues(spark, d):
 @query(f"WITH {RULES_SQL} SELECT line, pid AS lot, day_group, starts, ends, to_json(entry_xs)::VARCHAR AS entry, to_json(exit_xs)::VARCHAR AS leave, to_json(fee_xs)::VARCHAR AS fee FROM x WHERE line NOT IN (SELECT line FROM i)")
 def sound_rules(spark, d):
     """The typed values of the rule rows without an issue."""
-    rows, known = rule_rows(spark, d), lots(spark, d)
-    x = ru.typed(rows, known).join(ru.validate(rows, known).select("line").distinct(), "line", "left_anti")
+    x = ru.sound(rule_rows(spark, d), lots(spark, d))
     shown = lambda c: F.to_json(F.transform(f"{c}.xs", lambda w: F.array(w["s"], w["e"])))
     return x.select("line", F.col("pid").alias("lot"), "day_group", "starts", "ends", shown("entry").alias("entry"), shown("exit").alias("leave"), shown("fee").alias("fee"))
 
@@ -139,8 +138,7 @@ FROM m LEFT JOIN ok a ON a.pid = m.l AND a.day_group = {GROUP.format(t='ts')} LE
 SELECT coalesce(CAST(now AS VARCHAR), 'unknown') AS now, coalesce(CAST(then_ AS VARCHAR), 'unknown') AS later, coalesce(CAST(now AND then_ AS VARCHAR), 'unknown') AS both, count(*) AS n FROM o GROUP BY ALL""")
 def accessibility_states(spark, d):
     """Three-valued accessibility of a lot now, six hours later and at both times: unknown isn't closed, and one closed time closes both."""
-    rows, known = rule_rows(spark, d), lots(spark, d)
-    x = ru.typed(rows, known).join(ru.validate(rows, known).select("line").distinct(), "line", "left_anti")
+    x = ru.sound(rule_rows(spark, d), lots(spark, d))
     ok = x.groupBy("pid", "day_group").agg(F.min("entry.xs").alias("xs"), F.bool_or(F.col("overnight_allowed") == "true").alias("night"))
 
     def state(df, time: str, name: str):

@@ -154,3 +154,28 @@ def test_holidays_pick_the_group_of_sundays(spark):
 def test_accessibility_is_three_valued(spark):
     df = spark.createDataFrame([(None, False, 60), ([(0, 100)], False, 60), ([(0, 50)], False, 60), ([(0, 50)], True, 60), ([], None, 60)], "xs array<struct<s:int,e:int>>, night boolean, m int")
     assert [r[0] for r in df.select(gates.open_state(F.col("xs"), F.col("night"), F.col("m"))).collect()] == [None, True, False, True, False]
+
+
+def test_texts_parsed_once_a_batch_are_those_of_the_columns(spark):
+    texts = ["", "closed", "09:00-18:00", "13:00-18:00|09:00-12:00", "10:00-12:00|11:00-13:00", "24:00-24:00", "00:00-24:00", "23:00-24:01", "9:00-10:00", "09:00-18:00|", "08:00-25:00", "22:00-06:00", "09:00-09:00", "09:60-10:00", "06:00-10:00\n", "x|09:00-09:00", "09:00-10:00|10:00-11:00"]
+    days = ["", "2024-02-29", "2024-02-30", "2023-02-29", "0001-01-01", "9999-12-31", "2024/01/01", "2024-1-01", "2024-13-01", "2024-01-01\n", "2024-00-10"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for closed in (True, False):
+        for r in df.select("t", ru.windows(F.col("t"), closed).alias("w")).collect():
+            assert ru.parsed_windows(r["t"], closed) == r["w"].asDict(True), r
+    for r in spark.createDataFrame([(t,) for t in days], "t string").select("t", F.unix_date(ru.day(F.col("t"))).alias("d")).collect():
+        assert ru.parsed_day(r["t"]) == r["d"], r
+
+
+def test_sound_rows_are_those_of_no_issue_and_no_row_is_parsed_for_each_check(spark):
+    from occuflow.plans import rules as plan
+    from occuflow.sources.tables import lots as known
+
+    d = "/root/testdata/sf0.001"
+    rows = plan.rule_rows(spark, d)
+    rows = rows.union(rows.where("line % 7 = 0").withColumn("name", F.lit("other")))  # lines that two rows share
+    want = ru.typed(rows, known(spark, d)).join(ru.validate(rows, known(spark, d)).select("line").distinct(), "line", "left_anti").select("line", "day_group")
+    got = ru.sound(rows, known(spark, d)).select("line", "day_group")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+    shown = spark._jvm.PythonSQLUtils.explainString(ru.validate(rows, known(spark, d))._jdf.queryExecution(), "simple").split("== Physical Plan ==")[-1]
+    assert "transform(split(" not in shown and shown.count("MapInArrow") == 3  # the rows, both windows together, and the groups
