@@ -27,6 +27,11 @@ def staged(df, folder, name):
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def kept(spark, d):
+    """The pairs, written once: models read them several times, and each time unwritten ones would be joined anew."""
+    return staged(frame(spark, d), work_folder(spark), "pairs")
+
+
 FEATURES = ["horizon", "occ_now", "hour", "weekend", "past", "week"]
 KNOWN = "NOT test AND target_time < TIMESTAMP_NTZ'2024-01-24 00:00:00'"
 
@@ -34,14 +39,14 @@ KNOWN = "NOT test AND target_time < TIMESTAMP_NTZ'2024-01-24 00:00:00'"
 @query()
 def gbt_median(spark, d):
     """Boosted trees with absolute loss over all horizons, the horizon a feature; the change from now, restored and clipped."""
-    x = frame(spark, d)
+    x = kept(spark, d)
     return models.boosted_change(x.where(KNOWN), x.where("test"), FEATURES).select("lot", "ts", "horizon", "actual", "predicted")
 
 
 @query()
 def pooled_horizon(spark, d):
     """One model learnt from the shortest and longest horizon and asked for one between: errors by horizon, and whether it was learnt."""
-    x = frame(spark, d)
+    x = kept(spark, d)
     out = models.boosted_change(x.where(KNOWN).where("horizon <> 720"), x.where("test"), FEATURES)
     return out.groupBy("horizon", (F.col("horizon") != 720).alias("learnt")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 6).alias("mae"))
 
@@ -49,7 +54,7 @@ def pooled_horizon(spark, d):
 @query()
 def quantile_triple(spark, d):
     """Low, middle and high forecasts, sorted so that they never cross: boosted medians and the offsets of calibration residuals."""
-    x = frame(spark, d)
+    x = kept(spark, d)
     cut = "TIMESTAMP_NTZ'2024-01-17 00:00:00'"
     fit, held = x.where(KNOWN).where(f"target_time < {cut}"), x.where(KNOWN).where(f"ts >= {cut}")
     return models.interval(fit, held, x.where("test"), FEATURES, ["horizon"], 0.1, 0.9).select("lot", "ts", "horizon", "actual", "lo", "mid", "hi")
@@ -58,20 +63,21 @@ def quantile_triple(spark, d):
 @query()
 def feature_importance(spark, d):
     """The share of each feature in the trees' splits, the largest first."""
-    x = frame(spark, d)
+    x = kept(spark, d)
     return models.importance(spark, x.where(KNOWN), FEATURES)
 
 
 @query()
 def global_vs_local(spark, d):
     """Errors of one ridge over all lots against one a lot; lots of fewer than 200 rows have no own model."""
-    return models.ridge_local(frame(spark, d).where(KNOWN), frame(spark, d).where("test"), "lot", FEATURES, "actual", 1.0, 200).select("lot", "n", F.round("mae_global", 6).alias("mae_global"), F.round("mae_local", 6).alias("mae_local"))
+    x = kept(spark, d)
+    return models.ridge_local(x.where(KNOWN), x.where("test"), "lot", FEATURES, "actual", 1.0, 200).select("lot", "n", F.round("mae_global", 6).alias("mae_global"), F.round("mae_local", 6).alias("mae_local"))
 
 
 @query()
 def feature_ablation(spark, d):
     """Errors by horizon with all features and without each group of them."""
-    x, groups = frame(spark, d), {"none": [], "clock": ["hour", "weekend"], "past": ["past", "week"], "now": ["occ_now"]}
+    x, groups = kept(spark, d), {"none": [], "clock": ["hour", "weekend"], "past": ["past", "week"], "now": ["occ_now"]}
     out = None
     for name, gone in groups.items():
         one = models.ridge_errors(x.where(KNOWN), x.where("test"), ["horizon"], [f for f in FEATURES if f not in gone], "actual", 1.0).select(F.lit(name).alias("without"), "horizon", "n", F.round("mae", 6).alias("mae"))
@@ -82,7 +88,7 @@ def feature_ablation(spark, d):
 @query()
 def level_or_change(spark, d):
     """Errors by horizon of learning the level itself and of learning the change from now."""
-    x = frame(spark, d)
+    x = kept(spark, d)
     one = lambda name, back: models.ridge_errors(x.where(KNOWN), x.where("test"), ["horizon"], FEATURES, "actual", 1.0, back).select(F.lit(name).alias("target"), "horizon", "n", F.round("mae", 6).alias("mae"))
     return one("level", None).unionByName(one("change", "occ_now"))
 
@@ -90,7 +96,7 @@ def level_or_change(spark, d):
 @query()
 def full_probability(spark, d):
     """The chance of being nearly full by boosted trees, recalibrated on its log-odds."""
-    x = frame(spark, d).withColumn("full", (F.col("actual") >= 90).cast("double"))
+    x = kept(spark, d).withColumn("full", (F.col("actual") >= 90).cast("double"))
     return models.calibrated_chance(x.where("NOT test"), x.where("test"), FEATURES, "full").select("lot", "ts", "horizon", "full", "p", "calibrated")
 
 
@@ -104,7 +110,7 @@ def kmeans_profiles(spark, d):
 @query()
 def ridge_leave_one_out(spark, d):
     """Ridge forecasts of each lot from all other lots."""
-    x = frame(spark, d)
+    x = kept(spark, d)
     return models.ridge_without(x, "lot", FEATURES, "actual", 1.0).select("lot", "n", F.round("mae", 6).alias("mae"))
 
 
@@ -180,6 +186,6 @@ ALPHAS = np.logspace(-2, 3, 20)
 @query()
 def ridge_cv(spark, d):
     """Ridge forecasts of each lot from all others, with the penalty chosen among twenty by folds of those others."""
-    x = staged(frame(spark, d), work_folder(spark), "pairs")
+    x = kept(spark, d)
     g = models.ridge_cv(x, "lot", FEATURES, "actual", ALPHAS)
     return g.select("lot", "n", *[F.round(c, 6).alias(c) for c in ("alpha", "rmse", "mae")])

@@ -94,3 +94,14 @@ def test_quantiles_from_counts_are_exact(spark):
     for k, xs in groups.items():
         for name, p in shares.items():
             assert abs(got[k][name] - np.quantile(xs, p)) < 1e-9
+
+
+def test_models_read_written_pairs_and_join_no_grid_again(spark, monkeypatch):
+    from occuflow.plans import model
+
+    made, seen = [], []
+    monkeypatch.setattr(model, "frame", lambda *a, f=model.frame: made.append(1) or f(*a))
+    monkeypatch.setattr(model.models, "calibrated_chance", lambda train, test, *a: seen.extend([train, test]) or test.withColumn("p", test["full"]).withColumn("calibrated", test["full"]))
+    model.full_probability(spark, "/root/testdata/sf0.001")
+    plans = [spark._jvm.PythonSQLUtils.explainString(x._jdf.queryExecution(), "simple") for x in seen]
+    assert len(made) == 1 and len(plans) == 2 and not any("Exchange" in p or "Join" in p for p in plans)
