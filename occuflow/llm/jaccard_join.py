@@ -118,13 +118,13 @@ def shares(docs: DataFrame, shards: int, bits: int, width: int = WIDTH, percent:
     return each.groupBy("doc_id").agg(F.max("n").alias("n"), F.bool_or("maybe").alias("maybe"))
 
 
-def filter_bit() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
+def filter_bit(column: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
+def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
     """A bitmap of the hashes of some ids, made in parts by Spark. It has all of them, and others by chance: 2 in a hundred with 600,000 ids, 9 with 3 million."""
-    b = ids.select(filter_bit().alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    b = ids.select(filter_bit(column).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
     out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
     for r in b.collect():  # 1024 rows of 4 KB at most
         out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
@@ -152,6 +152,17 @@ def sets_table(docs: DataFrame, ids: DataFrame, digest_only: bool, width: int =
     return docs.withColumn("bit", filter_bit()).mapInPandas(run, "doc_id long, node long" + ", n long, set binary" * (not digest_only))
 
 
+def among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of some nodes, and of a few others that their filter lets through: a join then shuffles what it needs, not all sets each time."""
+    held = sets.sparkSession.sparkContext.broadcast(id_filter(nodes, "node"))
+
+    def run(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy() - 1
+        return pd.Series((held.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return sets.where(F.pandas_udf(run, "boolean")(filter_bit("node")))
+
+
 def most_missing(n, percent: int):
     """How many of its n shingles a set may lack in one of at least that similarity; n is a number, array or column."""
     if isinstance(n, Column):
@@ -186,7 +197,7 @@ def overlap(a: bytes, b: bytes) -> int:
 
 
 def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, pivot, n, similarity, near) of pairs (node, pivot); near ones link."""
+    """(node, pivot, n, similarity, near) of pairs (node, pivot); near ones link. A pivot's own pair needs no set, and only sets of others and of their pivots are moved."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -194,9 +205,11 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             union = pdf["n"].to_numpy() + pdf["pivot_n"].to_numpy() - both
             yield pdf[["node", "pivot", "n"]].assign(similarity=both / union, near=100 * both >= percent * union)
 
-    own = pairs.join(sets.select("node", "n", "set"), "node")
-    both = own.join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set")), "pivot")
-    return both.mapInPandas(run, "node long, pivot long, n long, similarity double, near boolean")
+    others, pivots = pairs.where("node <> pivot"), pairs.where("node = pivot")
+    own = others.join(among(sets, others).select("node", "n", "set"), "node")
+    of = among(sets, others.select(F.col("pivot").alias("node"))).select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set"))
+    met = own.join(of, "pivot").mapInPandas(run, "node long, pivot long, n long, similarity double, near boolean")
+    return met.union(pivots.join(sets.select("node", "n"), "node").select("node", "pivot", "n", F.lit(1.0), F.lit(True)))
 
 
 def pivoted(keys: DataFrame, sets: DataFrame, folder: str, percent: int) -> list[DataFrame]:
@@ -326,7 +339,7 @@ def jaccard_links(sets: DataFrame, more: DataFrame, folder: str, percent: int, r
     dealt = staged(rings(found[0], label, 1 - percent / 100, rows, shingles), folder, "regions")
     if not dealt.limit(1).count():
         return label
-    links = join_regions(dealt.join(sets.select("node", "set"), "node"), percent)
+    links = join_regions(dealt.join(among(sets, dealt).select("node", "set"), "node"), percent)
     further = components(links, f"{folder}/further").withColumnRenamed("id", "label")
     # a component of one node has no label yet
     alone = further.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("component").alias("label"))
@@ -363,8 +376,9 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
 
     nodes = staged(sets_table(known, stats.where("maybe").select("doc_id"), True, width).distinct(), folder, "nodes")
     reps = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    drawn = sets_table(known, reps.select("doc_id"), False, width)
-    sets = staged(drawn.join(reps, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "n", "set").where("n > 0"), folder, "sets")
+    drawn = sets_table(known, reps.select("doc_id"), False, width).where("n > 0").dropDuplicates(["node"])
+    # by the column that they are dealt by already: equal nodes have equal sets, of whichever text
+    sets = staged(drawn.join(reps.select("node").hint("merge"), "node", "left_semi").select("node", "n", "set"), folder, "sets")
     several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
     label = jaccard_links(sets, nodes.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), folder, percent, rows, shingles)
 

@@ -129,3 +129,16 @@ def test_texts_read_again_are_filtered_by_a_bitmap_of_fixed_size(make_docs, fold
     held = {r["doc_id"] for r in got.collect()}
     assert held >= set(range(0, 300, 3)) and len(held) <= 105
     assert jaccard_join.sets_table(docs, ids.limit(0), True).count() == 0
+
+
+def test_joins_move_the_sets_that_they_need_alone(spark, folder):
+    rows = [(i, 4, np.arange(i // 2 * 2, i // 2 * 2 + 4, dtype=np.uint64).tobytes()) for i in range(600)]
+    sets = spark.createDataFrame(rows, "node long, n long, set binary")
+    held = {r["node"] for r in jaccard_join.among(sets, sets.where("node % 3 = 0").select("node")).collect()}
+    assert held >= set(range(0, 600, 3)) and len(held) <= 205
+    assert jaccard_join.among(sets, sets.limit(0)).count() == 0
+    # own pairs are answered without sets: the set of a pivot that only meets itself isn't read
+    bare = sets.withColumn("set", F.when(F.col("node") < 10, F.col("set")))
+    pairs = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (500, 500)], "node long, pivot long")
+    got = {(r["node"], r["pivot"]): (r["n"], round(r["similarity"], 6), r["near"]) for r in jaccard_join.distances(pairs, bare, 85).collect()}
+    assert got == {(0, 0): (4, 1.0, True), (1, 0): (4, 1.0, True), (2, 0): (4, 0.333333, False), (500, 500): (4, 1.0, True)}
