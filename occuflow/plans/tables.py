@@ -74,7 +74,12 @@ def name_normalise(spark, d):
 @query("""WITH x AS (SELECT user_id, sum(value) AS v, count(*) AS n FROM events GROUP BY 1) SELECT user_id, round(ln(1 + n), 6) AS log_n, round(ln(p / (1 - p)), 6) AS log_odds, CAST(round_even(v, 0) AS BIGINT) AS half_even, CAST(ceil(n / 10.0) AS BIGINT) AS tens, CAST(floor(v / 100) * 100 AS BIGINT) AS hundreds
 FROM (SELECT *, least(greatest(n / 100.0, 1e-6), 1 - 1e-6) AS p FROM x)""")
 def scalar_functions(spark, d):
-    x = read(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    """Sums are rounded, so their last bits count: each is added up in the order of the table's rows, as SQL on one thread does, whatever the partitions are. Their sort spills."""
+    from pyspark.sql import Window
+
+    e = read(spark, d, "events").select("user_id", "value", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
+    added = e.withColumn("v", F.sum("value").over(Window.partitionBy("user_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = added.groupBy("user_id").agg(F.max_by("v", "at").alias("v"), F.count("*").alias("n"))
     p = F.least(F.greatest(F.col("n") / 100, F.lit(1e-6)), F.lit(1 - 1e-6))
     return x.select("user_id", r6(F.log1p("n")).alias("log_n"), r6(F.log(p / (1 - p))).alias("log_odds"), F.bround("v").cast("long").alias("half_even"), F.ceil(F.col("n") / 10).alias("tens"), (F.floor(F.col("v") / 100) * 100).cast("long").alias("hundreds"))
 
