@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -80,13 +81,12 @@ class Forest:
     def split_cells(self, b: np.ndarray, y: np.ndarray, now: np.ndarray, growing: list[Tree], level: int) -> np.ndarray:
         """(quantile, node, feature, bin, 2): rows, and those at or below the present forecast."""
         width = BINS + 1
-        out = np.zeros((len(self.alphas), 1 << level, b.shape[1], width, 2))
+        out, twice = np.zeros((len(self.alphas), 1 << level, b.shape[1], width, 2)), 2 * b.astype(np.int64)
         for a, tree in enumerate(growing):
-            at, below = tree.place(b, level), y <= now[:, a]
+            cell = tree.place(b, level) * (2 * width) + (y <= now[:, a])
             for j in range(b.shape[1]):
-                cell = at * width + b[:, j]
-                out[a, :, j, :, 0] = np.bincount(cell, minlength=(1 << level) * width).reshape(-1, width)
-                out[a, :, j, :, 1] = np.bincount(cell[below], minlength=(1 << level) * width).reshape(-1, width)
+                out[a, :, j] = np.bincount(cell + twice[:, j], minlength=(1 << level) * 2 * width).reshape(-1, width, 2)
+        out[..., 0] += out[..., 1]  # those above, and now all
         return out
 
     def leaf_cells(self, b: np.ndarray, y: np.ndarray, now: np.ndarray, growing: list[Tree]) -> np.ndarray:
@@ -163,41 +163,47 @@ def of_each(g: np.ndarray) -> list[tuple[int, slice | np.ndarray]]:
 
 
 class Spread:
-    """Rows of several forests on Spark: bins, target and present forecasts, kept between jobs, so that a job neither bins nor replays earlier trees."""
+    """Rows of several forests on Spark: bins, target and present forecasts, kept between jobs, so that a job neither bins nor replays earlier trees.
+
+    They are kept as blocks, a batch's columns in a row each as bytes: each of the many jobs would else turn every row anew into columns for Python.
+    """
+
+    SCHEMA = "g_ binary, y_ binary, b_ binary, n_ binary"
 
     def __init__(self, rows: DataFrame, features: list[str], forests: list[Forest]):
         self.forests, self.old = forests, None
-        self.bins, self.now = [f"b{j}_" for j in range(len(features))], [f"n{a}_" for a in range(len(forests[0].alphas))]
-        self.schema = ", ".join(["g_ int", "y_ double", *(f"{c} byte" for c in self.bins), *(f"{c} double" for c in self.now)])
+        self.bins, self.now = len(features), len(forests[0].alphas)
 
         def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 x, g = pdf[features].to_numpy(float), pdf["g_"].to_numpy()
-                b, now = np.zeros(x.shape, np.int8), np.zeros((len(x), len(self.now)))
+                b, now = np.zeros(x.shape, np.int8), np.zeros((len(x), self.now))
                 for k, at in of_each(g):
                     b[at] = forests[k].bins(x[at])
                     now[at] = forests[k].start(b[at])
-                yield self.batch(g, pdf["y_"].to_numpy(float), b, now)
+                yield self.block(g, pdf["y_"].to_numpy(float), b, now)
 
-        self.rows = rows.mapInPandas(first, self.schema).persist()
+        self.rows = rows.mapInPandas(first, self.SCHEMA).persist()
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("rows", "old")}  # for tasks
 
-    def batch(self, g: np.ndarray, y: np.ndarray, b: np.ndarray, now: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"g_": g, "y_": y, **{c: b[:, j] for j, c in enumerate(self.bins)}, **{c: now[:, a] for a, c in enumerate(self.now)}})
+    @staticmethod
+    def block(g: np.ndarray, y: np.ndarray, b: np.ndarray, now: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"g_": [g.astype(np.int32).tobytes()], "y_": [y.tobytes()], "b_": [b.tobytes("F")], "n_": [now.tobytes("F")]})
 
-    def arrays(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return pdf["g_"].to_numpy(), pdf["y_"].to_numpy(float), pdf[self.bins].to_numpy(np.int64), pdf[self.now].to_numpy(float)
+    def blocks(self, pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for g, y, b, now in zip(pdf["g_"], pdf["y_"], pdf["b_"], pdf["n_"], strict=True):
+            b, now = np.frombuffer(b, np.int8).reshape(self.bins, -1).T, np.frombuffer(now).reshape(self.now, -1).T
+            yield np.frombuffer(g, np.int32), np.frombuffer(y), b, now
 
     def cells(self, f: Counting) -> list[np.ndarray]:
-        shape = f(0, np.zeros((0, len(self.bins)), np.int64), np.zeros(0), np.zeros((0, len(self.now)))).shape
+        shape = f(0, np.zeros((0, self.bins), np.int8), np.zeros(0), np.zeros((0, self.now))).shape
         size = int(np.prod(shape))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                g, y, b, now = self.arrays(pdf)
+            for g, y, b, now in chain.from_iterable(map(self.blocks, batches)):
                 for k, at in of_each(g):
                     total[k] = total.get(k, 0) + f(k, b[at], y[at], now[at])
             for k, t in total.items():
@@ -213,13 +219,13 @@ class Spread:
 
     def moved(self) -> None:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                g, y, b, now = self.arrays(pdf)
+            for g, y, b, before in chain.from_iterable(map(self.blocks, batches)):
+                now = before.copy()
                 for k, at in of_each(g):
-                    now[at] = self.forests[k].moved(b[at], now[at])
-                yield self.batch(g, y, b, now)
+                    now[at] = self.forests[k].moved(b[at], before[at])
+                yield self.block(g, y, b, now)
 
-        self.old, self.rows = self.rows, self.rows.mapInPandas(run, self.schema).persist()
+        self.old, self.rows = self.rows, self.rows.mapInPandas(run, self.SCHEMA).persist()
 
     @staticmethod
     def forget(rows: DataFrame | None) -> None:

@@ -158,3 +158,17 @@ def test_large_groups_share_their_jobs_and_small_ones_reach_no_task(spark):
     # a group with much to forecast and too little to learn from has no forecast
     thin = boosting.fit_groups(train, spark.createDataFrame([(100, 1.0)] * 8, "g int, a double"), ["g"], ["a"], "y", [0.5], ["p"], 50, most=5, rounds=1)
     assert [r["p"] for r in thin.collect()] == [None] * 8
+
+
+def test_rows_are_kept_between_jobs_as_blocks_of_batches(spark, forest):
+    x, y = data(3000)
+    rows = boosting.numeric(frame(spark, x, y).repartition(3), ["a", "b"], "y", F.lit(0))
+    spread = boosting.Spread(rows, ["a", "b"], [forest])
+    try:
+        assert spread.rows.count() <= 6  # not a row of the cache for each of 3000
+        got = list(spread.blocks(spread.rows.toPandas()))
+    finally:
+        spread.forget(spread.rows)
+    assert sorted(np.concatenate([b[1] for b in got])) == sorted(y)
+    assert sorted(map(tuple, np.concatenate([b[2] for b in got]))) == sorted(map(tuple, forest.bins(x)))
+    assert (np.concatenate([b[3] for b in got]) == forest.base).all()
