@@ -163,6 +163,11 @@ def among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return sets.where(F.pandas_udf(run, "boolean")(filter_bit("node")))
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that tasks merge, however small a side is on disk: one of a few megabytes there, many times as large in memory, would otherwise lie whole on the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def most_missing(n, percent: int):
     """How many of its n shingles a set may lack in one of at least that similarity; n is a number, array or column."""
     if isinstance(n, Column):
@@ -185,7 +190,7 @@ def first_keys(sets: DataFrame, percent: int) -> DataFrame:
 
     keys = sets.select("node", "n", "set").mapInPandas(run, "node long, n long, key long")
     common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    listed = keys.join(common, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))
+    listed = met(keys, common, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))
     left = (most_missing(F.col("n"), percent) + 1 - (F.col("n") - F.size("s"))).cast("int")
     return listed.withColumn("left", left).where("left > 0").select("node", F.explode(F.slice("s", 1, F.col("left"))).alias("x")).select("node", F.col("x.key").alias("key"))
 
@@ -206,10 +211,10 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pdf[["node", "pivot", "n"]].assign(similarity=both / union, near=100 * both >= percent * union)
 
     others, pivots = pairs.where("node <> pivot"), pairs.where("node = pivot")
-    own = others.join(among(sets, others).select("node", "n", "set"), "node")
+    own = met(others, among(sets, others).select("node", "n", "set"), "node")
     of = among(sets, others.select(F.col("pivot").alias("node"))).select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set"))
-    met = own.join(of, "pivot").mapInPandas(run, "node long, pivot long, n long, similarity double, near boolean")
-    return met.union(pivots.join(sets.select("node", "n"), "node").select("node", "pivot", "n", F.lit(1.0), F.lit(True)))
+    both = met(own, of, "pivot").mapInPandas(run, "node long, pivot long, n long, similarity double, near boolean")
+    return both.union(met(pivots, sets.select("node", "n"), "node").select("node", "pivot", "n", F.lit(1.0), F.lit(True)))
 
 
 def pivoted(keys: DataFrame, sets: DataFrame, folder: str, percent: int) -> list[DataFrame]:
@@ -217,13 +222,13 @@ def pivoted(keys: DataFrame, sets: DataFrame, folder: str, percent: int) -> list
     out = []
     for k in range(1 + ROUNDS):
         chosen = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("m")).where("c > 1").select("key", F.col("m.node").alias("pivot"))
-        pairs = staged(keys.join(chosen, "key").select("node", "pivot").distinct(), folder, f"pairs{k}")
+        pairs = staged(met(keys, chosen, "key").select("node", "pivot").distinct(), folder, f"pairs{k}")
         found = staged(distances(pairs, sets, percent), folder, f"distances{k}")
         out.append(found)
         if k == ROUNDS:
             break
         covered = found.where("near AND node <> pivot").select(F.explode(F.array("node", "pivot")).alias("node")).distinct()
-        keys = staged(keys.join(covered, "node", "left_anti"), folder, f"keys{k}")
+        keys = staged(met(keys, covered, "node", "left_anti"), folder, f"keys{k}")
         if not keys.limit(1).count():
             break
     return out
@@ -303,13 +308,13 @@ def cell_masks(d: np.ndarray, percent: int) -> list[np.ndarray]:
 def rings(found: DataFrame, label: DataFrame, radius: float, rows: int, shingles: int) -> DataFrame:
     """(region, node, label): the nodes of each ring around a pivot and those of the ring inside it, where components differ; large ones dealt to pairs of parts."""
     width = radius * (1 + 1e-6) + 1e-9  # a little over r, so that two that link never lie two rings apart
-    named = found.join(label, "node", "left").select("node", "pivot", "n", F.coalesce("label", "node").alias("label"), F.floor((1 - F.col("similarity")) / width).alias("own"))
+    named = met(found, label, "node", "left").select("node", "pivot", "n", F.coalesce("label", "node").alias("label"), F.floor((1 - F.col("similarity")) / width).alias("own"))
     both = F.array(F.struct(F.col("own").alias("ring"), F.lit(1).alias("home")), F.struct((F.col("own") + 1).alias("ring"), F.lit(0).alias("home")))
     there = named.withColumn("x", F.explode(both)).select("node", "pivot", "n", "label", "x.ring", "x.home")
     parts = F.when((F.col("c") > rows) | (F.col("t") > shingles), F.ceil(2 * F.greatest(F.col("c") / rows, F.col("t") / shingles))).otherwise(1).cast("int")
     counts = there.groupBy("pivot", "ring").agg(F.sum("home").alias("homes"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("t"))
     alive = counts.where("homes > 0 AND lo <> hi").select("pivot", "ring", parts.alias("m"))
-    dealt = there.join(alive, ["pivot", "ring"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = met(there, alive, ["pivot", "ring"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     return dealt.select(F.xxhash64("pivot", "ring", F.least("i", "j"), F.greatest("i", "j")).alias("region"), "node", "label")
 
 
@@ -339,20 +344,20 @@ def jaccard_links(sets: DataFrame, more: DataFrame, folder: str, percent: int, r
     dealt = staged(rings(found[0], label, 1 - percent / 100, rows, shingles), folder, "regions")
     if not dealt.limit(1).count():
         return label
-    links = join_regions(dealt.join(among(sets, dealt).select("node", "set"), "node"), percent)
+    links = join_regions(met(dealt, among(sets, dealt).select("node", "set"), "node"), percent)
     further = components(links, f"{folder}/further").withColumnRenamed("id", "label")
     # a component of one node has no label yet
-    alone = further.join(label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("component").alias("label"))
-    return label.join(further, "label", "left").select("node", F.coalesce("component", "label").alias("label")).union(alone)
+    alone = met(further, label.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("component").alias("label"))
+    return met(label, further, "label", "left").select("node", F.coalesce("component", "label").alias("label")).union(alone)
 
 
 def least_ids(nodes: DataFrame, label: DataFrame, salts: int = 32) -> DataFrame:
     """(doc_id, component): the least id of each id's component. Copies of a set are dealt by salts, so that a large group isn't one task's."""
     salted = nodes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    least = nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = met(nodes.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of = least.groupBy("label").agg(F.min("rep").alias("component"), F.sum("c").alias("members")).where("members > 1")
-    dealt = least.join(of, "label").select("node", "component", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return salted.join(dealt, ["node", "salt"]).groupBy("doc_id").agg(F.min("component").alias("component"))
+    dealt = met(least, of, "label").select("node", "component", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return met(salted, dealt, ["node", "salt"]).groupBy("doc_id").agg(F.min("component").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent: int = PERCENT, rows: int = REGION_ROWS, shingles: int = REGION_SHINGLES) -> DataFrame:
@@ -378,12 +383,12 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, percent
     reps = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     drawn = sets_table(known, reps.select("doc_id"), False, width).where("n > 0").dropDuplicates(["node"])
     # by the column that they are dealt by already: equal nodes have equal sets, of whichever text
-    sets = staged(drawn.join(reps.select("node").hint("merge"), "node", "left_semi").select("node", "n", "set"), folder, "sets")
+    sets = staged(met(drawn, reps.select("node"), "node", "left_semi").select("node", "n", "set"), folder, "sets")
     several = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z")
-    label = jaccard_links(sets, nodes.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), folder, percent, rows, shingles)
+    label = jaccard_links(sets, met(nodes, several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), folder, percent, rows, shingles)
 
     whole = least_ids(nodes, staged(label, folder, "label"))
-    out = stats.join(whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = met(stats, whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     if nameless:
         named = lambda c: F.when(F.col(c) <= last, F.col(c)).alias(c)
         out = out.select(named("doc_id"), "n_shingles", named("component_id"))

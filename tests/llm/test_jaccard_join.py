@@ -142,3 +142,19 @@ def test_joins_move_the_sets_that_they_need_alone(spark, folder):
     pairs = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (500, 500)], "node long, pivot long")
     got = {(r["node"], r["pivot"]): (r["n"], round(r["similarity"], 6), r["near"]) for r in jaccard_join.distances(pairs, bare, 85).collect()}
     assert got == {(0, 0): (4, 1.0, True), (1, 0): (4, 1.0, True), (2, 0): (4, 0.333333, False), (500, 500): (4, 1.0, True)}
+
+
+def test_no_table_of_a_join_lies_on_the_driver(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def seen(df, folder, name, write=jaccard_join.staged):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, folder, name)
+
+    monkeypatch.setattr(jaccard_join, "staged", seen)
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base[: 60 - i % 3], f"x{i % 7}"])) for i in range(40)], "doc_id long, text string")
+    out = jaccard_join.jaccard_components(docs, str(tmp_path / "work"), rows=8)
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    assert {"pairs0", "distances0", "regions", "label"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
